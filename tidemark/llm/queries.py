@@ -6,15 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import sharding
+from tidemark.llm import html_text, mixing, quality, sharding, token_index
 from tidemark.llm.common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.roundtrip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op7_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards"
+    )
+
+
+def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_index": op1_token_index,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
+    "op7_line_frequency_quality": op7_line_frequency_quality,
+    "op9_hypergeometric_mixing": op9_hypergeometric_mixing,
+    "op10_consensus_html": op10_consensus_html,
 }
 ORACLES: dict[str, str] = {}

@@ -2,9 +2,9 @@
 
 1. Targets: weights are shared out under a ceiling per source (water-filling over one row per source).
 2. Blocks: a document's seeded hash puts it into one of FINE cells of its source; runs of cells are blocks, so block
-   order is a random permutation of the source's documents. A source takes whole epochs plus the first cells that
-   fill the rest; in the one cell on the border, documents are taken in hash order while they fit, then one more
-   that comes nearest.
+   order is a random permutation of the source's documents. A source takes whole epochs plus the first runs of cells
+   that fill the rest; in the one run on the border, documents are taken in hash order while they fit, then one more
+   that comes nearest. Small sources have longer runs, so that a border run has some documents to choose from.
 3. Splitting tree: each drawn block is a token of its source. The root holds all tokens; every node ranks its tokens by
    a seeded hash and gives the first half to its left child. The counts per source on the left then follow the
    multivariate hypergeometric law, with exact row and column sums. Leaves are output shards, so each shard's
@@ -25,6 +25,8 @@ from tidemark.llm.common import WORD, staged
 
 #: Hash cells per source, and blocks over all sources.
 FINE, BLOCKS = 4096, 4096
+#: Documents that a run of cells has on average, where the source is large enough.
+RUN_DOCS = 64
 WEIGHTS, SHARE, CEILING = (5, 2, 1), 1.5, 2.0
 
 
@@ -36,9 +38,9 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def targets(cells: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """source, source_size, target from (source, _cell, _words): sources by code point, null last, weigh `weights` in
+    """source, source_size, source_docs, target from (source, _cell, _words, _docs): sources by code point, null last, weigh `weights` in
     turn. The common level is the first at which no further source reaches its ceiling."""
-    per = cells.groupBy("source").agg(F.sum("_words").alias("source_size"))
+    per = cells.groupBy("source").agg(F.sum("_words").alias("source_size"), F.sum("_docs").alias("source_docs"))
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))  # one row per source
     turn = (F.row_number().over(by_name) - 1) % len(weights)
     per = per.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
@@ -52,32 +54,34 @@ def targets(cells: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ce
     per = per.withColumn("_level", level)
     reached = F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))
     per = per.withColumn("_final", F.max(reached).over(everything))
-    return per.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_final") * F.col("_w"), F.col("_cap"))).alias("target"))
+    return per.select("source", "source_size", "source_docs", F.least("_cap", F.coalesce(F.col("_final") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
 def plan(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per source: epochs (whole passes), border (the cell that is taken in part, null if none), quota (words to take
-    in the border cell), blocks (number of blocks)."""
-    running = Window.partitionBy("source").orderBy("_cell")
+    """Per source: epochs (whole passes), run (cells per run), border (the run that is taken in part, null if none),
+    quota (words to take in the border run), blocks (number of blocks)."""
     total = F.sum("source_size").over(Window.partitionBy())
     per = wanted.withColumn("blocks", F.greatest(F.lit(1), F.least(F.lit(FINE), F.round(F.col("source_size") * BLOCKS / F.greatest(total, F.lit(1))))).cast("int"))
     per = per.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0).cast("int"))
     per = per.withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    summed = cells.withColumn("_upto", F.sum("_words").over(running))
-    joined = summed.alias("c").join(per.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source")))
-    reached = F.when((F.col("_rest") > 0.5) & (F.col("_upto") >= F.col("_rest")), F.struct(F.col("_cell").alias("cell"), (F.col("_rest") - (F.col("_upto") - F.col("_words"))).alias("quota")))
-    return joined.groupBy("p.source", "source_size", "target", "epochs", "blocks").agg(F.min(reached).alias("_b")).select(
-        "source", "source_size", "target", "epochs", "blocks", F.col("_b.cell").alias("border"), F.col("_b.quota").alias("quota")
-    )
+    per = per.withColumn("run", F.least(F.lit(FINE), F.greatest(F.lit(1), F.ceil(FINE * RUN_DOCS / F.col("source_docs")))).cast("int"))
+    runs = cells.alias("c").join(per.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source")))
+    facts = [F.col("p.source").alias("source"), *map(F.col, ("source_size", "target", "epochs", "blocks", "run", "_rest"))]
+    runs = runs.select(*facts, F.expr("_cell div run").cast("int").alias("_run"), "_words")
+    names = ["source", "source_size", "target", "epochs", "blocks", "run", "_rest"]
+    runs = runs.groupBy(*names, "_run").agg(F.sum("_words").alias("_words"))
+    runs = runs.withColumn("_upto", F.sum("_words").over(Window.partitionBy("source").orderBy("_run")))
+    reached = F.when((F.col("_rest") > 0.5) & (F.col("_upto") >= F.col("_rest")), F.struct(F.col("_run").alias("at"), (F.col("_rest") - (F.col("_upto") - F.col("_words"))).alias("quota")))
+    return runs.groupBy(*names).agg(F.min(reached).alias("_b")).select(*names[:-1], F.col("_b.at").alias("border"), F.col("_b.quota").alias("quota"))
 
 
 def border_picks(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """(source, _h, doc_id) of the documents in border cells that are taken once more. Equal rows share a fate."""
-    border = per_source.where(F.col("border").isNotNull()).select(F.col("source").alias("_s"), F.col("border").alias("_b"), "quota")
-    inside = rows.select("source", "doc_id", "_h", "_size", "_cell").join(border, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_b")))
-    inside = inside.groupBy("source", "_cell", "_h", "doc_id", "_size", "quota").agg(F.count("*").alias("_n")).where("_size > 0")
-    order = Window.partitionBy("source", "_cell").orderBy("_h", "doc_id")
-    cell = Window.partitionBy("source", "_cell")
+    """(source, _h, doc_id) of the documents in border runs that are taken once more. Equal rows share a fate."""
+    border = per_source.where(F.col("border").isNotNull()).select(F.col("source").alias("_s"), F.col("border").alias("_b"), "run", "quota")
+    inside = rows.select("source", "doc_id", "_h", "_size", "_cell").join(border, F.col("source").eqNullSafe(F.col("_s")) & (F.expr("_cell div run") == F.col("_b")))
+    inside = inside.groupBy("source", "_h", "doc_id", "_size", "quota").agg(F.count("*").alias("_n")).where("_size > 0")
+    order = Window.partitionBy("source").orderBy("_h", "doc_id")  # one border run per source
+    cell = Window.partitionBy("source")
     words = F.col("_size") * F.col("_n")
     inside = inside.withColumn("_in", F.sum(words).over(order) <= F.col("quota"))
     inside = inside.withColumn("_gap", F.col("quota") - F.coalesce(F.sum(F.when(F.col("_in"), words)).over(cell), F.lit(0)))
@@ -90,7 +94,7 @@ def border_picks(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 
 def splitting_tree(per_source: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source, draw, shard): the output shard of each drawn block. Every level halves each node's tokens."""
-    drawn = F.col("epochs") * F.col("blocks") + F.when(F.col("border").isNotNull(), F.expr(f"border * blocks div {FINE}") + 1).otherwise(0)
+    drawn = F.col("epochs") * F.col("blocks") + F.when(F.col("border").isNotNull(), F.expr(f"least((border + 1) * run - 1, {FINE - 1}) * blocks div {FINE}") + 1).otherwise(0)
     tokens = per_source.withColumn("_d", drawn.cast("int")).where("_d > 0").select("source", F.explode(F.sequence(F.lit(0), F.col("_d") - 1)).alias("draw"), F.lit(0).alias("shard"))
     for depth in range(int(math.log2(shards))):
         node = Window.partitionBy("shard")
@@ -113,7 +117,7 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 29, weights: tuple = WEIGH
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies", "shards")]
     rows = sized(docs.select(*own), seed)
     facts = staged(rows.select("source", "doc_id", "_h", "_size", "_cell"), "mix-sizes")
-    cells = facts.groupBy("source", "_cell").agg(F.sum("_size").alias("_words"))
+    cells = facts.groupBy("source", "_cell").agg(F.sum("_size").alias("_words"), F.count("*").alias("_docs"))
     per_source = staged(plan(cells, targets(cells, weights, share, ceiling)), "mix-plan")
     picks = staged(border_picks(facts, per_source), "mix-border")
     tokens = staged(splitting_tree(per_source, shards, seed), "mix-tokens")
@@ -122,13 +126,14 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 29, weights: tuple = WEIGH
     named = per_source.withColumnRenamed("source", "_ps")
     out = carried.join(named, F.col("source").eqNullSafe(F.col("_ps"))).drop("_ps")
     out = out.join(picks, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("_h") == F.col("_ph")) & F.col("doc_id").eqNullSafe(F.col("_pd")), "left").drop("_ps", "_ph", "_pd")
-    more = F.when(F.col("_cell") < F.col("border"), 1).when(F.col("_cell") == F.col("border"), F.coalesce(F.col("_picked"), F.lit(0))).otherwise(0)
+    at = F.expr("_cell div run")
+    more = F.when(at < F.col("border"), 1).when(at == F.col("border"), F.coalesce(F.col("_picked"), F.lit(0))).otherwise(0)
     out = out.withColumn("copies", F.when(F.col("_size") > 0, F.col("epochs") + more).otherwise(0).cast("int"))
     out = out.withColumn("_block", F.expr(f"_cell * blocks div {FINE}").cast("int"))
     for n in range(int(ceiling)):
-        at = tokens.select(F.col("source").alias("_ts"), F.col("draw").alias("_td"), F.col("shard").alias(f"_shard{n}"))
+        drawn = tokens.select(F.col("source").alias("_ts"), F.col("draw").alias("_td"), F.col("shard").alias(f"_shard{n}"))
         draw = F.when(F.col("copies") > n, F.lit(n) * F.col("blocks") + F.col("_block"))
-        out = out.join(at, F.col("source").eqNullSafe(F.col("_ts")) & (draw == F.col("_td")), "left").drop("_ts", "_td")
+        out = out.join(drawn, F.col("source").eqNullSafe(F.col("_ts")) & (draw == F.col("_td")), "left").drop("_ts", "_td")
     shard_of: list[Column] = [F.col(f"_shard{n}") for n in range(int(ceiling))]
     return out.select(
         *own,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_text, mixing, quality, sharding, token_index
+from tidemark.llm import html_text, langid, mixing, quality, sharding, token_index, toxicity
 from tidemark.llm.common import table
 
 
@@ -24,6 +24,15 @@ def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_viterbi_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "spans")
+
+
 def op7_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -41,6 +50,8 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
+    "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
+    "op6_viterbi_langid": op6_viterbi_langid,
     "op7_line_frequency_quality": op7_line_frequency_quality,
     "op9_hypergeometric_mixing": op9_hypergeometric_mixing,
     "op10_consensus_html": op10_consensus_html,

@@ -35,64 +35,101 @@ NULL_KEY = -(1 << 63)
 SLOT = np.dtype([("fingerprint", "<u4"), ("part", "<u4"), ("block", "<u4"), ("offset", "<u4"), ("n", "<u8"), ("start", "<u8")])
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
-    """Encodes text word by word and remembers words. The tokenizer drops white space and never joins across it, so a
-    text's ids are its words' ids in a row. New words are encoded together, parted by a special token."""
+    """Encodes text word by word and remembers words. The tokenizer lower-cases, drops white space and never joins
+    across it, so a text's ids are its words' ids in a row. A word of letters is one pre-token, whose last token alone
+    ends in the end-of-word mark, so many new ones are encoded at once and told apart by that mark; other new words are
+    encoded together, parted by a special token."""
 
     #: Words remembered before the memory starts afresh.
     LIMIT = 600_000
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>"):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, separator: str = "<|startoftext|>", mark: str = "</w>"):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # lower-case Latin-1 letters need neither normalising nor the general splitting pattern
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(mark)]] = True
         self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
 
-    def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.type).tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+
+    def learn_parted(self, words: list[str]) -> None:
+        """Any words: parted by the special token, or alone if they might hold one themselves."""
+        plain = [w for w in words if "<" not in w]
+        for w in words:
+            if "<" in w:
+                self.known[w] = self.ids(w).tobytes()
+        for i in range(0, len(plain), 512):
+            ids = self.ids(self.separator.join(plain[i : i + 512]))
+            for w, x in zip(plain[i : i + 512], np.split(ids, np.flatnonzero(ids == self.separator_id)), strict=True):
+                self.known[w] = x[x != self.separator_id].tobytes()
+
+    def learn_letters(self, words: list[str]) -> None:
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            text = " ".join(some)
+            if latin(text) and text == text.lower():
+                ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            else:
+                ids = self.ids(text)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(ends) != len(some):  # a letter fell apart when it was lower-cased
+                self.learn_parted(some)
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                self.known[w] = raw[start:end]
+                start = end
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > self.LIMIT:
-            self.known, self.stems = {}, {}
-        plain, parts = [], {}
+        letters, tailed, rest = set(), [], []
         for w in words:
-            # ASCII letters are lower-cased alike everywhere, and one full stop or comma after a letter is a token of its own
-            tail = w[-1] if w[-1] in ".," and w[-2:-1].isalpha() else ""
-            stem = w[: len(w) - len(tail)]
-            parts[w] = stem = (stem.lower() if stem.isascii() else stem), tail
-            plain.append(stem[0])
-            if tail:
-                plain.append(tail)
-        new = [w for w in dict.fromkeys(plain) if w not in self.stems]
-        odd = [w for w in new if "<|" in w or "|>" in w]
-        for w in odd:
-            self.stems[w] = self.raw(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        skip = set(odd)
-        new = [w for w in new if w not in skip]
-        for i in range(0, len(new), 512):
-            some = new[i : i + 512]
-            ids = np.array(self.tokenizer.encode(self.separator.join(some), add_special_tokens=False).ids, self.type)
-            for w, x in zip(some, np.split(ids, np.flatnonzero(ids == self.separator_id)), strict=True):
-                self.stems[w] = x[x != self.separator_id].tobytes()
-        for w, (stem, tail) in parts.items():
-            self.known[w] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1] in ".," and w[:-1].isalpha():  # after a letter, one such sign is a token of its own
+                letters.add(w[:-1])
+                tailed.append(w)
+            else:
+                rest.append(w)
+        self.learn_letters([w for w in letters if w not in self.known])
+        self.learn_parted([w for w in rest if w not in self.known])
+        tails = {c: self.ids(c).tobytes() for c in ".,"} if tailed else {}
+        for w in tailed:
+            self.known[w] = self.known[w[:-1]] + tails[w[-1]]
+
+    def words(self, text: str) -> list[str]:
+        """Latin-1 letters are lower-cased alike here and in the tokenizer; other text is left to the tokenizer."""
+        if latin(text):
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        new.discard("")
+        split = [self.words(t or "") for t in texts]
+        seen = set().union(*split)
+        if len(self.known) > self.LIMIT:
+            self.known = {}
         self.known[""] = b""
-        if new:
-            self.learn(new)
-            self.known[""] = b""
-            if any(w not in self.known for words in split for w in words):  # the memory was just started afresh
-                self.learn({w for words in split for w in words if w not in self.known})
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        self.learn(seen - self.known.keys())
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=2)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html_text, langid, mixing, ngram_join, quality, sharding, token_index, toxicity
+from tidemark.llm import decontaminate, html_text, langid, mixing, ngram_join, quality, sharding, token_index, toxicity
 from tidemark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.roundtrip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), pct=85)
 
@@ -53,6 +57,7 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
+    "op2_latent_decontamination": op2_latent_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op5_noisy_or_toxicity": op5_noisy_or_toxicity,

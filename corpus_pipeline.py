@@ -1,19 +1,64 @@
-"""Corpus preparation over `documents`: each stage reads what the one before it kept."""
+"""Corpus preparation over `documents`: each stage reads what the one before it kept.
+
+1. language_id: documents without a language (no letters), or whose language has less than half of their words, go.
+2. near_duplicates: one document of each component of the n-gram Jaccard join stays, the one with the least doc_id.
+3. decontamination: documents that hold a benchmark item go.
+4. mixing: documents are taken 0 to 2 times, so that the sources reach their target weights.
+5. token_ids: what is left is written as token ids with a perfect hash index, and read back from it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, langid, mixing, ngram_join, token_index
+from tidemark.llm.common import staged, table
+from tidemark.llm.queries import tokenizer_path
+
+#: Least share of a document's words that its language must have, and n-gram similarity (in per cent) of duplicates.
+LEAST_SHARE, SIMILAR = 0.5, 85
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id, and rows without words, are no duplicates of anything."""
+    joined = ngram_join.join(docs.select("doc_id", "text"), SIMILAR)
+    keep = joined.where("doc_id is null or component_id = doc_id").select("doc_id").distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*docs.columns)
+
 
-STAGES = []
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
-#: None: the stages learn models, which SQL can't express; tests hold run() against its parts instead.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_index.roundtrip(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("token_ids", token_ids),
+]
+
+#: None: two stages learn models and one searches a latent space, which SQL can't express; tests hold run() against
+#: brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import staged
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

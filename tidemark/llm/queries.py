@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html_text, langid, mixing, ngram_join, quality, sharding, token_index, toxicity
+from tidemark.llm import decontaminate, html_text, langid, licenses, mixing, ngram_join, quality, sharding, token_index, toxicity
 from tidemark.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op7_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards"
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_noisy_or_toxicity": op5_noisy_or_toxicity,
     "op6_viterbi_langid": op6_viterbi_langid,
     "op7_line_frequency_quality": op7_line_frequency_quality,
+    "op8_patience_licenses": op8_patience_licenses,
     "op9_hypergeometric_mixing": op9_hypergeometric_mixing,
     "op10_consensus_html": op10_consensus_html,
 }

@@ -1,10 +1,6 @@
 """The registered queries of the series engine and the SQL that must give the same rows."""
 
-from __future__ import annotations
+from tidemark.plans import series_queries  # noqa: F401
+from tidemark.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -175,7 +175,7 @@ def typed_cell_hash(kind, value) -> Column:
 def unique_date_in_text(c) -> Column:
     """The date in a text if it names exactly one of this century."""
     found = F.regexp_extract_all(text(c), F.lit(r"(20\d{2})\s*[-./年]\s*(\d{1,2})\s*[-./月]\s*(\d{1,2})"), F.lit(0))
-    dates = F.array_distinct(F.filter(F.transform(found, parse_date), lambda d: d.isNotNull()))
+    dates = F.array_distinct(F.filter(F.transform(found, lambda x: parse_date(x)), lambda d: d.isNotNull()))
     return F.when(F.size(dates) == 1, F.get(dates, F.lit(0)))
 
 

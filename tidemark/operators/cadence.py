@@ -72,6 +72,17 @@ def withheld_current_week(cand: DataFrame, hist: DataFrame, as_of: Column) -> Da
     return rows.join(taken, ["sheet", "nav_date"], "left_anti").select("sheet", "nav_date")
 
 
+def pending_week_baseline(cand: DataFrame, hist: DataFrame, as_of: DataFrame) -> DataFrame:
+    """sheet, pending: nothing can be added yet, rightly. Every new candidate is in as_of's week and not after it, the
+    candidates have the history's code, and their cumulative values are there. as_of: one date per sheet."""
+    h = hist.groupBy("sheet").agg(F.max("nav_date").alias("tail"), F.min("code").alias("hcode"))
+    rows = cand.join(h, "sheet").join(as_of, "sheet")
+    new = F.col("nav_date") > F.col("tail")
+    inside = (iso_week("nav_date") == iso_week("as_of")) & (F.col("nav_date") <= F.col("as_of"))
+    per = rows.groupBy("sheet").agg(F.count_if(new).alias("n"), F.bool_and(~new | inside).alias("inside"), F.bool_and(F.col("code") == F.col("hcode")).alias("same"), F.bool_and(F.col("cumulative").isNotNull()).alias("full"))
+    return per.select("sheet", ((F.col("n") > 0) & F.col("inside") & F.col("same") & F.col("full")).alias("pending"))
+
+
 def period_ends(series: DataFrame, frequency: str, as_of: Column) -> DataFrame:
     """Daily: every date. Weekly: the last date of each completed week."""
     if frequency == "daily":

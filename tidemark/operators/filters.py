@@ -27,7 +27,7 @@ def lookback(df: DataFrame, as_of: Column, days: int, date: str = "sent_at") ->
 def senders(raw) -> Column:
     """Distinct lower-case addresses of a From header."""
     found = F.regexp_extract_all(raw if isinstance(raw, Column) else F.col(raw), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))
-    return F.array_distinct(F.transform(found, F.lower))
+    return F.array_distinct(F.transform(found, lambda x: F.lower(x)))
 
 
 def exact_sender(raw) -> Column:

@@ -104,53 +104,52 @@ def splitting_tree(per_source: DataFrame, shards: int, seed: int) -> DataFrame:
     return tokens
 
 
-def mix(docs: DataFrame, shards: int = 8, seed: int = 29, weights: tuple = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """All columns of docs, plus size, source_size, target, taken (words the mix takes, repeats counted), copies (0 to
-    2) and shards (the output shard of each copy; as many entries as copies).
-
-    Null or empty text: size 0, never taken. A null source is a source of its own, last in order. Equal rows are taken
-    alike. A source without words has target 0. An empty table gives no rows. Other columns are carried along; the
-    result's own names win over a column of the same name. `shards` must be a power of two.
-    """
+def drawn(docs: DataFrame, shards: int, seed: int, weights: tuple, share: float, ceiling: float) -> DataFrame:
+    """_row (all columns of docs), _size, source_size, target, copies, shards."""
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies", "shards")]
-    rows = sized(docs.select(*own), seed)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
+    rows = sized(whole, seed).drop("text")
     facts = staged(rows.select("source", "doc_id", "_h", "_size", "_cell"), "mix-sizes")
     cells = facts.groupBy("source", "_cell").agg(F.sum("_size").alias("_words"), F.count("*").alias("_docs"))
     per_source = staged(plan(cells, targets(cells, weights, share, ceiling)), "mix-plan")
     picks = staged(border_picks(facts, per_source), "mix-border")
     tokens = staged(splitting_tree(per_source, shards, seed), "mix-tokens")
 
-    carried = facts if set(own) <= {"source", "doc_id"} else rows
+    if set(docs.columns) <= {"source", "doc_id"}:  # sizes are known already
+        rows = facts.withColumn("_row", F.struct(*docs.columns))
     named = per_source.withColumnRenamed("source", "_ps")
-    out = carried.join(named, F.col("source").eqNullSafe(F.col("_ps"))).drop("_ps")
+    out = rows.join(named, F.col("source").eqNullSafe(F.col("_ps"))).drop("_ps")
     out = out.join(picks, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("_h") == F.col("_ph")) & F.col("doc_id").eqNullSafe(F.col("_pd")), "left").drop("_ps", "_ph", "_pd")
     at = F.expr("_cell div run")
     more = F.when(at < F.col("border"), 1).when(at == F.col("border"), F.coalesce(F.col("_picked"), F.lit(0))).otherwise(0)
     out = out.withColumn("copies", F.when(F.col("_size") > 0, F.col("epochs") + more).otherwise(0).cast("int"))
     out = out.withColumn("_block", F.expr(f"_cell * blocks div {FINE}").cast("int"))
     for n in range(int(ceiling)):
-        drawn = tokens.select(F.col("source").alias("_ts"), F.col("draw").alias("_td"), F.col("shard").alias(f"_shard{n}"))
+        taken = tokens.select(F.col("source").alias("_ts"), F.col("draw").alias("_td"), F.col("shard").alias(f"_shard{n}"))
         draw = F.when(F.col("copies") > n, F.lit(n) * F.col("blocks") + F.col("_block"))
-        out = out.join(drawn, F.col("source").eqNullSafe(F.col("_ts")) & (draw == F.col("_td")), "left").drop("_ts", "_td")
+        out = out.join(taken, F.col("source").eqNullSafe(F.col("_ts")) & (draw == F.col("_td")), "left").drop("_ts", "_td")
     shard_of: list[Column] = [F.col(f"_shard{n}") for n in range(int(ceiling))]
-    return out.select(
-        *own,
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        (F.col("copies") * F.col("_size")).cast("long").alias("taken"),
-        "copies",
-        F.filter(F.array(*shard_of), lambda x: x.isNotNull()).alias("shards"),
-    )
+    return out.select("_row", "_size", "source_size", "target", "copies", F.filter(F.array(*shard_of), lambda x: x.isNotNull()).alias("shards"))
+
+
+def mix(docs: DataFrame, shards: int = 8, seed: int = 29, weights: tuple = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
+    """All columns of docs, plus size, source_size, target, taken (words the mix takes, repeats counted), copies (0 to
+    2) and shards (the output shard of each copy; as many entries as copies).
+
+    Null or empty text: size 0, never taken. A null source is a source of its own, last in order. Equal rows are taken
+    alike. A source without words has target 0. An empty table gives no rows. Other columns are carried along; the
+    result's own names win over a column of the same name. `shards` must be a power of two.
+    """
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies", "shards")]
+    out = drawn(docs, shards, seed, weights, share, ceiling)
+    return out.select(*[F.col(f"_row.{c}") for c in own], F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).cast("long").alias("taken"), "copies", "shards")
 
 
 def mixed_documents(docs: DataFrame, shards: int = 8, seed: int = 29) -> DataFrame:
     """The mix itself: each document once per copy, laid out by output shard and shuffled inside each shard. Columns are
-    those of docs."""
-    drawn = mix(docs, shards, seed).where("copies > 0")
-    drawn = drawn.select(*[F.col(c) for c in docs.columns], F.posexplode("shards").alias("_copy", "_shard"))
-    key = F.xxhash64(F.lit(seed + 1), F.col("_copy"), F.col("doc_id"))
-    spread = F.pmod(key, F.lit(64))
-    return drawn.withColumn("_key", key).repartition("_shard", spread).sortWithinPartitions("_shard", "_key").select(*docs.columns)
+    those of docs, whatever their names."""
+    out = drawn(docs, shards, seed, WEIGHTS, SHARE, CEILING).where("copies > 0").select("_row", F.posexplode("shards").alias("_copy", "_shard"))
+    key = F.xxhash64(F.lit(seed + 1), F.col("_copy"), F.col("_row.doc_id"))
+    out = out.withColumn("_key", key).repartition("_shard", F.pmod(F.col("_key"), F.lit(64))).sortWithinPartitions("_shard", "_key")
+    return out.select("_row.*")

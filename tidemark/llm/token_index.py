@@ -30,11 +30,17 @@ from tidemark.llm.common import shared_dir
 
 BLOCK_IDS, BLOCK_DOCS = 1 << 17, 512
 #: Keys of one index bucket on average, and keys that share a pilot on average.
-BUCKET_KEYS, GROUP_KEYS = 20_000, 4
+BUCKET_KEYS, GROUP_KEYS = 20_000, 3
+#: A pilot with this bit names the slot of its group's only key.
+DIRECT = 1 << 31
 NULL_KEY = -(1 << 63)
 SLOT = np.dtype([("fingerprint", "<u4"), ("part", "<u4"), ("block", "<u4"), ("offset", "<u4"), ("n", "<u8"), ("start", "<u8")])
 
 
+#: ASCII signs that are neither letters, digits nor white space, but for the apostrophe (it may begin a contraction).
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -50,7 +56,7 @@ class WordEncoder:
     encoded together, parted by a special token."""
 
     #: Words remembered before the memory starts afresh.
-    LIMIT = 600_000
+    LIMIT = 800_000
 
     def __init__(self, path: str, separator: str = "<|startoftext|>", mark: str = "</w>"):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -99,21 +105,23 @@ class WordEncoder:
                 self.known[w] = raw[start:end]
                 start = end
 
-    def learn(self, words: set[str]) -> None:
-        letters, tailed, rest = set(), [], []
+    def learn(self, words: list[str]) -> None:
+        letters, signs, tailed, rest = set(), set(), [], []
         for w in words:
             if w.isalpha():
                 letters.add(w)
-            elif w[-1] in ".," and w[:-1].isalpha():  # after a letter, one such sign is a token of its own
-                letters.add(w[:-1])
-                tailed.append(w)
+                continue
+            stem = w.rstrip(SIGNS)  # after letters, a run of such signs is one token group of its own
+            if stem.isalpha():
+                letters.add(stem)
+                signs.add(w[len(stem) :])
+                tailed.append((w, stem))
             else:
                 rest.append(w)
         self.learn_letters([w for w in letters if w not in self.known])
-        self.learn_parted([w for w in rest if w not in self.known])
-        tails = {c: self.ids(c).tobytes() for c in ".,"} if tailed else {}
-        for w in tailed:
-            self.known[w] = self.known[w[:-1]] + tails[w[-1]]
+        self.learn_parted([w for w in {*rest, *signs} if w not in self.known])
+        for w, stem in tailed:
+            self.known[w] = self.known[stem] + self.known[w[len(stem) :]]
 
     def words(self, text: str) -> list[str]:
         """Latin-1 letters are lower-cased alike here and in the tokenizer; other text is left to the tokenizer."""
@@ -121,15 +129,22 @@ class WordEncoder:
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t or "") for t in texts]
-        seen = set().union(*split)
-        if len(self.known) > self.LIMIT:
-            self.known = {}
-        self.known[""] = b""
-        self.learn(seen - self.known.keys())
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def encode(self, texts: list[str], together: int = 64) -> list[bytes]:
+        """Ids of each text. A few texts at a time share a small dictionary of their words, which stays in cache."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), together):
+            split = [self.words(t or "") for t in texts[i : i + together]]
+            if len(self.known) > self.LIMIT:
+                self.known = {}
+            self.known[""] = b""
+            seen = set().union(*split)
+            own = dict(zip(seen, map(self.known.get, seen), strict=True))
+            if new := [w for w, ids in own.items() if ids is None]:
+                self.learn(new)
+                own.update(zip(new, map(self.known.__getitem__, new), strict=True))
+            get = own.__getitem__
+            out += [b"".join(map(get, words)) for words in split]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -153,7 +168,7 @@ def key_hash(doc_id: np.ndarray, copy: np.ndarray) -> np.ndarray:
 
 def perfect_hash(keys: np.ndarray) -> np.ndarray:
     """Pilots of a minimal perfect hash over distinct 64-bit hashes: groups of keys, largest first, each look for the
-    least pilot that sends all their keys to free slots."""
+    least pilot that sends all their keys to free slots; groups of one key take the slots that are left."""
     n = len(keys)
     groups = max(1, -(-n // GROUP_KEYS))
     group = (mix64(keys, 0xA1) % np.uint64(groups)).astype(np.int64)
@@ -163,11 +178,11 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     pilots, taken = np.zeros(groups, "<u4"), np.zeros(n, bool)
     tries = np.arange(64, dtype=np.uint64)
     for g in np.argsort(-counts, kind="stable"):
-        if not counts[g]:
+        if counts[g] < 2:
             break
         own, base = keys[order[ends[g] - counts[g] : ends[g]]], 0
         while True:
-            slots = slot_of(own[None, :], tries[:, None] + np.uint64(base), n)
+            slots = slot_of(own[None, :], tries[:, None] + np.uint64(base), n)  # below DIRECT
             good = ~taken[slots].any(1)
             if len(own) > 1:
                 good &= (np.diff(np.sort(slots, 1), axis=1) > 0).all(1)
@@ -176,13 +191,17 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
                 pilots[g], taken[slots[found]] = base + found, True
                 break
             base += len(tries)
-            if base > 1 << 31:
+            if base >= DIRECT - len(tries):
                 raise ValueError("two keys of a bucket have one hash")
+    single = np.flatnonzero(counts == 1)
+    pilots[single] = np.flatnonzero(~taken)[: len(single)] + DIRECT
     return pilots
 
 
 def slot_of(keys: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
-    return (mix64(keys ^ mix64(pilots.astype(np.uint64), 0xC3), 0xB2) % np.uint64(n)).astype(np.int64)
+    """Slot of each key under its group's pilot."""
+    searched = (mix64(keys ^ mix64(pilots.astype(np.uint64), 0xC3), 0xB2) % np.uint64(n)).astype(np.int64)
+    return np.where(pilots >= DIRECT, pilots.astype(np.int64) - DIRECT, searched)
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:

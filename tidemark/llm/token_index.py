@@ -56,7 +56,7 @@ class WordEncoder:
     encoded together, parted by a special token."""
 
     #: Words remembered before the memory starts afresh.
-    LIMIT = 800_000
+    LIMIT = 250_000
 
     def __init__(self, path: str, separator: str = "<|startoftext|>", mark: str = "</w>"):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers

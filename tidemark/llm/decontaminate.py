@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
-CHUNK, RANK, BLOCK_WORDS = 16, 96, 300_000
+CHUNK, RANK, BLOCK_WORDS = 16, 64, 300_000
 #: Terms in more than this share of chunks carry no weight, except the KEPT rarest of each passage.
 COMMON_SHARE, KEPT = 0.004, 6
 #: Least cosine of a candidate; least share of the item in common for a leak, and with the answer check for a paraphrase.
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.8, 0.6, 0.7
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.55, 0.8, 0.6, 0.7
 TERM = re.compile(r"\w+")
 
 
@@ -70,7 +71,7 @@ def numbered(docs: DataFrame, block: Block) -> DataFrame:
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for i in range(0, len(f), 1000):
-                ids = [np.array([get(w, 0) for w in TERM.findall(t.lower())], kind) for t in f["text"].iloc[i : i + 1000]]
+                ids = [np.fromiter(map(get, TERM.findall(t.lower()), repeat(0)), kind) for t in f["text"].iloc[i : i + 1000]]
                 keep = [bool(x.any()) for x in ids]
                 yield pd.DataFrame({"doc_id": f["doc_id"].iloc[i : i + 1000], "ids": [x.tobytes() for x in ids]})[keep]
 
@@ -212,7 +213,6 @@ def search(terms: DataFrame, block: Block, weights: np.ndarray, vectors: np.ndar
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
     counts = np.add.reduceat((weights[flat] > 0).astype(int), starts)
     least = max(2, int(counts.min() * 2 // 5))
-    # dearest first, so that a window that can't reach an item is left early
     sent = sc.broadcast((spaces.astype(np.float32), items.T.astype(np.float32).copy(), weights > 0, owner, [(x.item_id, x.words, x.answer, frozenset(x.words)) for x in block.items]))
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import staged
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|object)\b.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>?|<[a-zA-Z][^<>]*\Z|[^<]+|<""",
@@ -22,6 +24,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
+#: Parts that a host's pages are dealt to.
+SALTS = 16
+
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -59,8 +64,8 @@ def boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
     return any(w in DROPPED_WORD for w in re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
-    """(path, text, linked, kind) of each block of the page's kept part, in page order; path: steps from the root to
+def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """(path, text, linked) of each block of the page's kept part, in page order; path: steps from the root to
     the container above the block; linked: characters inside links."""
     found: list = []
     stack: list[tuple[str, str, bool]] = []  # tag, step, dropped
@@ -183,6 +188,9 @@ def extract(pages: DataFrame, votes_per_page: int = 3) -> DataFrame:
     tally = cast.groupBy("host", "path").agg(F.sum("worth").alias("worth"), F.count("*").alias("n"))
     # sums of doubles depend on order: rounded, so that reruns agree
     winner = tally.groupBy("host").agg(F.max_by("path", F.struct(F.round("worth", 6), -F.length("path"), "path")).alias("path")).withColumnRenamed("host", "_host")
+    # stored, so that the planner knows its size before it decides whether pages must move; a hot host is salted
+    winner = staged(winner, "winning-paths").withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
 
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -195,4 +203,5 @@ def extract(pages: DataFrame, votes_per_page: int = 3) -> DataFrame:
                 used.append(path if said else None)
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts], "host": f["host"], "path": used})
 
-    return rows.join(winner, rows["host"] == winner["_host"], "left").drop("_host").mapInPandas(again, "page_id long, url string, text string, n_chars long, host string, path string")
+    led = rows.join(winner, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_of")), "left")
+    return led.select("page_id", "url", "html", "host", "path").mapInPandas(again, "page_id long, url string, text string, n_chars long, host string, path string")

@@ -6,7 +6,8 @@ blocks (one shingle's column after another, dealt by Spark), and only where the
 - Texts with one shingle set form a class; one representative goes on.
 - Shingles have one global order: common ones last, then the longer first. If the threshold is t, two sets of n
   shingles that reach it must share one of their first n - ceil(t n) + 1, so only those columns are multiplied.
-- Pairs whose sizes differ by more than the factor t are dropped; overlaps are then counted exactly.
+- Overlaps are accumulated over these columns. Pairs whose sizes differ by more than the factor t, or whose count is
+  below what the two sizes ask for, are dropped; the rest is verified on whole sets.
 
 Long columns (large groups of near copies) would give pairs in the square of their length. There each row is first
 compared with one pivot, the most central row. Rows linked with the pivot need no links among each other, as they are
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
@@ -31,18 +32,18 @@ WIDTH = 4
 #: A shingle is common if it makes up this share of all shingles, so at most 1 / COMMON of them can be.
 COMMON = 1e-6
 #: A shingle's count in a task is reported when it occurs this often among LOOK shingles.
-LOOK, LOCAL = 1 << 21, 3
+LOOK, LOCAL = 1 << 20, 3
 #: Columns of up to so many rows are multiplied outright.
 LONG = 48
-#: Bits of the parity bitmaps.
-BITS = 512
+#: Bits of the parity bitmaps: the power of two next above the set's size, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 8192
 
 
 class WordHashes(dict):
     """58 bits of a word's hash, and its length, up to 63 bytes, in the six lowest."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 120_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word) & ~63 | min(len(word), 63)
         return h
@@ -105,8 +106,8 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             return pd.concat([pd.DataFrame({"id": ids[often].view(np.int64), "n": counts[often]}), total])
 
         for f in frames:
-            for i in range(0, len(f), 1000):
-                sets = shingles(f["text"].iloc[i : i + 1000].tolist())
+            for i in range(0, len(f), 256):
+                sets = shingles(f["text"].iloc[i : i + 256].tolist())
                 held += sets
                 n += sum(map(len, sets))
                 if n >= LOOK:
@@ -134,9 +135,9 @@ def signatures(docs: DataFrame, common: np.ndarray, pct: int) -> DataFrame:
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = frequent.value
         for f in frames:
-            for i in range(0, len(f), 1000):
+            for i in range(0, len(f), 256):
                 rows = []
-                for doc, s in zip(f["doc_id"].iloc[i : i + 1000], shingles(f["text"].iloc[i : i + 1000].tolist()), strict=True):
+                for doc, s in zip(f["doc_id"].iloc[i : i + 256], shingles(f["text"].iloc[i : i + 256].tolist()), strict=True):
                     if not len(s):
                         rows.append((doc, 0, None, 0, None, None))
                         continue
@@ -145,7 +146,8 @@ def signatures(docs: DataFrame, common: np.ndarray, pct: int) -> DataFrame:
                     rare = s[~often]
                     p = prefix_size(len(s), pct)
                     first = rare[:p] if len(rare) >= p else np.concatenate([rare, s[often][: p - len(rare)]])
-                    bits = np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
+                    size = min(MOST_BITS, max(LEAST_BITS, 1 << len(s).bit_length()))
+                    bits = np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).view(np.int64)
                     rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), len(rare) * 1000 // len(s), first.view(np.int64), bits))
                 yield pd.DataFrame(rows, columns=["doc_id", "n", "cls", "spread", "prefix", "bits"])
 
@@ -162,23 +164,40 @@ def may_differ(n: Column, pct: int) -> Column:
     return F.floor(n * (100 - pct) / (100 + pct))
 
 
+def folded(bits: Column, other: Column) -> Column:
+    """A bitmap cut to half its length where the other one is shorter: bit i and bit i + half fall on one another."""
+    half = F.floor(F.size(bits) / 2).cast("int")
+    return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(bits)
+
+
+def may_link(n1: str, n2: str, bits1: str, bits2: str, pct: int) -> Column:
+    """Whether sizes and bitmaps leave two sets a chance to link. Linked sets differ in size by less than a factor of two,
+    so one bitmap is at most twice as long as the other."""
+    x, y = F.col(bits1), F.col(bits2)
+    apart = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    for words in (8, 4):  # the usual lengths, without making arrays
+        each = [F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(words)]
+        apart = F.when((F.size(x) == words) & (F.size(y) == words), sum(each[1:], each[0])).otherwise(apart)
+    return fits(n1, n2, pct) & (apart <= may_differ(F.col(n1) + F.col(n2), pct))
+
+
+def least_shared(na: str, nb: str, pct: int) -> Column:
+    """Shingles that the prefixes of two linked sets share at least. Up to the lesser of the two prefixes' last ids,
+    both prefixes hold all that their sets hold, so shingles in common are either among these or beyond one of the
+    prefixes."""
+    a, b = F.col(na), F.col(nb)
+    overlap = F.ceil((a + b) * pct / (100 + pct))
+    beyond = lambda n: F.ceil(n * pct / 100) - 1
+    return F.greatest(F.lit(1), overlap - F.greatest(beyond(a), beyond(b)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """a, b, near (whether they link), far (Jaccard distance) of distinct pairs, from their whole shingle sets."""
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-
-    def overlap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            near, far = [], []
-            for x, y in zip(f["sa"], f["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                inside = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - inside
-                near.append(100 * inside >= pct * union)
-                far.append(1 - inside / union)
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "near": near, "far": far})
-
-    return both.select("a", "b", "sa", "sb").mapInPandas(overlap, "a long, b long, near boolean, far double")
+    inside = F.size(F.array_intersect("sa", "sb"))
+    counted = both.select("a", "b", inside.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
+    return counted.select("a", "b", (100 * F.col("i") >= pct * (F.col("n") - F.col("i"))).alias("near"), (1 - F.col("i") / (F.col("n") - F.col("i"))).alias("far"))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -199,35 +218,42 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def link_candidates(columns: DataFrame, sets_of, pct: int) -> DataFrame:
-    """Verified links (a, b) among representatives. columns: h, rep, n, spread, bits, one row per prefix shingle."""
-    sizes = columns.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("spread", "rep", "n")).alias("p")).where("m > 1")
-    sizes = staged(sizes, "columns")
-    short = columns.select("h", "rep", "n").join(sizes.where(F.col("m") <= LONG).select("h"), "h")
+def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
+    """Verified links (a, b) among representatives. bodies: rep, n, spread, prefix, bits. Columns are dealt once by
+    shingle; those with one row, nearly all, end there."""
+    columns = bodies.select("rep", "n", "spread", F.explode("prefix").alias("h"))
+    column = Window.partitionBy("h")
+    shared = columns.withColumns({"m": F.count("*").over(column), "p": F.min(F.struct("spread", "rep", "n")).over(column)}).where("m > 1")
+    shared = staged(shared.select("h", "rep", "n", "m", F.col("p.rep").alias("pivot")), "columns")
+    rows = shared.groupBy("rep").agg(F.count_if(F.col("m") > LONG).alias("long"))
+    short = shared.where(F.col("m") <= LONG)
     x, y = short.select("h", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    outright = x.join(y, "h").where((F.col("a") < F.col("b")) & fits("na", "nb", pct)).select("a", "b")
-    pivots = sizes.where(F.col("m") > LONG).select("h", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"))
-    long = staged(columns.join(pivots, "h"), "long-columns")
-    starred = long.where((F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    met = x.join(y, "h").where((F.col("a") < F.col("b")) & fits("na", "nb", pct)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    # what the pair may share in long columns isn't counted, so it is allowed for
+    met = met.join(rows.select(F.col("rep").alias("a"), F.col("long").alias("la")), "a").join(rows.select(F.col("rep").alias("b"), F.col("long").alias("lb")), "b")
+    outright = met.where(F.col("shared") + F.least("la", "lb") >= least_shared("na", "nb", pct)).select("a", "b")
+
+    long = shared.where(F.col("m") > LONG).select("h", "rep", "n", "pivot")
+    long = staged(long.join(bodies.select("rep", "bits").dropDuplicates(["rep"]), "rep"), "long-columns")
+    centre = long.where(F.col("rep") == F.col("pivot")).select("h", F.col("n").alias("pn"), F.col("bits").alias("pbits"))
+    starred = long.join(centre.dropDuplicates(["h"]), "h").where((F.col("rep") != F.col("pivot")) & may_link("n", "pn", "bits", "pbits", pct))
+    starred = starred.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     first = staged(outright.union(starred).distinct(), "pairs")
     sets = sets_of(first.select(F.col("a").alias("rep")).union(first.select("b")).distinct())
     told = staged(verified(first, sets, pct), "overlaps")
     links = told.where("near").select("a", "b")
 
     # second pass over long columns: pairs with at least one row that isn't linked with the pivot
-    stars = told.select("a", "b", "near", "far")
-    keyed = long.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(stars, ["a", "b"], "left")
-    keyed = keyed.select("h", "rep", "n", "bits", F.coalesce("near", F.col("rep") == F.col("pivot")).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    keyed = long.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(told, ["a", "b"], "left")
+    keyed = keyed.select("h", "rep", "n", "bits", F.when(F.col("rep") == F.col("pivot"), True).otherwise(F.coalesce("near", F.lit(False))).alias("near"), F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far"))
     keyed = staged(keyed, "long-rows")
     out = keyed.where("not near").select("h", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits", "far")])
     any_ = keyed.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits", "near", "far")])
-    apart = F.aggregate(F.zip_with("bits1", "bits2", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     chance = (
         (F.col("rep1") != F.col("rep2"))
         & (F.col("near2") | (F.col("rep1") < F.col("rep2")))
-        & fits("n1", "n2", pct)
-        & (F.abs(F.col("far1") - F.col("far2")) <= (100 - pct) / 100 + 1e-9)
-        & (apart <= may_differ(F.col("n1") + F.col("n2"), pct))
+        & F.coalesce(F.abs(F.col("far1") - F.col("far2")) <= (100 - pct) / 100 + 1e-9, F.lit(True))
+        & may_link("n1", "n2", "bits1", "bits2", pct)
     )
     second = out.join(any_, "h").where(chance).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
     second = staged(second.join(first, ["a", "b"], "left_anti"), "pairs")
@@ -246,25 +272,23 @@ def join(docs: DataFrame, pct: int = 85) -> DataFrame:
     common = common_shingles(docs)
     signed = staged(signatures(docs, common, pct), "signatures")
     named = signed.where("n > 0 and doc_id is not null")
-    # n, prefix and bits follow from cls, so any row of a class may give them
-    classes = named.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "spread", "prefix", "bits")).alias("v"))
-    classes = staged(classes.select("cls", "doc_id", "v.*").withColumn("rep", F.monotonically_increasing_id()), "classes")
-    columns = classes.select("rep", "n", "spread", "bits", F.explode("prefix").alias("h"))
+    classes = staged(named.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    bodies = named.join(classes, ["cls", "doc_id"]).select("rep", "n", "spread", "prefix", "bits")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for i in range(0, len(f), 1000):
-                    part = f.iloc[i : i + 1000]
-                    sets = [s.tobytes() for s in shingles(part["text"].tolist())]
-                    same = [xxhash.xxh3_128_digest(s) == c for s, c in zip(sets, part["cls"], strict=True)]
-                    yield pd.DataFrame({"rep": part["rep"], "s": sets})[same]
+                for i in range(0, len(f), 256):
+                    part = f.iloc[i : i + 256]
+                    sets = shingles(part["text"].tolist())
+                    same = [xxhash.xxh3_128_digest(s.tobytes()) == c for s, c in zip(sets, part["cls"], strict=True)]
+                    yield pd.DataFrame({"rep": part["rep"], "s": [s.view(np.int64) for s in sets]})[same]
 
         texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         rows = texts.join(classes.select("doc_id", "cls", "rep").join(wanted, "rep"), "doc_id").select("rep", "cls", "text")
-        return staged(rows.mapInPandas(collect, "rep long, s binary").dropDuplicates(["rep"]), "sets")
+        return staged(rows.mapInPandas(collect, "rep long, s array<long>").dropDuplicates(["rep"]), "sets")
 
-    links = staged(link_candidates(columns, sets_of, pct), "links")
+    links = staged(link_candidates(bodies, sets_of, pct), "links")
     found = components(links)
     least = found.join(classes.select("rep", "doc_id"), found["node"] == F.col("rep")).groupBy("component").agg(F.min("doc_id").alias("least"))
     merged = found.join(least, "component").select("node", "least")

@@ -219,6 +219,23 @@ def test_quality(odd_docs, no_docs, spark):
     assert kept[90] == kept[91] == (True, 0)
 
 
+def test_quality_share_decides_on_small_hosts(spark):
+    """With the defaults: over 5 % of a host's distinct texts, and over five of them."""
+    line = " ".join(f"menu{i}" for i in range(30))
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    texts = [("all", line + "\n" + own(i, 5 if i < 10 else 40)) for i in range(180)]
+    for host, size, holders in (("few", 20, 5), ("six", 20, 6), ("at", 200, 10), ("above", 200, 11)):
+        texts += [(host, (line + "\n" if i < holders else "") + own(i, 40)) for i in range(size)]
+    texts += [("few", line + "\n" + own(0, 40))] * 3  # copies count once
+    docs = [(i, text, host) for i, (host, text) in enumerate(texts)]
+    got = collections.defaultdict(collections.Counter)
+    for r in rows(quality.judge(spark.createDataFrame(docs, "doc_id long, text string, source string"))):
+        got[docs[r["doc_id"]][2]][r["n_removed_words"], r["kept"]] += 1
+    assert got["all"] == {(30, True): 170, (30, False): 10}
+    assert got["few"] == {(0, True): 23} and got["six"] == {(0, True): 14, (30, True): 6}
+    assert got["at"] == {(0, True): 200} and got["above"] == {(0, True): 189, (30, True): 11}
+
+
 def test_licenses(odd_docs, no_docs, spark):
     mit = licenses.TEMPLATES[2][1]
     docs = [(1, f"{sentence(1, 30)}\nLicensed under CC BY-NC 4.0.\n{sentence(2, 30)}"), (2, mit.replace("merge, ", "").replace("free of charge", "free of any charge")), (3, "the license of life"), (4, "Released under the MIT License. Licensed under the Apache License, Version 2.0."), (5, None)]

@@ -61,13 +61,13 @@ def normal_line(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " "))
 
 
-def judge(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, line_docs: int = 200, line_share: float = 0.05, min_left: float = 0.3, salts: int = 16) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, line_docs: int = 5, line_share: float = 0.05, min_left: float = 0.3, salts: int = 16) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words,
     kept.
 
     A line is boilerplate of a host (`source`) when over max(line_docs, line_share * the host's distinct texts)
-    distinct texts hold it; copies of one text count once, so a document isn't rejected for being copied. A document
-    whose words outside such lines are under min_words or under min_left of its words is rejected. Null texts count as
+    distinct texts hold it; copies of one text count once, so a document isn't rejected for being copied. The share
+    decides at every size of host; line_docs only keeps chance from deciding on a handful of texts. A document whose words outside such lines are under min_words or under min_left of its words is rejected. Null texts count as
     empty and fail the base rules; a null source is a host of its own; repeated rows are judged alike; an empty table
     gives no rows; further columns are not read.
     """

@@ -118,6 +118,36 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.clean(odd_docs, bench).count() == odd_docs.count()
 
 
+def test_decontamination_recall(spark):
+    """Items in the words of other items, told again with a quarter or a third of their words replaced: every pair that
+    the longest common subsequence calls a leak has to come out."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(900)]
+    pick = lambda n: [words[int(900 * x**1.5)] for x in rng.random(n)]
+    items = [pick(int(rng.integers(12, 40))) + ["."] + pick(6) for _ in range(600)]
+    docs = []
+    for d in range(240):
+        said = [w for w in items[d] if w != "."]
+        n = len(said) - 6
+        if d % 3:
+            for i in rng.choice(n, int(n * (0.35 if d % 3 == 1 else 0.25)), replace=False):
+                said[i] = words[int(rng.integers(0, 900))]
+        docs.append((d, " ".join(pick(int(rng.integers(20, 60))) + said + pick(int(rng.integers(20, 60))))))
+    docs += [(240 + i, " ".join(pick(120))) for i in range(200)]
+    rows_of = [{"item_id": i, "text": " ".join(x)} for i, x in enumerate(items)]
+    block = decontaminate.read_block(rows_of)
+    want = set()
+    for item in block.items[:240]:
+        region = [block.vocabulary.get(w, 0) for w in docs[item.item_id][1].split()]
+        shared, answered = (decontaminate.common_subsequence(x, region) / len(x) for x in (item.words, item.answer))
+        if shared >= decontaminate.VERBATIM or (shared >= decontaminate.PARAPHRASE and answered >= decontaminate.ANSWER):
+            want.add((item.item_id, item.item_id))
+    assert len(want) == 240
+    bench = spark.createDataFrame([tuple(x.values()) for x in rows_of], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench))}
+    assert want - got == set()
+
+
 def test_subsequence():
     assert decontaminate.common_subsequence([1, 2, 3, 4], [9, 1, 3, 8, 4, 2]) == 3
     assert decontaminate.common_subsequence([5], []) == 0

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
-CHUNK, RANK, BLOCK_WORDS = 16, 64, 300_000
+CHUNK, RANK, BLOCK_WORDS = 16, 96, 300_000
 #: Terms in more than this share of chunks carry no weight, except the KEPT rarest of each passage.
 COMMON_SHARE, KEPT = 0.004, 6
 #: Least cosine of a candidate; least share of the item in common for a leak, and with the answer check for a paraphrase.
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.55, 0.8, 0.6, 0.7
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.7
 TERM = re.compile(r"\w+")
 
 

@@ -274,6 +274,20 @@ def test_licenses(odd_docs, no_docs, spark):
     assert rows(licenses.scan(odd_docs)) == rows(licenses.scan(no_docs)) == []
 
 
+def test_repeated_licenses(spark):
+    """A row per notice for copies one behind the other, whatever stands around them, and for templates of any words."""
+    known = licenses.Templates(licenses.TEMPLATES)
+    for text in ("Licensed under the MIT License. ", licenses.TEMPLATES[2][1] + " ", licenses.TEMPLATES[4][1] + " "):
+        size = len(licenses.words_of(text))
+        for n in (1, 2, 3, 4, 7):
+            for before in ("", "some words of the text "):
+                got = known.scan(before + text * n + "and more words")
+                at = len(before.split())
+                assert [(c, f, m) for _, c, f, m in got] == [(1.0, at + i * size, size) for i in range(n)]
+    docs = spark.createDataFrame([(1, "GRATIS FÜR ALLE ZWECKE! Gratis für alle Zwecke."), (2, "nichts")], "doc_id long, text string")
+    assert [(r["license"], r["first_word"]) for r in rows(licenses.scan(docs, [("own", "Gratis für alle Zwecke")]))] == [("own", 0), ("own", 4)]
+
+
 def test_patience_alignment():
     pairs = licenses.align("a x b c d".split(), "a b c e d".split())
     assert pairs == [(0, 0), (2, 1), (3, 2), (4, 4)]

@@ -8,7 +8,7 @@ share of the template's words that are aligned.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,8 +40,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("all-rights-reserved", "All rights reserved."),
 ]
-#: A notice holds one of these beginnings of words.
-TRIGGERS = r"(?i)licen[sc]|copyright|permi(t|ss)|redistribut|reserved"
 COVERAGE = 0.8
 
 
@@ -96,6 +94,21 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def triggers(templates: list[tuple[str, str]]) -> str:
+    """Pattern of words of which every notice holds one: of each template so many that a notice can't do without all,
+    those with digits and the longest first."""
+    chosen = set()
+    for _, text in templates:
+        counts = Counter(words_of(text))
+        spare = (1 - COVERAGE) * sum(counts.values()) + 1e-9
+        for w in sorted(counts, key=lambda w: (w.isalpha(), -len(w), w)):
+            if spare < 0:
+                break
+            chosen.add(w)
+            spare -= counts[w]
+    return "(?iu)" + "|".join(re.escape(w) for w in sorted(chosen))
+
+
 class Templates:
     def __init__(self, templates: list[tuple[str, str]]):
         self.all = [(name, words_of(text)) for name, text in templates]
@@ -105,26 +118,43 @@ class Templates:
             for w in words:
                 self.of.setdefault(w, []).append(i)
 
-    def stretches(self, positions: list[int], words: list[str], k: int) -> Iterator[tuple[int, int]]:
-        """Stretches of text, not longer than one and a half templates and some words, with enough of its words."""
-        span, need = len(self.all[k][1]) * 3 // 2 + 4, COVERAGE * len(self.sets[k])
+    def notices(self, positions: list[int], words: list[str], k: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
+        """Alignments that cover enough of the template, with the word that each is counted from; the next one is
+        looked for just behind the last word of the one before. A stretch is not longer than one and a half templates
+        and some words; of its possible ends the one with the fewest foreign words for what is aligned counts."""
+        template = self.all[k][1]
+        span, need = len(template) * 3 // 2 + 4, len(self.sets[k]) - (1 - COVERAGE) * len(template) - 1e-9
         seen: Counter = Counter()
-        lo, best = 0, None
-        for hi, p in enumerate(positions):
+        lo = hi = 0
+        while hi < len(positions):
+            p = positions[hi]
             seen[words[p]] += 1
+            hi += 1
             while p - positions[lo] >= span:
                 w = words[positions[lo]]
                 seen[w] -= 1
                 if not seen[w]:
                     del seen[w]
                 lo += 1
-            if best and positions[lo] > best[1]:
-                yield best[2], best[1]
-                best = None
-            if len(seen) >= need and (best is None or len(seen) > best[0]):
-                best = (len(seen), p, positions[lo])
-        if best:
-            yield best[2], best[1]
+            if len(seen) < need:
+                continue
+            start, best = positions[lo], None
+            for i in range(hi - 1, len(positions)):
+                q = positions[i]
+                if q > p + len(template) // 2 + 3:
+                    break
+                pairs = align(words[start : q + 1], template)
+                if len(pairs) < COVERAGE * len(template):
+                    if best is None:
+                        break
+                    continue
+                value = 2 * len(pairs) - (pairs[-1][0] - pairs[0][0] + 1)
+                if best is None or value > best[0]:
+                    best = (value, pairs)
+            if best:
+                yield best[1], start
+                hi = lo = bisect_right(positions, start + best[1][-1][0])
+                seen.clear()
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, words) of the notices in a text; the best cover wins where they overlap."""
@@ -136,13 +166,9 @@ class Templates:
         found = []
         for k, at in positions.items():
             name, template = self.all[k]
-            for start, end in self.stretches(at, words, k):
-                start, end = max(0, start - 2), min(len(words), end + len(template) // 2 + 3)
-                pairs = align(words[start:end], template)
-                cover = len(pairs) / len(template)
-                if cover >= COVERAGE:
-                    first, last = start + pairs[0][0], start + pairs[-1][0]
-                    found.append((cover, len(template), name, first, last - first + 1))
+            for pairs, start in self.notices(at, words, k):
+                first, last = start + pairs[0][0], start + pairs[-1][0]
+                found.append((len(pairs) / len(template), len(template), name, first, last - first + 1))
         out: list = []
         for cover, size, name, first, n in sorted(found, key=lambda x: (-x[0] * x[1], x[3], x[2])):
             if all(first + n <= f or f + m <= first for _, _, f, m in out):
@@ -164,5 +190,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
             out = [(d, *hit) for d, t in zip(f["doc_id"], f["text"], strict=True) for hit in known.scan(t)]
             yield pd.DataFrame(out, columns=["doc_id", "license", "coverage", "first_word", "words"])
 
-    rows = docs.select("doc_id", "text").where(F.col("text").rlike(TRIGGERS))
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike(triggers(given)))
     return rows.mapInPandas(run, "doc_id long, license string, coverage double, first_word int, words int")

@@ -35,6 +35,24 @@ def test_token_index(odd_docs, no_docs, spark):
     assert rows(token_index.roundtrip(no_docs, tokenizer_path())) == []
 
 
+def test_words_are_encoded_as_the_tokenizer_does(monkeypatch):
+    """Strings of letters that change in lower case, marks, digits, signs, contractions and special tokens."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_index.WordEncoder, "LIMIT", 900)  # so that words are forgotten and learned again
+    t, words = Tokenizer.from_file(tokenizer_path()), token_index.WordEncoder(tokenizer_path())
+    draw = random.Random(4)
+    parts = [*"abzAZ éÉßİﬁΣσςЖж漢字ねカ ۱٣12½²Ⅷ'’.,!<|>-_\n\t\u0301\u0345\u3000\u00a0ǅŉJ\u030cẞ💡", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "𝐀", "Ა", "İ!", " "]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(14))) for _ in range(20_000)]
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        got = words.encode(pa.array(some, pa.string()), 1).to_pylist()
+        assert [np.frombuffer(x, words.type).tolist() for x in got] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in some]
+
+
 def test_lookup_of_unknown_keys(odd_docs, spark, tmp_path):
     path = f"file://{tmp_path}/index"
     token_index.write(odd_docs, path, tokenizer_path(), parts=3)

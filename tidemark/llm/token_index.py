@@ -5,7 +5,7 @@ Files (Parquet, so that Spark's committer makes every write whole or absent):
 - payload: `part`, `block`, `ids`. A block holds the ids of consecutive documents as raw little-endian integers of
   `width` bytes, in ascending doc_id order; it is closed at BLOCK_IDS ids or BLOCK_DOCS documents, and one longer
   document has a block of its own.
-- index: `bucket`, `n`, `pilots`, `slots`. Document keys are dealt to buckets by a hash; in each bucket a minimal
+- index: `bucket`, `buckets` (their number), `n`, `pilots`, `slots`. Document keys are dealt to buckets by a hash; in each bucket a minimal
   perfect hash (pilots per small group: hash, displace) gives every key its own slot, where a 32-bit fingerprint, the
   part, block, offset in the block, length and start (ids of all documents before it) are stored. A lookup costs one
   pilot and one slot, however many documents there are.
@@ -19,14 +19,15 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import in_worker, shared_dir
 
 BLOCK_IDS, BLOCK_DOCS = 1 << 17, 512
 #: Keys of one index bucket on average, and keys that share a pilot on average.
@@ -39,6 +40,10 @@ SLOT = np.dtype([("fingerprint", "<u4"), ("part", "<u4"), ("block", "<u4"), ("of
 
 #: ASCII signs that are neither letters, digits nor white space, but for the apostrophe (it may begin a contraction).
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below this code point are letters to every version of the tables that the tokenizer may have been built with.
+OLD_SCRIPTS = "\u0530"
+#: Bytes of text that are encoded together, unless one text is longer.
+TOGETHER = 1 << 22
 
 
 def latin(text: str) -> bool:
@@ -49,14 +54,21 @@ def latin(text: str) -> bool:
     return True
 
 
+def letters_only(word: str) -> bool:
+    """Whether the tokenizer keeps the word as one run of letters, lower-cased or not. (Some letters become a letter
+    and a mark when they are lower-cased.)"""
+    return word.isalpha() and (word.isascii() or max(word) < OLD_SCRIPTS and word.lower().isalpha())
+
+
 class WordEncoder:
-    """Encodes text word by word and remembers words. The tokenizer lower-cases, drops white space and never joins
-    across it, so a text's ids are its words' ids in a row. A word of letters is one pre-token, whose last token alone
-    ends in the end-of-word mark, so many new ones are encoded at once and told apart by that mark; other new words are
-    encoded together, parted by a special token."""
+    """Encodes texts by their distinct words and remembers words. The tokenizer lower-cases, drops white space and
+    never joins across it, so a text's ids are its words' ids in a row. A word of letters is one pre-token, whose last
+    token alone ends in the end-of-word mark, so many new ones are encoded at once and told apart by that mark; other
+    new words are encoded together, parted by a special token."""
 
-    #: Words remembered before the memory starts afresh.
-    LIMIT = 250_000
+    #: Words of one generation. When it is full it becomes the old one, and the one before is forgotten; a word that is
+    #: met in the old one moves to the new one, so frequent words stay.
+    LIMIT = 200_000
 
     def __init__(self, path: str, separator: str = "<|startoftext|>", mark: str = "</w>"):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -68,88 +80,132 @@ class WordEncoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
         size = self.tokenizer.get_vocab_size()
-        self.width = 2 if size <= 1 << 16 else 4
+        self.width = width_of(size)
         self.type = np.dtype(f"<u{self.width}")
         self.ends = np.zeros(size, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(mark)]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
 
-    def learn_parted(self, words: list[str]) -> None:
+    def learn_parted(self, words: list[str], out: dict[str, bytes]) -> None:
         """Any words: parted by the special token, or alone if they might hold one themselves."""
         plain = [w for w in words if "<" not in w]
         for w in words:
             if "<" in w:
-                self.known[w] = self.ids(w).tobytes()
+                out[w] = self.ids(w).tobytes()
         for i in range(0, len(plain), 512):
             ids = self.ids(self.separator.join(plain[i : i + 512]))
             for w, x in zip(plain[i : i + 512], np.split(ids, np.flatnonzero(ids == self.separator_id)), strict=True):
-                self.known[w] = x[x != self.separator_id].tobytes()
+                out[w] = x[x != self.separator_id].tobytes()
 
-    def learn_letters(self, words: list[str]) -> None:
+    def learn_letters(self, words: list[str], out: dict[str, bytes]) -> None:
         for i in range(0, len(words), 512):
             some = words[i : i + 512]
             text = " ".join(some)
-            if latin(text) and text == text.lower():
-                ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            if latin(text):  # whose letters are lower-cased alike here and in the tokenizer
+                ids = np.array(self.plain.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, self.type)
             else:
                 ids = self.ids(text)
             ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
-            if len(ends) != len(some):  # a letter fell apart when it was lower-cased
-                self.learn_parted(some)
+            if len(ends) != len(some):
+                self.learn_parted(some, out)
                 continue
             raw, start = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist(), strict=True):
-                self.known[w] = raw[start:end]
+                out[w] = raw[start:end]
                 start = end
 
-    def learn(self, words: list[str]) -> None:
-        letters, signs, tailed, rest = set(), set(), [], []
+    def learned(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't known."""
+        letters, signs, tailed, rest = [], set(), [], []
         for w in words:
-            if w.isalpha():
-                letters.add(w)
+            if letters_only(w):
+                letters.append(w)
                 continue
             stem = w.rstrip(SIGNS)  # after letters, a run of such signs is one token group of its own
-            if stem.isalpha():
-                letters.add(stem)
+            if stem and "<" not in w and letters_only(stem):
                 signs.add(w[len(stem) :])
                 tailed.append((w, stem))
             else:
                 rest.append(w)
-        self.learn_letters([w for w in letters if w not in self.known])
-        self.learn_parted([w for w in {*rest, *signs} if w not in self.known])
+        out: dict[str, bytes] = {}
+        known = self.known
+        stems = {s for _, s in tailed}
+        self.learn_letters([w for w in stems.union(letters) if w not in known], out)
+        self.learn_parted([w for w in signs.union(rest) if w not in known], out)
         for w, stem in tailed:
-            self.known[w] = self.known[stem] + self.known[w[len(stem) :]]
-
-    def words(self, text: str) -> list[str]:
-        """Latin-1 letters are lower-cased alike here and in the tokenizer; other text is left to the tokenizer."""
-        if latin(text):
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str], together: int = 64) -> list[bytes]:
-        """Ids of each text. A few texts at a time share a small dictionary of their words, which stays in cache."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), together):
-            split = [self.words(t or "") for t in texts[i : i + together]]
-            if len(self.known) > self.LIMIT:
-                self.known = {}
-            self.known[""] = b""
-            seen = set().union(*split)
-            own = dict(zip(seen, map(self.known.get, seen), strict=True))
-            if new := [w for w, ids in own.items() if ids is None]:
-                self.learn(new)
-                own.update(zip(new, map(self.known.__getitem__, new), strict=True))
-            get = own.__getitem__
-            out += [b"".join(map(get, words)) for words in split]
+            tail = w[len(stem) :]
+            out[w] = (out[stem] if stem in out else known[stem]) + (out[tail] if tail in out else known[tail])
         return out
 
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new, once = [], self.old.get
+            for i in missing:
+                w = words[i]
+                ids = once(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
+            for i in range(0, len(new), 4096):
+                self.known.update(self.learned(new[i : i + 4096]))
+            get = self.known.__getitem__
+            for i in missing:
+                found[i] = get(words[i])
+        if len(self.known) > self.LIMIT:
+            self.old, self.known = self.known, {}
+        return found
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """Raw ids of each text (no nulls), with the end id behind them if one is given."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        found = [b"" if end is None else np.array([end], self.type).tobytes(), *self.of_words(coded.dictionary.to_pylist())]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(found), self.type)
+        words = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        lasts = np.cumsum(words + 1) - 1  # entry 0, the end, stands behind each text's words
+        at = np.zeros(int((words + 1).sum()), np.int64)
+        inside = np.ones(len(at), bool)
+        inside[lasts] = False
+        at[inside] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        n = size[at]
+        upto = np.cumsum(n)
+        ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first[at] - (upto - n), n)]
+        offsets = np.concatenate([[0], upto[lasts] * self.width])
+        if offsets[-1] < 1 << 31:
+            return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def width_of(ids: int) -> int:
+    return 2 if ids <= 1 << 16 else 4
+
+
+def width(path: str) -> int:
+    """Bytes of an id in the files of this tokenizer."""
+    from tokenizers import Tokenizer
+
+    return width_of(Tokenizer.from_file(path).get_vocab_size())
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about `most` bytes together."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def mix64(x: np.ndarray, seed: int) -> np.ndarray:
@@ -216,7 +272,7 @@ def bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(at or []))
 
 
-def packer(part_bounds: list[int], path: str, end_id: int):
+def packer(width: int):
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = {"part": -1, "block": 0, "docs": 0, "ids": 0, "start": 0, "last": None, "copy": 0}
         held: list[tuple] = []
@@ -228,11 +284,9 @@ def packer(part_bounds: list[int], path: str, end_id: int):
             state.update(block=state["block"] + 1, docs=0, ids=0)
             return out
 
-        width = encoder(path).width
-        end = np.array([end_id], encoder(path).type).tobytes()
         for frame in frames:
             for part, doc, ids in zip(frame["part"].tolist(), frame["key"].tolist(), frame["ids"].tolist(), strict=True):
-                ids, n = ids + end, len(ids) // width + 1
+                n = len(ids) // width
                 if part != state["part"]:
                     if held:
                         yield closed()
@@ -259,16 +313,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: in
     cuts = bounds(docs, parts)
     edges = np.array(cuts, np.int64)
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = encoder(tokenizer)
-        for frame in frames:
-            part = np.searchsorted(edges, frame["key"].to_numpy(), side="right")
-            for i in range(0, len(frame), 256):
-                yield pd.DataFrame({"part": part[i : i + 256].astype(np.int32), "key": frame["key"].iloc[i : i + 256], "ids": words.encode(frame["text"].iloc[i : i + 256].tolist())})
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = in_worker(("words", tokenizer), lambda: WordEncoder(tokenizer))
+        for batch in batches:
+            for some in slices(batch, "text"):
+                key = some.column("key")
+                part = np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), key, words.encode(some.column("text"), end_id)], ["part", "key", "ids"])
 
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.mapInPandas(encode, "part int, key long, ids binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "key", "ids")
-    blocks = rows.mapInPandas(packer(cuts, tokenizer, end_id), "part int, block int, ids binary, doc array<long>, copy array<int>, n array<long>, offset array<long>, start array<long>")
+    rows = rows.mapInArrow(encode, "part int, key long, ids binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "key", "ids")
+    blocks = rows.mapInPandas(packer(width(tokenizer)), "part int, block int, ids binary, doc array<long>, copy array<int>, n array<long>, offset array<long>, start array<long>")
     blocks.write.parquet(f"{path}/payload")
 
     entries = spark.read.parquet(f"{path}/payload").select("part", "block", F.explode(F.arrays_zip("doc", "copy", "n", "offset", "start")).alias("e")).select("part", "block", "e.*")
@@ -291,23 +346,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: in
         slots["fingerprint"][at] = fingerprint(keys)
         for c in ("part", "block", "offset", "n", "start"):
             slots[c][at] = f[c].to_numpy()
-        return pd.DataFrame({"bucket": [f["bucket"].iloc[0]], "n": [len(keys)], "pilots": [pilots.tobytes()], "slots": [slots.tobytes()]})
+        return pd.DataFrame({"bucket": [f["bucket"].iloc[0]], "buckets": [buckets], "n": [len(keys)], "pilots": [pilots.tobytes()], "slots": [slots.tobytes()]})
 
     entries = entries.join(F.broadcast(base.select("part", "base")), "part")  # one row per part
     entries = entries.select("doc", "copy", "part", "block", "n", "offset", (F.col("start") + F.col("base")).alias("start"))
     entries = entries.mapInPandas(deal, "bucket long, doc long, copy int, part int, block int, n long, offset long, start long")
-    entries.groupBy("bucket").applyInPandas(build, "bucket long, n long, pilots binary, slots binary").write.parquet(f"{path}/index")
+    entries.groupBy("bucket").applyInPandas(build, "bucket long, buckets long, n long, pilots binary, slots binary").write.parquet(f"{path}/index")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """keys(doc_id, copy) -> doc_id, copy, part, block, offset, n, start, found. An unknown key has found = false, but
     for a chance of 2^-32 that its fingerprint equals the one in its slot."""
     index = spark.read.parquet(f"{path}/index")
-    buckets = index.count()
+    stored = index.select("buckets").first()
+    buckets = stored["buckets"] if stored else 1
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(bucket=(key_hash(f["key"].to_numpy(), f["copy"].to_numpy()) % np.uint64(max(1, buckets))).astype(np.int64))
+            yield f.assign(bucket=(key_hash(f["key"].to_numpy(), f["copy"].to_numpy()) % np.uint64(buckets)).astype(np.int64))
 
     def probe(wanted: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         hashes = key_hash(wanted["key"].to_numpy(), wanted["copy"].to_numpy())
@@ -348,7 +404,7 @@ def checked(rows: DataFrame, width: int) -> DataFrame:
 def roundtrip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write docs, then look every document up in the files: doc_id, copy, start, n_tokens, ids_crc32.
 
-    Null or empty text: only the end id. Repeated doc_ids are stored one after the other (ordered by their ids) with
+    Null or empty text: only the end id. A very long text is encoded whole and has a block of its own. Repeated doc_ids are stored one after the other (ordered by their ids) with
     copy 0, 1, ... A null doc_id is stored first and returned as null. An empty table gives no rows. Columns besides
     doc_id and text are not read.
     """
@@ -356,5 +412,5 @@ def roundtrip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     path = f"{shared_dir(spark)}/token-index-{uuid.uuid4().hex}"
     write(docs, path, tokenizer, end_id)
     stored = spark.read.parquet(f"{path}/payload").select(F.explode(F.arrays_zip("doc", "copy")).alias("e")).select(F.when(F.col("e.doc") != NULL_KEY, F.col("e.doc")).alias("doc_id"), "e.copy")
-    width = encoder(tokenizer).width
-    return checked(read(spark, path, stored, width), width)
+    size = width(tokenizer)
+    return checked(read(spark, path, stored, size), size)

@@ -227,6 +227,25 @@ def test_langid(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in rows(langid.identify(odd_docs.withColumn("lang", F.lit(None).cast("string"))))} == {"und"}
 
 
+def test_langid_words():
+    assert langid.words_of("½ ² Ⅷ ① 12 _") == [] and langid.words_of("Don't_stop 3x é") == ["don", "t", "stop", "x", "é"]
+    assert langid.words_of("漢" * 19 + "abc" + "カ" * 9 + " Ж\u0301ъ" + "x" * 300) == ["漢" * 8, "漢" * 8, "漢" * 3, "abc", "カ" * 8, "カ", "ж", "ъ", "x" * 300]
+    every = "".join(c for c in map(chr, range(0x30000)) if c.isalpha())
+    assert len("".join(langid.words_of(every))) == len("".join(c for c in every.lower() if c.isalpha()))
+
+
+def test_langid_reads_long_runs_to_their_ends(spark):
+    """No letter of a run is left out: a run of Han letters that turns into another language's after 100 letters is
+    labelled by both, and a long word of Latin letters by all of its trigrams."""
+    one, two = "的一是在不了有和人这中大为上个国我以要他", "書類確認頂戴宜願致御座候也共間事者今日昨"
+    docs = [(i, "".join((one, two)[i % 2][(i * j + j) % 20] for j in range(40)), ("x", "y")[i % 2]) for i in range(200)]
+    docs += [(1000 + i, "".join(("abcde", "vwxyz")[i % 2][(i + j * j) % 5] for j in range(9)), ("p", "q")[i % 2]) for i in range(200)]
+    docs += [(2000, docs[1][1][:20] * 5 + docs[0][1][:20] * 20, None), (2001, "a" * 61 + docs[201][1] * 40, None), (2002, "½ ² Ⅷ", "p")]
+    got = {r["doc_id"]: r for r in rows(langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")))}
+    assert got[2000]["lang_pred"] == "x" and [s["lang"] for s in got[2000]["spans"]] == ["y", "x"]
+    assert got[2001]["lang_pred"] == "q" and (got[2002]["lang_pred"], got[2002]["score"]) == ("und", 0.0)
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(3)
     score = rng.normal(0, 9, (7, 3))

@@ -2,41 +2,84 @@
 and Viterbi with a switching penalty labels spans.
 
 The model is learned from labelled texts: at most TRAIN_DOCS documents per language (by a hash of doc_id), whose
-trigrams are counted by Spark; the GRAMS most frequent ones are kept.
+trigrams are counted by Spark; each language keeps its GRAMS most frequent ones.
+
+A word is a run of letters of one script range, scored whole. Scripts that don't part words by spaces are cut into units
+of UNIT letters, so that a long run can change its language inside.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out
+from tidemark.llm.common import held_out, in_worker
 
-#: Documents that the model is fitted on, per language, and trigrams that it keeps.
-TRAIN_DOCS, GRAMS = 2_000, 40_000
+#: Documents that the model is fitted on, per language, and trigrams that each language keeps.
+TRAIN_DOCS, GRAMS = 2_000, 20_000
 #: Log-odds that another language must gain over a span before a switch pays.
 SWITCH = 12.0
 #: A script is a candidate script of a language when it holds this share of the language's words.
 SCRIPT_SHARE = 0.005
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of a unit in scripts without spaces, and scores (words by languages) that a worker remembers.
+UNIT, REMEMBERED = 8, 1_000_000
 
-# First code points of Unicode script ranges (Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic and
-# south-east Asian, Georgian, Hangul Jamo, Ethiopic, further Latin and Greek, kana, Han, Hangul, rest).
-SCRIPT_STARTS = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x3040, 0x3100, 0xAC00, 0xD7B0)
+# First code points of Unicode script ranges (Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai
+# to Myanmar, Georgian, Hangul Jamo, Ethiopic and others, Khmer, Mongolian and others, further Latin and Greek, kana,
+# Han, Hangul, rest), and those of the ranges whose words aren't parted by spaces.
+SCRIPT_STARTS = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xE00, 0x10A0, 0x1100, 0x1200, 0x1780, 0x1800, 0x1E00, 0x1F00, 0x3040, 0x3100, 0xAC00, 0xD7B0)
+UNSPACED = (0xE00, 0x1780, 0x3040, 0x3100)
 
 
 def script(word: str) -> int:
     return bisect_right(SCRIPT_STARTS, ord(word[0])) - 1
 
 
+@lru_cache(maxsize=1)
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of a word in Latin-1 text, and in any text."""
+    runs: dict[int, list[str]] = {}
+    for (k, _), letters in groupby(((bisect_right(SCRIPT_STARTS, c) - 1, c) for c in range(sys.maxunicode + 1) if chr(c).isalpha()), key=run_key()):
+        run = [c for _, c in letters]
+        runs.setdefault(k, []).append(f"{re.escape(chr(run[0]))}-{re.escape(chr(run[-1]))}")
+    some = [f"[{''.join(r)}]" + (f"{{1,{UNIT}}}" if SCRIPT_STARTS[k] in UNSPACED else "+") for k, r in sorted(runs.items())]
+    return re.compile(some[0]), re.compile("|".join(some))
+
+
+def run_key():
+    """Groups (script, code point) pairs into runs of consecutive code points of one script."""
+    last = [-1, -2, 0]
+
+    def key(x: tuple[int, int]) -> tuple[int, int]:
+        if x[0] != last[0] or x[1] != last[1] + 1:
+            last[2] += 1
+        last[:2] = x
+        return x[0], last[2]
+
+    return key
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words of a text."""
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return patterns()[1].findall(text)
+    return patterns()[0].findall(text)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -61,7 +104,7 @@ def learn(docs: DataFrame) -> Model:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lang, texts in f.groupby("lang")["text"]:
-                words = Counter(w for t in texts for w in LETTERS.findall(t.lower()))
+                words = Counter(w for t in texts for w in words_of(t))
                 grams: Counter = Counter()
                 scripts: Counter = Counter()
                 for w, n in words.items():
@@ -73,9 +116,10 @@ def learn(docs: DataFrame) -> Model:
                     yield pd.DataFrame({"lang": lang, "gram": list(seen), "n": list(seen.values())})
 
     counted = sample(docs).mapInPandas(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    per_gram = counted.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"), F.sum("n").alias("all"))
-    is_script = F.col("gram").startswith("\x00")
-    top = per_gram.orderBy(F.desc(is_script), F.desc("all"), "gram").limit(GRAMS).select("gram", "n").collect()  # bounded by GRAMS
+    best = Window.partitionBy("lang").orderBy(F.desc(F.col("gram").startswith("\x00")), F.desc("n"), "gram")
+    ranked = counted.withColumn("_rank", F.row_number().over(best))
+    per_gram = ranked.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"), F.min("_rank").alias("_rank"))
+    top = per_gram.where(F.col("_rank") <= GRAMS).orderBy("gram").select("gram", "n").collect()  # at most GRAMS per language
     langs = sorted({x for r in top for x in r["n"]})
     if not langs:
         return Model([], {}, np.zeros((1, 0)), {})
@@ -102,7 +146,7 @@ def score_new(model: Model, words: list[str]) -> np.ndarray:
     unknown, grams, get = len(model.grams), [], model.grams.get
     starts = []
     for w in words:
-        padded = f" {w[:60]} "
+        padded = f" {w} "
         starts.append(len(grams))
         grams += [get(padded[i : i + 3], unknown) for i in range(len(padded) - 2)]
     out = np.add.reduceat(model.table[grams], starts, axis=0)
@@ -127,7 +171,7 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
     lengths = np.array([len(scores[i]) for i in order])
     langs = scores[0].shape[1]
     best = np.array([scores[i][0] for i in order])
-    back = [np.zeros((len(order), langs), np.int8)]
+    back = [np.zeros((len(order), langs), np.int16)]
     stacked = np.concatenate([scores[i] for i in order])
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     for step in range(1, lengths[0]):
@@ -135,11 +179,11 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
         top = best[:live].argmax(1)
         jump = best[np.arange(live), top][:, None] - SWITCH
         stay = best[:live] >= jump
-        back.append(np.where(stay, np.arange(langs), top[:, None]).astype(np.int8))
+        back.append(np.where(stay, np.arange(langs), top[:, None]).astype(np.int16))
         best[:live] = np.where(stay, best[:live], jump) + stacked[first[:live] + step]
     out: list = [None] * len(scores)
     for k, i in enumerate(order):
-        labels = np.empty(lengths[k], np.int8)
+        labels = np.empty(lengths[k], np.int16)
         labels[-1] = best[k].argmax()
         for step in range(lengths[k] - 1, 0, -1):
             labels[step - 1] = back[step][k, labels[step]]
@@ -149,12 +193,12 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
 
 def label(model: Model, texts: list[str]) -> list[tuple[str, float, list]]:
     """(language, share of the words that carry it, spans) per text."""
-    if model.scored is None or len(model.words) > 150_000:
+    if model.scored is None or len(model.words) * len(model.langs) > REMEMBERED:
         model.words, model.scored = Numbers(), np.zeros((0, len(model.langs)))
     known = model.words
     ids, ends = [], []
     for t in texts:
-        ids += map(known.__getitem__, LETTERS.findall(t.lower()))
+        ids += map(known.__getitem__, words_of(t))
         ends.append(len(ids))
     if len(known) > len(model.scored):
         new = list(known)[len(model.scored) :]
@@ -186,12 +230,12 @@ def label(model: Model, texts: list[str]) -> list[tuple[str, float, list]]:
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """All columns of docs, plus held_out, lang_pred, score, spans (lang, first word, words), where words are runs of letters.
+    """All columns of docs, plus held_out, lang_pred, score, spans (lang, first word, words).
 
     lang_pred is the label of most words, score its share of words. Text that is null or has no letter: `und`, 0, no
-    spans; so is every text if there is nothing to learn from. Equal shares go to the language first in order of name.
-    Repeated rows are labelled alike; an empty table gives no rows; the result's names win over columns of the same
-    name.
+    spans; so is every text if there is nothing to learn from. A very long text is labelled whole. Equal shares go to
+    the language first in order of name. Repeated rows are labelled alike; a null doc_id isn't held out; an empty table
+    gives no rows; the result's names win over columns of the same name.
     """
     model = model or learn(docs)
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "spans", "_found")]
@@ -206,13 +250,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(*kept, held_out(F.col("doc_id")).alias("held_out"), found(F.coalesce("text", F.lit(""))).alias("_found")).select(*kept, "held_out", "_found.*")
 
 
-_MODELS: dict[tuple, Model] = {}
-
-
 def shared(model: Model) -> Model:
     """One model per Python worker, so that the words it has scored last from batch to batch."""
-    key = (tuple(model.langs), len(model.grams), float(model.table.sum()))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = model
-    return _MODELS[key]
+    return in_worker(("langid", tuple(model.langs), len(model.grams), float(model.table.sum())), lambda: model)

@@ -1,8 +1,8 @@
 """Main-text extraction from web pages by consensus paths per host.
 
 Each page scores its containers by the running text directly below them and votes for the generalised tag-class path
-of the best ones. Spark sums the votes per host; the winning path is then used to extract every page of that host. A
-page where the winning path holds no text falls back to its own best container.
+of each. Spark sums the votes per host; the winning paths are then used to extract every page of that host. A
+page on which no winning path covers enough falls back to its own best container.
 """
 
 from __future__ import annotations
@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|object)\b.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>?|<[a-zA-Z][^<>]*\Z|[^<]+|<""",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Elements whose content is passed over as raw text.
+RAW = re.compile(r"script|style|noscript|template|textarea|select|svg|iframe|title|object", re.I)
+OPENING, CLOSING = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"/([a-zA-Z][^\s/>]*)")
+#: One attribute: its name, and where a value begins.
+NAME, EQUALS, BARE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+TAG_END = re.compile(r"[\s/]*>")
 
 #: Parts that a host's pages are dealt to.
 SALTS = 16
+#: A container is a candidate of its host when it wins this share of the host's votes, and is used on a page when it
+#: holds this share of what the page's own best container scores.
+WIN_SHARE, COVERS = 0.02, 0.75
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +37,9 @@ BLOCK = frozenset(
     " h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article body div main section td".split())
+KEPT = frozenset("html body article main".split())
+#: Containers whose classes are read part by part.
+HOLDERS = frozenset("div section ul ol dl table td tr fieldset details figure blockquote".split())
 DROPPED = frozenset("aside button dialog footer form header head input label menu nav noscript".split())
 DROPPED_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 DROPPED_WORD = frozenset(
@@ -55,13 +61,89 @@ def step(tag: str, classes: list[str]) -> str:
 
 
 def boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
+    """Whether an element is no part of the main text. A word of the list counts as a part of a container's class or id;
+    for other elements, and for headers and footers of an article, only as a whole class or id."""
     if tag == "header" and inside_article:
         return False
     if tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLE or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in KEPT:
+        return False
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
+    if any(n in DROPPED_WORD for n in names):
+        return True
+    if tag not in HOLDERS:
         return False
-    return any(w in DROPPED_WORD for w in re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    parts = {w for n in names for w in re.split(r"[^a-z]+", n)} & DROPPED_WORD
+    return bool(parts - {"header", "footer", "tags"} if inside_article else parts)
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of a tag from `at` on, and the place behind its end; -1 if the tag has no end. A quotation mark only
+    opens a quoted value right behind the equals sign."""
+    found: dict[str, str] = {}
+    while not (end := TAG_END.match(page, at)):
+        name = NAME.match(page, at)
+        if not name:
+            return found, -1
+        at, value = name.end(), ""
+        if equals := EQUALS.match(page, at):
+            at = equals.end()
+            mark = page[at : at + 1]
+            if mark in ("'", '"') and mark:
+                close = page.find(mark, at + 1)
+                if close < 0:
+                    return found, -1
+                value, at = page[at + 1 : close], close + 1
+            else:
+                bare = BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(name[1].lower(), html.unescape(value) if "&" in value else value)
+    return found, end.end()
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """("text", characters, {}), ("open", tag, attributes) and ("close", tag, {}) in page order; ("gap", "", {}) where
+    raw text was passed over. Every character is read once; a tag without an end takes the rest of the page."""
+    at, size = 0, len(page)
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            yield "text", page[at:], {}
+            return
+        if start > at:
+            yield "text", page[at:start], {}
+        at = start + 1
+        if opening := OPENING.match(page, at):
+            tag = opening[0].lower()
+            attrs, at = attributes(page, opening.end())
+            if at < 0:
+                return
+            if RAW.fullmatch(tag):
+                yield "gap", "", {}
+                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                if not close:
+                    return
+                at = close.end()
+            else:
+                yield "open", tag, attrs
+        elif closing := CLOSING.match(page, at):
+            _, at = attributes(page, closing.end())
+            if at < 0:
+                return
+            yield "close", closing[1].lower(), {}
+        elif page.startswith("!--", at):
+            close = page.find("-->", at + 1)
+            if close < 0:
+                return
+            at = close + 3
+        elif page[at : at + 1] in ("!", "?", "/"):
+            close = page.find(">", at)
+            if close < 0:
+                return
+            at = close + 1
+        else:
+            yield "text", "<", {}
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -93,20 +175,17 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             articles -= tag in ("article", "main")
             links -= tag == "a"
 
-    for m in TOKEN.finditer(page):
-        tag = m[3]
-        if tag is None:
-            raw = m[0]
-            if raw[0] != "<" or raw == "<":
-                if not drops:
-                    said = html.unescape(raw)
-                    text.append(said)
-                    linked += len(said) if links else 0
-            elif m[1]:
-                text.append(" ")
+    for kind, tag, attrs in tokens(page):
+        if kind == "text":
+            if not drops:
+                said = html.unescape(tag)
+                text.append(said)
+                linked += len(said) if links else 0
             continue
-        tag = tag.lower()
-        if m[2]:
+        if kind == "gap":
+            text.append(" ")
+            continue
+        if kind == "close":
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     pop_to(depth)
@@ -129,15 +208,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if above in BLOCK:
                     break
             flush()
-        attrs = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(m[4])} if m[4] else {}
-        if m[4] and re.search(r"\bhidden\b(?!\s*=)", m[4]):
-            attrs.setdefault("hidden", "")
         dropped = boilerplate(tag, attrs, articles > 0)
-        if not m[4].endswith("/") or tag not in VOID:
-            stack.append((tag, step(tag, attrs.get("class", "").split()), dropped))
-            drops += dropped
-            articles += tag in ("article", "main")
-            links += tag == "a"
+        stack.append((tag, step(tag, attrs.get("class", "").split()), dropped))
+        drops += dropped
+        articles += tag in ("article", "main")
+        links += tag == "a"
     flush()
     return found
 
@@ -164,43 +239,59 @@ def joined(blocks: list, path: tuple[str, ...]) -> str:
     return "\n".join(said for own, said, _ in blocks if own[: len(path)] == path)
 
 
-def extract(pages: DataFrame, votes_per_page: int = 3) -> DataFrame:
-    """page_id, url, text, n_chars, host, path (the winning path, null if the page used its own).
+def chosen(blocks: list, paths: list[tuple[str, ...]]) -> tuple[tuple[str, ...] | None, bool]:
+    """The container to take from a page, and whether its host's vote gave it: of the host's winning paths, first the
+    one with most votes, that covers enough of the page's own best container; without one, that container."""
+    score = scores(blocks)
+    own = best(score)
+    for p in paths:
+        if score.get(p, 0.0) > 0 and score[p] >= COVERS * score[own]:
+            return p, True
+    return own, False
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars, host, path (the winning path of the host that was used, null if the page used its
+    own).
+
+    Every container with running text votes, with its share of the page's score. The paths that win WIN_SHARE of a
+    host's votes (so at most 1 / WIN_SHARE of them) are its winning paths.
 
-    Null or empty html gives an empty text; a null url is a host of its own (''); repeated pages are extracted alike;
-    ties between paths go to the shorter, then the lesser path; an empty table gives no rows; further columns aren't
-    read.
+    Null or empty html gives an empty text; a null url is a host of its own (''); a null page_id is kept; repeated
+    pages are extracted alike; a very long or broken page is read whole, in one pass; ties between paths go to the
+    shorter, then the lesser path; an empty table gives no rows; further columns aren't read.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
 
     def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
+            tally: dict[tuple[str, str], float] = {}
             for host, page in zip(f["host"], f["html"], strict=True):
                 score = scores(blocks_of(page))
                 total = sum(score.values())
-                for p in sorted(score, key=lambda p: (-score[p], len(p), p))[:votes_per_page]:
-                    if score[p] > 0:
-                        out.append((host, ">".join(p), score[p] / total))
-            yield pd.DataFrame(out, columns=["host", "path", "worth"])
+                for p, worth in score.items():
+                    if worth > 0:
+                        key = (host, ">".join(p))
+                        tally[key] = tally.get(key, 0.0) + worth / total
+            yield pd.DataFrame([(*k, v) for k, v in tally.items()], columns=["host", "path", "worth"])
 
     cast = rows.select("host", "html").mapInPandas(vote, "host string, path string, worth double")
-    tally = cast.groupBy("host", "path").agg(F.sum("worth").alias("worth"), F.count("*").alias("n"))
-    # sums of doubles depend on order: rounded, so that reruns agree
-    winner = tally.groupBy("host").agg(F.max_by("path", F.struct(F.round("worth", 6), -F.length("path"), "path")).alias("path")).withColumnRenamed("host", "_host")
+    tally = cast.groupBy("host", "path").agg(F.round(F.sum("worth"), 6).alias("worth"))  # rounded, as sums of doubles depend on order
+    whole = tally.groupBy("host").agg(F.sum("worth").alias("_all")).withColumnRenamed("host", "_host")
+    won = tally.join(whole, F.col("host") == F.col("_host")).where(F.col("worth") >= WIN_SHARE * F.col("_all"))
+    winner = won.groupBy("_host").agg(F.array_sort(F.collect_list(F.struct((-F.col("worth")).alias("order"), F.length("path").alias("size"), "path"))).alias("paths"))
     # stored, so that the planner knows its size before it decides whether pages must move; a hot host is salted
-    winner = staged(winner, "winning-paths").withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    winner = staged(winner.select("_host", "paths.path"), "winning-paths").withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
 
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts, used = [], []
-            for page, path in zip(f["html"], f["path"], strict=True):
+            for page, paths in zip(f["html"], f["path"], strict=True):
                 blocks = blocks_of(page)
-                said = joined(blocks, tuple(path.split(">"))) if isinstance(path, str) else ""
-                own = None if said else best(scores(blocks))
-                texts.append(said or (joined(blocks, own) if own else ""))
-                used.append(path if said else None)
+                path, voted = chosen(blocks, [tuple(p.split(">")) for p in paths] if paths is not None else [])
+                texts.append(joined(blocks, path) if path else "")
+                used.append(">".join(path) if voted else None)
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts], "host": f["host"], "path": used})
 
     led = rows.join(winner, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_of")), "left")

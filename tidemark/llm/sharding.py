@@ -1,9 +1,10 @@
 """Sharding by a hierarchical weighted hash tree (region, rack, shard).
 
-Every leaf draws an exponential variate from the key and its own name, divided by its weight; a rack's draw is the
-least of its shards' draws, a region's the least of its racks'. A key descends to the least draw on each level, so
-a child is chosen in proportion to its weight. As an inner node's draw is made from its leaves only, a change of one
-leaf's weight moves keys into or out of that leaf alone: no key moves between two untouched shards.
+A key descends from the root: at each node every child draws an exponential variate from the key and its own name,
+divided by its weight (the sum of its shards' weights), and the least draw wins, so a child is chosen in proportion to
+its weight. A key meets only the children of the nodes it reaches. A draw depends on nothing but the key, the child and
+its weight, so a change of weights below one child moves keys into it, out of it or within it, never between its
+untouched siblings or inside them.
 """
 
 from __future__ import annotations
@@ -27,36 +28,65 @@ def even_tree(shards: int, per_rack: int = 4, racks_per_region: int = 3) -> list
     return [Leaf(s // (per_rack * racks_per_region), s // per_rack, s) for s in range(shards)]
 
 
-def place(key: Column, tree: list[Leaf], seed: int = 17) -> Column:
-    """struct(region, rack, shard) of a key. Leaves of weight 0 or less take nothing; a null key is hashed as null."""
+def grown(tree: list[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """The tree with one more shard. It gets a region of its own, so that keys only move into it."""
+    return [*tree, Leaf(max((x.region for x in tree), default=-1) + 1, max((x.rack for x in tree), default=-1) + 1, max((x.shard for x in tree), default=-1) + 1, weight)]
+
+
+def descend(df: DataFrame, key: str, tree: list[Leaf], names: tuple[str, str, str] = ("region", "rack", "shard"), seed: int = 17) -> DataFrame:
+    """df with the region, rack and shard of a key column. Leaves of weight 0 or less take nothing; a null key is hashed
+    as null."""
     leaves = [x for x in tree if x.weight > 0]
     if not leaves:
         raise ValueError("the tree has no leaf of positive weight")
 
-    def draw(x: Leaf) -> Column:
-        h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(x.shard), key), 11).cast("double")
-        return -F.log((h + 0.5) / F.lit(float(1 << 53))) / F.lit(float(x.weight))
-
-    def least(nodes: list[Column]) -> Column:
-        return nodes[0] if len(nodes) == 1 else F.least(*nodes)
-
-    def ranked(x: Leaf) -> Column:
-        return F.struct(draw(x).alias("draw"), F.lit(x.region).alias("region"), F.lit(x.rack).alias("rack"), F.lit(x.shard).alias("shard"))
-
-    racks: dict[tuple[int, int], list[Column]] = {}
-    for x in leaves:
-        racks.setdefault((x.region, x.rack), []).append(ranked(x))
-    regions: dict[int, list[Column]] = {}
-    for (region, _), nodes in racks.items():
-        regions.setdefault(region, []).append(least(nodes))
-    return least([least(nodes) for nodes in regions.values()]).dropFields("draw")
-
-
-def slots(df: DataFrame, shard: str, order: list[str], spread: str, fine: int = 1024) -> DataFrame:
-    """Adds slot: gapless from 0 in each shard. A shard is cut into fine pieces by a hash of `spread`; pieces are
-    counted, their counts summed up in order (shards x fine rows at most), and rows numbered inside a piece, so no task
+    def nearest(level: str, weights: dict[int, float]) -> Column:
+        """The child with the least draw."""
+
+        def draw(child: int, weight: float) -> Column:
+            h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), F.lit(child), F.col(key)), 11).cast("double")
+            return F.struct((-F.log((h + 0.5) / F.lit(float(1 << 53))) / F.lit(float(weight))).alias("draw"), F.lit(child).alias("child"))
+
+        draws = [draw(c, w) for c, w in sorted(weights.items())]
+        return (draws[0] if len(draws) == 1 else F.least(*draws))["child"]
+
+    def summed(label, below) -> dict:
+        """Weights of the children of each node."""
+        out: dict = {}
+        for x in leaves:
+            own = out.setdefault(label(x), {})
+            own[below(x)] = own.get(below(x), 0.0) + x.weight
+        return out
+
+    def level(name: str, above: str, nodes: dict) -> Column:
+        choice = F.lit(None).cast("int")
+        for node, weights in nodes.items():
+            choice = F.when(F.col(above) == node, nearest(name, weights)).otherwise(choice)
+        return choice
+
+    region, rack, shard = names
+    # a rack is named by its region too, and a shard is unique
+    racks = {k: i for i, k in enumerate(sorted({(x.region, x.rack) for x in leaves}))}
+    df = df.withColumn(region, nearest("region", summed(lambda x: 0, lambda x: x.region)[0]))
+    df = df.withColumn("_rack", level("rack", region, summed(lambda x: x.region, lambda x: x.rack)))
+    df = df.withColumn("_node", level_node(region, racks))
+    df = df.withColumn(shard, level("shard", "_node", summed(lambda x: racks[x.region, x.rack], lambda x: x.shard)))
+    return df.withColumn(rack, F.col("_rack")).drop("_rack", "_node")
+
+
+def level_node(region: str, racks: dict[tuple[int, int], int]) -> Column:
+    """The number of the rack that was reached."""
+    out = F.lit(None).cast("int")
+    for (r, k), i in racks.items():
+        out = F.when((F.col(region) == r) & (F.col("_rack") == k), F.lit(i)).otherwise(out)
+    return out
+
+
+def slots(df: DataFrame, shard: str, order: list[str], fine: int = 1024) -> DataFrame:
+    """Adds slot: gapless from 0 in each shard. A shard is cut into fine pieces by a hash of the order
+    columns; pieces are counted, their counts summed up in order (shards x fine rows at most), and rows numbered inside a piece, so no task
     holds a whole shard."""
-    piece = F.pmod(F.xxhash64(F.lit("slot"), F.col(spread)), F.lit(fine)).cast("int")
+    piece = F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(fine)).cast("int")
     df = df.withColumn("_piece", piece)
     before = Window.partitionBy(shard).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(shard, "_piece").agg(F.count("*").alias("_n")).select(shard, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -74,19 +104,12 @@ def assign(docs: DataFrame, shards: int = 24, tree: list[Leaf] | None = None) ->
 
     The law is `key`: doc_id and the number of shards decide, and one more shard takes rows only into itself. Null or
     empty text: size 8 and the crc32 of no bytes; repeated rows get slots of their own; a null doc_id is a key like
-    any other; an empty table gives no rows; columns of the input besides doc_id and text are not read.
+    any other; a very long text only counts by its bytes; an empty table gives no rows; columns of the input besides doc_id and text are not read.
     """
     tree = tree or even_tree(shards)
-    grown = even_tree(shards + 1)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    placed = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        place(F.col("doc_id"), tree).alias("_at"),
-        place(F.col("doc_id"), grown)["shard"].alias("grown_shard"),
-    ).select("doc_id", "size", "text_crc32", "law", "_at.*", "grown_shard")
-    return slots(placed, "shard", ["doc_id", "text_crc32", "size"], "doc_id").select(
+    sized = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
+    placed = descend(descend(sized, "doc_id", tree), "doc_id", grown(tree), ("_region", "_grown_rack", "grown_shard")).drop("_region", "_grown_rack")
+    return slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack"
     )

@@ -184,14 +184,37 @@ def test_sharding(odd_docs, no_docs):
     assert rows(sharding.assign(no_docs)) == []
 
 
+def places(spark, tree, n=20_000):
+    got = sharding.descend(spark.range(n).withColumnRenamed("id", "key"), "key", tree).orderBy("key").collect()
+    return [(r["region"], r["rack"], r["shard"]) for r in got]
+
+
 def test_tree_follows_weights(spark):
-    keys = spark.range(20_000)
     tree = [sharding.Leaf(0, 0, 0, 1.0), sharding.Leaf(0, 1, 1, 3.0), sharding.Leaf(1, 2, 2, 4.0), sharding.Leaf(1, 2, 3, 0.0)]
-    more = [*tree[:3], sharding.Leaf(1, 2, 3, 2.0)]
-    at = keys.select(sharding.place(F.col("id"), tree).alias("a"), sharding.place(F.col("id"), more).alias("b"))
-    n = {r["s"]: r["n"] for r in rows(at.groupBy(F.col("a.shard").alias("s")).agg(F.count("*").alias("n")))}
+    at = places(spark, tree)
+    n = collections.Counter(s for _, _, s in at)
     assert set(n) == {0, 1, 2} and abs(n[0] / 2500 - 1) < 0.1 and abs(n[1] / 7500 - 1) < 0.1
-    assert at.where("a.shard <> b.shard and b.shard <> 3").count() == 0
+    assert {x for x in at} == {(0, 0, 0), (0, 1, 1), (1, 2, 2)}
+
+
+@pytest.mark.parametrize("shards", [1, 5, 24])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards):
+    tree = sharding.even_tree(shards)
+    moved = [(a, b) for a, b in zip(places(spark, tree), places(spark, sharding.grown(tree)), strict=True) if a != b]
+    assert moved and {b[2] for _, b in moved} == {shards}
+    assert abs(len(moved) * (shards + 1) / 20_000 - 1) < 0.15
+    assert sharding.grown(sharding.even_tree(24)) == sharding.even_tree(25)
+
+
+def test_changed_weights_move_keys_only_at_their_subtree(spark):
+    tree = sharding.even_tree(24)
+    heavier = [sharding.Leaf(x.region, x.rack, x.shard, 5.0 if x.shard == 6 else 1.0) for x in tree]
+    shifted = [sharding.Leaf(x.region, x.rack, x.shard, {4: 2.0, 5: 0.0}.get(x.shard, 1.0)) for x in tree]
+    before = places(spark, tree)
+    moved = [(a, b) for a, b in zip(before, places(spark, heavier), strict=True) if a != b]
+    assert moved and all(0 in (a[0], b[0]) for a, b in moved) and {b[0] for _, b in moved} == {0}  # region 0 grew
+    within = [(a, b) for a, b in zip(before, places(spark, shifted), strict=True) if a != b]
+    assert within and all(a[1] == b[1] == 1 for a, b in within)  # rack 1 weighs as before
 
 
 def test_toxicity_learns_and_locates(spark, odd_docs, no_docs):
@@ -383,3 +406,38 @@ def test_html(spark):
     cut = want[: want.index("\nItem one")]
     assert sorted(got) == sorted([(1, want, len(want))] * 2 + [(2, want, len(want)), (3, "", 0), (4, "", 0), (5, cut, len(cut))])
     assert rows(html_text.extract(spark.createDataFrame(docs, "page_id long, url string, html string").where("false"))) == []
+
+
+def said(page: str) -> list[str]:
+    return [x for _, x, _ in html_text.blocks_of(page)]
+
+
+def test_html_tags():
+    assert said("<p title=don't>First text here.</p><p>It's second.</p>") == ["First text here.", "It's second."]
+    assert said("<article><div class='entry-header'><h1>Head</h1></div><p class=share-price>Price.</p><div class='share-buttons'>no</div></article>") == ["Head", "Price."]
+    assert said("<p>a &lt; b < c</p><a href='x>y' b>z</a><p>n<!-- x > y --!> c</p>") == ["a < b < c", "z", "n"]
+    assert said("<script>if(a</b)</scripty></script >ok<br/><P CLASS=A>q<div class=comment-list>r</div><div class=header>s</div>") == ["ok", "q"]
+    assert said("<p>kept</p><a href='never closed") == ["kept"] and said("") == [] and said("<") == ["<"]
+
+
+def test_html_scanner_is_linear():
+    import time
+
+    def cost(n: int) -> float:
+        began = time.process_time()
+        for piece in ('<p a="x', "<p a='\"", "<!-", "<script", "</p <x=", "<a/", "<"):
+            html_text.blocks_of(piece * n)
+        return time.process_time() - began
+
+    cost(500)
+    assert cost(32_000) < 10 * 8 * max(cost(4_000), 0.01)
+
+
+def test_html_hosts_with_two_templates(spark):
+    """Each page is read by the winning path that covers it; ties, clashing columns and null ids are carried."""
+    long = " ".join(f"word{i}" for i in range(60))
+    one = f"<body><div class=news><p>{long} one.</p></div><div class=box><p>Short teaser text of some length.</p></div></body>"
+    two = f"<body><div class=news><p>Short teaser text of some length.</p></div><section class=story><p>{long} two.</p></section></body>"
+    docs = [(i, "http://h.example/a", (one, two)[i % 3 == 0], "x") for i in range(30)] + [(None, "http://h.example/b", one, "x")]
+    got = rows(html_text.extract(spark.createDataFrame(docs, "page_id long, url string, html string, path string")))
+    assert len(got) == 31 and all(r["text"] == f"{long} {'one' if r['page_id'] is None or r['page_id'] % 3 else 'two'}." for r in got)

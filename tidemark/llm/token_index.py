@@ -43,7 +43,7 @@ SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters below this code point are letters to every version of the tables that the tokenizer may have been built with.
 OLD_SCRIPTS = "\u0530"
 #: Bytes of text that are encoded together, unless one text is longer.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 23
 
 
 def latin(text: str) -> bool:
@@ -60,15 +60,20 @@ def letters_only(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) < OLD_SCRIPTS and word.lower().isalpha())
 
 
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs flat[first : first + size], one behind the other."""
+    upto = np.cumsum(size)
+    return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - (upto - size), size)]
+
+
 class WordEncoder:
     """Encodes texts by their distinct words and remembers words. The tokenizer lower-cases, drops white space and
     never joins across it, so a text's ids are its words' ids in a row. A word of letters is one pre-token, whose last
     token alone ends in the end-of-word mark, so many new ones are encoded at once and told apart by that mark; other
     new words are encoded together, parted by a special token."""
 
-    #: Words of one generation. When it is full it becomes the old one, and the one before is forgotten; a word that is
-    #: met in the old one moves to the new one, so frequent words stay.
-    LIMIT = 200_000
+    #: Words that are remembered: those met last.
+    LIMIT = 250_000
 
     def __init__(self, path: str, separator: str = "<|startoftext|>", mark: str = "</w>"):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -84,8 +89,8 @@ class WordEncoder:
         self.type = np.dtype(f"<u{self.width}")
         self.ends = np.zeros(size, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(mark)]] = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, self.type)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
@@ -118,68 +123,71 @@ class WordEncoder:
                 out[w] = raw[start:end]
                 start = end
 
-    def learned(self, words: list[str]) -> dict[str, bytes]:
+    def learned(self, words: list[str]) -> list[bytes]:
         """Ids of words that aren't known."""
-        letters, signs, tailed, rest = [], set(), [], []
+        stems: list[str] = []
+        letters, rest, tails = set(), [], set()
         for w in words:
-            if letters_only(w):
-                letters.append(w)
-                continue
-            stem = w.rstrip(SIGNS)  # after letters, a run of such signs is one token group of its own
-            if stem and "<" not in w and letters_only(stem):
-                signs.add(w[len(stem) :])
-                tailed.append((w, stem))
+            stem = w if w.isalpha() or "<" in w else w.rstrip(SIGNS)  # after letters, a run of such signs is one token group of its own
+            if stem and letters_only(stem):
+                letters.add(stem)
+                tails.add(w[len(stem) :])
             else:
                 rest.append(w)
+                stem = ""
+            stems.append(stem)
         out: dict[str, bytes] = {}
-        known = self.known
-        stems = {s for _, s in tailed}
-        self.learn_letters([w for w in stems.union(letters) if w not in known], out)
-        self.learn_parted([w for w in signs.union(rest) if w not in known], out)
-        for w, stem in tailed:
-            tail = w[len(stem) :]
-            out[w] = (out[stem] if stem in out else known[stem]) + (out[tail] if tail in out else known[tail])
-        return out
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        found = list(map(self.known.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if missing:
-            new, once = [], self.old.get
-            for i in missing:
-                w = words[i]
-                ids = once(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    self.known[w] = ids
-            for i in range(0, len(new), 4096):
-                self.known.update(self.learned(new[i : i + 4096]))
-            get = self.known.__getitem__
-            for i in missing:
-                found[i] = get(words[i])
-        if len(self.known) > self.LIMIT:
-            self.old, self.known = self.known, {}
-        return found
+        self.learn_parted([*tails.difference([""]), *rest], out)
+        out[""] = b""
+        order = pa.array(letters, pa.string())
+        at, some = self.recalled(order)
+        for i in np.flatnonzero(some).tolist():
+            k = at[i]
+            out[order[i].as_py()] = self.flat[self.first[k] : self.first[k] + self.size[k]].tobytes()
+        self.learn_letters(order.filter(pa.array(~some)).to_pylist(), out)
+        return [out[stem] + out[w[len(stem) :]] if stem else out[w] for stem, w in zip(stems, words, strict=True)]
+
+    def recalled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word in the memory, and whether it is there."""
+        at = pc.index_in(words, value_set=self.words)
+        some = at.is_valid().to_numpy(zero_copy_only=False)
+        return at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), some
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: all ids, and each word's first place and number of ids."""
+        at, some = self.recalled(words)
+        new = words.filter(pa.array(~some)).to_pylist()
+        ids = [x for i in range(0, len(new), 1 << 16) for x in self.learned(new[i : i + (1 << 16)])]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        at[~some] = len(self.words) + np.arange(len(new))
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), self.type)])
+        first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        size = np.concatenate([self.size, sizes])
+        unseen = np.ones(len(self.words), bool)
+        unseen[at[some]] = False
+        older = np.flatnonzero(unseen)[: max(0, self.LIMIT - len(words))]
+        kept = np.concatenate([at, older])[: self.LIMIT]
+        self.words = pa.concat_arrays([words, self.words.take(pa.array(older))])[: self.LIMIT]
+        self.flat, self.size = gathered(flat, first[kept], size[kept]), size[kept]
+        self.first = np.cumsum(self.size) - self.size
+        return flat, first[at], size[at]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
         """Raw ids of each text (no nulls), with the end id behind them if one is given."""
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        found = [b"" if end is None else np.array([end], self.type).tobytes(), *self.of_words(coded.dictionary.to_pylist())]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
-        first = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(found), self.type)
+        flat, first, size = self.of_words(coded.dictionary)
+        # entry 0, the end, stands behind each text's words
+        ending = np.array([] if end is None else [end], self.type)
+        flat, first, size = np.concatenate([ending, flat]), np.concatenate([[0], first + len(ending)]), np.concatenate([[len(ending)], size])
         words = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        lasts = np.cumsum(words + 1) - 1  # entry 0, the end, stands behind each text's words
-        at = np.zeros(int((words + 1).sum()), np.int64)
+        lasts = np.cumsum(words + 1) - 1
+        at = np.zeros(int((words + 1).sum()), np.int32)
         inside = np.ones(len(at), bool)
         inside[lasts] = False
-        at[inside] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        n = size[at]
-        upto = np.cumsum(n)
-        ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first[at] - (upto - n), n)]
+        at[inside] = coded.indices.to_numpy(zero_copy_only=False)
+        at[inside] += 1
+        ids, upto = gathered(flat, first[at], size[at]), np.cumsum(size[at])
         offsets = np.concatenate([[0], upto[lasts] * self.width])
         if offsets[-1] < 1 << 31:
             return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])

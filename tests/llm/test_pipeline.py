@@ -42,6 +42,24 @@ def test_run(spark, tmp_path):
     assert abs(sum(n * words[d] for d, n in got.items()) - 1.5 * total) <= 0.1 * total
 
 
+def test_stages_carry_columns_and_judge_rows(spark, tmp_path):
+    """Values of clashing columns stay, one of repeated rows stays, and rows without a doc_id are judged like others."""
+    leak = "Seven purple elephants quietly repaired the ancient lighthouse before midnight came."
+    base = [(i, sentence(i, 40), "en", "s1", "mine", 7) for i in range(30)]
+    more = [(3, base[3][1], "en", "s1", "mine", 7)] * 2 + [(None, base[4][1], "en", "s1", "mine", 7), (None, sentence(60, 40), "en", "s1", "mine", 7)] * 2
+    more += [(5, sentence(70, 40), "en", "s1", "mine", 7), (None, sentence(80, 30) + " " + leak, "en", "s1", "mine", 7)]
+    docs = spark.createDataFrame(base + more, "doc_id long, text string, lang string, source string, score string, held_out long")
+    where = benchmark_dir(spark, tmp_path, docs)
+    named = dict(corpus_pipeline.STAGES)
+    tagged = named["language_id"](spark, docs, where)
+    assert tagged.columns == docs.columns and {(r["score"], r["held_out"]) for r in tagged.collect()} == {("mine", 7)}
+    left = named["near_duplicates"](spark, docs, where)
+    want = sorted([*base, more[3], more[-2], more[-1]], key=str)
+    assert sorted([tuple(r) for r in left.collect()], key=str) == want
+    clean = named["decontamination"](spark, docs, where)
+    assert collections.Counter(map(tuple, clean.collect())) == collections.Counter(base + more[:-1])
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES}
     assert set(ORACLES) <= set(QUERIES)

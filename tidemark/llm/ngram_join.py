@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import in_worker, staged
 
 WIDTH = 4
 #: A shingle is common if it makes up this share of all shingles, so at most 1 / COMMON of them can be.
@@ -49,9 +49,6 @@ class WordHashes(dict):
         return h
 
 
-HASHES = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -62,7 +59,7 @@ def shingles(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle ids of each text. An id has the shingle's length, longest first, in its top byte and 56
     bits of hash below. Words are parted by ASCII white space; A-Z are lower-cased; a text of fewer than WIDTH words
     has one shingle of all its words, one without words none."""
-    get = HASHES.__getitem__
+    get = in_worker("word-hashes", WordHashes).__getitem__
     ids, counts = [], []
     for t in texts:
         words = t.encode("utf-8", "surrogatepass").lower().split()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out
+from tidemark.llm.common import held_out, in_worker
 
 #: Labelled documents that the model is fitted on, at most; hashed features; rounds of training.
 TRAIN_DOCS, FEATURES, ROUNDS = 8_000, 1 << 18, 300
@@ -117,15 +117,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(got[0]["bias"], np.frombuffer(got[0]["ids"], np.int32), np.frombuffer(got[0]["weights"], np.float64))
 
 
-_READY: dict[tuple, Weights] = {}
-
-
 def ready(model: Model) -> Weights:
-    key = (model.bias, len(model.ids), float(model.weights.sum()))
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Weights(model)
-    return _READY[key]
+    """The words' weights of one model per Python worker."""
+    return in_worker(("toxicity", model.bias, len(model.ids), float(model.weights.sum())), lambda: Weights(model))
 
 
 def score_text(text: str, weights: Weights, bias: float) -> tuple[float, int, float, str]:
@@ -141,7 +135,8 @@ def score_text(text: str, weights: Weights, bias: float) -> tuple[float, int, fl
 def judge(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, n_offending, worst_score, worst_sentence (empty if none is over one half).
 
-    Null or empty text: score 0. Without positive and negative labels the model is its bias. Repeated rows score alike;
+    Null or empty text: score 0. A very long text is scored whole, sentence by sentence. A document with several labels is
+    toxic if one of them is; of equally bad sentences the first is named. Without positive and negative labels the model is its bias. Repeated rows score alike;
     a null doc_id isn't held out; an empty table gives no rows; further columns aren't read.
     """
     model = model or learn(docs, labels)

@@ -280,31 +280,53 @@ def bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(at or []))
 
 
+BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("doc", pa.list_(pa.int64())), ("copy", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("offset", pa.list_(pa.int64())), ("start", pa.list_(pa.int64()))])
+
+
+def raw(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and all bytes of a binary array without nulls."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    return at, np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+
+
 def packer(width: int):
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = {"part": -1, "block": 0, "docs": 0, "ids": 0, "start": 0, "last": None, "copy": 0}
-        held: list[tuple] = []
-
-        def closed() -> pd.DataFrame:
-            doc, copy, n, offset, start, ids = zip(*held, strict=True)
-            out = pd.DataFrame({"part": [state["part"]], "block": [state["block"]], "ids": [b"".join(ids)], "doc": [list(doc)], "copy": [list(copy)], "n": [list(n)], "offset": [list(offset)], "start": [list(start)]})
-            held.clear()
-            state.update(block=state["block"] + 1, docs=0, ids=0)
-            return out
-
-        for frame in frames:
-            for part, doc, ids in zip(frame["part"].tolist(), frame["key"].tolist(), frame["ids"].tolist(), strict=True):
-                n = len(ids) // width
-                if part != state["part"]:
-                    if held:
-                        yield closed()
-                    state.update(part=part, block=0, start=0, last=None)
-                elif held and (state["ids"] + n > BLOCK_IDS or state["docs"] >= BLOCK_DOCS):
+    """Sorted rows (part, key, ids) to blocks. Rows of a batch are cut out of its buffer as they lie."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, start, last, copy = -1, 0, 0, None, 0
+        doc: list = []
+        copies: list = []
+        sizes: list = []
+        pieces: list = []
+        total = 0
+
+        def closed() -> pa.RecordBatch:
+            n = np.array(sizes, np.int64)
+            before = np.cumsum(n) - n
+            row = [part, block, b"".join(pieces), doc, copies, n, before, before + start]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
+
+        for batch in batches:
+            at, data = raw(batch.column("ids").cast(pa.binary()))
+            parts, keys, lengths = batch.column("part").to_pylist(), batch.column("key").to_pylist(), (np.diff(at) // width).tolist()
+            edges, open_from = at.tolist(), 0
+            for i, n in enumerate(lengths):
+                if sizes and (parts[i] != part or total + n > BLOCK_IDS or len(sizes) >= BLOCK_DOCS):
+                    pieces.append(data[edges[open_from] : edges[i]].tobytes())
                     yield closed()
-                state["copy"] = state["copy"] + 1 if doc == state["last"] else 0
-                held.append((doc, state["copy"], n, state["ids"], state["start"], ids))
-                state.update(last=doc, docs=state["docs"] + 1, ids=state["ids"] + n, start=state["start"] + n)
-        if held:
+                    block, start = block + 1, start + total
+                    doc, copies, sizes, pieces, total, open_from = [], [], [], [], 0, i
+                if parts[i] != part:
+                    part, block, start, last = parts[i], 0, 0, None
+                copy = copy + 1 if keys[i] == last else 0
+                last = keys[i]
+                doc.append(last)
+                copies.append(copy)
+                sizes.append(n)
+                total += n
+            pieces.append(data[edges[open_from] : edges[-1]].tobytes())
+        if sizes:
             yield closed()
 
     return pack
@@ -331,7 +353,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: in
 
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.mapInArrow(encode, "part int, key long, ids binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "key", "ids")
-    blocks = rows.mapInPandas(packer(width(tokenizer)), "part int, block int, ids binary, doc array<long>, copy array<int>, n array<long>, offset array<long>, start array<long>")
+    blocks = rows.mapInArrow(packer(width(tokenizer)), "part int, block int, ids binary, doc array<long>, copy array<int>, n array<long>, offset array<long>, start array<long>")
     blocks.write.parquet(f"{path}/payload")
 
     entries = spark.read.parquet(f"{path}/payload").select("part", "block", F.explode(F.arrays_zip("doc", "copy", "n", "offset", "start")).alias("e")).select("part", "block", "e.*")
@@ -401,12 +423,15 @@ def read(spark: SparkSession, path: str, keys: DataFrame, width: int = 2) -> Dat
 def checked(rows: DataFrame, width: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (unsigned, over the ids as 32-bit little-endian integers), copy."""
 
-    def crc(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["ids_crc32"] = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in f["ids"]]
-            yield f[["doc_id", "start", "n_tokens", "ids_crc32", "copy"]]
+    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, data = raw(batch.column("ids").cast(pa.binary()))
+            ids = np.frombuffer(data[at[0] : at[-1]].tobytes(), f"<u{width}").astype("<u4").view(np.uint8)
+            edges = ((at - at[0]) // width * 4).tolist()
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64()), batch.column("copy")], ["doc_id", "start", "n_tokens", "ids_crc32", "copy"])
 
-    return rows.mapInPandas(crc, "doc_id long, start long, n_tokens long, ids_crc32 long, copy int")
+    return rows.select("doc_id", "start", "n_tokens", "ids", "copy").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long, copy int")
 
 
 def roundtrip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -61,7 +61,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def normal_lines(text: Column) -> Column:
     """Lines that hold a word: lower case, white space runs as one space, trimmed."""
     even = F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "))
-    return F.filter(F.transform(F.split(even, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(even, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def frequent_lines(facts: DataFrame, line_docs: int, line_share: float) -> tuple[DataFrame, DataFrame]:

@@ -3,30 +3,38 @@ built-in expressions, so they stay inside generated code."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Header words by meaning, in the order in which they are tried. Chinese and English notices.
+# Header words of notices by meaning, in the order in which they are tried.
 HEADER_WORDS: dict[str, tuple[str, ...]] = {
-    "cumulative": ("累计净值", "累计单位净值", "cumulativenav", "accumulatednav", "cumnav"),
-    "date": ("净值日期", "估值日期", "业务日期", "日期", "navdate", "valuationdate", "date"),
-    "code": ("产品代码", "基金代码", "代码", "productcode", "fundcode", "code"),
-    "unit": ("单位净值", "份额净值", "净值", "unitnav", "netassetvalue", "nav"),
+    "cumulative": ("累计单位净值", "累计净值", "cumulativenav", "accumulatednav"),
+    "date": ("净值日期", "估值日期", "估值基准日", "业务日期", "navdate", "date", "日期"),
+    "code": ("产品代码", "基金代码", "productcode", "fundcode", "代码"),
+    "unit": ("单位净值", "份额净值", "最新净值", "unitnav", "nav"),
+}
+# Header words of sheets by role.
+SHEET_WORDS: dict[str, tuple[str, ...]] = {
+    "date": ("净值日期", "估值日期", "业务日期", "nav date", "date", "日期"),
+    "code": ("产品代码", "基金代码", "product code", "fund code", "代码"),
+    "name": ("产品名称", "基金名称", "product name", "fund name", "名称"),
+    "unit": ("单位净值", "份额净值", "unit nav"),
+    "cumulative": ("累计单位净值", "累计净值", "cumulative nav"),
+    "return": ("产品收益", "基金收益", "return"),
+    "daily_return": ("日收益", "日度收益", "收益（日度）", "daily return"),
+    "weekly_return": ("周收益", "周度收益", "收益（周度）", "weekly return"),
+    "benchmark_level": ("指数点位", "基准点位", "benchmark level", "index level"),
+    "benchmark_return": ("指数收益", "基准收益", "benchmark return", "index return"),
+    "excess": ("超额", "excess", "alpha"),
 }
-# Words of a sheet's header by role, in the order in which they are tried.
-SHEET_WORDS: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("cumulative", ("累计净值", "cumulative", "accumulated")),
-    ("date", ("日期", "date")),
-    ("code", ("代码", "code")),
-    ("name", ("产品名称", "基金名称", "productname", "fundname", "name")),
-    ("excess", ("超额", "excess", "alpha")),
-    ("benchmark_return", ("指数收益", "基准收益", "benchmarkreturn", "indexreturn")),
-    ("benchmark_level", ("指数点位", "基准点位", "收盘", "benchmarklevel", "indexlevel")),
-    ("daily_return", ("日收益", "dailyreturn")),
-    ("weekly_return", ("周收益", "weeklyreturn")),
-    ("return", ("收益", "涨跌", "return")),
-    ("unit", ("单位净值", "净值", "unitnav", "nav")),
-)
+#: Roles that are tried before and after the words of a benchmark.
+FIRST_ROLES = ("cumulative", "date", "code", "name", "excess")
+LAST_ROLES = ("benchmark_return", "benchmark_level", "daily_return", "weekly_return", "return", "unit")
+# Words of a benchmark, of its return and of its level; words that mark a return, longest first.
+BENCHMARK_WORDS, RETURN_WORDS, LEVEL_WORDS = ("指数", "基准"), ("日收益", "周收益", "收益率", "收益", "return"), ("点位", "收盘", "level", "close")
+RETURN_MARKS = ("dailyreturn", "weeklyreturn", "benchmarkreturn", "indexreturn", "日收益率", "周收益率", "日收益", "周收益", "收益率", "收益", "return")
 
 
 def text(c) -> Column:
@@ -46,27 +54,21 @@ def parse_number(c) -> Column:
 
 
 def parse_date(c, pivot: int = 80) -> Column:
-    """The first date pattern that matches decides; if its date doesn't exist the result is null.
+    """The first pattern that matches decides; if its date doesn't exist the result is null.
 
-    Patterns: a serial day number above 20000 and below 100000, year-month-day with any of - . / 年 月 日 between, eight
-    digits, six digits (years from `pivot` on are of the 1900s)."""
+    Patterns: a serial day number above 20000 and below 100000; year, month and day of this century, with or without
+    - . / 年 月 日 between; six digits in all, whatever stands between them (years from `pivot` on are of the 1900s)."""
     t = F.trim(text(c))
-    serial = t.rlike(r"^\d{5}(\.\d+)?$")
+    serial = t.rlike(r"^\d{5}(\.\d+)?$") & t.try_cast("double").between(20000.5, 99999.5)
     by_serial = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(t.try_cast("double")).cast("int"))
-    parted, eight, six = r"(\d{4})\s*[-./年]\s*(\d{1,2})\s*[-./月]\s*(\d{1,2})", r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)", r"(?<!\d)(\d{2})(\d{2})(\d{2})(?!\d)"
-
-    def joined(pattern: str, year: Column | None = None) -> Column:
-        y = year if year is not None else F.regexp_extract(t, pattern, 1)
-        return F.try_to_date(F.concat_ws("-", y, F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 3)), "yyyy-M-d")
-
-    two = F.regexp_extract(t, six, 1)
-    year = F.concat(F.when(two >= F.lit(f"{pivot:02d}"), "19").otherwise("20"), two)
-    return (
-        F.when(serial & (t.try_cast("double") > 20000), by_serial)
-        .when(t.rlike(parted), joined(parted))
-        .when(t.rlike(eight), joined(eight))
-        .when(t.rlike(six), joined(six, year))
-    )
+    even = F.regexp_replace(F.regexp_replace(t, "[年月/.]", "-"), "日", "")
+    whole, six = r"(?<!\d)(20\d{2})-?(\d{1,2})-?(\d{1,2})(?!\d)", r"^(\d{2})(\d{2})(\d{2})$"
+    digits = F.regexp_replace(t, r"\D", "")
+    part = lambda source, pattern, i: F.regexp_extract(source, pattern, i)
+    dated = lambda source, pattern, year: F.try_to_date(F.concat_ws("-", year, part(source, pattern, 2), part(source, pattern, 3)), "yyyy-M-d")
+    two = part(digits, six, 1)
+    century = F.concat(F.when(two >= F.lit(f"{pivot:02d}"), "19").otherwise("20"), two)
+    return F.when(serial, by_serial).when(even.rlike(whole), dated(even, whole, part(even, whole, 1))).when(digits.rlike(six), dated(digits, six, century))
 
 
 def normalize_header(c) -> Column:
@@ -88,26 +90,34 @@ def classify_header(c) -> Column:
     return role
 
 
+def words_in(name: Column, words: tuple[str, ...]) -> Column:
+    """Whether a normalised header holds one of the words, which are normalised alike."""
+    return has_any(name, tuple(re.sub(r"[\s_:/：()（）\[\]-]", "", w).lower() for w in words))
+
+
 def classify_sheet_header(c, display_name: Column | None = None) -> Column:
-    """Role of a sheet's header cell. Benchmark roles need an index word or the benchmark's display name."""
-    name, role = normalize_header(c), F.when(F.lit(False), F.lit(""))
-    marked = has_any(name, ("指数", "基准", "benchmark", "index"))
-    if display_name is not None:
-        marked = marked | (F.length(normalize_header(display_name)) > 0) & name.contains(normalize_header(display_name))
-    gains = has_any(name, ("收益", "涨跌", "return"))
-    for kind, words in SHEET_WORDS:
-        if kind == "benchmark_return":
-            role = role.when(marked & gains, kind)
-        elif kind == "benchmark_level":
-            role = role.when(marked & ~gains, kind)
-        else:
-            role = role.when(has_any(name, words), kind)
+    """Role of a sheet's header cell. After the roles of FIRST_ROLES, a header that names an index or holds the display
+    name of the benchmark is its return if it speaks of a return, else its level if it speaks of a level or is the
+    display name; then the roles of LAST_ROLES follow."""
+    name = normalize_header(c)
+    shown = normalize_header(F.coalesce(display_name, F.lit(""))) if display_name is not None else F.lit("")
+    marked = has_any(name, BENCHMARK_WORDS) | ((shown != "") & name.contains(shown))
+    role = F.when(F.coalesce(name, F.lit("")) == "", F.lit(None).cast("string"))
+    for kind in FIRST_ROLES:
+        role = role.when(words_in(name, SHEET_WORDS[kind]), kind)
+    role = role.when(marked & has_any(name, RETURN_WORDS), "benchmark_return")
+    role = role.when(marked & (has_any(name, LEVEL_WORDS) | ((shown != "") & (name == shown))), "benchmark_level")
+    for kind in LAST_ROLES:
+        role = role.when(words_in(name, SHEET_WORDS[kind]), kind)
     return role
 
 
 def return_header_base(c) -> Column:
     """What is left of a header without its words for returns: "X (daily return)" pairs with "X"."""
-    return F.regexp_replace(normalize_header(c), "(日|周)?(收益率|收益|涨跌幅|涨跌)|(daily|weekly)?returns?", "")
+    name = normalize_header(c)
+    for mark in RETURN_MARKS:
+        name = F.replace(name, F.lit(mark), F.lit(""))
+    return name
 
 
 def short_id(*cols) -> Column:

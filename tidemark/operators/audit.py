@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What is looked for in a line.
 PATTERNS: dict[str, str] = {
-    "user-path": r"(?i)([a-z]:\\users\\[^\\\s]+|/home/[^/\s]+|/users/[^/\s]+)",
-    "sync-path": r"(?i)(onedrive|dropbox|icloud|desktop)[\\/]",
-    "credential": r"""(?i)(password|passwd|secret|token|api[_-]?key|auth[_-]?code)\s*[:=]\s*["']?[A-Za-z0-9+/_-]{8,}""",
-    "private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "absolute-user-path": r"(?i)[A-Z]:[\\/]Users[\\/][^\\/\s]+",
+    "sync-or-desktop-path": r"(?i)(OneDrive|Dropbox|Google Drive|Desktop)[\\/]",
+    "credential-literal": r"""(?i)(password|passwd|api[_-]?key|secret|token)\s*[:=]\s*['"][^'"]{4,}['"]""",
+    "private-key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
 }
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-ALLOWED_DOMAINS = ("example.com", "example.org", "example.net", "example.invalid")
-DENIED_NAMES = ("config.json", ".env", "secrets.json", "id_rsa")
-DENIED_SUFFIXES, KNOWN_SUFFIXES = ("xlsx", "xls", "eml", "msg", "db", "pem", "key"), ("py", "md", "txt", "json", "yaml", "yml", "html", "css", "js", "csv", "cmd", "ps1", "")
+EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+# Domains that may be named, and names and suffixes of files that are denied or known.
+ALLOWED_DOMAINS = ("example.com", "example.invalid", "users.noreply.github.com")
+DENIED_NAMES = (
+    "config.json", "route-report.json", "validation-report.json", "concurrency-report.json", "plan.json", "route-proposals.json",
+    "automation-approval.json", "scheduled_tasks.json", "last-scheduled-run.json", "run.lock", "secret.json",
+)
+DENIED_SUFFIXES = ("xlsx", "xlsm", "xls", "csv", "pdf", "eml", "zip", "log", "png", "jpg", "jpeg")
+KNOWN_SUFFIXES, KNOWN_NAMES = ("py", "md", "txt", "yaml", "yml", "cmd", "ps1", "lock", "gitignore", ""), ("LICENSE", ".gitignore")
+
+HAN = re.compile("[\u3400-\u9fff]")
 
 
 def categories(line: Column) -> Column:
@@ -23,7 +34,7 @@ def categories(line: Column) -> Column:
     found = [F.when(line.rlike(p), F.lit(name)) for name, p in PATTERNS.items()]
     mails = F.regexp_extract_all(line, F.lit(EMAIL), F.lit(0))
     foreign = F.exists(mails, lambda m: ~F.lower(F.substring_index(m, "@", -1)).isin(*ALLOWED_DOMAINS))
-    return F.filter(F.array(*found, F.when(foreign, F.lit("email"))), lambda x: x.isNotNull())
+    return F.filter(F.array(*found, F.when(foreign, F.lit("non-example-email"))), lambda x: x.isNotNull())
 
 
 def audit_text(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -33,20 +44,37 @@ def audit_text(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def audit_paths(df: DataFrame, key: str, path: str) -> DataFrame:
-    """key, category: denied names, denied or unknown suffixes, and what audit_text finds in the path."""
-    name = F.lower(F.regexp_extract(path, r"([^/\\?#]*)(?:[?#].*)?$", 1))
-    suffix = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)
-    own = F.array(F.when(name.isin(*DENIED_NAMES), F.lit("denied-name")), F.when(suffix.isin(*DENIED_SUFFIXES), F.lit("denied-suffix")), F.when(~suffix.isin(*DENIED_SUFFIXES, *KNOWN_SUFFIXES), F.lit("unknown-suffix")))
-    return df.select(key, F.explode(F.concat(F.filter(own, lambda x: x.isNotNull()), categories(F.col(path)))).alias("category"))
+    """key, category: what audit_text finds in the path, and the first of runtime-artifact (a denied name),
+    binary-or-data-artifact (a denied suffix) and unexpected-file-type (an unknown one)."""
+    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    suffix = F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1))
+    own = F.when(name.isin(*DENIED_NAMES), "runtime-artifact").when(suffix.isin(*DENIED_SUFFIXES), "binary-or-data-artifact").when(~suffix.isin(*KNOWN_SUFFIXES) & ~name.isin(*KNOWN_NAMES), "unexpected-file-type")
+    return df.select(key, F.explode(F.filter(F.concat(categories(F.col(path)), F.array(own)), lambda x: x.isNotNull())).alias("category"))
+
+
+@F.pandas_udf(StringType())
+def recovered(texts: pd.Series) -> pd.Series:
+    """Spark's own encode knows neither GBK nor Windows-1252."""
+
+    def again(said: str | None) -> str | None:
+        if not said or said.isascii():
+            return None
+        for codec in ("gbk", "cp1252", "latin1"):
+            try:
+                text = said.encode(codec).decode("utf-8")
+            except UnicodeError:
+                continue
+            if text != said and HAN.search(text):
+                return text
+        return None
+
+    return texts.map(again)
 
 
 def garbled_text(c) -> Column:
-    """The text recovered from a Latin-1 reading of UTF-8 bytes, if that gives Chinese characters; else null."""
-    c = F.col(c) if isinstance(c, str) else c
-    latin = c.rlike(r"^[\x00-\x{FF}]+$") & c.rlike(r"[\x{80}-\x{FF}]")
-    raw = F.encode(F.when(latin, c), "ISO-8859-1")
-    again = F.try_validate_utf8(raw.cast("string"))
-    return F.when(again.rlike(r"[\x{3400}-\x{9FFF}]"), again)
+    """The text recovered from UTF-8 bytes that were read as GBK, Windows-1252 or Latin-1 (the first that works), if that
+    gives Chinese characters; else null."""
+    return recovered(F.col(c) if isinstance(c, str) else c)
 
 
 def has_replacement(c) -> Column:

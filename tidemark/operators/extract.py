@@ -2,67 +2,123 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from tidemark.functions.scalars import classify_header, normalize_code, parse_date, parse_number
 
 #: Delimiters of text tables, as Java patterns: bar, tab, comma, semicolon, two or more spaces.
-DELIMITERS = (r"\|", r"\t", ",", ";", r" {2,}")
+DELIMITERS = (r"\|", r"\t", ",", ";", r"\s{2,}")
 HEADER_ROWS = 50
 OBSERVATION = "message_id string, nav_date date, unit double, cumulative double, code string, source string"
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+#: Attachments that are read as delimited text.
+DELIMITED_SUFFIXES = ("csv", "txt")
 
 
 def unescape(c: Column) -> Column:
     """The entities that text tables use, and the no-break space."""
     out = c
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (" ", " ")):
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("\u00a0", " ")):
         out = F.replace(out, F.lit(name), F.lit(char))
     return out
 
 
-def text_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, table_id (delimiter), row, cells: the lines that hold a delimiter, cut by it."""
-    lines = df.select(key, F.posexplode(F.split(unescape(F.coalesce(F.col(text), F.lit(""))), r"\r?\n")).alias("row", "line"))
-    cut = F.array(*[F.struct(F.lit(i).alias("table_id"), F.transform(F.split(F.trim("line"), d), lambda x: F.trim(x)).alias("cells")) for i, d in enumerate(DELIMITERS)])
-    return lines.select(key, "row", F.inline(F.filter(cut, lambda x: F.size(x["cells"]) > 1)))
-
-
-def bind_header(rows: DataFrame, key: str, source: str) -> DataFrame:
-    """Observations of tables given as rows of cells. The first of the first 50 rows with a date and a unit column is the
-    header (several date columns: none); the first column of a role counts; rows below with a date and a unit value are
-    observations. One window per table finds the header; cells are bound by position."""
-    roles = rows.withColumn("roles", F.transform("cells", lambda x: classify_header(x)))
-    pos = lambda r: F.array_position("roles", r).cast("int")
-    dates = F.size(F.filter("roles", lambda x: x == "date"))
-    head = (F.col("row_in") <= HEADER_ROWS) & (dates == 1) & (pos("unit") > 0)
-    table = Window.partitionBy(key, "table_id")
-    roles = roles.withColumn("row_in", F.row_number().over(table.orderBy("row"))).withColumn("head", F.when(head, F.struct("row", pos("date").alias("d"), pos("unit").alias("u"), pos("cumulative").alias("c"), pos("code").alias("k"))))
-    bound = roles.withColumn("h", F.min("head").over(table)).where(F.col("h").isNotNull() & (F.col("row") > F.col("h.row")))
-    cell = lambda i: F.when(F.col(f"h.{i}") > 0, F.get("cells", F.col(f"h.{i}") - 1))
-    out = bound.select(key, parse_date(cell("d")).alias("nav_date"), parse_number(cell("u")).alias("unit"), parse_number(cell("c")).alias("cumulative"), normalize_code(cell("k")).alias("code"), F.lit(source).alias("source"))
+def one(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def text_tables(text: Column) -> Column:
+    """The tables of a text, one per delimiter that it holds: the lines that hold the delimiter, cut by it."""
+    lines = F.split(unescape(F.coalesce(text, F.lit(""))), r"\r?\n")
+
+    def cut(d: str) -> Column:
+        rows = F.transform(lines, lambda line: F.transform(F.split(F.trim(line) if d == DELIMITERS[-1] else line, d), lambda x: F.trim(x)))
+        return F.filter(rows, lambda cells: F.size(cells) > 1)
+
+    return F.filter(F.array(*map(cut, DELIMITERS)), lambda t: F.size(t) > 1)
+
+
+def header_of(table: Column) -> Column:
+    """struct(at, dates, d, u, c, k) of a table's header row: its place from 0, its date columns, and the places from 1 of
+    date, unit, cumulative and code (0: none). It is the first of the first rows with date and unit columns below which
+    a row has a date and a value; one with several date columns decides too, as the table then is ambiguous."""
+    place = lambda roles, r: F.array_position(roles, r).cast("int")
+
+    def described(cells: Column, i: Column) -> Column:
+        roles = F.transform(cells, lambda x: classify_header(x))
+        return one(roles, lambda r: F.struct(i.alias("at"), F.size(F.filter(r, lambda x: x == "date")).alias("dates"), place(r, "date").alias("d"), place(r, "unit").alias("u"), place(r, "cumulative").alias("c"), place(r, "code").alias("k")))
+
+    heads = F.filter(F.transform(F.slice(table, 1, HEADER_ROWS), described), lambda h: (h["dates"] > 0) & (h["u"] > 0))
+    valid = lambda h: F.exists(below(table, h), lambda x: parse_date(F.get(x, h["d"] - 1)).isNotNull() & parse_number(F.get(x, h["u"] - 1)).isNotNull())
+    return F.get(F.filter(heads, lambda h: (h["dates"] > 1) | valid(h)), F.lit(0))
+
+
+def below(table: Column, head: Column) -> Column:
+    return F.slice(table, head["at"] + 2, F.size(table))
+
+
+def read_tables(df: DataFrame, tables: Column, name: str) -> DataFrame:
+    """Adds `name`: struct(failed, rows): whether a table is ambiguous, and the raw cells (d, u, c, k) below the headers.
+    All of it happens inside the row; nothing is shuffled."""
+    cell = lambda x, i: F.when(i > 0, F.get(x, i - 1))
+    taken = lambda t, h: F.transform(below(t, h), lambda x: F.struct(cell(x, h["d"]).alias("d"), cell(x, h["u"]).alias("u"), cell(x, h["c"]).alias("c"), cell(x, h["k"]).alias("k")))
+    df = df.withColumn("_tables", F.coalesce(tables, F.array().cast("array<array<array<string>>>")))
+    df = df.withColumn("_heads", F.transform("_tables", header_of))
+    rows = F.flatten(F.transform("_tables", lambda t, i: F.coalesce(taken(t, F.get("_heads", i)), F.array().cast(RAW))))
+    failed = F.exists("_heads", lambda h: F.coalesce(h["dates"] > 1, F.lit(False)))
+    return df.withColumn(name, F.struct(failed.alias("failed"), rows.alias("rows"))).drop("_tables", "_heads")
+
+
+RAW = "array<struct<d: string, u: string, c: string, k: string>>"
+
+
+def labelled_row(text: Column, subject: Column) -> Column:
+    """struct(failed, rows) of `label: value` lines: one row at most, with the subject for a missing date; a role that
+    occurs twice fails."""
+    pattern = r"^\s*([^:：]{1,30})\s*[:：]\s*(.+?)\s*$"
+    lines = F.split(unescape(F.coalesce(text, F.lit(""))), r"\r?\n")
+    named = F.transform(lines, lambda x: F.struct(classify_header(F.regexp_extract(x, pattern, 1)).alias("role"), F.regexp_extract(x, pattern, 2).alias("value")))
+
+    def made(pairs: Column) -> Column:
+        of = lambda r: F.get(F.filter(pairs, lambda x: x["role"] == r), F.lit(0))["value"]
+        row = F.struct(F.coalesce(of("date"), subject).alias("d"), of("unit").alias("u"), of("cumulative").alias("c"), of("code").alias("k"))
+        twice = F.size(pairs) > F.size(F.array_distinct(F.transform(pairs, lambda x: x["role"])))
+        return F.struct(twice.alias("failed"), F.when(of("unit").isNotNull() & ~twice, F.array(row)).otherwise(F.array().cast(RAW)).alias("rows"))
+
+    return one(F.filter(named, lambda x: x["role"].isNotNull()), made)
+
+
+def read_text(df: DataFrame, text: str, subject: str, name: str) -> DataFrame:
+    """Adds `name`: struct(failed, rows) of a text's tables, or of its labelled lines where no table gives a row."""
+    df = read_tables(df, text_tables(F.col(text)), "_read").withColumn("_said", labelled_row(F.col(text), F.col(subject)))
+    labelled = ~F.col("_read.failed") & (F.size("_read.rows") == 0)
+    return df.withColumn(name, F.when(labelled, F.col("_said")).otherwise(F.col("_read"))).drop("_read", "_said")
+
+
+def observed(df: DataFrame, key: str, rows: Column, source: str | Column) -> DataFrame:
+    """Observations from raw cells: those with a date and a unit value."""
+    raw = df.select(key, (F.lit(source) if isinstance(source, str) else source).alias("source"), F.inline(rows))
+    out = raw.select(key, parse_date("d").alias("nav_date"), parse_number("u").alias("unit"), parse_number("c").alias("cumulative"), normalize_code("k").alias("code"), "source")
     return out.where(F.col("nav_date").isNotNull() & F.col("unit").isNotNull())
 
 
 def extract_delimited(df: DataFrame, key: str, text: str) -> DataFrame:
-    return bind_header(text_rows(df, key, text), key, "text").distinct()
+    """Observations of text tables; a text with an ambiguous table gives none."""
+    read = read_tables(df.select(key, text), text_tables(F.col(text)), "_t").where(~F.col("_t.failed"))
+    return observed(read, key, F.col("_t.rows"), "text").distinct()
 
 
 def extract_labelled(df: DataFrame, key: str, text: str, subject: str) -> DataFrame:
     """One observation per message from `label: value` lines. A role that occurs twice rejects the message; a missing date
     is taken from the subject."""
-    lines = df.select(key, F.col(subject).alias("_subject"), F.explode(F.split(unescape(F.coalesce(F.col(text), F.lit(""))), r"\r?\n")).alias("line"))
-    pattern = r"^\s*([^:：]{1,30})[:：]\s*(.+?)\s*$"
-    pairs = lines.select(key, "_subject", classify_header(F.regexp_extract("line", pattern, 1)).alias("role"), F.regexp_extract("line", pattern, 2).alias("value")).where(F.col("role").isNotNull())
-    of = lambda r: F.max(F.when(F.col("role") == r, F.col("value")))
-    per = pairs.groupBy(key).agg(of("date").alias("d"), of("unit").alias("u"), of("cumulative").alias("c"), of("code").alias("k"), F.first("_subject").alias("s"), (F.count("*") > F.count_distinct("role")).alias("twice"))
-    out = per.where(~F.col("twice")).select(key, F.coalesce(parse_date("d"), parse_date("s")).alias("nav_date"), parse_number("u").alias("unit"), parse_number("c").alias("cumulative"), normalize_code("k").alias("code"), F.lit("text").alias("source"))
-    return out.where(F.col("nav_date").isNotNull() & F.col("unit").isNotNull())
+    return observed(df.select(key, labelled_row(F.col(text), F.col(subject)).alias("_t")), key, F.col("_t.rows"), "text")
 
 
 class Tables(HTMLParser):
@@ -137,86 +193,167 @@ class Tables(HTMLParser):
         t["row"] = None
 
 
-def html_rows(df: DataFrame, key: str, page: str) -> DataFrame:
-    """key, table_id, row, cells of all tables of the pages; a page with bad spans gives one row with null cells."""
+def page_tables(df: DataFrame, page: str) -> DataFrame:
+    """df with _bad (tables with bad spans) and _page_tables (their rows of cells)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for k, raw in zip(f[key], f[page], strict=True):
-                t = Tables()
-                try:
-                    t.feed(raw or "")
-                    t.close()
-                    while t.open:
-                        t.handle_endtag("table")
-                    out += [(k, i, r, cells) for i, rows in enumerate(t.tables) for r, cells in enumerate(rows)]
-                except ValueError:
-                    out.append((k, -1, -1, None))
-            yield pd.DataFrame(out, columns=[key, "table_id", "row", "cells"])
+    @F.pandas_udf(StructType([StructField("bad", BooleanType()), StructField("tables", ArrayType(ArrayType(ArrayType(StringType()))))]))
+    def parsed(pages: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw in pages:
+            t = Tables()
+            try:
+                t.feed(raw or "")
+                t.close()
+                while t.open:
+                    t.handle_endtag("table")
+                out.append((False, t.tables))
+            except ValueError:
+                out.append((True, []))
+        return pd.DataFrame(out, columns=["bad", "tables"])
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, page).mapInPandas(run, f"{key} {kind}, table_id int, row int, cells array<string>")
+    return df.withColumn("_p", parsed(F.coalesce(page, F.lit("")))).select("*", F.col("_p.bad").alias("_bad"), F.col("_p.tables").alias("_page_tables")).drop("_p")
 
 
 def extract_html_tables(df: DataFrame, key: str, page: str) -> DataFrame:
-    """Observations of the pages' tables; pages with bad spans give none."""
-    rows = html_rows(df, key, page)
-    bad = rows.where("table_id < 0").select(key).distinct()
-    return bind_header(rows.join(bad, key, "left_anti"), key, "html").distinct()
+    """Observations of the pages' tables; pages with bad spans or an ambiguous table give none."""
+    read = read_tables(page_tables(df.select(key, page), page), F.col("_page_tables"), "_t").where(~F.col("_bad") & ~F.col("_t.failed"))
+    return observed(read, key, F.col("_t.rows"), "html").distinct()
 
 
 def html_to_text(c) -> Column:
-    """Block tags become line breaks, other tags go, common entities are decoded."""
+    """Tags that begin a block become line breaks, other tags go, common entities are decoded."""
     c = F.col(c) if isinstance(c, str) else c
     c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    c = F.regexp_replace(c, r"(?i)<(br|/p|/div|/tr|/li|/h[1-6])\b[^>]*>", "\n")
+    c = F.regexp_replace(c, r"(?i)<(br|div|li|p|td|th|tr)\b[^>]*>", "\n")
     return unescape(F.regexp_replace(c, r"<[^>]*>", ""))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def other_encodings(payloads: pd.Series) -> pd.Series:
+    """Texts of payloads that aren't UTF-8: GB18030, else UTF-16, else null. Spark's own decode doesn't know GB18030."""
+
+    def decoded(raw: bytes | None) -> str | None:
+        for codec in ("gb18030", "utf-16"):
+            try:
+                return None if raw is None else bytes(raw).decode(codec)
+            except UnicodeDecodeError:
+                continue
+        return None
+
+    return payloads.map(lambda some: [decoded(x) for x in some])
+
+
+def decoded(df: DataFrame, payloads: Column, name: str) -> DataFrame:
+    """Adds `name`: the texts of an array of payloads, null where no encoding fits. UTF-8 (with or without its mark) is
+    decoded by Spark; only other payloads are sent to Python."""
+    df = df.withColumn("_payloads", payloads)
+    df = df.withColumn("_utf8", F.transform("_payloads", lambda x: F.try_validate_utf8(x.cast("string"))))
+    rest = F.filter(F.transform("_payloads", lambda x, i: F.when(F.get("_utf8", i).isNull(), x)), lambda x: x.isNotNull())
+    df = df.withColumn("_rest", other_encodings(F.coalesce(rest, F.array().cast("array<binary>"))))
+    # the n-th payload that isn't UTF-8 has the n-th of the other texts
+    before = lambda i: F.size(F.filter(F.slice("_utf8", F.lit(1), i), lambda x: x.isNull()))
+    texts = F.transform("_utf8", lambda x, i: F.coalesce(F.regexp_replace(x, "^\ufeff", ""), F.get("_rest", before(i))))
+    return df.withColumn(name, texts).drop("_payloads", "_utf8", "_rest")
+
+
+def delimiter_of(text: Column) -> Column:
+    """The delimiter of a text: of comma, semicolon, tab and bar the one that the most of the first ten lines hold as often
+    as the first line does; among equals the one that it holds most often, then the first of these; comma without any."""
+    lines = F.slice(F.filter(F.split(F.substring(text, 1, 4096), r"\r?\n"), lambda x: F.trim(x) != ""), 1, 10)
+    count = lambda x, d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))
+
+    def scored(i: int, d: str) -> Column:
+        head = count(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), d)
+        alike = F.size(F.filter(lines, lambda x: (count(x, d) == head) & (head > 0)))
+        return F.struct(alike.alias("alike"), head.alias("n"), F.lit(-i).alias("order"), F.lit(d).alias("d"))
+
+    best = F.greatest(*[scored(i, d) for i, d in enumerate((",", ";", "\t", "|"))])
+    return F.when(best["alike"] > 0, best["d"]).otherwise(",")
+
+
+def delimited_table(text: Column) -> Column:
+    """Rows of cells of delimited text. Delimiters inside double quotes part nothing; a doubled quote stands for one."""
+    patterns = {",": ",", ";": ";", "\t": r"\t", "|": r"\|"}
+    inside = r"(?=(?:[^\x22]*\x22[^\x22]*\x22)*[^\x22]*$)"
+    plain = lambda x: F.replace(F.regexp_replace(F.trim(x), r"^\x22(.*)\x22$", "$1"), F.lit('""'), F.lit('"'))
+
+    def rows(delimiter: Column) -> Column:
+        def cells(line: Column) -> Column:
+            cut = None
+            for d, p in patterns.items():
+                part = F.split(line, p + inside)
+                cut = F.when(delimiter == d, part) if cut is None else cut.when(delimiter == d, part)
+            return F.transform(cut, plain)
+
+        return F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""), cells)
+
+    return one(delimiter_of(text), rows)
+
+
 def read_delimited_payloads(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """key, text of attachments: UTF-8 (with or without mark), else GB18030, else UTF-16; null where none fits."""
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = []
-            for raw in f[payload]:
-                said = None
-                for codec in ("utf-8-sig", "gb18030", "utf-16"):
-                    try:
-                        said = None if raw is None else bytes(raw).decode(codec)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                texts.append(said)
-            yield pd.DataFrame({key: f[key], "text": texts})
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, payload).mapInPandas(decode, f"{key} {kind}, text string")
-
-
-def extract_fixed_labels(cells: DataFrame, labels: list[str], identities: dict[str, str]) -> DataFrame:
-    """key, ok, and a column per label, from cells(key, row, label, value). The labels must be exactly these, in this
-    order, and the identities as expected."""
-    w = Window.partitionBy("key").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = cells.withColumn("seen", F.collect_list("label").over(w)).groupBy("key").agg(F.first("seen").alias("seen"), *[F.max(F.when(F.col("label") == x, F.col("value"))).alias(x) for x in labels])
-    ok = F.col("seen") == F.array(*map(F.lit, labels))
+    """key, text, row (from 1), cells of attachments; a payload that no encoding fits has one row with null text."""
+    texts = decoded(df.select(key, payload), F.array(payload), "_texts").select(key, F.get("_texts", F.lit(0)).alias("text"))
+    rows = texts.select(key, "text", F.posexplode_outer(delimited_table(F.col("text"))).alias("row", "cells"))
+    return rows.withColumn("row", F.col("row") + 1)
+
+
+def extract_fixed_labels(cells: DataFrame, labels: list[str], identities: dict[str, str], dates: tuple[str, str] | None = None, values: tuple[str, ...] = ()) -> DataFrame:
+    """key, ok, reason, and a column per label, from cells(key, row, label, value). Checked in this order: the labels are
+    exactly these, in this order (`labels`); the identities are as expected (`identity`); the two named dates are there
+    and equal (`date`); the named values are between 0 and a million (`value`)."""
+    per = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("row", "label"))).alias("seen"), *[F.max(F.when(F.col("label") == x, F.col("value"))).alias(x) for x in labels])
+    reason = F.when(F.transform("seen", lambda x: x["label"]) != F.array(*map(F.lit, labels)), "labels")
     for name, value in identities.items():
-        ok = ok & (F.col(name) == value)
-    return per.select("key", F.coalesce(ok, F.lit(False)).alias("ok"), *labels)
+        reason = reason.when(~F.col(name).eqNullSafe(F.lit(value)), "identity")
+    if dates:
+        said, table = (parse_date(d) for d in dates)
+        reason = reason.when(said.isNull() | table.isNull() | (said != table), "date")
+    for v in values:
+        reason = reason.when(parse_number(v).isNull(), "value")
+    return per.select("key", reason.isNull().alias("ok"), reason.alias("reason"), *labels)
+
+
+def read_messages_rows(messages: DataFrame) -> DataFrame:
+    """message_id, failed, diagnostics (suffix, status, reason of attachments) and the raw rows of each part of a message:
+    text, html tables, html text, attachments. Columns: message_id, subject, plain, html and, if there are any,
+    attachments (an array of structs with suffix and payload)."""
+    if "attachments" not in messages.columns:
+        messages = messages.withColumn("attachments", F.array().cast("array<struct<suffix: string, payload: binary>>"))
+    suffix = lambda a: F.lower(F.regexp_replace(a["suffix"], r"^\.", ""))
+    files = F.filter("attachments", lambda a: suffix(a).isin(*DELIMITED_SUFFIXES) & (F.length(a["payload"]) > 0))
+    df = messages.select("message_id", F.coalesce("subject", F.lit("")).alias("subject"), "plain", "html", F.transform(files, lambda a: F.struct(suffix(a).alias("suffix"), a["payload"].alias("payload"))).alias("_files"))
+    df = read_text(df, "plain", "subject", "text")
+    df = read_tables(page_tables(df, "html"), F.col("_page_tables"), "html_tables").withColumn("_said", html_to_text("html"))
+    df = read_text(df, "_said", "subject", "html_text")
+    df = decoded(df, F.coalesce(F.transform("_files", lambda f: f["payload"]), F.array().cast("array<binary>")), "_decoded")
+    # one table per attachment, each bound by itself, as its diagnosis needs its own rows
+    df = df.withColumn("_sheets", F.transform("_decoded", lambda t: F.coalesce(delimited_table(t), F.array().cast("array<array<string>>"))))
+    df = df.withColumn("_heads", F.transform("_sheets", header_of))
+    bad = lambda i: F.get("_decoded", i).isNull() | F.coalesce(F.get("_heads", i)["dates"] > 1, F.lit(False))
+    status = lambda i: F.when(bad(i), "failed").when(F.get("_heads", i).isNull(), "no-nav-records")
+    reason = lambda i: F.when(bad(i), "invalid-or-unsupported-content").when(F.get("_heads", i).isNull(), "no-structured-nav-records")
+    told = F.transform("_files", lambda f, i: F.struct(f["suffix"].alias("suffix"), status(i).alias("status"), reason(i).alias("reason")))
+    df = df.withColumn("diagnostics", F.filter(F.coalesce(told, F.array().cast("array<struct<suffix: string, status: string, reason: string>>")), lambda x: x["status"].isNotNull()))
+    df = read_tables(df, F.col("_sheets"), "files")
+    failed = F.col("text.failed") | F.col("_bad") | F.col("html_tables.failed") | F.col("html_text.failed") | F.exists("diagnostics", lambda x: x["status"] == "failed")
+    return df.select("message_id", failed.alias("failed"), "diagnostics", *[F.col(f"{p}.rows").alias(p) for p in ("text", "html_tables", "html_text", "files")])
 
 
 def extract_observations(messages: DataFrame) -> DataFrame:
-    """Observations of message_id, subject, plain, html: text tables and HTML tables together, labelled lines where a
-    message has no text table; equal rows once. A message with bad HTML spans gives none."""
-    text = extract_delimited(messages, "message_id", "plain")
-    rest = messages.join(text.select("message_id").distinct(), "message_id", "left_anti")
-    labelled = extract_labelled(rest, "message_id", "plain", "subject")
-    pages = html_rows(messages.where(F.col("html").isNotNull()), "message_id", "html")
-    bad = pages.where("table_id < 0").select("message_id").distinct()
-    tables = bind_header(pages.where("table_id >= 0"), "message_id", "html")
-    every = text.unionByName(labelled).unionByName(tables).join(bad, "message_id", "left_anti")
-    return every.dropDuplicates(["message_id", "nav_date", "unit", "cumulative", "code"])
+    """Observations of the text, the HTML tables, the HTML text and the delimited attachments of messages; equal rows of a
+    message once. A message gives none if one of its parts fails: an ambiguous table, bad spans, a label twice, an
+    attachment that can't be read."""
+    read = read_messages_rows(messages).where(~F.col("failed"))
+    parts = F.array(*[F.struct(F.lit(s).alias("source"), F.col(p).alias("rows")) for p, s in (("text", "text"), ("html_tables", "html"), ("html_text", "html"), ("files", "csv"))])
+    each = read.select("message_id", F.inline(parts))
+    return observed(each, "message_id", F.col("rows"), F.col("source")).dropDuplicates(["message_id", "nav_date", "unit", "cumulative", "code"])
+
+
+def extraction_report(messages: DataFrame) -> DataFrame:
+    """message_id, failed, suffix, status, reason: one row per attachment without records or that failed, and one with
+    nulls for other messages that failed."""
+    read = read_messages_rows(messages).select("message_id", "failed", F.explode_outer("diagnostics").alias("d"))
+    return read.select("message_id", "failed", "d.suffix", "d.status", "d.reason").where(F.col("failed") | F.col("status").isNotNull())
 
 
 def register_extractor(name: str, extractor: Callable[[DataFrame], DataFrame]) -> None:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Subject words of notices that carry no value, and of those that do.
-VIRTUAL = r"(?i)虚拟|virtual|estimat"
-CONFIRMATION = r"(?i)交易确认|申购确认|赎回确认|trade confirmation|transaction confirmation"
-PERIODIC = r"(?i)季报|月报|年报|周报|quarterly report|monthly report|annual report|weekly report"
-NAV_SIGNAL = r"(?i)净值|\bnav\b|net asset value"
+from tidemark.functions.scalars import has_any
+
+# Words of subjects, without white space and in lower case.
+NAV_WORDS = ("净值", "unitnav", "unitvalue")
+VIRTUAL = ("虚拟估算", "模拟估算", "净值估算", "估算净值", "estimatednav", "navestimate")
+CONFIRMATION = ("交易确认", "成交确认", "申购确认", "赎回确认", "tradeconfirmation", "transactionconfirmation")
+PERIODIC = ("月报", "季报", "monthlyreport", "quarterlyreport")
+NO_CORRECTION = ("无需更正", "不作更正", "不用更正", "非更正", "未更正", "更正前", "修正前")
+AUTHORITATIVE = ("以此为准", "以本邮件为准", "以本通知为准", "更正通知", "更正版", "净值更正", "数据更正", "修正通知", "修正版")
+# Formats of attachments that are read.
 SUPPORTED = ("xlsx", "xls", "csv", "txt", "pdf", "html")
-NO_CORRECTION = r"(?i)无需更正|无需修正|更正前|修正前|no correction|before correction"
-AUTHORITATIVE = r"(?i)以本次为准|以此为准|以本邮件为准|this supersedes|replaces the previous"
-CORRECTION = r"(?i)(?<!非)(更正|修正|勘误)|\bcorrect(ed|ion)\b|\bamended\b|\brevised\b"
+# Limits of a source.
 MAX_CHARS, MAX_TABLES, MAX_ROWS, MAX_COLUMNS, MAX_CELLS = 2_000_000, 20, 20_000, 200, 2_000_000
 
 
@@ -44,20 +47,33 @@ def subject_in_scope(subject: Column, contains: Column, excludes: Column) -> Col
     return (within | low.contains(F.lower(contains))) & ~banned
 
 
+def compact(subject: Column) -> Column:
+    return F.lower(F.regexp_replace(subject, r"(?U)\s+", ""))
+
+
+def nav_signal(subject: Column) -> Column:
+    """Whether a subject speaks of a net asset value."""
+    return has_any(compact(subject), NAV_WORDS) | F.lower(subject).rlike(r"(?U)\bnav\b")
+
+
 def non_nav_category(subject: Column) -> Column:
-    signal = subject.rlike(NAV_SIGNAL)
-    return F.when(subject.rlike(VIRTUAL), "virtual-estimate").when(~signal & subject.rlike(CONFIRMATION), "transaction-confirmation").when(~signal & subject.rlike(PERIODIC), "periodic-report")
+    """Estimates always have one; confirmations and periodic reports only without a NAV signal."""
+    said, signal = compact(subject), nav_signal(subject)
+    return F.when(has_any(said, VIRTUAL), "virtual-estimate").when(~signal & has_any(said, CONFIRMATION), "transaction-confirmation").when(~signal & has_any(said, PERIODIC), "periodic-report")
 
 
 def notice_classification(subject: Column, suffixes: Column) -> Column:
     """Why a message gave no rows: its category, likely not a notice (no signal and no supported attachment), or a gap of
     the parser."""
     supported = F.exists(F.coalesce(suffixes, F.array().cast("array<string>")), lambda s: F.lower(s).isin(*SUPPORTED))
-    return F.coalesce(non_nav_category(subject), F.when(~subject.rlike(NAV_SIGNAL) & ~supported, "likely-non-nav-notice").otherwise("nav-parser-gap"))
+    return F.coalesce(non_nav_category(subject), F.when(~nav_signal(subject) & ~supported, "likely-non-nav-notice").otherwise("nav-parser-gap"))
 
 
 def correction_marker(subject: Column) -> Column:
-    return F.when(subject.rlike(NO_CORRECTION), None).when(subject.rlike(AUTHORITATIVE), "authoritative").when(subject.rlike(CORRECTION), "correction")
+    """authoritative, correction or null, by the first words that are found: denials, authoritative phrases, words."""
+    said = compact(subject)
+    words = said.rlike("(?<!非)(更正|修正)") | F.lower(subject).rlike(r"(?U)\b(corrected|correction|revised|revision)\b")
+    return F.when(has_any(said, NO_CORRECTION), None).when(has_any(said, AUTHORITATIVE), "authoritative").when(words, "correction")
 
 
 def active_routes(routes: DataFrame) -> DataFrame:
@@ -98,11 +114,22 @@ def batch_cursor(batch: DataFrame, key: str) -> DataFrame:
 
 
 def resource_guard(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds reject: the limit that a text breaks, or null."""
+    """Adds reject: the limit that a text breaks, or null. Lines are measured in one pass; tables are counted by their
+    opening tags."""
     c = F.coalesce(text_col, F.lit(""))
-    lines = F.size(F.split(c, "\n"))
-    width = F.array_max(F.transform(F.split(c, "\n"), lambda x: F.size(F.split(x, r"[|\t,;]"))))
-    return df.withColumn("reject", F.when(F.length(c) > MAX_CHARS, "too many characters").when(lines > MAX_ROWS, "too many rows").when(width > MAX_COLUMNS, "too many columns").when(lines * width > MAX_CELLS, "too many cells"))
+    widths = F.transform(F.split(c, "\n"), lambda x: F.length(x) - F.length(F.translate(x, "|\t,;", "")) + 1)
+    rows = df.withColumn("_widths", widths)
+    lines, width = F.size("_widths"), F.array_max("_widths")
+    cells = F.aggregate("_widths", F.lit(0).cast("long"), lambda total, x: total + x)
+    tables = F.regexp_count(c, F.lit(r"(?i)<table\b"))
+    reject = (
+        F.when(F.length(c) > MAX_CHARS, "too many characters")
+        .when(tables > MAX_TABLES, "too many tables")
+        .when(lines > MAX_ROWS, "too many rows")
+        .when(width > MAX_COLUMNS, "too many columns")
+        .when(cells > MAX_CELLS, "too many cells")
+    )
+    return rows.withColumn("reject", reject).drop("_widths")
 
 
 def last_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -111,8 +138,10 @@ def last_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int)
 
 
 def latest_headers(msgs: DataFrame, k: int) -> DataFrame:
-    """The newest k messages, newest first."""
-    return msgs.orderBy(F.desc("sent_at"), F.desc("uid")).limit(k)
+    """The newest k messages, newest first; truncated says whether there are more."""
+    n = msgs.agg((F.count("*") > k).alias("truncated"))
+    newest = msgs.orderBy(F.desc("sent_at"), F.desc("uid")).limit(k)
+    return newest.join(F.broadcast(n), how="cross").orderBy(F.desc("sent_at"), F.desc("uid"))  # one row
 
 
 def canonical_sort(obs: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import classify_sheet_header, column_letter, normalize_header, parse_date, parse_number, return_header_base
+from tidemark.functions.scalars import BENCHMARK_WORDS, classify_sheet_header, column_letter, has_any, normalize_header, parse_date, parse_number, return_header_base
 
 HEAD_ROWS, HEAD_COLUMNS = 30, 80
-# Words of a total row.
-TOTAL = r"(?i)^(total|合计|总计|汇总|累计收益)"
+# Words of a total row, normalised.
+TOTAL = ("累计", "合计", "total", "cumulative")
 
 
 def to_cells(wide: DataFrame, sheet: Column, row: str, columns: list[str]) -> DataFrame:
@@ -19,28 +19,58 @@ def to_cells(wide: DataFrame, sheet: Column, row: str, columns: list[str]) -> Da
     return long.withColumn("kind", F.lit("value"))
 
 
-def header_cells(cells: DataFrame) -> DataFrame:
+def header_cells(cells: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """Cells of the first rows and columns with their role (null without one). routes: sheet, display_name (of the
+    sheet's benchmark), if there are any."""
     top = cells.where((F.col("row") <= HEAD_ROWS) & (F.col("col") <= HEAD_COLUMNS))
-    return top.withColumn("role", classify_sheet_header("value")).where(F.col("role").isNotNull())
+    if routes is None:
+        return top.withColumn("role", classify_sheet_header("value")).withColumn("display_name", F.lit(None).cast("string"))
+    shown = routes.groupBy("sheet").agg(F.max("display_name").alias("display_name"))
+    return top.join(shown, "sheet", "left").withColumn("role", classify_sheet_header("value", F.col("display_name")))
 
 
-def detect_layout(cells: DataFrame) -> DataFrame:
+def detect_layout(cells: DataFrame, overrides: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
     """sheet, header_row, role, col: the header row has the most roles (3 more if it has date and unit), the first among
-    equals; the first column of a role counts. Sheets without date and unit have no rows."""
-    h = header_cells(cells)
+    equals; the first column of a role counts. overrides (sheet, role, col) win over what is found. Sheets without date
+    and unit have no rows; see layout_errors."""
+    h = header_cells(cells, routes).where(F.col("role").isNotNull())
     rows = h.groupBy("sheet", "row").agg(F.count_distinct("role").alias("n"), F.bool_or(F.col("role") == "date").alias("d"), F.bool_or(F.col("role") == "unit").alias("u"))
-    rows = rows.where(F.col("d") & F.col("u")).withColumn("score", F.col("n") + 3)
+    rows = rows.withColumn("score", F.col("n") + F.when(F.col("d") & F.col("u"), 3).otherwise(0))
     best = rows.groupBy("sheet").agg(F.min_by("row", F.struct(-F.col("score"), F.col("row"))).alias("row"))
-    return h.join(best, ["sheet", "row"]).groupBy("sheet", F.col("row").alias("header_row"), "role").agg(F.min("col").alias("col"))
-
-
-def pair_benchmark_columns(cells: DataFrame) -> DataFrame:
-    """Level and return columns of one index in a header row, paired by what is left of their headers without the words
-    for returns: sheet, row, level_col, return_col."""
-    h = cells.where(F.col("row") <= HEAD_ROWS).select("sheet", "row", "col", normalize_header("value").alias("name"), return_header_base("value").alias("base"), classify_sheet_header("value").alias("role"))
-    level = h.where("role = 'benchmark_level'").select("sheet", "row", F.col("col").alias("level_col"), F.regexp_replace("base", "(点位|收盘|level|close)", "").alias("b"))
-    back = h.where("role = 'benchmark_return'").select("sheet", "row", F.col("col").alias("return_col"), F.col("base").alias("b"))
-    return level.join(back, ["sheet", "row", "b"]).groupBy("sheet", "row", "level_col").agg(F.min("return_col").alias("return_col"))
+    found = h.join(best, ["sheet", "row"]).groupBy("sheet", F.col("row").alias("header_row"), "role").agg(F.min("col").alias("col"))
+    if overrides is not None:
+        given = overrides.select("sheet", "role", F.col("col").alias("_given"))
+        at = found.select("sheet", "header_row").distinct()
+        found = found.join(given, ["sheet", "role"], "full_outer").join(at.withColumnRenamed("header_row", "_at"), "sheet")
+        found = found.select("sheet", F.col("_at").alias("header_row"), "role", F.coalesce("_given", "col").alias("col"))
+    whole = found.groupBy("sheet").agg(F.count_if(F.col("role").isin("date", "unit")).alias("n")).where("n = 2").select("sheet")
+    return found.join(whole, "sheet", "left_semi")
+
+
+def layout_errors(cells: DataFrame, layout: DataFrame) -> DataFrame:
+    """sheet, issue: sheets whose header has no date or no unit column."""
+    return cells.select("sheet").distinct().join(layout.select("sheet").distinct(), "sheet", "left_anti").withColumn("issue", F.lit("date-or-unit-missing"))
+
+
+def pair_benchmark_columns(cells: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """Return and level column of a named index per header row: sheet, row, level_col (null if none), return_col.
+
+    A return header that isn't another role's pairs with the unused column whose header is what is left of it without
+    its words for returns. It needs a word for an index or the display name, or an excess column and a level column.
+    The first such return column counts; rows that have both roles already are left out."""
+    h = header_cells(cells, routes).withColumns({"name": normalize_header("value"), "base": return_header_base("value")})
+    row = Window.partitionBy("sheet", "row")
+    has = lambda r: F.coalesce(F.bool_or(F.col("role") == r).over(row), F.lit(False))
+    h = h.withColumns({"has_return": has("benchmark_return"), "has_level": has("benchmark_level"), "has_excess": has("excess")})
+    shown = normalize_header(F.coalesce("display_name", F.lit("")))
+    named = has_any(F.col("name"), BENCHMARK_WORDS) | ((shown != "") & F.col("name").contains(shown))
+    free = F.when(F.col("has_return"), F.col("role") == "benchmark_return").otherwise(F.col("role").isNull() | F.col("role").isin("daily_return", "weekly_return", "return"))
+    back = h.where(~(F.col("has_return") & F.col("has_level")) & F.coalesce(free, F.lit(False)) & (F.col("base") != "") & (F.col("base") != F.col("name")))
+    back = back.select("sheet", "row", F.col("col").alias("return_col"), F.col("base").alias("name"), named.alias("named"), "has_excess")
+    level = h.where(F.col("role").isNull()).groupBy("sheet", "row", "name").agg(F.min("col").alias("level_col"))
+    pairs = back.join(level, ["sheet", "row", "name"], "left").where(F.col("named") | (F.col("has_excess") & F.col("level_col").isNotNull()))
+    first = F.min_by(F.struct("level_col", "return_col"), "return_col").alias("p")
+    return pairs.groupBy("sheet", "row").agg(first).select("sheet", "row", "p.level_col", "p.return_col")
 
 
 def dated_cells(cells: DataFrame, layout: DataFrame) -> DataFrame:
@@ -56,11 +86,12 @@ def cells_to_history(cells: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def find_total_row(cells: DataFrame, history: DataFrame) -> DataFrame:
-    """sheet, total_row, placed: the first row with a total word in its first six columns below the header, and whether
-    it directly follows the last dated row."""
+    """sheet, total_row, placed: the first row after the last dated one that is headed by a total word in one of its
+    first six columns, and whether it directly follows."""
     last = history.groupBy("sheet").agg(F.max("row_no").alias("last"))
-    found = cells.where((F.col("col") <= 6) & F.col("value").rlike(TOTAL)).groupBy("sheet").agg(F.min("row").alias("total_row"))
-    return found.join(last, "sheet").select("sheet", "total_row", (F.col("total_row") == F.col("last") + 1).alias("placed"))
+    words = cells.where((F.col("col") <= 6) & normalize_header("value").isin(*TOTAL)).select("sheet", "row")
+    found = words.join(last, "sheet").where(F.col("row") > F.col("last")).groupBy("sheet", "last").agg(F.min("row").alias("total_row"))
+    return found.select("sheet", "total_row", (F.col("total_row") == F.col("last") + 1).alias("placed"))
 
 
 def check_mode(layout: DataFrame, totals: DataFrame, history: DataFrame, routes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.routing import accepted_codes
@@ -47,25 +47,30 @@ def route_rules(routes: DataFrame) -> DataFrame:
         "offset-missing": (c("cumulative_policy") == "offset") & c("cumulative_offset").isNull(),
         "template-frequency": (c("sheet_mode") == "template") & ~F.coalesce(c("return_frequency"), F.lit("")).isin(*RETURN_FREQUENCIES),
     }
-    broken = F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
-    return routes.select("sheet", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule"))
+    return broken_rules(routes, rules)
 
 
 def benchmark_rules(routes: DataFrame) -> DataFrame:
-    """sheet, rule. Columns: benchmark (a struct as in FIXTURES.md), benchmark_review_only, sheet_mode."""
-    b = lambda f: F.col("benchmark")[f]
-    has = F.col("benchmark").isNotNull()
-    provenance = F.array(b("technical_source_verified").isNotNull(), b("license_source").isNotNull(), b("license_approved_by").isNotNull())
-    given = F.size(F.filter(provenance, lambda x: x))
+    """sheet, rule. Columns: benchmark (a struct as in FIXTURES.md), benchmark_review_only, sheet_mode. The struct is
+    taken apart into columns first, and once."""
+    fields = ("source_sheet", "source_type", "source_date", "source_value", "technical_source_verified", "license_source", "license_approved_by")
+    flat = routes.select("sheet", F.coalesce("sheet_mode", F.lit("summary")).alias("mode"), F.coalesce("benchmark_review_only", F.lit(False)).alias("review"), F.col("benchmark").isNotNull().alias("has"), *[F.col("benchmark")[f].alias(f) for f in fields])
+    given = sum((F.col(f).isNotNull().cast("int") for f in fields[5:]), F.col(fields[4]).isNotNull().cast("int"))
     rules = {
-        "benchmark-fields": has & (b("source_sheet").isNull() | b("source_date").isNull() | b("source_value").isNull()),
-        "benchmark-type": has & ~F.coalesce(b("source_type"), F.lit("level")).isin("level", "aligned_return"),
-        "benchmark-provenance": has & (given > 0) & (given < 3),
-        "review-with-benchmark": has & F.coalesce("benchmark_review_only", F.lit(False)),
-        "review-needs-summary": F.coalesce("benchmark_review_only", F.lit(False)) & (F.coalesce("sheet_mode", F.lit("summary")) != "summary"),
+        "benchmark-fields": F.col("has") & (F.col("source_sheet").isNull() | F.col("source_date").isNull() | F.col("source_value").isNull()),
+        "benchmark-type": F.col("has") & ~F.coalesce("source_type", F.lit("level")).isin("level", "aligned_return"),
+        "benchmark-provenance": F.col("has") & given.between(1, 2),
+        "review-with-benchmark": F.col("has") & F.col("review"),
+        "review-needs-summary": F.col("review") & (F.col("mode") != "summary"),
     }
-    broken = F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])
-    return routes.select("sheet", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule"))
+    return broken_rules(flat, rules)
+
+
+def broken_rules(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """sheet, rule of the rules that hold on a row."""
+    named = rows.select("sheet", *[F.coalesce(rule, F.lit(False)).alias(f"r{i}") for i, rule in enumerate(rules.values())])
+    found = F.array_compact(F.array(*[F.when(F.col(f"r{i}"), F.lit(name)) for i, name in enumerate(rules)]))
+    return named.select("sheet", F.explode(found).alias("rule"))
 
 
 def review_rules(reviews: DataFrame, routes: DataFrame) -> DataFrame:

@@ -42,6 +42,35 @@ def subject():
     return m[F.col("event_type")]
 
 
+#: Subjects with their category and correction marker; n: a NAV signal.
+SUBJECTS = (
+    ("基金净值公告", None, None, True),
+    ("NAV at virtual meeting", None, None, True),
+    ("unit NAV 虚拟 估算", "virtual-estimate", None, True),
+    ("Estimated NAV of the week", "virtual-estimate", None, True),
+    ("Trade Confirmation 17", "transaction-confirmation", None, False),
+    ("申购确认书", "transaction-confirmation", None, False),
+    ("申购确认及净值", None, None, True),
+    ("Monthly  report", "periodic-report", None, False),
+    ("季报", "periodic-report", None, False),
+    ("季报 nav", None, None, True),
+    ("净值未更正", None, None, True),
+    ("净值不作更正", None, None, True),
+    ("更正通知", None, "authoritative", False),
+    ("净值 更正", None, "authoritative", True),
+    ("以本邮件 为准", None, "authoritative", False),
+    ("更正", None, "correction", False),
+    ("修正一", None, "correction", False),
+    ("非更正", None, None, False),
+    ("Revised values", None, "correction", False),
+    ("Correction", None, "correction", False),
+    ("correctional facility", None, None, False),
+    ("canavan", None, None, False),
+    ("UnitValue", None, None, True),
+)
+SUBJECT_SQL = "s(k, subject, category, marker, signal) AS (VALUES " + ", ".join("({}, {}, {}, {}, {})".format(i, *["NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" for x in row]) for i, row in enumerate(SUBJECTS)) + ")"
+
+
 @query("b3_subject_in_scope", "SELECT event_id FROM obs WHERE event_type IN ('view','error')", "obs")
 def b3_subject(spark, sf_dir):
     return A.obs_events(spark, sf_dir).where(filters.subject_in_scope(subject(), F.lit("nav"), F.array(F.lit("REPORT"), F.lit("")))).select("event_id")
@@ -49,13 +78,13 @@ def b3_subject(spark, sf_dir):
 
 @query(
     "b4_b5_b6_categories",
-    "SELECT event_type, CASE event_type WHEN 'click' THEN 'transaction-confirmation' WHEN 'signup' THEN 'periodic-report' END AS category, CASE event_type WHEN 'click' THEN 'transaction-confirmation' WHEN 'signup' THEN 'periodic-report' ELSE 'nav-parser-gap' END AS gap, CASE WHEN event_type='error' THEN 'correction' END AS marker, count(*) AS n FROM obs GROUP BY 1",
-    "obs",
+    f"WITH {SUBJECT_SQL} SELECT event_id, category, coalesce(category, CASE WHEN NOT signal AND event_id%3<>0 THEN 'likely-non-nav-notice' ELSE 'nav-parser-gap' END) AS gap, marker FROM events JOIN s ON k=event_id%{len(SUBJECTS)}",
 )
 def b4_b6(spark, sf_dir):
-    s = subject()
-    o = A.obs_events(spark, sf_dir).select("event_type", filters.non_nav_category(s).alias("category"), filters.notice_classification(s, F.array().cast("array<string>")).alias("gap"), filters.correction_marker(s).alias("marker"))
-    return o.groupBy("event_type", "category", "gap", "marker").agg(F.count("*").alias("n"))
+    s = F.get(F.array(*[F.lit(row[0]) for row in SUBJECTS]), (F.col("event_id") % len(SUBJECTS)).cast("int"))
+    e = A.table(spark, sf_dir, "events").select("event_id", s.alias("subject"), F.when(F.col("event_id") % 3 == 0, F.array(F.lit("XLSX"))).when(F.col("event_id") % 3 == 1, F.array(F.lit("png"))).alias("suffixes"))
+    s = F.col("subject")
+    return e.select("event_id", filters.non_nav_category(s).alias("category"), filters.notice_classification(s, F.col("suffixes")).alias("gap"), filters.correction_marker(s).alias("marker"))
 
 
 @query("b7_active_routes", "SELECT sheet, CASE WHEN paused THEN 'on hold' ELSE 'active' END AS state FROM routes", "routes")
@@ -98,9 +127,23 @@ def b11_source(spark, sf_dir):
     return A.obs_events(spark, sf_dir).groupBy("event_type", S.source_type(c).alias("source_type")).agg(F.count("*").alias("n"))
 
 
-@query("b13_resource_guard", "SELECT doc_id, CASE WHEN length(text)>2000000 THEN 'too many characters' WHEN len(string_split(text,chr(10)))>20000 THEN 'too many rows' WHEN list_max(list_transform(string_split(text,chr(10)), lambda x: len(regexp_split_to_array(x,'[|\\t,;]'))))>200 THEN 'too many columns' END AS reject FROM documents")
+@query(
+    "b13_resource_guard",
+    """WITH t AS (SELECT doc_id, CASE doc_id%5 WHEN 0 THEN text WHEN 1 THEN repeat(text||chr(10), 30000//(length(text)-length(replace(text,chr(10),''))+1)+1) WHEN 2 THEN text||repeat('|x', 250) WHEN 3 THEN text||repeat('<table>', 21) ELSE repeat(text, 2000000//greatest(length(text),1)+2) END AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, length(t) AS n, list_transform(string_split(t,chr(10)), lambda x: length(x)-length(translate(x,'|\t,;',''))+1) AS widths, len(string_split(t,'<table>'))-1 AS tables FROM t)
+SELECT doc_id, CASE WHEN n>2000000 THEN 'too many characters' WHEN tables>20 THEN 'too many tables' WHEN len(widths)>20000 THEN 'too many rows' WHEN list_max(widths)>200 THEN 'too many columns' WHEN list_sum(widths)>2000000 THEN 'too many cells' END AS reject FROM w""",
+)
 def b13_guard(spark, sf_dir):
-    return filters.resource_guard(A.table(spark, sf_dir, "documents"), "text").select("doc_id", "reject")
+    n = F.length("text")
+    t = (
+        F.when(F.col("doc_id") % 5 == 0, F.col("text"))
+        .when(F.col("doc_id") % 5 == 1, F.expr("repeat(concat(text, '\n'), cast(30000 div (length(text)-length(replace(text,'\n',''))+1)+1 as int))"))
+        .when(F.col("doc_id") % 5 == 2, F.concat("text", F.repeat(F.lit("|x"), 250)))
+        .when(F.col("doc_id") % 5 == 3, F.concat("text", F.repeat(F.lit("<table>"), 21)))
+        .otherwise(F.expr("repeat(text, cast(2000000 div greatest(length(text),1)+2 as int))"))
+    )
+    d = A.table(spark, sf_dir, "documents").where(n.isNotNull()).select("doc_id", t.alias("t"))
+    return filters.resource_guard(d, "t").select("doc_id", "reject")
 
 
 @query("e1_deduplicate", "+ r AS (SELECT *, row_number() OVER (PARTITION BY code, nav_date, round_even(unit,0) ORDER BY event_id DESC) AS n FROM obs) SELECT code, nav_date, event_id FROM r WHERE n=1", "obs")
@@ -204,9 +247,10 @@ def f3_overlaps(spark, sf_dir):
     return routing.route_overlaps(A.obs_events(spark, sf_dir), A.routes_events(spark, sf_dir)).select("route_a", "route_b", "messages")
 
 
-@query("f10_match_candidates", "+ c AS (SELECT DISTINCT sender, code, user_id FROM obs WHERE user_id%7<>0) SELECT sender, code, CASE WHEN user_id%5=0 THEN 'new' ELSE 'matched' END AS status FROM c UNION ALL SELECT sender, code, 'not-seen' FROM routes WHERE CAST(substr(code,2) AS INTEGER)%7=0", "obs", "routes")
+@query("f10_match_candidates", "+ c AS (SELECT DISTINCT sender, code, user_id FROM obs) SELECT sender, code, CASE WHEN user_id%5=0 THEN 'new' ELSE 'matched' END AS status FROM c WHERE user_id%7<>0 UNION ALL SELECT sender, code||'Z', 'new' FROM c WHERE user_id%7=0 UNION ALL SELECT sender, code, 'not-seen' FROM routes WHERE CAST(substr(code,2) AS INTEGER)%7=0", "obs", "routes")
 def f10_match(spark, sf_dir):
-    return routing.match_candidates(A.obs_events(spark, sf_dir).where("user_id % 7 <> 0"), A.routes_events(spark, sf_dir))
+    seen = A.obs_events(spark, sf_dir).withColumn("code", F.when(F.col("user_id") % 7 == 0, F.concat("code", F.lit("Z"))).otherwise(F.col("code")))
+    return routing.match_candidates(seen, A.routes_events(spark, sf_dir))
 
 
 @query("f11_alias_pending", "SELECT sender, code||'B2' AS code, code AS route_code, sheet FROM routes WHERE CAST(substr(code,2) AS INTEGER)%3=0 AND (SELECT count(*) FROM routes r2 WHERE r2.sender=routes.sender AND starts_with(routes.code||'B2', r2.code))=1", "routes")
@@ -282,10 +326,10 @@ def i1_last(spark, sf_dir):
     return filters.last_n_per_key(A.obs_events(spark, sf_dir), ["code"], [F.desc("nav_date"), F.desc("event_id")], 5).select("code", "event_id")
 
 
-@query("i2_latest_headers", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+@query("i2_latest_headers", "SELECT event_id, (SELECT count(*)>100 FROM events) AS truncated FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def i2_latest(spark, sf_dir):
     e = A.table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("sent_at"), F.col("event_id").alias("uid"))
-    return filters.latest_headers(e, 100).select("event_id")
+    return filters.latest_headers(e, 100).select("event_id", "truncated")
 
 
 @query("i3_canonical_sort", "SELECT nav_date, code, unit FROM obs", "obs")

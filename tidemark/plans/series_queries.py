@@ -347,14 +347,25 @@ def c1_text(spark, sf_dir):
 
 @query(
     "c2_c3_parse",
-    """SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_linenumber=1 THEN NULL ELSE nullif(CASE WHEN l_extendedprice*20 < 1000000 THEN rnd(l_extendedprice*20,2) END, 0) END AS number, CASE WHEN l_linenumber=2 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS day FROM lineitem""",
+    """SELECT l_orderkey AS k, l_linenumber AS n, CASE WHEN l_linenumber=1 THEN NULL ELSE nullif(CASE WHEN l_extendedprice*20 < 1000000 THEN rnd(l_extendedprice*20,2) END, 0) END AS number,
+CASE WHEN l_linenumber=2 OR (l_linenumber=1 AND l_partkey%3=1) THEN NULL ELSE CAST(l_shipdate + INTERVAL 20 YEAR AS DATE) END AS day FROM lineitem""",
 )
 def c2_c3_parse(spark, sf_dir):
     i = A.table(spark, sf_dir, "lineitem")
-    d, line = F.col("l_shipdate").cast("date"), F.col("l_linenumber")
+    d, line, kind = A.later(F.col("l_shipdate").cast("date")), F.col("l_linenumber"), F.col("l_partkey") % 3
     number = F.format_number(A.rounded(F.col("l_extendedprice") * 20, 2), 2)
     raw = F.when(line == 1, F.concat(number, F.lit("%"))).otherwise(number)
-    date = F.when(line == 2, F.concat(F.year(d).cast("string"), F.lit("-13-"), F.day(d).cast("string"))).when(line == 3, F.date_format(d, "yyyy年M月d日")).when(line == 4, F.date_format(d, "yyyyMMdd")).when(line == 5, F.date_format(d, "yyMMdd")).when(line == 6, F.date_diff(d, day("1899-12-30")).cast("string")).otherwise(F.date_format(d, "yyyy/MM/dd"))
+    spelt = lambda *forms: F.get(F.array(*[F.date_format(d, f) for f in forms]), kind.cast("int"))
+    date = (
+        F.when(line == 1, F.when(kind == 1, F.date_format(F.add_months(d, -360), "yyyy-MM-dd")).otherwise(F.date_format(d, "yyyy.M.d")))  # 1982 to 1998: another century
+        .when(line == 2, F.concat(F.year(d).cast("string"), F.lit("-13-"), F.day(d).cast("string")))
+        .when(line == 3, spelt("yyyy年M月d日", "yy年MM月dd日", "至 yyyy年M月d日 止"))
+        .when(line == 4, F.date_format(d, "yyyyMMdd"))
+        .when((line == 5) & (F.year(d) == 2020), F.date_format(d, "yy.MM.dd"))  # 20yyMM would be a year and a month
+        .when(line == 5, spelt("yyMMdd", "yy-MM-dd", "yy/MM/dd"))
+        .when(line == 6, F.date_diff(d, day("1899-12-30")).cast("string"))
+        .otherwise(F.date_format(d, "yyyy/MM/dd"))
+    )
     return i.select(F.col("l_orderkey").alias("k"), line.alias("n"), S.parse_number(raw).alias("number"), S.parse_date(date).alias("day"))
 
 

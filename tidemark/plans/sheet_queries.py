@@ -27,9 +27,9 @@ def a3_cells(spark, sf_dir):
     return layout.to_cells(s, F.lit("supplier"), "s_suppkey", ["s_name", "s_nationkey"]).drop("kind")
 
 
-@query("a4_read_benchmark", "SELECT bm_date, bm_value, false AS duplicate FROM bm", "bm")
+@query("a4_read_benchmark", "SELECT CAST(bm_date + INTERVAL 20 YEAR AS DATE) AS bm_date, bm_value, false AS duplicate FROM bm", "bm")
 def a4_benchmark(spark, sf_dir):
-    raw = A.bm_orders(spark, sf_dir).select(F.date_format("bm_date", "yyyy/MM/dd").alias("d"), F.col("bm_value").cast("string").alias("v"))
+    raw = A.bm_orders(spark, sf_dir).select(F.date_format(A.later("bm_date"), "yyyy/MM/dd").alias("d"), F.col("bm_value").cast("string").alias("v"))
     return snapshots.read_benchmark(raw, "d", "v")
 
 
@@ -55,9 +55,49 @@ def a7_publish(spark, sf_dir):
     return snapshots.read_published(spark, base)
 
 
-@query("c5_c6_headers", "SELECT sheet, col, CASE col WHEN 1 THEN 'date' WHEN 2 THEN 'code' WHEN 3 THEN 'unit' ELSE 'cumulative' END AS notice_role, CASE col WHEN 1 THEN 'date' WHEN 2 THEN 'code' WHEN 3 THEN 'unit' ELSE 'cumulative' END AS sheet_role FROM cells WHERE \"row\"=1", "cells")
+#: Headers with their role in a notice and in a sheet whose benchmark is shown as "Demo Index".
+HEADERS = (
+    ("NAV Date", "date", "date"),
+    ("估值基准日", "date", None),
+    ("日 期", "date", "date"),
+    ("Product Code：", "code", "code"),
+    ("份额净值（元）", "unit", "unit"),
+    ("最新净值", "unit", None),
+    ("NAV", "unit", None),
+    ("Unit-NAV", "unit", "unit"),
+    ("累计单位净值", "cumulative", "cumulative"),
+    ("Cumulative NAV", "cumulative", "cumulative"),
+    ("Accumulated_NAV", "cumulative", None),
+    ("基金名称", None, "name"),
+    ("超额收益", None, "excess"),
+    ("Alpha", None, "excess"),
+    ("指数成分", None, None),
+    ("Index Provider", None, None),
+    ("Index Level", None, "benchmark_level"),
+    ("沪深指数 收盘", None, "benchmark_level"),
+    ("基准 日收益", None, "benchmark_return"),
+    ("Benchmark Return", None, "benchmark_return"),
+    ("Demo Index", None, "benchmark_level"),
+    ("Demo Index (daily return)", None, "benchmark_return"),
+    ("收益（周度）", None, "weekly_return"),
+    ("Daily Return", None, "daily_return"),
+    ("产品收益", None, "return"),
+    ("备注", None, None),
+    ("", None, None),
+)
+
+
+def listed(rows) -> str:
+    """Rows as SQL values behind a running number."""
+    cell = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
+    return ", ".join(f"({i}, {', '.join(map(cell, row))})" for i, row in enumerate(rows))
+
+
+@query("c5_c6_headers", f"SELECT o_orderkey AS k, notice_role, sheet_role FROM orders JOIN (VALUES {listed([(a, b) for _, a, b in HEADERS])}) h(i, notice_role, sheet_role) ON i=o_orderkey%{len(HEADERS)}")
 def c5_c6(spark, sf_dir):
-    return A.cells_nation(spark, sf_dir).where("row = 1").select("sheet", "col", S.classify_header("value").alias("notice_role"), S.classify_sheet_header("value").alias("sheet_role"))
+    head = F.get(F.array(*[F.lit(h[0]) for h in HEADERS]), (F.col("o_orderkey") % len(HEADERS)).cast("int"))
+    o = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), head.alias("head"))
+    return o.select("k", S.classify_header("head").alias("notice_role"), S.classify_sheet_header("head", F.lit("Demo Index")).alias("sheet_role"))
 
 
 @query("c12_message_order", "SELECT event_id, CASE WHEN event_id%2=0 THEN 'mailbox-uid' ELSE 'message-date' END AS kind, CASE WHEN event_id%2=0 THEN event_id+1 ELSE epoch_us(ts) END AS ord FROM events")
@@ -71,9 +111,9 @@ def c15_hash(spark, sf_dir):
     return A.cells_nation(spark, sf_dir).select("sheet", "row", "col", S.typed_cell_hash("kind", "value").alias("hash"))
 
 
-@query("c14_payload_fingerprint")
+@query("c14_payload_fingerprint", """SELECT sheet, nav_date, sha256('{"code":"'||code||'","nav_date":"'||nav_date||'","sheet":"'||sheet||'"}') AS fingerprint FROM cand""", "cand")
 def c14_fingerprint(spark, sf_dir):
-    return A.cand(spark, sf_dir).select("sheet", "nav_date", S.payload_fingerprint("sheet", "nav_date", "unit").alias("fingerprint"))
+    return A.cand(spark, sf_dir).select("sheet", "nav_date", S.payload_fingerprint("sheet", "nav_date", "code").alias("fingerprint"))
 
 
 @query("c16_unique_date", "SELECT o_orderkey AS k, CASE WHEN o_orderkey%2=0 AND o_orderdate>=DATE '2000-01-01' THEN CAST(o_orderdate AS DATE) END AS found FROM orders")
@@ -89,14 +129,14 @@ def notices(spark, sf_dir):
     s = A.series(spark, sf_dir)
     k = F.substring("code", 2, 9).cast("int") % 4
     d = F.when(k == 0, " | ").when(k == 1, "\t").when(k == 2, ",").otherwise(";")
-    line = F.concat("code", d, F.col("nav_date").cast("string"), d, F.format_string("%.6f", "unit"))
+    line = F.concat("code", d, A.later("nav_date").cast("string"), d, F.format_string("%.6f", "unit"))
     head = F.concat(F.lit("Product Code"), d, F.lit("NAV Date"), d, F.lit("Unit NAV"))
     rows = s.select("code", F.trunc("nav_date", "MM").alias("m"), line.alias("line"), head.alias("head"))
     body = rows.groupBy("code", "m", "head").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("t"))
     return body.select(F.concat("code", F.lit("-"), F.col("m").cast("string")).alias("message_id"), F.lit("NAV notice").alias("subject"), F.concat("head", F.lit("\n"), "t").alias("plain"), F.lit(None).cast("string").alias("html"))
 
 
-@query("d1_d2_extract_delimited", "SELECT code, nav_date, unit FROM series WHERE unit<1000000", "series")
+@query("d1_d2_extract_delimited", "SELECT code, CAST(nav_date + INTERVAL 20 YEAR AS DATE) AS nav_date, unit FROM series WHERE unit<1000000", "series")
 def d1_d2(spark, sf_dir):
     return extract.extract_delimited(notices(spark, sf_dir), "message_id", "plain").select("code", "nav_date", "unit")
 
@@ -110,34 +150,93 @@ def d3_labelled(spark, sf_dir):
 
 
 def pages(spark, sf_dir):
-    rows = A.cand(spark, sf_dir).select("code", F.trunc("nav_date", "MM").alias("m"), F.concat(F.lit("<tr><td>"), "code", F.lit("</td><td>"), F.col("nav_date").cast("string"), F.lit("</td><td>"), F.format_string("%.6f", "unit"), F.lit("</td><td>"), F.format_string("%.6f", "cumulative"), F.lit("</td></tr>")).alias("r"))
+    rows = A.cand(spark, sf_dir).select("code", F.trunc("nav_date", "MM").alias("m"), F.concat(F.lit("<tr><td>"), "code", F.lit("</td><td>"), A.later("nav_date").cast("string"), F.lit("</td><td>"), F.format_string("%.6f", "unit"), F.lit("</td><td>"), F.format_string("%.6f", "cumulative"), F.lit("</td></tr>")).alias("r"))
     body = rows.groupBy("code", "m").agg(F.array_join(F.array_sort(F.collect_list("r")), "").alias("t"))
     head = "<p>Dear all,<br>see below</p><table><tr><th rowspan=2>Product Code</th><th rowspan=2>NAV Date</th><th colspan=2>NAV</th></tr><tr><th>Unit NAV</th><th>Cumulative NAV</th></tr>"
     return body.select(F.concat("code", F.lit("-"), F.col("m").cast("string")).alias("message_id"), F.lit("NAV notice").alias("subject"), F.lit(None).cast("string").alias("plain"), F.concat(F.lit(head), "t", F.lit("</table>")).alias("html"))
 
 
-@query("d4_extract_html_tables", "SELECT code, nav_date, unit, rnd(cumulative,6) AS cumulative FROM cand WHERE cumulative<1000000", "cand")
+@query("d4_extract_html_tables", "SELECT code, CAST(nav_date + INTERVAL 20 YEAR AS DATE) AS nav_date, unit, rnd(cumulative,6) AS cumulative FROM cand WHERE cumulative<1000000", "cand")
 def d4_html(spark, sf_dir):
     return extract.extract_html_tables(pages(spark, sf_dir), "message_id", "html").select("code", "nav_date", "unit", A.rounded("cumulative", 6).alias("cumulative"))
 
 
-@query("d5_html_to_text", "SELECT DISTINCT code||'-'||CAST(date_trunc('month',nav_date) AS DATE) AS message_id, true AS ok FROM cand", "cand")
+@query("d5_html_to_text", "SELECT code||'-'||CAST(date_trunc('month',nav_date) AS DATE) AS message_id, '\nDear all,\nsee below\n\nProduct Code\nNAV Date'||string_agg('\n\n'||code||'\n'||CAST(nav_date + INTERVAL 20 YEAR AS DATE)||'\n'||printf('%.6f',unit)||'\n'||printf('%.6f',cumulative), '' ORDER BY nav_date) AS t FROM cand GROUP BY code, date_trunc('month',nav_date)", "cand")
 def d5_text(spark, sf_dir):
-    return pages(spark, sf_dir).select("message_id", extract.html_to_text("html").startswith("Dear all,\nsee below\n").alias("ok"))
+    said = F.replace(extract.html_to_text("html"), F.lit("\nNAV\n\nUnit NAV\nCumulative NAV"), F.lit(""))
+    return pages(spark, sf_dir).select("message_id", said.alias("t"))
 
 
-@query("d6_extract_observations", "SELECT code, nav_date, unit FROM series WHERE unit<1000000 UNION ALL SELECT code, nav_date, unit FROM cand WHERE unit<1000000", "series", "cand")
+def labelled_pages(spark, sf_dir):
+    """HTML without tables, whose labelled lines are the only source; every third names its unit value twice."""
+    o = A.obs_events(spark, sf_dir)
+    said = F.concat(F.lit("<div>Product Code: "), "code", F.lit("</div><p>Unit NAV: "), F.format_string("%.2f", "unit"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("<p>NAV: "), F.format_string("%.2f", "unit"))).otherwise(""))
+    return o.select(F.concat(F.lit("h"), "event_id").alias("message_id"), F.concat(F.lit("notice "), F.col("nav_date").cast("string")).alias("subject"), F.lit(None).cast("string").alias("plain"), said.alias("html"))
+
+
+@query(
+    "d6_extract_observations",
+    "SELECT code, CAST(nav_date + INTERVAL 20 YEAR AS DATE) AS nav_date, unit, 'text' AS source FROM series WHERE unit<1000000 UNION ALL SELECT code, CAST(nav_date + INTERVAL 20 YEAR AS DATE), unit, 'html' FROM cand WHERE unit<1000000 UNION ALL SELECT code, nav_date, unit, 'html' FROM obs WHERE unit>0 AND event_id%3<>0 UNION ALL SELECT code, CAST(nav_date + INTERVAL 20 YEAR AS DATE), unit, 'csv' FROM series WHERE unit<1000000 AND number_of(code)%3=0",
+    "series",
+    "cand",
+    "obs",
+)
 def d6_observations(spark, sf_dir):
-    every = notices(spark, sf_dir).withColumn("message_id", F.concat("message_id", F.lit("t"))).unionByName(pages(spark, sf_dir))
-    return extract.extract_observations(every).select("code", "nav_date", "unit")
+    texts = notices(spark, sf_dir).withColumn("message_id", F.concat("message_id", F.lit("t")))
+    every = texts.unionByName(pages(spark, sf_dir)).unionByName(labelled_pages(spark, sf_dir)).withColumn("attachments", F.array().cast(FILE_TYPE))
+    return extract.extract_observations(every.unionByName(attached(spark, sf_dir))).select("code", "nav_date", "unit", "source")
+
+
+FILE_TYPE = "array<struct<name: string, suffix: string, content_type: string, payload: binary>>"
+
+
+def attached(spark, sf_dir):
+    """Notices as attachments: by code as they are, with a second one that can't be read, with one that has no records."""
+    n = notices(spark, sf_dir)
+    k = F.substring("message_id", 2, 4).cast("int") % 3
+    file = lambda suffix, payload: F.struct(F.lit("f").alias("name"), F.lit(suffix).alias("suffix"), F.lit("text/plain").alias("content_type"), payload.alias("payload"))
+    own = file(".csv", F.encode("plain", "UTF-16"))
+    files = F.when(k == 0, F.array(own, file(".png", F.encode(F.lit("x"), "UTF-8")))).when(k == 1, F.array(own, file(".txt", F.unhex(F.lit("FF81FF"))))).otherwise(F.array(file(".CSV", F.encode(F.lit("a,b\n1,2"), "UTF-8"))))
+    return n.select(F.concat("message_id", F.lit("a")).alias("message_id"), "subject", F.lit(None).cast("string").alias("plain"), "html", files.alias("attachments"))
+
+
+@query(
+    "d6_extraction_report",
+    "+ m AS (SELECT DISTINCT code||'-'||CAST(date_trunc('month',nav_date) AS DATE)||'a' AS message_id, number_of(code)%3 AS k FROM series) SELECT message_id, k=1 AS failed, CASE k WHEN 1 THEN 'txt' ELSE 'csv' END AS suffix, CASE k WHEN 1 THEN 'failed' ELSE 'no-nav-records' END AS status, CASE k WHEN 1 THEN 'invalid-or-unsupported-content' ELSE 'no-structured-nav-records' END AS reason FROM m WHERE k>0",
+    "series",
+)
+def d6_report(spark, sf_dir):
+    return extract.extraction_report(attached(spark, sf_dir))
 
 
-@query("d7_fixed_labels", "SELECT 'N'||n_nationkey AS \"key\", n_nationkey%2=0 AS ok, n_name AS name FROM nation")
+@query("d2_second_header", "SELECT code, CAST(nav_date + INTERVAL 20 YEAR AS DATE) AS nav_date, unit FROM series WHERE unit<1000000 AND number_of(code)%4<>1", "series")
+def d2_headers(spark, sf_dir):
+    """A first header without rows below it, then the true one; by code a header with two date columns, which rejects."""
+    n = notices(spark, sf_dir)
+    ambiguous = F.substring("message_id", 2, 4).cast("int") % 4 == 1
+    first = F.when(ambiguous, F.lit("NAV Date\tValuation Date\tUnit NAV\n")).otherwise(F.lit("Valuation Date | NAV\nsee | below\nDate;NAV\nsee;below\nDate,NAV\nsee,below\nDate\tNAV\nsee\tbelow\n"))
+    return extract.extract_delimited(n.withColumn("plain", F.concat(first, "plain")), "message_id", "plain").select("code", "nav_date", "unit")
+
+
+@query(
+    "d7_fixed_labels",
+    "SELECT 'N'||n_nationkey AS \"key\", r IS NULL AS ok, r AS reason, n_name AS name FROM (SELECT *, CASE WHEN n_nationkey%5=4 THEN 'labels' WHEN n_nationkey%5=1 THEN 'identity' WHEN n_nationkey%5=2 THEN 'date' WHEN n_nationkey%5=3 THEN 'value' END AS r FROM nation)",
+)
 def d7_fixed(spark, sf_dir):
     n = A.table(spark, sf_dir, "nation")
-    pairs = F.array(F.struct(F.lit("name").alias("label"), F.col("n_name").alias("value")), F.struct(F.lit("issuer").alias("label"), F.when(F.col("n_nationkey") % 2 == 0, "ACME").otherwise("OTHER").alias("value")))
-    cells = n.select(F.concat(F.lit("N"), "n_nationkey").alias("key"), F.posexplode(pairs).alias("row", "p")).select("key", "row", "p.label", "p.value")
-    return extract.extract_fixed_labels(cells, ["name", "issuer"], {"issuer": "ACME"}).select("key", "ok", "name")
+    k = F.col("n_nationkey") % 5
+    pair = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    pairs = [
+        pair("name", F.col("n_name")),
+        pair("issuer", F.when(k == 1, "OTHER").otherwise("ACME")),
+        pair("subject date", F.lit("2026-01-09")),
+        pair("table date", F.when(k == 2, "2026-01-10").otherwise("20260109")),
+        pair("value", F.when(k == 3, "1000000").otherwise("1.5")),
+    ]
+    rows = F.when(k == 4, F.array(*pairs[1:], pairs[0])).otherwise(F.array(*pairs))
+    cells = n.select(F.concat(F.lit("N"), "n_nationkey").alias("key"), F.posexplode(rows).alias("row", "p")).select("key", "row", "p.label", "p.value")
+    found = extract.extract_fixed_labels(cells, ["name", "issuer", "subject date", "table date", "value"], {"issuer": "ACME"}, ("subject date", "table date"), ("value",))
+    return found.select("key", "ok", "reason", "name")
 
 
 @query("d8_register_extractor", "SELECT code, count(*) AS n FROM series WHERE unit<1000000 GROUP BY 1", "series")
@@ -146,12 +245,20 @@ def d8_extractor(spark, sf_dir):
     return extract.run_extractors(notices(spark, sf_dir), ["delimited"]).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("a2_read_delimited_payloads", "SELECT DISTINCT code||'-'||CAST(date_trunc('month',nav_date) AS DATE) AS message_id, true AS same FROM series", "series")
+@query(
+    "a2_read_delimited_payloads",
+    "+ n AS (SELECT code||'-'||CAST(date_trunc('month',nav_date) AS DATE) AS message_id, code, CAST(nav_date + INTERVAL 20 YEAR AS DATE) AS d, printf('%.6f',unit) AS u, row_number() OVER (PARTITION BY code, date_trunc('month',nav_date) ORDER BY code||'|'||nav_date) AS r FROM series) SELECT message_id, CAST(r+1 AS INTEGER) AS \"row\", [code, CAST(d AS VARCHAR), u] AS cells FROM n UNION ALL SELECT DISTINCT message_id, 1, ['Product Code','NAV Date','净值, Unit NAV'] FROM n",
+    "series",
+)
 def a2_payloads(spark, sf_dir):
+    """UTF-8 with and without a mark, GB18030 bytes and UTF-16, with the delimiter by code; the header holds a comma inside
+    quotes."""
     n = notices(spark, sf_dir)
-    sent = n.select("message_id", "plain", F.when(F.length("plain") % 2 == 0, F.encode(F.concat("plain", F.lit("净值")), "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode(F.concat("plain", F.lit("净值")), "UTF-16BE"))).alias("payload"))
-    back = extract.read_delimited_payloads(sent, "message_id", "payload")
-    return sent.select("message_id", "plain").join(back, "message_id").select("message_id", (F.col("text") == F.concat("plain", F.lit("净值"))).alias("same"))
+    k = F.substring("message_id", 2, 4).cast("int")
+    text = F.replace("plain", F.lit("Unit NAV"), F.lit('"净值, Unit NAV"'))
+    gb = F.unhex(F.replace(F.hex(F.encode(text, "UTF-8")), F.hex(F.encode(F.lit("净值"), "UTF-8")), F.lit("BEBBD6B5")))  # the word's bytes in GB18030
+    payload = F.when(k % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(k % 3 == 1, gb).otherwise(F.encode(text, "UTF-16"))
+    return extract.read_delimited_payloads(n.select("message_id", payload.alias("payload")), "message_id", "payload").select("message_id", "row", "cells")
 
 
 @query("k1_detect_layout", "SELECT DISTINCT sheet, 1 AS header_row, r.role, r.col FROM cells, (VALUES ('date',1),('code',2),('unit',3),('cumulative',4)) r(role,col)", "cells")
@@ -166,11 +273,21 @@ def nation_sheets(spark, sf_dir):
     return c, found, h, layout.find_total_row(c, h)
 
 
-@query("k2_pair_benchmark_columns", "SELECT 'N'||n_nationkey AS sheet, 1 AS \"row\", 1 AS level_col, 3 AS return_col FROM nation")
+@query(
+    "k2_pair_benchmark_columns",
+    "SELECT 'N'||n_nationkey AS sheet, 1 AS \"row\", CAST(CASE n_nationkey%5 WHEN 2 THEN NULL ELSE 1 END AS INTEGER) AS level_col, 3 AS return_col FROM nation WHERE n_nationkey%5 NOT IN (1,3)",
+)
 def k2_pairs(spark, sf_dir):
-    n = A.table(spark, sf_dir, "nation")
-    heads = F.array(F.concat("n_name", F.lit(" Index Level")), F.lit("NAV Date"), F.concat("n_name", F.lit(" Index Daily Return")), F.lit("Other Index Return"))
-    return layout.pair_benchmark_columns(n.select(F.concat(F.lit("N"), "n_nationkey").alias("sheet"), F.lit(1).alias("row"), F.posexplode(heads).alias("col", "value")).withColumn("col", F.col("col") + 1))
+    """By five kinds: named by a word; by the display name (both have roles already); without a level; unnamed; unnamed
+    beside an excess column."""
+    n = A.table(spark, sf_dir, "nation").withColumn("i", F.col("n_nationkey") % 5)
+    name = F.concat("n_name", F.when(F.col("i").isin(0, 2), "指数").otherwise(""))
+    level = F.when(F.col("i") == 2, F.concat("n_name", F.lit(" x"))).otherwise(name)
+    heads = F.array(level, F.lit("NAV Date"), F.concat(name, F.lit(" (Daily Return)")), F.lit("Other Return"), F.when(F.col("i") == 4, "Excess").otherwise("Remark"))
+    sheet = F.concat(F.lit("N"), "n_nationkey")
+    cells = n.select(sheet.alias("sheet"), F.lit(1).alias("row"), F.posexplode(heads).alias("col", "value")).withColumn("col", F.col("col") + 1)
+    shown = n.where("i = 1").select(sheet.alias("sheet"), F.col("n_name").alias("display_name"))
+    return layout.pair_benchmark_columns(cells, shown)
 
 
 @query("k3_find_total_row", "SELECT 'N'||k AS sheet, CAST(max(r)+1 AS INTEGER) AS total_row, true AS placed FROM nnum GROUP BY k", "cells")
@@ -427,21 +544,45 @@ def m5_sources(spark, sf_dir):
     return quality.shared_benchmark_sources(with_benchmark(spark, sf_dir))
 
 
-@query("q1_audit_text", "WITH l AS (SELECT doc_id, CAST(i AS INTEGER) AS line, string_split(text,chr(10))[i] AS said FROM documents, range(1, len(string_split(text,chr(10)))+1) t(i)) SELECT doc_id, line, 'credential' AS category FROM l WHERE regexp_matches(said,'(?i)(password|passwd|secret|token|api[_-]?key|auth[_-]?code)\\s*[:=]\\s*[\"'']?[A-Za-z0-9+/_-]{8,}') UNION ALL SELECT doc_id, line, 'email' FROM l WHERE len(list_filter(regexp_extract_all(said,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda m: NOT regexp_matches(lower(m),'@example\\.(com|org|net|invalid)$')))>0 UNION ALL SELECT doc_id, line, 'user-path' FROM l WHERE regexp_matches(said,'(?i)([a-z]:\\\\users\\\\[^\\\\\\s]+|/home/[^/\\s]+|/users/[^/\\s]+)') UNION ALL SELECT doc_id, line, 'sync-path' FROM l WHERE regexp_matches(said,'(?i)(onedrive|dropbox|icloud|desktop)[\\\\/]') UNION ALL SELECT doc_id, line, 'private-key' FROM l WHERE regexp_matches(said,'-----BEGIN [A-Z ]*PRIVATE KEY-----')")
+@query(
+    "q1_audit_text",
+    r"""WITH l AS (SELECT doc_id, CAST(i AS INTEGER) AS line, string_split(text,chr(10))[i]||CASE (doc_id+i)%7 WHEN 0 THEN ' C:\Users\me\x' WHEN 1 THEN ' see Desktop/a' WHEN 2 THEN ' token = "abcdef"' WHEN 3 THEN ' -----BEGIN RSA PRIVATE KEY-----' WHEN 4 THEN ' a@example.com b@corp.example.org' ELSE '' END AS said FROM documents, range(1, len(string_split(text,chr(10)))+1) t(i))
+SELECT doc_id, line, 'absolute-user-path' AS category FROM l WHERE regexp_matches(said,'(?i)[A-Z]:[\\/]Users[\\/][^\\/\s]+') UNION ALL SELECT doc_id, line, 'sync-or-desktop-path' FROM l WHERE regexp_matches(said,'(?i)(OneDrive|Dropbox|Google Drive|Desktop)[\\/]')
+UNION ALL SELECT doc_id, line, 'credential-literal' FROM l WHERE regexp_matches(said,'(?i)(password|passwd|api[_-]?key|secret|token)\s*[:=]\s*[''"][^''"]{4,}[''"]') UNION ALL SELECT doc_id, line, 'private-key' FROM l WHERE regexp_matches(said,'-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----')
+UNION ALL SELECT doc_id, line, 'non-example-email' FROM l WHERE len(list_filter(regexp_extract_all(said,'(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'), lambda m: NOT regexp_matches(lower(m),'@(example\.com|example\.invalid|users\.noreply\.github\.com)$')))>0""",
+)
 def q1_audit(spark, sf_dir):
-    return audit.audit_text(A.table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Every line of the documents, with something that is looked for behind most of them."""
+    more = ("C:\\Users\\me\\x", "see Desktop/a", 'token = "abcdef"', "-----BEGIN RSA PRIVATE KEY-----", "a@example.com b@corp.example.org")
+    tail = F.coalesce(F.get(F.array(*[F.lit(f" {m}") for m in more]), F.pmod(F.col("doc_id") + F.col("i"), F.lit(7)).cast("int")), F.lit(""))
+    lines = A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "said")).withColumn("i", F.col("i") + 1)
+    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat("said", tail).alias("said")))), lambda x: x["said"]), "\n").alias("text"))
+    return audit.audit_text(text, "doc_id", "text")
+
 
+#: Names of files with their category.
+FILES = (("config.json", "runtime-artifact"), ("Config.json", "unexpected-file-type"), ("report.PDF", "binary-or-data-artifact"), ("notes.md", None), (".gitignore", None), ("LICENSE", None), ("data.parquet", "unexpected-file-type"), ("run.lock", "runtime-artifact"), ("poetry.lock", None))
 
-@query("q2_audit_paths")
+
+@query(
+    "q2_audit_paths",
+    f"WITH f AS (SELECT page_id, i FROM pages JOIN range({len(FILES)}) t(i) ON i=page_id%{len(FILES)}) SELECT page_id, category FROM f JOIN (VALUES {listed([(c,) for _, c in FILES])}) v(i, category) USING (i) WHERE category IS NOT NULL UNION ALL SELECT page_id, 'sync-or-desktop-path' FROM f WHERE page_id%4=0",
+)
 def q2_audit(spark, sf_dir):
-    return audit.audit_paths(A.table(spark, sf_dir, "pages"), "page_id", "url")
+    name = F.get(F.array(*[F.lit(n) for n, _ in FILES]), (F.col("page_id") % len(FILES)).cast("int"))
+    path = F.concat(F.when(F.col("page_id") % 4 == 0, "Desktop/").otherwise("docs/"), name)
+    return audit.audit_paths(A.table(spark, sf_dir, "pages").select("page_id", path.alias("path")), "page_id", "path")
+
+
+#: UTF-8 bytes of the same word as they look in Latin-1, Windows-1252 and GBK, and the word itself.
+GARBLED = ("å\x9fºé\x87\x91", "åŸºé‡‘", "鍩洪噾", "基金")
 
 
-@query("q3_garbled_text", "SELECT n_nationkey AS k, '净值'||n_name AS again FROM nation")
+@query("q3_garbled_text", "SELECT o_orderkey AS k, CASE WHEN o_orderkey%4<3 THEN '基金'||o_orderpriority END AS again FROM orders")
 def q3_garbled(spark, sf_dir):
-    n = A.table(spark, sf_dir, "nation")
-    garbled = F.decode(F.encode(F.concat(F.lit("净值"), "n_name"), "UTF-8"), "ISO-8859-1")
-    return n.select(F.col("n_nationkey").alias("k"), audit.garbled_text(garbled).alias("again"))
+    o = A.table(spark, sf_dir, "orders")
+    seen = F.concat(F.get(F.array(*map(F.lit, GARBLED)), (F.col("o_orderkey") % 4).cast("int")), "o_orderpriority")
+    return o.select(F.col("o_orderkey").alias("k"), audit.garbled_text(seen).alias("again"))
 
 
 @query("n2_completed_weeks", "+ k AS (SELECT code, date_trunc('week',ts) AS w, max_by(value, struct_pack(t:=ts, e:=obs.event_id)) AS unit FROM obs JOIN events USING (event_id) GROUP BY 1,2) SELECT code, CAST(w AS DATE) AS week, unit FROM k WHERE w < TIMESTAMP '2024-01-29'".replace("obs JOIN events USING (event_id)", "obs JOIN (SELECT event_id, ts, value FROM events) x ON x.event_id=obs.event_id"), "obs")

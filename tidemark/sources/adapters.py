@@ -17,6 +17,11 @@ def rounded(c, digits: int):
     return F.floor(c * scale + 0.5) / scale
 
 
+def later(c):
+    """A date 20 years on, as text knows dates of this century only. Leap years stay leap years."""
+    return F.add_months(c, 240)
+
+
 def exact_sum(name: str):
     """Sum of a column with two decimals, the same in any order of rows."""
     return F.sum(F.col(name).cast("decimal(18,2)")).cast("double")
@@ -86,12 +91,12 @@ def bm_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sheet per nation: a header row, the mean order value per month as dated rows, and a total row."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = o.groupBy(F.col("c_nationkey").alias("k"), F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("d")).agg(rounded(exact_sum("o_totalprice") / F.count("*") / 1000, 4).alias("v"))
+    rows = o.groupBy(F.col("c_nationkey").alias("k"), later(F.trunc(F.col("o_orderdate").cast("date"), "MM")).alias("d")).agg(rounded(exact_sum("o_totalprice") / F.count("*") / 1000, 4).alias("v"))
     from pyspark.sql import Window
 
     rows = rows.withColumn("row", (F.row_number().over(Window.partitionBy("k").orderBy("d")) + 1).cast("int"))
     sheet = F.concat(F.lit("N"), F.col("k"))
-    head = F.array(F.array(F.lit("NAV Date"), F.lit("净值日期"), F.lit("Valuation Date")), F.array(F.lit("Product Code"), F.lit("产品代码"), F.lit("Fund Code")), F.array(F.lit("Unit NAV"), F.lit("单位净值"), F.lit("NAV")), F.array(F.lit("Cumulative NAV"), F.lit("累计净值"), F.lit("Accumulated NAV")))
+    head = F.array(F.array(F.lit("NAV Date"), F.lit("净值日期"), F.lit("Valuation Date")), F.array(F.lit("Product Code"), F.lit("产品代码"), F.lit("Fund Code")), F.array(F.lit("Unit NAV"), F.lit("单位净值"), F.lit("份额净值")), F.array(F.lit("Cumulative NAV"), F.lit("累计净值"), F.lit("累计单位净值")))
     keys = rows.select("k").distinct()
     header = keys.select(sheet.alias("sheet"), F.lit(1).alias("row"), F.posexplode(F.transform(head, lambda h: F.get(h, (F.col("k") % 3).cast("int")))).alias("col", "value"), F.lit("text").alias("kind"))
     values = F.array(F.col("d").cast("string"), F.concat(F.lit("C"), F.col("k")), F.format_string("%.4f", "v"), F.format_string("%.4f", F.col("v") + 0.5))
@@ -115,9 +120,9 @@ SQL: dict[str, str] = {
     "routes": """routes AS (SELECT 'sheet_U'||user_id AS sheet, 'desk'||(user_id%10)||'@example.com' AS sender, 'U'||user_id AS code, 'U'||user_id||'A' AS alias,
  user_id%17=0 AS paused, CASE WHEN user_id%3=0 THEN DATE '2024-01-10' END AS series_start FROM (SELECT DISTINCT user_id FROM events WHERE user_id%5<>0))""",
     "bm": """bm AS (SELECT CAST(o_orderdate AS DATE) AS bm_date, rnd(xsum(o_totalprice)/count(*),4) AS bm_value FROM orders GROUP BY 1)""",
-    "cells": """nrows AS (SELECT c_nationkey AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, rnd(xsum(o_totalprice)/count(*)/1000,4) AS v FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2),
+    "cells": """nrows AS (SELECT c_nationkey AS k, CAST(date_trunc('month', o_orderdate) + INTERVAL 20 YEAR AS DATE) AS d, rnd(xsum(o_totalprice)/count(*)/1000,4) AS v FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2),
  nnum AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY d)+1 AS INTEGER) AS r FROM nrows),
- cells AS (SELECT 'N'||k AS sheet, 1 AS "row", c AS col, CASE c WHEN 1 THEN ['NAV Date','净值日期','Valuation Date'][k%3+1] WHEN 2 THEN ['Product Code','产品代码','Fund Code'][k%3+1] WHEN 3 THEN ['Unit NAV','单位净值','NAV'][k%3+1] ELSE ['Cumulative NAV','累计净值','Accumulated NAV'][k%3+1] END AS value, 'text' AS kind
+ cells AS (SELECT 'N'||k AS sheet, 1 AS "row", c AS col, CASE c WHEN 1 THEN ['NAV Date','净值日期','Valuation Date'][k%3+1] WHEN 2 THEN ['Product Code','产品代码','Fund Code'][k%3+1] WHEN 3 THEN ['Unit NAV','单位净值','份额净值'][k%3+1] ELSE ['Cumulative NAV','累计净值','累计单位净值'][k%3+1] END AS value, 'text' AS kind
  FROM (SELECT DISTINCT k FROM nrows), (VALUES (1),(2),(3),(4)) t(c)
  UNION ALL SELECT 'N'||k, r, c, CASE c WHEN 1 THEN CAST(d AS VARCHAR) WHEN 2 THEN 'C'||k WHEN 3 THEN printf('%.4f', v) ELSE printf('%.4f', v+0.5) END, 'value' FROM nnum, (VALUES (1),(2),(3),(4)) t(c)
  UNION ALL SELECT 'N'||k, CAST(max(r)+1 AS INTEGER), 1, 'TOTAL', 'text' FROM nnum GROUP BY k)""",
@@ -126,7 +131,8 @@ NEEDS = {"hist": ("series",), "cand": ("series",)}
 
 
 def expanded(body: str) -> str:
-    """rnd(x, n): half up by double arithmetic; xsum(x): exact sum of a column with two decimals."""
+    """rnd(x, n): half up by double arithmetic; xsum(x): exact sum of a column with two decimals; number_of(code): its number."""
+    body = re.sub(r"number_of\((\w+)\)", r"CAST(substr(\1,2,4) AS INTEGER)", body)
     body = re.sub(r"xsum\((\w+)\)", r"CAST(sum(CAST(\1 AS DECIMAL(18,2))) AS DOUBLE)", body)
     while (at := body.find("rnd(")) >= 0:
         depth, end, comma = 1, at + 4, 0

@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of Spark's 64, unless the session sets a size of its own: what a Python worker holds
+    then doesn't grow with the length of the texts."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(size, "8m")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import bounded_batches, staged
 
 CHUNK, RANK, BLOCK_WORDS = 16, 96, 300_000
 #: Terms in more than this share of chunks carry no weight, except the KEPT rarest of each passage.
@@ -276,6 +276,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     over; documents with one doc_id are searched each and their leaks of one item are merged; ties go to the greater
     cosine. An empty table gives no rows; further columns aren't read.
     """
+    bounded_batches(docs.sparkSession)
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * BLOCK_WORDS)))
     out = None

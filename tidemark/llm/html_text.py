@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import bounded_batches, staged
 
 #: Elements whose content is passed over as raw text.
 RAW = re.compile(r"script|style|noscript|template|textarea|select|svg|iframe|title|object", re.I)
@@ -261,6 +261,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages are extracted alike; a very long or broken page is read whole, in one pass; ties between paths go to the
     shorter, then the lesser path; an empty table gives no rows; further columns aren't read.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
 
     def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, in_worker
+from tidemark.llm.common import bounded_batches, held_out, in_worker
 
 #: Documents that the model is fitted on, per language, and trigrams that each language keeps.
 TRAIN_DOCS, GRAMS = 2_000, 20_000
@@ -237,6 +237,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     the language first in order of name. Repeated rows are labelled alike; a null doc_id isn't held out; an empty table
     gives no rows; the result's names win over columns of the same name.
     """
+    bounded_batches(docs.sparkSession)
     model = model or learn(docs)
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "spans", "_found")]
 

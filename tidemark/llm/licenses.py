@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 # License notices, by SPDX name.
@@ -182,6 +184,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
     Null, empty and notice-free texts have no row; repeated rows are scanned each; where notices overlap, the one that
     covers more template words wins, then the first; an empty table gives no rows; further columns aren't read.
     """
+    bounded_batches(docs.sparkSession)
     given = templates or TEMPLATES
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

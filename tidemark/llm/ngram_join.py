@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_worker, staged
+from tidemark.llm.common import bounded_batches, in_worker, staged
 
 WIDTH = 4
 #: A shingle is common if it makes up this share of all shingles, so at most 1 / COMMON of them can be.
@@ -266,6 +266,7 @@ def join(docs: DataFrame, pct: int = 85) -> DataFrame:
     has no shingles, links with nothing and is a component of its own. Rows of one doc_id are returned each and judged
     by their own text. Rows with a null doc_id are returned with null component and link nothing. An empty table gives no rows; further columns aren't read.
     """
+    bounded_batches(docs.sparkSession)
     common = common_shingles(docs)
     signed = staged(signatures(docs, common, pct), "signatures")
     named = signed.where("n > 0 and doc_id is not null")

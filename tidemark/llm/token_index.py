@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_worker, shared_dir
+from tidemark.llm.common import bounded_batches, in_worker, shared_dir
 
 BLOCK_IDS, BLOCK_DOCS = 1 << 17, 512
 #: Keys of one index bucket on average, and keys that share a pilot on average.
@@ -338,6 +338,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: in
     Documents are range-parted by doc_id at quantiles read from the doc_id column alone, encoded where they lie, and
     only their ids are shuffled.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = bounds(docs, parts)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, in_worker
+from tidemark.llm.common import bounded_batches, held_out, in_worker
 
 #: Labelled documents that the model is fitted on, at most; hashed features; rounds of training.
 TRAIN_DOCS, FEATURES, ROUNDS = 8_000, 1 << 18, 300
@@ -139,6 +139,7 @@ def judge(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> Dat
     toxic if one of them is; of equally bad sentences the first is named. Without positive and negative labels the model is its bias. Repeated rows score alike;
     a null doc_id isn't held out; an empty table gives no rows; further columns aren't read.
     """
+    bounded_batches(docs.sparkSession)
     model = model or learn(docs, labels)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -204,6 +204,27 @@ def common_subsequence(item: list[int], region: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+def enough(ids: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray, members: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether a region holds at least `least` different words of an item. members: a bit per item and term."""
+    out = np.zeros(len(start), bool)
+    order = np.argsort(end - start, kind="stable")
+    at = 0
+    while at < len(order):
+        longest = int(end[order[at]] - start[order[at]])
+        some = order[at : at + max(1, 1_000_000 // max(1, 2 * longest))]
+        some = some[end[some] - start[some] <= 2 * longest]
+        place = start[some][:, None] + np.arange(int((end[some] - start[some]).max()))
+        inside = place < end[some][:, None]
+        term = ids[np.minimum(place, len(ids) - 1)]
+        bit = members[item[some][:, None], term >> 3] >> (term & 7).astype(np.uint8) & 1
+        own = np.where(bit.astype(bool) & inside, term, 0)
+        own.sort(axis=1)
+        different = (own[:, :1] > 0).sum(1) + ((own[:, 1:] != own[:, :-1]) & (own[:, 1:] > 0)).sum(1)
+        out[some] = different >= least[some]
+        at += len(some)
+    return out
+
+
 def search(terms: DataFrame, block: Block, weights: np.ndarray, vectors: np.ndarray) -> DataFrame:
     """Checked leaks: doc_id, item_id, cosine, shared, answered, kind, first_word, words."""
     sc, kind = terms.sparkSession.sparkContext, block.type
@@ -213,10 +234,16 @@ def search(terms: DataFrame, block: Block, weights: np.ndarray, vectors: np.ndar
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
     counts = np.add.reduceat((weights[flat] > 0).astype(int), starts)
     least = max(1, int(counts.min() * 2 // 5))
-    sent = sc.broadcast((spaces.astype(np.float32), items.T.astype(np.float32).copy(), weights > 0, owner, [(x.item_id, x.words, x.answer, frozenset(x.words)) for x in block.items]))
+    held = np.zeros((len(block.items), len(weights) // 8 + 1), np.uint8)
+    for i, x in enumerate(block.items):
+        for t in set(x.words):
+            held[i, t >> 3] |= 1 << (t & 7)
+    spreads = np.array([-(-len(x.words) // CHUNK) + 1 for x in block.items])
+    fewest = np.array([PARAPHRASE * len(set(x.words)) for x in block.items])
+    sent = sc.broadcast((spaces.astype(np.float32), items.T.astype(np.float32).copy(), weights > 0, owner, [(x.item_id, x.words, x.answer) for x in block.items], held, spreads, fewest))  # bounded by the block
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, wanted, heavy, whose, known = sent.value
+        space, wanted, heavy, whose, known, members, spread, least_words = sent.value
         step = max(64, 4_000_000 // max(1, wanted.shape[1]))
         for part, ids, first in batches(frames, kind):
             used = heavy[ids]
@@ -231,33 +258,37 @@ def search(terms: DataFrame, block: Block, weights: np.ndarray, vectors: np.ndar
             follows = np.concatenate([document[1:] == document[:-1], [False]])
             n = terms_in[:-1] + np.where(follows, terms_in[1:], 0)
             windows = np.flatnonzero(n >= least)
-            found: dict[tuple[int, int], list] = {}
+            hits = []
             for i in range(0, len(windows), step):
                 w = windows[i : i + step]
                 v = rows[w] + np.where(follows[w, None], rows[w + 1], 0)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                 cosine = v @ wanted
-                hits = np.flatnonzero(cosine.ravel() >= COSINE)  # far faster than over two dimensions
-                for a, b in zip(*np.divmod(hits, cosine.shape[1]), strict=True):
-                    found.setdefault((int(document[w[a]]), int(whose[b])), []).append((float(cosine[a, b]), int(w[a])))
+                near = np.flatnonzero(cosine.ravel() >= COSINE)  # far faster than over two dimensions
+                a, b = np.divmod(near, cosine.shape[1])
+                hits.append((w[a], whose[b], cosine.ravel()[near]))
+            if not hits:
+                continue
+            w, item, cosine = (np.concatenate(x) for x in zip(*hits, strict=True))
+            start = np.maximum(first[document[w]], w - spread[item]) * CHUNK
+            end = np.minimum(first[document[w] + 1], w + 2 + spread[item]) * CHUNK
+            held = enough(ids, start, end, item, members, least_words[item])
+            found: dict[tuple[int, int], list] = {}
+            for place in zip(document[w[held]].tolist(), item[held].tolist(), cosine[held].tolist(), start[held].tolist(), end[held].tolist(), strict=True):
+                found.setdefault(place[:2], []).append(place[2:])
             out = []
             for (d, i), places in found.items():
-                item_id, words, answer, distinct = known[i]
-                lo, hi, best = first[d] * CHUNK, first[d + 1] * CHUNK, None
-                tried = set()
-                for cosine, w in sorted(places, reverse=True):
-                    spread = -(-len(words) // CHUNK) + 1
-                    start, end = max(lo, (w - spread) * CHUNK), min(hi, (w + 2 + spread) * CHUNK)
-                    if (start, end) in tried:
-                        continue
-                    tried.add((start, end))
-                    region = ids[start:end].tolist()
-                    if len(distinct.intersection(region)) < PARAPHRASE * len(distinct):
+                item_id, words, answer = known[i]
+                best, tried = None, set()
+                for cosine_, at, to in sorted(places, reverse=True):
+                    if (at, to) in tried:
                         continue
+                    tried.add((at, to))
+                    region = ids[at:to].tolist()
                     shared = common_subsequence(words, region) / len(words)
                     if shared >= PARAPHRASE and (best is None or shared > best[1]):
                         answered = common_subsequence(answer, region) / max(1, len(answer))
-                        best = (cosine, shared, answered, start - lo, end - start)
+                        best = (cosine_, shared, answered, at - first[d] * CHUNK, to - at)
                         if shared >= VERBATIM:
                             break
                 if best and (best[1] >= VERBATIM or best[2] >= ANSWER):

@@ -131,8 +131,8 @@ def test_alias_and_routing(spark):
 
 
 def test_categories(spark):
-    s = spark.createDataFrame([("Quarterly report",), ("Quarterly report with NAV",), ("virtual NAV estimate",)], "s string")
-    assert [r[0] for r in s.select(filters.non_nav_category(F.col("s"))).collect()] == ["periodic-report", None, "virtual-estimate"]
+    s = spark.createDataFrame([("Quarterly report",), ("Quarterly report with NAV",), ("Estimated NAV",), ("NAV at virtual meeting",)], "s string")
+    assert [r[0] for r in s.select(filters.non_nav_category(F.col("s"))).collect()] == ["periodic-report", None, "virtual-estimate", None]
 
 
 def test_layout(spark):
@@ -155,10 +155,11 @@ def test_validation_branches(spark):
 
 
 def test_options_and_audit(spark):
-    assert values(quality.option_bounds(spark, {"tolerance": 0.0, "max_future_days": 9, "zero_threshold": 0.05}), "option") == [("max_future_days",), ("tolerance",)]
-    text = "see /home/me/x\npassword = abcdefgh1\nmail me@corp.test or a@example.com\nfine"
+    options = spark.createDataFrame([("tolerance", 0.0), ("max_future_days", 9.0), ("zero_threshold", 0.05)], "option string, value double")
+    assert values(quality.option_bounds(options), "option") == [("max_future_days",), ("tolerance",)]
+    text = "see C:\\Users\\me\\x\npassword = 'abcdefgh1'\nmail me@corp.test or a@example.com\nfine"
     got = audit.audit_text(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t")
-    assert values(got, "line", "category") == [(1, "user-path"), (2, "credential"), (3, "email")]
+    assert values(got, "line", "category") == [(1, "absolute-user-path"), (2, "credential-literal"), (3, "non-example-email")]
 
 
 def test_publish_and_snapshot(spark):

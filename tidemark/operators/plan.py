@@ -27,9 +27,15 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 
 
 def apply_plan(hist: DataFrame, plan: DataFrame, policy: Column, offset: Column) -> DataFrame:
-    """History with the plan's rows, cumulative by policy where it is missing; gaps are left out."""
+    """History with the plan's rows, cumulative by policy where it is missing; gaps are left out. Identity columns of
+    history (code, name) are filled from the sheet's last row that has them."""
+    identity = [c for c in ("code", "name") if c in hist.columns]
+    columns = ["sheet", "nav_date", "unit", "cumulative"]
     added = plan.where("action <> 'gap'").select("sheet", "nav_date", "unit", effective_cumulative("unit", "cumulative", policy, offset).alias("cumulative"))
-    kept = hist.join(added.select("sheet", "nav_date"), ["sheet", "nav_date"], "left_anti").select("sheet", "nav_date", "unit", "cumulative")
+    kept = hist.join(added.select("sheet", "nav_date"), ["sheet", "nav_date"], "left_anti").select(*columns, *identity)
+    if identity:
+        last = hist.groupBy("sheet").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("nav_date"))).alias(c) for c in identity])
+        added = added.join(last, "sheet", "left")
     return kept.unionByName(added)
 
 
@@ -88,12 +94,14 @@ def plan_preflight(meta: DataFrame, plan: DataFrame, routes: DataFrame, now: Col
     return issues.union(foreign)
 
 
-def verify_written(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Rows that differ after writing: sheet, nav_date, issue."""
+def verify_written(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-9, computed: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that differ after writing: sheet, nav_date, issue. Columns of actual that are computed must not be null."""
     e, a = expected.alias("e"), actual.alias("a")
     rows = e.join(a, (F.col("e.sheet") == F.col("a.sheet")) & (F.col("e.nav_date") == F.col("a.nav_date")), "full_outer")
     off = lambda c: ~(F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")) | F.coalesce(F.abs(F.col(f"e.{c}") - F.col(f"a.{c}")) <= tolerance, F.lit(False)))
     issue = F.when(F.col("a.sheet").isNull(), "missing").when(F.col("e.sheet").isNull(), "unexpected").when(off("unit") | off("cumulative"), "value-differs")
+    for c in computed:
+        issue = issue.when(F.col(f"a.{c}").isNull(), f"{c}-missing")
     return rows.select(F.coalesce("e.sheet", "a.sheet").alias("sheet"), F.coalesce("e.nav_date", "a.nav_date").alias("nav_date"), issue.alias("issue")).where(F.col("issue").isNotNull())
 
 

@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import normalize_code, parse_date
 from tidemark.operators.routing import accepted_codes
 
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 # Allowed settings.
 MODES, POLICIES, BASES = ("append", "summary", "template"), ("require", "unit", "offset"), ("unit", "cumulative")
-RETURN_FREQUENCIES, DATA_FREQUENCIES = ("daily", "weekly"), ("auto", "daily", "weekly")
+RETURN_FREQUENCIES, DATA_FREQUENCIES, OVERLAP = ("daily", "weekly"), ("auto", "daily", "weekly"), "last_existing_point"
+MAX_CODE = 64
 REVIEW_STATUSES = ("excluded", "parser-required", "business-review", "no-evidence", "reference")
-BOUNDS = {"minimum_history_dates": (2, 100), "tolerance": (0.0, 0.01), "max_future_days": (0, 7), "max_period_change": (0.001, 10.0), "zero_threshold": (0.0, 0.1)}
+BOUNDS = {"minimum_history_dates": (2, 100), "tolerance": (0.0, 0.01), "max_future_days": (0, 7), "max_period_change": (0.001, 10.0), "zero_threshold": (0.0, 0.1), "backup_count": (1, 100), "preview_count": (1, 100), "log_days": (1, 3650)}
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -32,8 +34,14 @@ def uniqueness(routes: DataFrame) -> DataFrame:
     return union_all([twice, codes, bare])
 
 
+def optional(df: DataFrame, name: str) -> Column:
+    """A text column, null where the table lacks it."""
+    return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+
+
 def route_rules(routes: DataFrame) -> DataFrame:
-    """sheet, rule: one row per broken rule. One pass: all rules are evaluated on the row."""
+    """sheet, rule: one row per broken rule. One pass: all rules are evaluated on the row. return_basis, data_frequency,
+    series_start_text (the date as written), baseline_overlap and subject_product_code may be absent."""
     c = F.col
     aliases = F.coalesce("code_aliases", F.array().cast("array<string>"))
     rules = {
@@ -45,6 +53,12 @@ def route_rules(routes: DataFrame) -> DataFrame:
         "mode": ~F.coalesce(c("sheet_mode"), F.lit("summary")).isin(*MODES),
         "policy": ~F.coalesce(c("cumulative_policy"), F.lit("require")).isin(*POLICIES),
         "offset-missing": (c("cumulative_policy") == "offset") & c("cumulative_offset").isNull(),
+        "return-basis": ~F.coalesce(optional(routes, "return_basis"), F.lit("unit")).isin(*BASES),
+        "data-frequency": ~F.coalesce(optional(routes, "data_frequency"), F.lit("auto")).isin(*DATA_FREQUENCIES),
+        "series-start": optional(routes, "series_start_text").isNotNull() & parse_date(optional(routes, "series_start_text")).isNull(),
+        "baseline-overlap": optional(routes, "baseline_overlap") != OVERLAP,
+        "binding-code": optional(routes, "subject_product_code").isNotNull() & (F.coalesce(normalize_code(optional(routes, "subject_product_code")), F.lit("")) != F.coalesce(normalize_code(c("code")), F.lit(""))),
+        "code-length": F.length("code") > MAX_CODE,
         "template-frequency": (c("sheet_mode") == "template") & ~F.coalesce(c("return_frequency"), F.lit("")).isin(*RETURN_FREQUENCIES),
     }
     return broken_rules(routes, rules)
@@ -86,7 +100,10 @@ def shared_benchmark_sources(routes: DataFrame) -> DataFrame:
     return rows.groupBy("source_sheet").agg(F.count_distinct(F.to_json(F.struct("source_type", "source_date", "source_value"))).alias("definitions")).where("definitions > 1")
 
 
-def option_bounds(spark, options: dict[str, float]) -> DataFrame:
-    """option, value, low, high of options out of bounds; tolerance 0 is out too."""
-    bad = [(k, float(v), float(BOUNDS[k][0]), float(BOUNDS[k][1])) for k, v in options.items() if k in BOUNDS and (not BOUNDS[k][0] <= v <= BOUNDS[k][1] or k == "tolerance" and v <= 0)]
-    return spark.createDataFrame(bad, "option string, value double, low double, high double")
+def option_bounds(options: DataFrame) -> DataFrame:
+    """option, value, low, high of options(option, value) out of bounds; tolerance 0 is out too, and an unknown option is
+    out of null bounds."""
+    known = F.create_map(*[x for k, (a, b) in BOUNDS.items() for x in (F.lit(k), F.struct(F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")))])
+    rows = options.select("option", F.col("value").cast("double").alias("value"), F.try_element_at(known, F.col("option")).alias("b"))
+    bad = F.col("b").isNull() | ~F.coalesce(F.col("value").between(F.col("b.low"), F.col("b.high")), F.lit(False)) | ((F.col("option") == "tolerance") & (F.col("value") <= 0))
+    return rows.where(bad).select("option", "value", "b.low", "b.high")

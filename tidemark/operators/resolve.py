@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import row_signature, short_id
+from tidemark.functions.scalars import message_order, row_signature, short_id, source_type
 
 
 def deduplicate(obs: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -32,23 +32,29 @@ def resolve_same_day(obs: DataFrame) -> DataFrame:
 
 
 def date_conflicts(obs: DataFrame) -> DataFrame:
-    """sheet, nav_date, candidates, n_values, n_sources of each conflicting date; values by id, not in clear."""
+    """sheet, nav_date, candidates, n_values, n_sources, values of each conflicting date; values: distinct (value_id,
+    source_id, source_type), by ids, not in clear."""
     value = short_id(F.bround("unit", 10), F.bround("cumulative", 10))
+    kind = source_type("source") if "source" in obs.columns else F.lit("parser-output")
     state = day_state(obs).where("conflict").select("sheet", "nav_date")
-    return obs.join(state, ["sheet", "nav_date"]).groupBy("sheet", "nav_date").agg(F.count("*").alias("candidates"), F.count_distinct(value).alias("n_values"), F.count_distinct("message_id").alias("n_sources"))
+    rows = obs.join(state, ["sheet", "nav_date"]).select("sheet", "nav_date", "message_id", F.struct(value.alias("value_id"), short_id("message_id").alias("source_id"), kind.alias("source_type")).alias("v"))
+    return rows.groupBy("sheet", "nav_date").agg(F.count("*").alias("candidates"), F.count_distinct("v.value_id").alias("n_values"), F.count_distinct("message_id").alias("n_sources"), F.array_sort(F.collect_set("v")).alias("values"))
 
 
 def correction_winners(obs: DataFrame) -> DataFrame:
     """sheet, nav_date, message_id, replaced (messages) of the corrections that replace a date's other values.
 
-    Needed: the date conflicts; every message has an order; each correction message has one value there; the latest
+    Needed: the date conflicts; every message has an order, all of one kind (mailbox number, or date where sent_at is
+    given and there is no number); each correction message has one value there; the latest
     correction is later than every other message, and there is another one."""
     conflicted = day_state(obs).where("conflict").select("sheet", "nav_date")
     rows = obs.join(conflicted, ["sheet", "nav_date"])
     sig = row_signature("unit", "cumulative")
-    per = rows.groupBy("sheet", "nav_date", "message_id").agg(F.max("uid").alias("ord"), F.bool_or("correction").alias("marked"), F.count_distinct(F.to_json(sig)).alias("n_sig"))
+    sent = F.col("sent_at") if "sent_at" in obs.columns else F.lit(None).cast("timestamp")
+    rows = rows.withColumn("_order", message_order(F.col("uid"), sent))
+    per = rows.groupBy("sheet", "nav_date", "message_id").agg(F.max("_order.ord").alias("ord"), F.min("_order.kind").alias("kind"), F.max("_order.kind").alias("kind2"), F.bool_or("correction").alias("marked"), F.count_distinct(F.to_json(sig)).alias("n_sig"))
     date = per.groupBy("sheet", "nav_date").agg(
-        F.bool_or(F.col("ord").isNull()).alias("unordered"),
+        (F.bool_or(F.col("ord").isNull()) | (F.min("kind") != F.max("kind2"))).alias("unordered"),
         F.bool_or(F.col("marked") & (F.col("n_sig") != 1)).alias("ambiguous"),
         F.max(F.when(F.col("marked"), F.col("ord"))).alias("last_marked"),
         F.max_by("message_id", F.when(F.col("marked"), F.col("ord"))).alias("winner"),
@@ -81,11 +87,17 @@ def bind_subject_code(obs: DataFrame) -> DataFrame:
 
 
 def merge_candidates(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Two candidate tables (sender, messages, codes, first_date, last_date) as one: counts add up, lists are united."""
-    both = previous.unionByName(current)
-    return both.groupBy("sender").agg(
-        F.sum("messages").alias("messages"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"),
-        F.min("first_date").alias("first_date"),
-        F.max("last_date").alias("last_date"),
+    """Two candidate tables (sender, messages, observations: an array of nav_date, code, unit, cumulative) as one, with
+    codes, first_date and last_date: counts add up; of observations of one date and code the current one stays."""
+    both = previous.withColumn("_new", F.lit(0)).unionByName(current.withColumn("_new", F.lit(1)))
+    counts = both.groupBy("sender").agg(F.sum("messages").alias("messages"))
+    rows = both.select("sender", "_new", F.inline("observations"))
+    latest = F.max_by(F.struct("nav_date", "code", "unit", "cumulative"), F.struct("_new", "unit", "cumulative")).alias("o")
+    kept = rows.groupBy("sender", "nav_date", F.coalesce("code", F.lit("")).alias("_code")).agg(latest)
+    per = kept.groupBy("sender").agg(
+        F.array_sort(F.collect_set("o.code")).alias("codes"),
+        F.min("nav_date").alias("first_date"),
+        F.max("nav_date").alias("last_date"),
+        F.array_sort(F.collect_list("o")).alias("observations"),
     )
+    return counts.join(per, "sender", "left")

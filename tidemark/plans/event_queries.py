@@ -169,9 +169,10 @@ def e2_thinned(spark, sf_dir):
     return resolve.resolve_same_day(sheeted(spark, sf_dir).where("event_id % 37 = 0"))
 
 
-@query("e3_date_conflicts", STATE + "SELECT code AS sheet, nav_date, count(*) AS candidates, count(DISTINCT (round_even(unit,10), coalesce(round_even(cumulative,10),-1))) AS n_values, count(DISTINCT message_id) AS n_sources FROM obs JOIN st ON st.sheet=obs.code AND st.nav_date=obs.nav_date AND conflict GROUP BY 1,obs.nav_date".replace("nav_date, count(*) AS candidates", "obs.nav_date, count(*) AS candidates"), "obs")
+@query("e3_date_conflicts", STATE + "SELECT code AS sheet, nav_date, count(*) AS candidates, count(DISTINCT (round_even(unit,10), coalesce(round_even(cumulative,10),-1))) AS n_values, count(DISTINCT message_id) AS n_sources, count(DISTINCT (round_even(unit,10), coalesce(round_even(cumulative,10),-1), message_id, event_type='view')) AS n_ids FROM obs JOIN st ON st.sheet=obs.code AND st.nav_date=obs.nav_date AND conflict GROUP BY 1,obs.nav_date".replace("nav_date, count(*) AS candidates", "obs.nav_date, count(*) AS candidates"), "obs")
 def e3_conflicts(spark, sf_dir):
-    return resolve.date_conflicts(sheeted(spark, sf_dir))
+    o = sheeted(spark, sf_dir).withColumn("source", F.when(F.col("event_type") == "view", "a.xlsx").otherwise("custom"))
+    return resolve.date_conflicts(o).withColumn("n_ids", F.size("values").cast("long")).drop("values")
 
 
 CORRECTIONS = STATE + """, r AS (SELECT obs.*, obs.code AS sheet FROM obs JOIN st ON st.sheet=obs.code AND st.nav_date=obs.nav_date AND conflict),
@@ -211,19 +212,20 @@ def e5_bind(spark, sf_dir):
 
 
 def candidates(o):
-    return o.groupBy("sender").agg(F.count_distinct("message_id").alias("messages"), F.array_sort(F.collect_set("code")).alias("codes"), F.min("nav_date").alias("first_date"), F.max("nav_date").alias("last_date"))
+    seen = F.collect_set(F.struct("nav_date", "code", "unit", "cumulative")).alias("observations")
+    return o.groupBy("sender").agg(F.count_distinct("message_id").alias("messages"), seen)
 
 
 @query(
     "e6_merge_candidates",
-    """+ a AS (SELECT sender, count(DISTINCT message_id) AS m FROM obs WHERE nav_date<DATE '2024-01-15' GROUP BY 1), b AS (SELECT sender, count(DISTINCT message_id) AS m FROM obs WHERE nav_date>=DATE '2024-01-15' GROUP BY 1)
-SELECT o.sender, CAST(any_value(coalesce(a.m,0)+coalesce(b.m,0)) AS BIGINT) AS messages, count(DISTINCT code) AS n_codes, min(nav_date) AS first_date, max(nav_date) AS last_date FROM obs o LEFT JOIN a USING (sender) LEFT JOIN b USING (sender) GROUP BY 1""",
+    """+ a AS (SELECT sender, count(DISTINCT message_id) AS m FROM obs WHERE nav_date<DATE '2024-01-15' GROUP BY 1), b AS (SELECT sender, count(DISTINCT message_id) AS m FROM obs WHERE nav_date>=DATE '2024-01-08' GROUP BY 1)
+SELECT o.sender, count(DISTINCT (code, nav_date)) AS n_observations, CAST(any_value(coalesce(a.m,0)+coalesce(b.m,0)) AS BIGINT) AS messages, count(DISTINCT code) AS n_codes, min(nav_date) AS first_date, max(nav_date) AS last_date FROM obs o LEFT JOIN a USING (sender) LEFT JOIN b USING (sender) GROUP BY 1""",
     "obs",
 )
 def e6_merge(spark, sf_dir):
     o = A.obs_events(spark, sf_dir)
-    m = resolve.merge_candidates(candidates(o.where("nav_date < date'2024-01-15'")), candidates(o.where("nav_date >= date'2024-01-15'")))
-    return m.select("sender", "messages", F.size("codes").cast("long").alias("n_codes"), "first_date", "last_date")
+    m = resolve.merge_candidates(candidates(o.where("nav_date < date'2024-01-15'")), candidates(o.where("nav_date >= date'2024-01-08'")))
+    return m.select("sender", F.size("observations").cast("long").alias("n_observations"), "messages", F.size("codes").cast("long").alias("n_codes"), "first_date", "last_date")
 
 
 ROUTED = """+ act AS (SELECT * FROM routes WHERE NOT paused), rt AS (SELECT o.event_id, o.sender, o.message_id, o.nav_date, CASE WHEN a.sheet IS NULL THEN 'unconfigured' WHEN o.nav_date<a.series_start THEN 'pre_managed' ELSE 'routed' END AS outcome, a.sheet, o.code, o.unit FROM obs o LEFT JOIN act a ON a.sender=o.sender AND a.code=o.code)

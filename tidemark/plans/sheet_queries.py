@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import audit, cadence, extract, layout, plan, quality, reconcile, reports
+from tidemark.operators import audit, cadence, extract, layout, plan, quality, reconcile, reports, update
 from tidemark.registry import query
 from tidemark.sources import adapters as A
-from tidemark.sources import snapshots
+from tidemark.sources import messages, snapshots
 from tidemark.streaming import jobs
 
 
@@ -16,9 +16,31 @@ def day(text: str):
     return F.lit(text).cast("date")
 
 
-@query("a1_read_messages", "SELECT message_id, sender, count(*) AS n FROM obs GROUP BY 1,2", "obs")
+def mailbox(spark, sf_dir):
+    """One message per group of events: a text, an HTML body for every second one, and its events as files."""
+    o = A.obs_events(spark, sf_dir)
+    said = F.concat("code", F.lit(" "), F.format_string("%.2f", "unit"))
+    file = F.struct(F.concat("code", F.lit(".csv")).alias("name"), F.lit(".csv").alias("suffix"), F.lit("text/csv").alias("content_type"), F.encode(said, "UTF-8").alias("payload"))
+    per = o.groupBy("message_id", "uid", "sender").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("t"), F.collect_list(file).alias("attachments"))
+    odd = F.col("uid") % 2 == 1
+    raw = F.when(F.col("uid") % 5 == 0, F.concat("sender", F.lit(", other@example.com"))).otherwise(F.concat(F.lit("Desk <"), "sender", F.lit(">")))
+    return per.select("message_id", "uid", raw.alias("from_raw"), F.lit("NAV").alias("subject"), F.timestamp_seconds(F.col("uid") + 1_700_000_000).alias("sent_at"), F.length("t").cast("long").alias("size"), F.array("t").alias("plain"), F.when(odd, F.array(F.concat(F.lit("<p>"), "t"), F.lit("<p>end"))).alias("html"), "attachments", F.lit("extra").alias("other"))
+
+
+@query(
+    "a1_read_messages",
+    "+ m AS (SELECT message_id, uid, sender, string_agg(code||' '||printf('%.2f',unit), chr(10) ORDER BY code||' '||printf('%.2f',unit)) AS t, count(*) AS n, sum(length(code||' '||printf('%.2f',unit))) AS b FROM obs GROUP BY 1,2,3) SELECT kind, message_id, uid, CASE WHEN uid%5<>0 THEN sender END AS sender, 'NAV' AS subject, length(t) AS size, length(t) AS plain_chars, CAST(CASE WHEN uid%2=1 THEN length(t)+9 ELSE 0 END AS BIGINT) AS html_chars, CAST(n AS INTEGER) AS n_files, CAST(b AS BIGINT) AS file_bytes FROM m, (VALUES ('json'),('parquet')) k(kind)",
+    "obs",
+)
 def a1_messages(spark, sf_dir):
-    return A.obs_events(spark, sf_dir).groupBy("message_id", "sender").agg(F.count("*").alias("n"))
+    """Written as Parquet and as JSON, and read back by the schema."""
+    box, out = mailbox(spark, sf_dir), None
+    for kind in ("parquet", "json"):
+        path = snapshots.fresh_path(spark, "messages")
+        box.write.format(kind).save(path)
+        read = messages.header_facts(messages.read_messages(spark, path, kind)).withColumn("kind", F.lit(kind))
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 @query("a3_to_cells", "SELECT 'supplier' AS sheet, CAST(s_suppkey AS INTEGER) AS \"row\", t.c AS col, CASE t.c WHEN 1 THEN s_name ELSE CAST(s_nationkey AS VARCHAR) END AS value FROM supplier, (VALUES (1),(2)) t(c)")
@@ -45,14 +67,15 @@ def a5_report(spark, sf_dir):
     return snapshots.write_report(A.cand(spark, sf_dir).groupBy("sheet").agg(F.count("*").alias("n")))
 
 
-@query("a7_publish_version", "SELECT sheet, nav_date, unit FROM hist", "hist")
+@query("a7_publish_version", "SELECT sheet, nav_date, unit, CAST(v AS BIGINT) AS version FROM hist, (VALUES (2),(3)) t(v)", "hist")
 def a7_publish(spark, sf_dir):
     rows = A.hist(spark, sf_dir).select("sheet", "nav_date", "unit")
     base = snapshots.fresh_path(spark, "published")
     snapshots.publish_version(rows.where("unit > 0"), base, None, keep=2)
-    fingerprint = snapshots.current_fingerprint(spark, base)
-    snapshots.publish_version(rows, base, fingerprint, keep=2)
-    return snapshots.read_published(spark, base)
+    """Three versions, of which two are kept; the published rows beside each version that is kept."""
+    for version in (rows.where("unit > 100"), rows):
+        snapshots.publish_version(version, base, snapshots.current_fingerprint(spark, base), keep=2)
+    return snapshots.read_published(spark, base).join(F.broadcast(snapshots.versions(spark, base).select("version")), how="cross")  # two rows
 
 
 #: Headers with their role in a notice and in a sheet whose benchmark is shown as "Demo Index".
@@ -409,9 +432,9 @@ def applied(spark, sf_dir):
     return plan.apply_plan(h, p, F.lit("require"), F.lit(0.0)), p, h
 
 
-@query("l2_apply_plan", PLAN + "SELECT sheet, count(*) AS n, max(nav_date) AS last FROM (SELECT sheet, nav_date FROM hist UNION ALL SELECT sheet, nav_date FROM pl WHERE action<>'gap') GROUP BY 1", "hist", "cand")
+@query("l2_apply_plan", PLAN + "SELECT sheet, nav_date, unit, cumulative, code FROM hist UNION ALL SELECT sheet, nav_date, unit, cumulative, sheet FROM pl WHERE action<>'gap'", "hist", "cand")
 def l2_apply(spark, sf_dir):
-    return applied(spark, sf_dir)[0].groupBy("sheet").agg(F.count("*").alias("n"), F.max("nav_date").alias("last"))
+    return applied(spark, sf_dir)[0]
 
 
 @query("l3_validate_plan", PLAN + "SELECT sheet, nav_date, 'planned-row-missing' AS issue FROM pl WHERE action<>'gap' AND day(nav_date)=3 UNION ALL SELECT sheet, nav_date, 'unplanned-change' FROM hist WHERE day(nav_date)=4 AND year(nav_date)=1999", "hist", "cand")
@@ -452,21 +475,38 @@ def l9_preflight(spark, sf_dir):
     return plan.plan_preflight(meta, p, routes, F.lit("2024-01-03 00:00:00").cast("timestamp"))
 
 
-@query("l10_verify_written", "SELECT sheet, nav_date, CASE WHEN day(nav_date)=9 THEN 'missing' ELSE 'value-differs' END AS issue FROM hist WHERE day(nav_date) IN (9,10)", "hist")
+@query("l10_verify_written", "SELECT sheet, nav_date, CASE day(nav_date) WHEN 9 THEN 'missing' WHEN 10 THEN 'value-differs' ELSE 'weekly-missing' END AS issue FROM hist WHERE day(nav_date) IN (9,10,11)", "hist")
 def l10_verify(spark, sf_dir):
     h = A.hist(spark, sf_dir).select("sheet", "nav_date", "unit", "cumulative")
     back = h.where(F.day("nav_date") != 9).withColumn("unit", F.when(F.day("nav_date") == 10, F.col("unit") + 1e-3).otherwise(F.col("unit") + 1e-11))
-    return plan.verify_written(h, back)
+    back = back.withColumn("weekly", F.when(F.day("nav_date") != 11, F.col("unit")))
+    return plan.verify_written(h, back, computed=("weekly",))
+
+
+UPDATE = """+ r AS (SELECT DISTINCT sheet, number_of(sheet) AS k FROM cand), t AS (SELECT sheet, max(nav_date) AS tail FROM hist GROUP BY 1),
+f AS (SELECT c.sheet, c.nav_date, CASE WHEN k%7=0 THEN 0 WHEN k%5=3 THEN 1 WHEN h.nav_date IS NOT NULL AND NOT (abs(c.unit-h.unit)<=1e-6 AND abs(c.cumulative-h.cumulative)<=1e-6) THEN 2 WHEN h.nav_date IS NULL AND c.nav_date<=tail THEN 4 END AS e FROM cand c JOIN r USING (sheet) LEFT JOIN t USING (sheet) LEFT JOIN hist h ON h.sheet=c.sheet AND h.nav_date=c.nav_date),
+bad AS (SELECT sheet, min(e) AS e FROM f WHERE e IS NOT NULL GROUP BY 1)
+"""
 
 
-@query("l11_run_update", PLAN + "SELECT sheet, count(*) AS n FROM (SELECT sheet, nav_date FROM hist UNION ALL SELECT sheet, nav_date FROM pl WHERE action<>'gap') GROUP BY 1", "hist", "cand")
+@query(
+    "l11_run_update",
+    UPDATE + "SELECT f.sheet, ['not-approved','candidate','conflict','period-change','internal-gap'][any_value(bad.e)+1] AS error, count(*) FILTER (bad.e IS NULL AND f.nav_date>tail) AS added, CAST(0 AS BIGINT) AS again, count(*) FILTER (bad.e IS NULL AND f.nav_date>tail)+(SELECT count(*) FROM hist h WHERE h.sheet=f.sheet) AS published FROM f JOIN t USING (sheet) LEFT JOIN bad USING (sheet) GROUP BY 1",
+    "hist",
+    "cand",
+)
 def l11_update(spark, sf_dir):
-    """Approved, reconciled, planned, published and read back."""
-    after, p, h = applied(spark, sf_dir)
+    """A published history is brought up to date, and again: the second run adds nothing. By sheet, some routes aren't
+    approved, or have another code."""
+    h, c = A.hist(spark, sf_dir), A.cand(spark, sf_dir)
+    number = F.substring("sheet", 2, 9).cast("int")
+    routes = c.select("sheet").distinct().select("sheet", F.when(number % 5 == 3, "ELSE01").otherwise(F.col("sheet")).alias("code"), (number % 7 != 0).alias("approved"), F.lit("require").alias("cumulative_policy"))
     base = snapshots.fresh_path(spark, "update")
-    snapshots.publish_version(h.select("sheet", "nav_date", "unit", "cumulative"), base, None, keep=3)
-    snapshots.publish_version(after, base, snapshots.current_fingerprint(spark, base), keep=3)
-    return snapshots.read_published(spark, base).groupBy("sheet").agg(F.count("*").alias("n"))
+    snapshots.publish_version(h, base, None, keep=3)
+    first = update.run_update(spark, base, c, routes, day("2003-01-01"), max_change=1e9)
+    again = update.run_update(spark, base, c, routes, day("2003-01-01"), max_change=1e9).select("sheet", F.col("added").alias("again"))
+    published = snapshots.read_published(spark, base).groupBy("sheet").agg(F.count("*").alias("published"))
+    return first.join(again, "sheet").join(published, "sheet")
 
 
 @query("i4_keep_and_prune", "SELECT sheet, nav_date FROM (SELECT sheet, nav_date, row_number() OVER (PARTITION BY sheet ORDER BY nav_date DESC) AS n FROM hist) WHERE n<=3 AND nav_date>=DATE '1999-12-20'", "hist")
@@ -491,7 +531,7 @@ def m1_unique(spark, sf_dir):
     return quality.uniqueness(r.union(other).union(r.where("k = 3")).drop("k"))
 
 
-@query("m2_route_rules", "SELECT sheet, 'pause-reason' AS rule FROM routes WHERE paused UNION ALL SELECT sheet, 'sender-address' FROM routes WHERE sender LIKE 'desk3%' UNION ALL SELECT sheet, 'staleness-range' FROM routes WHERE CAST(substr(code,2) AS INTEGER)%13=0 UNION ALL SELECT sheet, 'offset-missing' FROM routes WHERE CAST(substr(code,2) AS INTEGER)%7=0", "routes")
+@query("m2_route_rules", "SELECT sheet, 'pause-reason' AS rule FROM routes WHERE paused UNION ALL SELECT sheet, 'sender-address' FROM routes WHERE sender LIKE 'desk3%' UNION ALL SELECT sheet, 'staleness-range' FROM routes WHERE CAST(substr(code,2) AS INTEGER)%13=0 UNION ALL SELECT sheet, 'offset-missing' FROM routes WHERE CAST(substr(code,2) AS INTEGER)%7=0 UNION ALL SELECT sheet, rule FROM routes JOIN (VALUES (19,'return-basis'),(23,'data-frequency'),(29,'series-start'),(31,'baseline-overlap'),(37,'binding-code')) v(m, rule) ON CAST(substr(code,2) AS INTEGER)%m=0", "routes")
 def m2_rules(spark, sf_dir):
     number = F.substring("code", 2, 9).cast("int")
     r = A.routes_events(spark, sf_dir).withColumns(
@@ -503,6 +543,11 @@ def m2_rules(spark, sf_dir):
             "cumulative_policy": F.when(number % 7 == 0, "offset").otherwise("require"),
             "cumulative_offset": F.lit(None).cast("double"),
             "return_frequency": F.lit("weekly"),
+            "return_basis": F.when(number % 19 == 0, "gross").otherwise("cumulative"),
+            "data_frequency": F.when(number % 23 == 0, "hourly").otherwise("auto"),
+            "series_start_text": F.when(number % 29 == 0, "2026-02-30").otherwise("2026-02-28"),
+            "baseline_overlap": F.when(number % 31 == 0, "any").otherwise("last_existing_point"),
+            "subject_product_code": F.when(number % 37 == 0, "ELSE").otherwise(F.lower("code")),
         }
     )
     return quality.route_rules(r)
@@ -560,6 +605,17 @@ def q1_audit(spark, sf_dir):
     return audit.audit_text(text, "doc_id", "text")
 
 
+@query(
+    "m6_option_bounds",
+    "WITH o AS (SELECT s_suppkey AS k, ['minimum_history_dates','tolerance','max_future_days','max_period_change','zero_threshold','backup_count','log_days','other'][s_suppkey%8+1] AS option, CASE WHEN s_suppkey%3=0 THEN 0.0 WHEN s_suppkey%3=1 THEN 0.005 ELSE 5000.0 END AS value FROM supplier) SELECT DISTINCT option, CAST(value AS DOUBLE) AS value, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM o LEFT JOIN (VALUES ('minimum_history_dates',2,100),('tolerance',0,0.01),('max_future_days',0,7),('max_period_change',0.001,10),('zero_threshold',0,0.1),('backup_count',1,100),('log_days',1,3650)) b(option, low, high) USING (option) WHERE low IS NULL OR NOT value BETWEEN low AND high OR (option='tolerance' AND value<=0)",
+)
+def m6_bounds(spark, sf_dir):
+    names = ("minimum_history_dates", "tolerance", "max_future_days", "max_period_change", "zero_threshold", "backup_count", "log_days", "other")
+    k = F.col("s_suppkey")
+    o = A.table(spark, sf_dir, "supplier").select(F.get(F.array(*map(F.lit, names)), (k % 8).cast("int")).alias("option"), F.when(k % 3 == 0, 0.0).when(k % 3 == 1, 0.005).otherwise(5000.0).alias("value"))
+    return quality.option_bounds(o).distinct()
+
+
 #: Names of files with their category.
 FILES = (("config.json", "runtime-artifact"), ("Config.json", "unexpected-file-type"), ("report.PDF", "binary-or-data-artifact"), ("notes.md", None), (".gitignore", None), ("LICENSE", None), ("data.parquet", "unexpected-file-type"), ("run.lock", "runtime-artifact"), ("poetry.lock", None))
 

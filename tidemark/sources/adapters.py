@@ -132,7 +132,7 @@ NEEDS = {"hist": ("series",), "cand": ("series",)}
 
 def expanded(body: str) -> str:
     """rnd(x, n): half up by double arithmetic; xsum(x): exact sum of a column with two decimals; number_of(code): its number."""
-    body = re.sub(r"number_of\((\w+)\)", r"CAST(substr(\1,2,4) AS INTEGER)", body)
+    body = re.sub(r"number_of\(([\w.]+)\)", r"CAST(substr(\1,2,4) AS INTEGER)", body)
     body = re.sub(r"xsum\((\w+)\)", r"CAST(sum(CAST(\1 AS DECIMAL(18,2))) AS DOUBLE)", body)
     while (at := body.find("rnd(")) >= 0:
         depth, end, comma = 1, at + 4, 0

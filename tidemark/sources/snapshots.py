@@ -23,6 +23,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as written to the shared folder and read back, for results that are used several times."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_benchmark(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """bm_date, bm_value, duplicate. Rows without a date or value are dropped; duplicate marks dates that occur more than
     once, which is an error of the source."""
@@ -63,7 +70,7 @@ def load_snapshot(spark: SparkSession, path: str, config: str, scope: str) -> Da
 
 
 def pointers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("version long, fingerprint string, rows long").parquet(f"{path}/pointers")
+    return spark.read.schema("fingerprint string, rows long, location string, version long").parquet(f"{path}/pointers")
 
 
 def current_fingerprint(spark: SparkSession, path: str) -> str | None:
@@ -73,12 +80,13 @@ def current_fingerprint(spark: SparkSession, path: str) -> str | None:
 
 def publish_version(df: DataFrame, path: str, expected: str | None, keep: int) -> int:
     """Stage df as the next version, read it back and compare, check that the base is still the expected one, then point
-    at it. Until the pointer is written, readers see the version before. Returns the version."""
+    at it and let all but the newest `keep` versions go. Until the pointer is written, readers see the version before.
+    A version's pointer is a folder of its own that can be written once, so of two writers one fails. Returns the
+    version."""
     spark = df.sparkSession
     staged = f"{path}/data/{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    back = spark.read.parquet(staged)
-    made, found = fingerprint_of(df).first(), fingerprint_of(back).first()
+    made, found = fingerprint_of(df).first(), fingerprint_of(spark.read.parquet(staged)).first()
     if made != found:
         raise ValueError("the staged rows aren't those that were to be written")
     last = 0
@@ -87,16 +95,24 @@ def publish_version(df: DataFrame, path: str, expected: str | None, keep: int) -
             raise ValueError("the base has changed since the plan was made")
         last = pointers(spark, path).agg(F.max("version")).first()[0]
     version = last + 1
-    spark.createDataFrame([(version, found["fingerprint"], found["n"], staged)], "version long, fingerprint string, rows long, location string").write.mode("append").parquet(f"{path}/pointers")
+    pointer = spark.createDataFrame([(found["fingerprint"], found["n"], staged)], "fingerprint string, rows long, location string")
+    pointer.write.mode("errorifexists").parquet(f"{path}/pointers/version={version}")
+    prune(spark, path, keep)
     return version
 
 
-def retained(spark: SparkSession, path: str, keep: int) -> DataFrame:
-    """version and location of the newest `keep` versions; others may be deleted."""
-    p = spark.read.schema("version long, location string").parquet(f"{path}/pointers")
-    return p.orderBy(F.desc("version")).limit(keep)
+def prune(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all but the newest `keep` versions: first the pointer, then the rows."""
+    for old in pointers(spark, path).orderBy(F.desc("version")).offset(keep).collect():  # as many as were published since
+        for gone in (f"{path}/pointers/version={old['version']}", old["location"]):
+            where = spark._jvm.org.apache.hadoop.fs.Path(gone)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """version, rows of what is kept."""
+    return pointers(spark, path).select("version", "rows")
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    p = spark.read.schema("version long, location string").parquet(f"{path}/pointers")
-    return spark.read.parquet(p.agg(F.max_by("location", "version")).first()[0])
+    return spark.read.parquet(pointers(spark, path).agg(F.max_by("location", "version")).first()[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.filters import active_routes
+from tidemark.operators.filters import active_routes, subject_in_scope
 
 
 def accepted_codes(routes: DataFrame) -> DataFrame:
@@ -14,26 +14,42 @@ def accepted_codes(routes: DataFrame) -> DataFrame:
     return routes.withColumn("accepted", F.explode(F.filter(codes, lambda c: c.isNotNull())))
 
 
+def applicable(messages: DataFrame, routes: DataFrame) -> DataFrame:
+    """sender, subject and the routes that apply to such messages: those of the sender whose subject conditions hold
+    (subject_contains, subject_excludes, where routes have them). One row per distinct sender and subject and route, so
+    the work doesn't grow with the messages of one kind."""
+    subject = F.coalesce(F.col("subject"), F.lit("")) if "subject" in messages.columns else F.lit("")
+    kinds = messages.select("sender", subject.alias("subject")).distinct()
+    column = lambda c, kind: (F.col(c) if c in routes.columns else F.lit(None)).cast(kind)
+    rules = routes.withColumns({"_contains": column("subject_contains", "string"), "_excludes": column("subject_excludes", "array<string>")})
+    both = kinds.join(rules, "sender")
+    return both.where(subject_in_scope(F.col("subject"), F.col("_contains"), F.col("_excludes"))).drop("_contains", "_excludes")
+
+
 def route_observations(obs: DataFrame, routes: DataFrame) -> DataFrame:
-    """Every observation with outcome: routed, pre_managed (before series_start), unconfigured (a code that no active
-    route accepts), or error (no code, or several routes). Routed rows carry sheet and the route's primary code. A row
-    without code goes to its sender's route only if the sender has one route that allows it."""
-    active = active_routes(routes)
-    single = active.groupBy("sender").agg(F.count("*").alias("_routes"), F.first("sheet").alias("_only"), F.bool_and(F.coalesce("allow_sender_only", F.lit(False))).alias("_open"))
-    match = accepted_codes(active).select("sender", F.col("accepted").alias("code"), F.col("sheet").alias("_sheet"))
-    hits = match.groupBy("sender", "code").agg(F.count("*").alias("_hits"), F.first("_sheet").alias("_sheet"))
-    rows = obs.join(hits, ["sender", "code"], "left").join(single, "sender", "left")
-    bare = F.col("code").isNull() & (F.col("_routes") == 1) & F.col("_open")
-    sheet = F.when(F.col("_hits") == 1, F.col("_sheet")).when(bare, F.col("_only"))
-    rows = rows.withColumn("sheet", sheet)
-    facts = active.select(F.col("sheet"), F.col("series_start").alias("_start"), F.col("code").alias("_primary"))
+    """Every observation with outcome and reason: routed, pre_managed (before series_start), unconfigured (a code that no
+    applicable route accepts), or error (`no-code`, `no-route`, `several-routes`). Routed rows carry sheet and the
+    route's primary code. Where one route alone applies to a message, a row without code goes to it if it allows that,
+    and any row if the route has no code."""
+    if "subject" not in obs.columns:
+        return route_observations(obs.withColumn("subject", F.lit("")), routes).drop("subject")
+    active = applicable(obs, active_routes(routes))
+    coded = F.col("code").isNotNull() | (F.size(F.coalesce("code_aliases", F.array().cast("array<string>"))) > 0)
+    single = active.groupBy("sender", "subject").agg(F.count("*").alias("_routes"), F.first("sheet").alias("_only"), F.bool_and(F.coalesce("allow_sender_only", F.lit(False))).alias("_open"), F.bool_or(coded).alias("_coded"))
+    match = accepted_codes(active).select("sender", "subject", F.col("accepted").alias("code"), F.col("sheet").alias("_sheet"))
+    hits = match.groupBy("sender", "subject", "code").agg(F.count("*").alias("_hits"), F.first("_sheet").alias("_sheet"))
+    keyed = obs.withColumn("_said", F.col("subject")).withColumn("subject", F.coalesce("subject", F.lit("")))
+    rows = keyed.join(hits, ["sender", "subject", "code"], "left").join(single, ["sender", "subject"], "left")
+    alone = F.coalesce(F.col("_routes") == 1, F.lit(False))
+    bare = alone & ((F.col("code").isNull() & F.col("_open")) | ~F.col("_coded"))
+    rows = rows.withColumn("sheet", F.when(F.col("_hits") == 1, F.col("_sheet")).when(bare, F.col("_only")))
+    facts = active_routes(routes).select(F.col("sheet"), F.col("series_start").alias("_start"), F.col("code").alias("_primary"))
     rows = rows.join(facts, "sheet", "left")
-    outcome = (
-        F.when(F.col("sheet").isNotNull(), F.when(F.col("nav_date") < F.col("_start"), "pre_managed").otherwise("routed"))
-        .when(F.col("code").isNotNull() & F.col("_hits").isNull(), "unconfigured")
-        .otherwise("error")
-    )
-    return rows.withColumn("outcome", outcome).withColumn("code", F.coalesce("_primary", "code")).drop("_hits", "_sheet", "_routes", "_only", "_open", "_start", "_primary")
+    found = F.col("sheet").isNotNull()
+    outcome = F.when(found, F.when(F.col("nav_date") < F.col("_start"), "pre_managed").otherwise("routed")).when(F.col("code").isNotNull() & F.col("_hits").isNull(), "unconfigured").otherwise("error")
+    reason = F.when(found, None).when(F.col("_hits") > 1, "several-routes").when(F.col("_routes").isNull(), "no-route").when(F.col("code").isNull(), F.when(F.col("_routes") > 1, "several-routes").otherwise("no-code"))
+    out = rows.withColumns({"outcome": outcome, "reason": F.when(outcome == "error", reason), "code": F.coalesce("_primary", "code"), "subject": F.col("_said")})
+    return out.select(*obs.columns, *[c for c in ("sheet", "outcome", "reason") if c not in obs.columns])
 
 
 def unconfigured_rows(obs: DataFrame, routes: DataFrame) -> DataFrame:
@@ -42,15 +58,28 @@ def unconfigured_rows(obs: DataFrame, routes: DataFrame) -> DataFrame:
     return obs.where(F.col("code").isNotNull()).join(match, ["sender", "code"], "left_anti").groupBy("sender").agg(F.count("*").alias("n_rows"), F.count_distinct("message_id").alias("n_messages"))
 
 
-def route_overlaps(messages: DataFrame, routes: DataFrame, ids: int = 5) -> DataFrame:
-    """Pairs of routes of one sender that match one message (its sheet set differs by code only): route_a, route_b,
-    messages, first_ids."""
-    hit = messages.select("message_id", "sender").distinct().join(routes.select("sender", "sheet"), "sender")
-    a, b = hit.select("message_id", F.col("sheet").alias("route_a")), hit.select("message_id", F.col("sheet").alias("route_b"))
-    pairs = a.join(b, "message_id").where("route_a < route_b")
-    first = Window.partitionBy("route_a", "route_b").orderBy("message_id")
-    pairs = pairs.withColumn("_n", F.row_number().over(first))
-    return pairs.groupBy("route_a", "route_b").agg(F.count("*").alias("messages"), F.array_sort(F.collect_list(F.when(F.col("_n") <= ids, F.col("message_id")))).alias("first_ids"))
+def route_overlaps(messages: DataFrame, routes: DataFrame, ids: int = 5, salts: int = 64) -> DataFrame:
+    """Pairs of routes that apply to one message: route_a, route_b, reason (`subject` where one of them has a subject
+    condition, else `sender`), messages, first_ids.
+
+    Messages are counted per kind (sender and subject) first, then per set of routes, and pairs are made of the distinct
+    sets; the first ids are found per salt before they meet."""
+    subject = F.coalesce(F.col("subject"), F.lit("")) if "subject" in messages.columns else F.lit("")
+    condition = F.lit(False)
+    for c in ("subject_contains", "subject_excludes"):
+        if c in routes.columns:
+            condition = condition | F.col(c).isNotNull()
+    sets = applicable(messages, routes).groupBy("sender", "subject").agg(F.array_sort(F.collect_set("sheet")).alias("sheets"), F.collect_set(F.when(condition, F.col("sheet"))).alias("_limited")).where(F.size("sheets") > 1)
+    rows = messages.select("message_id", "sender", subject.alias("subject")).distinct().join(sets, ["sender", "subject"])
+    salt = F.pmod(F.xxhash64("message_id"), F.lit(salts))
+    first = Window.partitionBy("sheets", "_limited", "_salt").orderBy("message_id")
+    rows = rows.withColumn("_salt", salt).withColumn("_n", F.row_number().over(first))
+    some = F.collect_list(F.when(F.col("_n") <= ids, F.col("message_id")))
+    per = rows.groupBy("sheets", "_limited", "_salt").agg(F.count("*").alias("n"), some.alias("ids")).groupBy("sheets", "_limited").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, ids).alias("ids"))
+    a = per.select("*", F.posexplode("sheets").alias("_i", "route_a"))
+    pairs = a.select("route_a", "n", "ids", "_limited", F.explode(F.slice("sheets", F.col("_i") + 2, F.size("sheets"))).alias("route_b"))
+    reason = F.when(F.array_contains("_limited", F.col("route_a")) | F.array_contains("_limited", F.col("route_b")), "subject").otherwise("sender")
+    return pairs.groupBy("route_a", "route_b", reason.alias("reason")).agg(F.sum("n").alias("messages"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, ids).alias("first_ids"))
 
 
 def match_candidates(cands: DataFrame, routes: DataFrame) -> DataFrame:

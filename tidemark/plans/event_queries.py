@@ -244,9 +244,54 @@ def f2_unconfigured(spark, sf_dir):
     return routing.unconfigured_rows(A.obs_events(spark, sf_dir), A.routes_events(spark, sf_dir))
 
 
-@query("f3_route_overlaps", "+ h AS (SELECT DISTINCT message_id, o.sender, r.sheet FROM obs o JOIN routes r USING (sender)) SELECT a.sheet AS route_a, b.sheet AS route_b, count(*) AS messages FROM h a JOIN h b ON a.message_id=b.message_id AND a.sheet<b.sheet GROUP BY 1,2", "obs", "routes")
+def limited_routes(spark, sf_dir):
+    """Routes of which some take only certain subjects; some senders' routes have no code, or allow rows without one."""
+    number = F.substring("code", 2, 9).cast("int")
+    return A.routes_events(spark, sf_dir).withColumns(
+        {
+            "subject_contains": F.when(number % 4 == 1, "nav"),
+            "subject_excludes": F.when(number % 4 == 2, F.array(F.lit("REPORT"))),
+            "allow_sender_only": number % 3 == 1,
+            "code_aliases": F.when(number % 6 == 1, F.array().cast("array<string>")).otherwise(F.col("code_aliases")),
+            "code": F.when(number % 6 == 1, F.lit(None)).otherwise(F.col("code")),
+        }
+    )
+
+
+LIMITED = f"""+ lr AS (SELECT sheet, sender, number_of(code) AS k, CASE WHEN number_of(code)%6<>1 THEN code END AS code, CASE WHEN number_of(code)%6<>1 THEN alias END AS alias, paused, series_start FROM routes),
+ls AS (SELECT o.*, {"CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SUBJECT.items()) + " END"} AS subject FROM obs o),
+ap AS (SELECT kk.sender, kk.subject, lr.* EXCLUDE (sender) FROM (SELECT DISTINCT sender, subject FROM ls) kk JOIN lr USING (sender) WHERE (k%4<>1 OR contains(lower(subject),'nav')) AND (k%4<>2 OR NOT contains(lower(subject),'report')))
+"""
+
+
+@query(
+    "f3_route_overlaps",
+    LIMITED + "SELECT a.sheet AS route_a, b.sheet AS route_b, CASE WHEN a.k%4 IN (1,2) OR b.k%4 IN (1,2) THEN 'subject' ELSE 'sender' END AS reason, count(DISTINCT message_id) AS messages, list_sort(list(DISTINCT message_id))[1:5] AS first_ids FROM (SELECT sender, message_id, max_by(subject, event_id) AS subject FROM ls GROUP BY 1,2) m JOIN ap a ON a.sender=m.sender AND a.subject=m.subject JOIN ap b ON b.sender=m.sender AND b.subject=m.subject AND a.sheet<b.sheet GROUP BY 1,2,3",
+    "obs",
+    "routes",
+)
 def f3_overlaps(spark, sf_dir):
-    return routing.route_overlaps(A.obs_events(spark, sf_dir), A.routes_events(spark, sf_dir)).select("route_a", "route_b", "messages")
+    """A message's subject is that of its last event."""
+    o = A.obs_events(spark, sf_dir)
+    m = o.groupBy("message_id", "sender").agg(F.max_by("event_type", "event_id").alias("event_type")).withColumn("subject", subject())
+    return routing.route_overlaps(m, limited_routes(spark, sf_dir))
+
+
+@query(
+    "f1_route_conditions",
+    LIMITED + """, ac AS (SELECT * FROM ap WHERE NOT paused), c1 AS (SELECT sender, subject, code AS c, sheet FROM ac WHERE code IS NOT NULL UNION SELECT sender, subject, alias, sheet FROM ac WHERE alias IS NOT NULL),
+hit AS (SELECT sender, subject, c, count(*) AS h, min(sheet) AS sheet FROM c1 GROUP BY 1,2,3), one AS (SELECT sender, subject, count(*) AS n, min(sheet) AS sheet, bool_and(k%3=1) AS op, bool_or(code IS NOT NULL) AS coded FROM ac GROUP BY 1,2),
+x AS (SELECT event_id, nav_date, CASE WHEN event_id%4<>0 THEN ls.code END AS c, ls.sender, ls.subject FROM ls),
+y AS (SELECT x.*, h, n, CASE WHEN h=1 THEN hit.sheet WHEN n=1 AND ((x.c IS NULL AND op) OR NOT coded) THEN one.sheet END AS sheet FROM x LEFT JOIN hit ON hit.sender=x.sender AND hit.subject=x.subject AND hit.c=x.c LEFT JOIN one ON one.sender=x.sender AND one.subject=x.subject),
+z AS (SELECT y.*, CASE WHEN y.sheet IS NOT NULL THEN CASE WHEN nav_date<series_start THEN 'pre_managed' ELSE 'routed' END WHEN c IS NOT NULL AND h IS NULL THEN 'unconfigured' ELSE 'error' END AS outcome FROM y LEFT JOIN (SELECT sheet, series_start FROM lr) r ON r.sheet=y.sheet)
+SELECT event_id, sheet, outcome, CASE WHEN outcome='error' THEN CASE WHEN h>1 THEN 'several-routes' WHEN n IS NULL THEN 'no-route' WHEN c IS NULL THEN CASE WHEN n>1 THEN 'several-routes' ELSE 'no-code' END END END AS reason FROM z""",
+    "obs",
+    "routes",
+)
+def f1_conditions(spark, sf_dir):
+    """A quarter of the rows without code; routes limited by subject, without codes, or open to rows without one."""
+    o = A.obs_events(spark, sf_dir).withColumn("subject", subject()).withColumn("code", F.when(F.col("event_id") % 4 != 0, F.col("code")))
+    return routing.route_observations(o, limited_routes(spark, sf_dir)).select("event_id", "sheet", "outcome", "reason")
 
 
 @query("f10_match_candidates", "+ c AS (SELECT DISTINCT sender, code, user_id FROM obs) SELECT sender, code, CASE WHEN user_id%5=0 THEN 'new' ELSE 'matched' END AS status FROM c WHERE user_id%7<>0 UNION ALL SELECT sender, code||'Z', 'new' FROM c WHERE user_id%7=0 UNION ALL SELECT sender, code, 'not-seen' FROM routes WHERE CAST(substr(code,2) AS INTEGER)%7=0", "obs", "routes")

@@ -646,23 +646,25 @@ def n2_weeks(spark, sf_dir):
     return jobs.completed_weeks(spark, sf_dir)
 
 
-@query("n3_stream_dedup", "SELECT count(DISTINCT (user_id, event_type, CAST(ts AS DATE))) AS n FROM events")
+@query("n3_stream_dedup", "SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(DISTINCT 1) AS n FROM events GROUP BY 1,2,3")
 def n3_dedup(spark, sf_dir):
-    return jobs.deduplicated(spark, sf_dir).agg(F.count("*").alias("n"))
+    return jobs.deduplicated(spark, sf_dir).groupBy("user_id", "event_type", "day").agg(F.count("*").alias("n"))
 
 
-@query("n1_stream_observations", "SELECT count(*) AS n, max(event_id) AS last FROM events")
+@query("n1_stream_observations", "SELECT event_id, user_id, event_type, value FROM events")
 def n1_stream(spark, sf_dir):
-    return jobs.ingested(spark, sf_dir).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    return jobs.ingested(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
 
 
-@query("n4_stream_corrections")
+@query(
+    "n4_stream_corrections",
+    "+ d AS (SELECT code, nav_date, coalesce(max(CASE WHEN event_type='error' THEN event_id END), min(event_id)) AS base, count(*) AS n FROM obs GROUP BY 1,2) SELECT d.code, CAST(d.nav_date AS VARCHAR) AS day, max(CASE WHEN o.event_id=base THEN unit END) AS unit, bool_or(o.event_id>base AND o.unit<>b.u) AS conflict, any_value(n) AS n FROM d JOIN obs o ON o.code=d.code AND o.nav_date=d.nav_date JOIN (SELECT event_id, unit AS u FROM obs) b ON b.event_id=base GROUP BY 1,2",
+    "obs",
+)
 def n4_stream(spark, sf_dir):
     return jobs.corrected(spark, sf_dir)
 
 
-@query("n5_stream_append", "SELECT count(*) AS n FROM events")
+@query("n5_stream_append", "SELECT event_id, 'U'||user_id AS code, value AS unit, CAST(ts AS DATE) AS nav_date FROM events")
 def n5_append(spark, sf_dir):
-    return jobs.appended(spark, sf_dir).agg(F.count("*").alias("n"))
-
-
+    return jobs.appended(spark, sf_dir)

@@ -53,27 +53,38 @@ def deduplicated(spark: SparkSession, sf_dir: str, delay: str = "60 days") -> Da
     return run_to_end(rows.select("event_id", "user_id", "event_type", "day"), "append", "dedup")
 
 
-def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State of a code and day: order and value of what holds now, and whether plain values disagree. A correction that
-    is later than everything so far replaces it; a plain value that differs is a conflict."""
-    uid, unit, conflict, n = state.get if state.exists else (-1, None, False, 0)
-    for f in frames:
-        for r in f.sort_values("event_id").itertuples():
-            n += 1
-            if unit is None:
-                uid, unit = r.event_id, r.value
-            elif r.event_type == "error" and r.event_id > uid:
-                uid, unit, conflict = r.event_id, r.value, False
-            elif r.value != unit:
-                uid, conflict = max(uid, r.event_id), True
-    state.update((int(uid), float(unit), bool(conflict), int(n)))
-    yield pd.DataFrame({"code": [key[0]], "day": [key[1]], "unit": [unit], "conflict": [conflict], "n": [n]})
-
-
-def corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """code, day, unit, conflict, n: the latest state of each code and day."""
-    rows = stream(spark, sf_dir).withColumn("code", F.concat(F.lit("U"), F.col("user_id"))).withColumn("day", F.col("ts").cast("date").cast("string"))
-    states = rows.groupBy("code", "day").applyInPandasWithState(settle, "code string, day string, unit double, conflict boolean, n long", "uid long, unit double, conflict boolean, n long", "update", GroupStateTimeout.NoTimeout)
+def settler(delay_ms: int):
+    def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """State of a code and day: order and value of what holds now, and whether plain values disagree. A correction
+        that is later than everything so far replaces it; a plain value that differs is a conflict. The state goes when
+        the watermark has passed the day by the delay."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        uid, unit, conflict, n = state.get if state.exists else (-1, None, False, 0)
+        for f in frames:
+            for r in f.sort_values("event_id").itertuples():
+                n += 1
+                if unit is None:
+                    uid, unit = r.event_id, r.value
+                elif r.event_type == "error" and r.event_id > uid:
+                    uid, unit, conflict = r.event_id, r.value, False
+                elif r.value != unit:
+                    uid, conflict = max(uid, r.event_id), True
+        state.update((int(uid), float(unit), bool(conflict), int(n)))
+        over = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 86_400_000 + delay_ms
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"code": [key[0]], "day": [key[1]], "unit": [unit], "conflict": [conflict], "n": [n]})
+
+    return settle
+
+
+def corrected(spark: SparkSession, sf_dir: str, delay_days: int = 60) -> DataFrame:
+    """code, day, unit, conflict, n: the latest state of each code and day. Events that are later than the watermark by
+    more than delay_days find no state any more."""
+    rows = stream(spark, sf_dir).withWatermark("ts", f"{delay_days} days").withColumn("code", F.concat(F.lit("U"), F.col("user_id"))).withColumn("day", F.col("ts").cast("date").cast("string"))
+    shape = "code string, day string, unit double, conflict boolean, n long"
+    states = rows.groupBy("code", "day").applyInPandasWithState(settler(delay_days * 86_400_000), shape, "uid long, unit double, conflict boolean, n long", "update", GroupStateTimeout.EventTimeTimeout)
     path = fresh_path(spark, "corrections")
     run_to_end(states, "update", "corrections", lambda batch, epoch: batch.write.mode("append").parquet(f"{path}/rows"))
     every = spark.read.schema(states.schema).parquet(f"{path}/rows")
@@ -81,15 +92,19 @@ def corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A history that grows by what is new in each batch; a batch that is run again adds nothing."""
+    """A history, parted by date, that grows by what is new in each batch; a batch that is run again adds nothing. Only the
+    dates of the batch are read from it."""
     path = fresh_path(spark, "history")
-    schema = "event_id long, code string, nav_date date, unit double"
-    spark.createDataFrame([], schema).write.parquet(f"{path}/rows")
-    rows = stream(spark, sf_dir).select("event_id", F.concat(F.lit("U"), F.col("user_id")).alias("code"), F.col("ts").cast("date").alias("nav_date"), F.col("value").alias("unit"))
+    schema = "event_id long, code string, unit double, nav_date date"
+    spark.createDataFrame([], schema).write.partitionBy("nav_date").parquet(f"{path}/rows")
+    rows = stream(spark, sf_dir).select("event_id", F.concat(F.lit("U"), F.col("user_id")).alias("code"), F.col("value").alias("unit"), F.col("ts").cast("date").alias("nav_date"))
 
     def add(batch: DataFrame, epoch: int) -> None:
-        known = batch.sparkSession.read.schema(schema).parquet(f"{path}/rows").select("event_id")
-        batch.join(known, "event_id", "left_anti").write.mode("append").parquet(f"{path}/rows")
+        session = batch.sparkSession
+        dates = [r["nav_date"] for r in batch.select("nav_date").distinct().collect()]  # one per day of a batch
+        known = session.read.schema(schema).parquet(f"{path}/rows").where(F.col("nav_date").isin(dates)).select("event_id")
+        batch.join(known, "event_id", "left_anti").write.partitionBy("nav_date").mode("append").parquet(f"{path}/rows")
 
     run_to_end(rows, "append", "append", add)
+    run_to_end(rows, "append", "append-again", add)  # the same events once more
     return spark.read.schema(schema).parquet(f"{path}/rows")

@@ -13,18 +13,29 @@ def by_date(key: str = "sheet") -> Window:
     return Window.partitionBy(key).orderBy("nav_date")
 
 
-def infer_frequency(hist: DataFrame) -> DataFrame:
-    """sheet, dates, frequency (daily, weekly, or null where the gaps prove neither), source.
+def infer_frequency(hist: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """sheet, dates, median_gap, frequency (daily, weekly, or null where the gaps prove neither), source; with settings
+    (sheet, configured: auto, daily or weekly; hint: the frequency that the sheet's return header names) also issue:
+    `unprovable`, or `disagrees` where another frequency is configured.
 
     Two dates or more: the median gap decides, up to 4 days daily, up to 10 weekly; else weekly if at least 70 % of the
-    gaps have five days or more and are within a day of whole weeks. With one date only, daily by default."""
+    gaps have five days or more and are within a day of whole weeks. With one date only the hint counts, daily without
+    one."""
     days = hist.select("sheet", "nav_date").distinct()
     gap = F.date_diff("nav_date", F.lag("nav_date").over(by_date()))
     gaps = days.withColumn("gap", gap)
     near_week = (F.col("gap") >= 5) & (F.least(F.col("gap") % 7, (7 - F.col("gap") % 7) % 7) <= 1)
     per = gaps.groupBy("sheet").agg(F.count("*").alias("dates"), F.median("gap").alias("median_gap"), F.avg(F.when(F.col("gap").isNotNull(), near_week.cast("int"))).alias("near"))
     kind = F.when(F.col("dates") < 2, "daily").when(F.col("median_gap") <= 4, "daily").when(F.col("median_gap") <= 10, "weekly").when(F.col("near") >= 0.7, "weekly")
-    return per.select("sheet", "dates", "median_gap", kind.alias("frequency"), F.when(F.col("dates") < 2, "email-source").otherwise("history").alias("source"))
+    found = per.select("sheet", "dates", "median_gap", kind.alias("frequency"), F.when(F.col("dates") < 2, "email-source").otherwise("history").alias("source"))
+    if settings is None:
+        return found
+    rows = found.join(settings.select("sheet", "configured", "hint"), "sheet", "left")
+    short = F.col("dates") < 2
+    kind = F.when(short, F.coalesce("hint", F.lit("daily"))).otherwise(F.col("frequency"))
+    source = F.when(short & F.col("hint").isNotNull(), "header").otherwise(F.col("source"))
+    issue = F.when(kind.isNull(), "unprovable").when((F.coalesce("configured", F.lit("auto")) != "auto") & (F.col("configured") != kind), "disagrees")
+    return rows.select("sheet", "dates", "median_gap", kind.alias("frequency"), source.alias("source"), issue.alias("issue"))
 
 
 def preferred_weekday(hist: DataFrame) -> DataFrame:
@@ -73,14 +84,23 @@ def withheld_current_week(cand: DataFrame, hist: DataFrame, as_of: Column) -> Da
 
 
 def pending_week_baseline(cand: DataFrame, hist: DataFrame, as_of: DataFrame) -> DataFrame:
-    """sheet, pending: nothing can be added yet, rightly. Every new candidate is in as_of's week and not after it, the
-    candidates have the history's code, and their cumulative values are there. as_of: one date per sheet."""
-    h = hist.groupBy("sheet").agg(F.max("nav_date").alias("tail"), F.min("code").alias("hcode"))
-    rows = cand.join(h, "sheet").join(as_of, "sheet")
-    new = F.col("nav_date") > F.col("tail")
-    inside = (iso_week("nav_date") == iso_week("as_of")) & (F.col("nav_date") <= F.col("as_of"))
-    per = rows.groupBy("sheet").agg(F.count_if(new).alias("n"), F.bool_and(~new | inside).alias("inside"), F.bool_and(F.col("code") == F.col("hcode")).alias("same"), F.bool_and(F.col("cumulative").isNotNull()).alias("full"))
-    return per.select("sheet", ((F.col("n") > 0) & F.col("inside") & F.col("same") & F.col("full")).alias("pending"))
+    """sheet, pending: nothing can be added yet, rightly. There are new candidates, and all of them are in as_of's week and
+    not after it; every other candidate is in history; history isn't stale; history has one code, which all candidates
+    have; history is complete. as_of: sheet, as_of, max_staleness_days."""
+    complete = F.col("unit").isNotNull() & F.col("cumulative").isNotNull()
+    h = hist.groupBy("sheet").agg(F.max("nav_date").alias("tail"), F.min("code").alias("hcode"), F.count_distinct("code").alias("codes"), F.bool_and(complete).alias("full"))
+    known = hist.select("sheet", "nav_date").distinct().withColumn("known", F.lit(True))
+    rows = cand.join(known, ["sheet", "nav_date"], "left").join(h, "sheet").join(as_of, "sheet")
+    new = F.col("known").isNull()
+    inside = (F.col("nav_date") > F.col("tail")) & (iso_week("nav_date") == iso_week("as_of")) & (F.col("nav_date") <= F.col("as_of"))
+    per = rows.groupBy("sheet").agg(
+        F.count_if(new).alias("n"),
+        F.bool_and(~new | inside).alias("inside"),
+        F.bool_and(F.coalesce((F.col("code") == F.col("hcode")) & (F.col("codes") == 1), F.lit(False))).alias("same"),
+        F.first("full").alias("full"),
+        F.first(F.date_diff("as_of", "tail") <= F.col("max_staleness_days")).alias("fresh"),
+    )
+    return per.select("sheet", ((F.col("n") > 0) & F.col("inside") & F.col("same") & F.col("full") & F.col("fresh")).alias("pending"))
 
 
 def period_ends(series: DataFrame, frequency: str, as_of: Column) -> DataFrame:

@@ -95,10 +95,13 @@ def find_total_row(cells: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def check_mode(layout: DataFrame, totals: DataFrame, history: DataFrame, routes: DataFrame) -> DataFrame:
-    """sheet, issue: what a route's sheet mode needs and the sheet lacks."""
+    """sheet, issue: what a route's sheet mode needs and the sheet lacks. routes: sheet, sheet_mode and, if there are any,
+    return_frequency and has_benchmark (its benchmark and excess columns must be there then)."""
+    for c, kind in (("return_frequency", "string"), ("has_benchmark", "boolean")):
+        routes = routes if c in routes.columns else routes.withColumn(c, F.lit(None).cast(kind))
     has = layout.groupBy("sheet").agg(F.collect_set("role").alias("roles"))
     dated = history.groupBy("sheet").agg(F.count("*").alias("dated"))
-    rows = routes.select("sheet", F.coalesce("sheet_mode", F.lit("summary")).alias("mode")).join(has, "sheet", "left").join(totals.select("sheet", "placed"), "sheet", "left").join(dated, "sheet", "left")
+    rows = routes.select("sheet", F.coalesce("sheet_mode", F.lit("summary")).alias("mode"), "return_frequency", F.coalesce("has_benchmark", F.lit(False)).alias("has_benchmark")).join(has, "sheet", "left").join(totals.select("sheet", "placed"), "sheet", "left").join(dated, "sheet", "left")
     role = lambda r: F.coalesce(F.array_contains("roles", r), F.lit(False))
     issue = (
         F.when(F.col("roles").isNull(), "no-header")
@@ -106,15 +109,25 @@ def check_mode(layout: DataFrame, totals: DataFrame, history: DataFrame, routes:
         .when((F.col("mode") == "append") & ~role("code") & ~role("name"), "append-without-identity")
         .when((F.col("mode") == "summary") & F.col("dated").isNull(), "summary-without-rows")
         .when((F.col("mode") == "summary") & ~F.coalesce("placed", F.lit(False)), "summary-without-total")
+        .when((F.col("mode") == "template") & F.col("return_frequency").isNull(), "template-without-frequency")
         .when((F.col("mode") == "template") & ~role("return") & ~role("daily_return") & ~role("weekly_return"), "template-without-return")
+        .when((F.col("mode") == "template") & F.col("has_benchmark") & ~(role("benchmark_return") & role("excess")), "template-without-benchmark")
     )
     return rows.select("sheet", issue.alias("issue")).where(F.col("issue").isNotNull())
 
 
-def reserved_row(history: DataFrame, totals: DataFrame) -> DataFrame:
-    """sheet, row_no, nav_date of a single dated row directly above the total with a blank value: a placeholder."""
-    per = history.groupBy("sheet").agg(F.count("*").alias("n"), F.max("row_no").alias("row_no"), F.max("nav_date").alias("nav_date"), F.bool_or(F.col("unit").isNull() | F.col("cumulative").isNull()).alias("blank"))
-    return per.join(totals.where("placed"), "sheet").where((F.col("n") == 1) & F.col("blank")).select("sheet", "row_no", "nav_date")
+def reserved_row(history: DataFrame, totals: DataFrame, cells: DataFrame | None = None, layout: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """sheet, row_no, nav_date of a single dated row directly above the total with a blank value: a placeholder. With
+    cells and layout nothing but date, identity and values may be filled in it; with routes its code must be theirs."""
+    per = history.groupBy("sheet").agg(F.count("*").alias("n"), F.max("row_no").alias("row_no"), F.max("nav_date").alias("nav_date"), F.first("code").alias("code"), F.bool_or(F.col("unit").isNull() | F.col("cumulative").isNull()).alias("blank"))
+    rows = per.join(totals.where("placed"), "sheet").where((F.col("n") == 1) & F.col("blank"))
+    if cells is not None and layout is not None:
+        own = layout.where(F.col("role").isin("date", "code", "name", "unit", "cumulative")).select("sheet", "col")
+        other = cells.join(own, ["sheet", "col"], "left_anti").select("sheet", F.col("row").alias("row_no")).distinct()
+        rows = rows.join(other, ["sheet", "row_no"], "left_anti")
+    if routes is not None:
+        rows = rows.join(routes.select("sheet", F.col("code").alias("expected")), "sheet").where(F.coalesce(F.col("code") == F.col("expected"), F.lit(True)))
+    return rows.select("sheet", "row_no", "nav_date")
 
 
 def column_roles(cells: DataFrame, layout: DataFrame) -> DataFrame:
@@ -122,11 +135,18 @@ def column_roles(cells: DataFrame, layout: DataFrame) -> DataFrame:
     return layout.join(cells.select("sheet", F.col("row").alias("header_row"), "col", "value"), ["sheet", "header_row", "col"]).select("sheet", "role", column_letter("col").alias("letter"), F.col("value").alias("header"))
 
 
-def infer_adoption(layout: DataFrame, history: DataFrame, totals: DataFrame, frequency: DataFrame, cands: DataFrame) -> DataFrame:
-    """Proposed route per sheet: mode, code, frequency, series_start (a day after the last row) and cumulative policy
-    (require if all candidates carry the value, else unit if history's equals the unit value, else ambiguous)."""
+def infer_adoption(layout: DataFrame, history: DataFrame, totals: DataFrame, frequency: DataFrame, cands: DataFrame, cells: DataFrame) -> DataFrame:
+    """Proposed route per sheet: mode, code, name, frequency, series_start (a day after the last row), cumulative policy
+    (require if all candidates carry the value, else unit if history's equals the unit value, else ambiguous), and
+    benchmark_review (a benchmark or excess column holds values)."""
     h = history.groupBy("sheet").agg(F.max("nav_date").alias("last"), F.when(F.count_distinct("code") == 1, F.min("code")).alias("code"), F.bool_and(F.abs(F.col("unit") - F.col("cumulative")) <= 1e-9).alias("same"))
     c = cands.groupBy("sheet").agg(F.bool_and(F.col("cumulative").isNotNull()).alias("carries"))
+    body = dated_cells(cells, layout)
+    names = body.where("role = 'name'").groupBy("sheet").agg(F.when(F.count_distinct("value") == 1, F.min("value")).alias("name"))
+    review = body.where(F.col("role").isin("benchmark_level", "benchmark_return", "excess")).select("sheet", F.lit(True).alias("review")).distinct()
     policy = F.when(F.col("carries"), "require").when(F.col("same"), "unit").otherwise("ambiguous")
-    rows = h.join(c, "sheet", "left").join(totals.select("sheet", "placed"), "sheet", "left").join(frequency.select("sheet", "frequency"), "sheet", "left")
-    return rows.select("sheet", F.when(F.coalesce("placed", F.lit(False)), "summary").otherwise("append").alias("mode"), "code", "frequency", F.date_add("last", 1).alias("series_start"), policy.alias("cumulative_policy"))
+    rows = h
+    for part in (c, totals.select("sheet", "placed"), frequency.select("sheet", "frequency"), names, review):
+        rows = rows.join(part, "sheet", "left")
+    mode = F.when(F.coalesce("placed", F.lit(False)), "summary").otherwise("append")
+    return rows.select("sheet", mode.alias("mode"), "code", "name", "frequency", F.date_add("last", 1).alias("series_start"), policy.alias("cumulative_policy"), F.coalesce("review", F.lit(False)).alias("benchmark_review"))

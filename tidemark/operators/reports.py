@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import reconcile
+from tidemark.operators.cadence import infer_frequency, pending_week_baseline, select_for_frequency, withheld_current_week
 from tidemark.operators.filters import exact_sender
 
 
@@ -77,11 +79,40 @@ def scope_fingerprint(messages: DataFrame, key: str, cols: list[str]) -> DataFra
     return per.select(key, "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256).alias("fingerprint"))
 
 
-def baseline_report(cand: DataFrame, hist: DataFrame) -> DataFrame:
-    """Per sheet: matched dates, last date of history and of the source, dates pending after history's end."""
+def baseline_report(cand: DataFrame, hist: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Per sheet: matched dates, last date of history and of the source, dates pending after history's end; with as_of
+    also withheld, the dates of the current week that weekly selection holds back."""
     h = hist.groupBy("sheet").agg(F.max("nav_date").alias("history_latest"))
     rows = cand.join(hist.select("sheet", "nav_date").withColumn("known", F.lit(True)), ["sheet", "nav_date"], "left").join(h, "sheet", "left")
-    return rows.groupBy("sheet", "history_latest").agg(F.count_if(F.coalesce("known", F.lit(False))).alias("matched"), F.max("nav_date").alias("source_latest"), F.count_if(F.col("known").isNull() & (F.col("nav_date") > F.col("history_latest"))).alias("pending"))
+    per = rows.groupBy("sheet", "history_latest").agg(F.count_if(F.coalesce("known", F.lit(False))).alias("matched"), F.max("nav_date").alias("source_latest"), F.count_if(F.col("known").isNull() & (F.col("nav_date") > F.col("history_latest"))).alias("pending"))
+    if as_of is None:
+        return per
+    held = withheld_current_week(cand, hist, as_of).groupBy("sheet").agg(F.array_sort(F.collect_set("nav_date")).alias("withheld"))  # a week's dates
+    return per.join(held, "sheet", "left").withColumn("withheld", F.coalesce("withheld", F.array().cast("array<date>")))
+
+
+def validation_facts(cand: DataFrame, hist: DataFrame, routes: DataFrame, pre: DataFrame, reserved: DataFrame, as_of: Column) -> DataFrame:
+    """What validation_report needs per sheet of the candidates, from the data: matches and conflicts with history, dates
+    that the sheet's cadence selects, a reserved row, a pending week, a verified boundary anchor, managed rows of
+    history, onboarding (identity is proven and history is complete), and candidates with errors.
+
+    routes: sheet, mode, code, product_name, series_start, baseline_overlap, max_staleness_days; pre: candidates before
+    series_start; reserved: sheet."""
+    status = reconcile.match_history(cand, hist, routes=routes).groupBy("sheet").agg(F.count_if(F.col("status") == "matched").alias("matches"), F.count_if(F.col("status") == "conflict").alias("conflicts"))
+    chosen = select_for_frequency(cand, hist, infer_frequency(hist), as_of)
+    selected = reconcile.new_rows(chosen, hist).groupBy("sheet").agg(F.count("*").alias("selected"))
+    at = routes.select("sheet", as_of.alias("as_of"), "max_staleness_days")
+    pending = pending_week_baseline(cand, hist, at).select("sheet", F.col("pending").alias("pending_week"))
+    anchor = reconcile.verify_boundary_anchor(pre, hist, routes).select("sheet", F.col("verified").alias("boundary"))
+    starts = hist.join(routes.select("sheet", "series_start"), "sheet", "left")
+    managed = starts.groupBy("sheet").agg(F.count_if(F.col("series_start").isNull() | (F.col("nav_date") >= F.col("series_start"))).alias("managed"), F.bool_and(F.col("unit").isNotNull() & F.col("cumulative").isNotNull()).alias("_full"))
+    proven = reconcile.identity_evidence(hist, cand, routes)
+    errors = reconcile.candidate_checks(cand, routes, as_of).groupBy("sheet").agg(F.count("*").alias("errors"))
+    rows = cand.select("sheet").distinct().join(routes.select("sheet", "mode"), "sheet")
+    for part in (status, selected, pending, anchor, managed, proven, errors, reserved.select("sheet", F.lit(True).alias("reserved")).distinct()):
+        rows = rows.join(part, "sheet", "left")
+    onboarding = F.coalesce((F.col("mode") == "summary") & F.col("evidence").isNotNull() & F.col("_full") & (F.coalesce("conflicts", F.lit(0)) == 0) & (F.coalesce("selected", F.lit(0)) > 0), F.lit(False))
+    return rows.withColumn("onboarding", onboarding).fillna(0, ["matches", "conflicts", "selected", "managed", "errors"]).fillna(False, ["pending_week", "boundary", "reserved"]).drop("_full", "evidence")
 
 
 def validation_report(checks: DataFrame, minimum_matches: int = 2) -> DataFrame:
@@ -118,30 +149,57 @@ def coverage_matrix(sheets: DataFrame, routes: DataFrame, reviews: DataFrame, re
     return rows.select("sheet", status.alias("status")).withColumn("action_required", F.col("status").isin("review-required", "parser-required", "business-review", "unclassified"))
 
 
-def operations_summary(routes: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One row: configured, active and paused routes, and reviews that block."""
+def operations_summary(routes: DataFrame, reviews: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row: configured, active and paused routes, and reviews that block; with runs (finished, ok, rows) also the last
+    run's facts and the time of the last good one."""
     r = routes.agg(F.count("*").alias("configured"), F.count_if(F.coalesce("paused", F.lit(False))).alias("paused"))
     v = reviews.agg(F.count_if(F.col("status").isin("parser-required", "business-review")).alias("blocking"))
-    return r.join(v, how="cross").select("configured", (F.col("configured") - F.col("paused")).alias("active"), "paused", "blocking")  # one row each
+    out = r.join(v, how="cross").select("configured", (F.col("configured") - F.col("paused")).alias("active"), "paused", "blocking")  # one row each
+    if runs is None:
+        return out
+    last = runs.agg(F.max_by(F.struct("finished", "ok", "rows"), "finished").alias("l"), F.max(F.when(F.col("ok"), F.col("finished"))).alias("last_good"))
+    return out.join(last.select(F.col("l.finished").alias("last_finished"), F.col("l.ok").alias("last_ok"), F.col("l.rows").alias("last_rows"), "last_good"), how="cross")  # one row each
+
+
+HEAD_SAMPLE, TAIL_SAMPLE, SAMPLE_KEYS = 10, 30, 20
 
 
 def table_manifest(cells: DataFrame) -> DataFrame:
-    """Per sheet: greatest row and column, cells, formulas, and an order-free digest of values and formulas."""
+    """Per sheet: greatest row and column, cells, formulas, order-free digests of values and of formulas, and hashes of its
+    first and last rows (sample: at most HEAD_SAMPLE + TAIL_SAMPLE of them)."""
+    formula = F.col("kind") == "formula"
     h = F.xxhash64("row", "col", "kind", "value")
-    per = cells.groupBy("sheet").agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"), F.count("*").alias("n_cells"), F.count_if(F.col("kind") == "formula").alias("n_formulas"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
-    return per.withColumn("digest", F.sha2(F.concat_ws("|", F.col("n_cells").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256)).drop("x", "s")
+    size = cells.groupBy("sheet").agg(F.max("row").alias("_last"))
+    summed = lambda keep, name: [F.coalesce(F.bit_xor(F.when(keep, h)), F.lit(0)).alias(f"{name}x"), F.coalesce(F.sum(F.when(keep, h.cast("decimal(38,0)"))), F.lit(0)).alias(f"{name}s")]
+    per = cells.groupBy("sheet").agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"), F.count("*").alias("n_cells"), F.count_if(formula).alias("n_formulas"), *summed(~formula, "v"), *summed(formula, "f"))
+    digest = lambda name: F.sha2(F.concat_ws("|", F.col(f"{name}x").cast("string"), F.col(f"{name}s").cast("string")), 256)
+    per = per.select("sheet", "max_row", "max_col", "n_cells", "n_formulas", digest("v").alias("values_digest"), digest("f").alias("formulas_digest"))
+    edge = cells.join(size, "sheet").where((F.col("row") <= HEAD_SAMPLE) | (F.col("row") > F.col("_last") - TAIL_SAMPLE))
+    rows = edge.groupBy("sheet", "row").agg(F.bit_xor(h).alias("hash")).groupBy("sheet").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("row", "hash")))).alias("sample"))
+    return per.join(rows, "sheet", "left")
 
 
 def manifest_diff(expected: DataFrame, current: DataFrame) -> DataFrame:
-    """sheet, change (added, removed, changed), row and column deltas; equal sheets are left out."""
+    """sheet, change (added, removed, changed), differences of rows, columns and cells, values_changed, formulas_changed,
+    topology_changed (rows or columns), rows: up to SAMPLE_KEYS of the sampled rows that differ. Equal sheets are left
+    out."""
     e, c = expected.alias("e"), current.alias("c")
-    rows = e.join(c, F.col("e.sheet") == F.col("c.sheet"), "full_outer")
-    change = F.when(F.col("e.sheet").isNull(), "added").when(F.col("c.sheet").isNull(), "removed").when(F.col("e.digest") != F.col("c.digest"), "changed")
+    both = e.join(c, F.col("e.sheet") == F.col("c.sheet"), "full_outer")
+    differs = lambda x: ~F.col(f"e.{x}").eqNullSafe(F.col(f"c.{x}"))
+    change = F.when(F.col("e.sheet").isNull(), "added").when(F.col("c.sheet").isNull(), "removed").when(differs("values_digest") | differs("formulas_digest"), "changed")
     delta = lambda x: (F.coalesce(F.col(f"c.{x}"), F.lit(0)) - F.coalesce(F.col(f"e.{x}"), F.lit(0))).alias(f"d_{x}")
-    return rows.select(F.coalesce("e.sheet", "c.sheet").alias("sheet"), change.alias("change"), delta("max_row"), delta("max_col"), delta("n_cells")).where(F.col("change").isNotNull())
+    empty = F.create_map().cast("map<int,bigint>")
+    old, new = F.coalesce("e.sample", empty), F.coalesce("c.sample", empty)
+    keys = F.array_sort(F.array_union(F.map_keys(old), F.map_keys(new)))
+    rows = F.slice(F.filter(keys, lambda k: ~F.try_element_at(old, k).eqNullSafe(F.try_element_at(new, k))), 1, SAMPLE_KEYS)
+    out = both.select(F.coalesce("e.sheet", "c.sheet").alias("sheet"), change.alias("change"), delta("max_row"), delta("max_col"), delta("n_cells"), differs("values_digest").alias("values_changed"), differs("formulas_digest").alias("formulas_changed"), (differs("max_row") | differs("max_col")).alias("topology_changed"), rows.alias("rows"))
+    return out.where(F.col("change").isNotNull())
 
 
-def concurrency_report(expected: DataFrame, current: DataFrame, fingerprint_same: bool) -> DataFrame:
-    """One row: blocked (the base moved), metadata_only (it moved without a change of cells), changed sheets."""
+def concurrency_report(expected: DataFrame, current: DataFrame, expected_fp: DataFrame, current_fp: DataFrame) -> DataFrame:
+    """One row: changed sheets, blocked (the base moved: its fingerprint is another), metadata_only (it moved without a
+    change of cells). Fingerprints: one row with `fingerprint` each, as fingerprint_of gives them."""
     n = manifest_diff(expected, current).agg(F.count("*").alias("changed_sheets"))
-    return n.select("changed_sheets", F.lit(not fingerprint_same).alias("blocked"), ((F.col("changed_sheets") == 0) & F.lit(not fingerprint_same)).alias("metadata_only"))
+    moved = expected_fp.select(F.col("fingerprint").alias("_e")).join(current_fp.select(F.col("fingerprint").alias("_c")), how="cross")  # one row each
+    rows = n.join(moved, how="cross")  # one row each
+    return rows.select("changed_sheets", (F.col("_e") != F.col("_c")).alias("blocked"), ((F.col("changed_sheets") == 0) & (F.col("_e") != F.col("_c"))).alias("metadata_only"))

@@ -318,19 +318,28 @@ def k3_total(spark, sf_dir):
     return nation_sheets(spark, sf_dir)[3]
 
 
-@query("k4_check_mode", "SELECT 'N'||k AS sheet, CASE k%3 WHEN 0 THEN 'append-with-footer' WHEN 1 THEN 'template-without-return' END AS issue FROM (SELECT DISTINCT k FROM nnum) WHERE k%3<2", "cells")
+@query(
+    "k4_check_mode",
+    "SELECT 'N'||k AS sheet, CASE k%3 WHEN 0 THEN 'append-with-footer' WHEN 1 THEN CASE WHEN k%7=0 THEN 'template-without-frequency' WHEN k%2=1 THEN 'template-without-return' WHEN k%4=2 THEN 'template-without-benchmark' END END AS issue FROM (SELECT DISTINCT k FROM nnum) WHERE k%3=0 OR (k%3=1 AND (k%7=0 OR k%2=1 OR k%4=2))",
+    "cells",
+)
 def k4_mode(spark, sf_dir):
-    _, found, h, totals = nation_sheets(spark, sf_dir)
-    k = F.substring("sheet", 2, 9).cast("int") % 3
-    routes = found.select("sheet").distinct().withColumn("sheet_mode", F.when(k == 0, "append").when(k == 1, "template").otherwise("summary"))
+    _, found, h, totals = widened_sheets(spark, sf_dir)
+    number = F.substring("sheet", 2, 9).cast("int")
+    k = number % 3
+    routes = found.select("sheet").distinct().withColumns({"sheet_mode": F.when(k == 0, "append").when(k == 1, "template").otherwise("summary"), "return_frequency": F.when(number % 7 != 0, "weekly"), "has_benchmark": F.lit(True)})
     return layout.check_mode(found, totals, h, routes)
 
 
-@query("k5_reserved_row", "SELECT 'N'||k AS sheet, 2 AS row_no, min(d) AS nav_date FROM nnum WHERE k%4=0 GROUP BY k", "cells")
+@query("k5_reserved_row", "SELECT 'N'||k AS sheet, 2 AS row_no, min(d) AS nav_date FROM nnum WHERE k%2=1 AND k%3<>0 AND k%5<>0 GROUP BY k", "cells")
 def k5_reserved(spark, sf_dir):
-    _, _, h, _ = nation_sheets(spark, sf_dir)
-    first = h.where((F.substring("sheet", 2, 9).cast("int") % 4 == 0) & (F.col("row_no") == 2)).withColumn("unit", F.lit(None).cast("double"))
-    return layout.reserved_row(first, first.select("sheet", F.lit(3).alias("total_row"), F.lit(True).alias("placed")))
+    """Sheets cut to their first dated row: with a value, with another column filled (every second one), or with another
+    code, it is no placeholder."""
+    c, found, h, _ = widened_sheets(spark, sf_dir)
+    number = F.substring("sheet", 2, 9).cast("int")
+    first = h.where("row_no = 2").withColumn("unit", F.when(number % 5 == 0, F.col("unit")))
+    routes = first.select("sheet", F.when(number % 3 == 0, "ELSE").otherwise(F.col("code")).alias("code"))
+    return layout.reserved_row(first, first.select("sheet", F.lit(3).alias("total_row"), F.lit(True).alias("placed")), c.where("row <= 2"), found, routes)
 
 
 @query("k6_cells_to_history", "SELECT 'N'||k AS sheet, r AS row_no, d AS nav_date, v AS unit, rnd(v+0.5,4) AS cumulative, 'C'||k AS code FROM nnum", "cells")
@@ -344,32 +353,79 @@ def k7_roles(spark, sf_dir):
     return layout.column_roles(c, found)
 
 
-@query("k8_infer_adoption", "SELECT 'N'||k AS sheet, 'summary' AS mode, 'C'||k AS code, CAST(max(d)+1 AS DATE) AS series_start, CASE WHEN k%2=0 THEN 'require' ELSE 'ambiguous' END AS cumulative_policy FROM nnum GROUP BY k", "cells")
+def widened(spark, sf_dir):
+    """The sheets with a name column, and by sheet a return column, or benchmark and excess columns with values."""
+    c = A.cells_nation(spark, sf_dir)
+    k = F.substring("sheet", 2, 9).cast("int")
+    per_row = c.where("col = 1").select("sheet", "row", k.alias("k"), "kind", (F.col("row") == 1).alias("head"), (F.col("value") == "TOTAL").alias("total")).where("not total")
+    value = lambda head, body: F.when(F.col("head"), head).otherwise(body)
+    more = F.array(
+        F.struct(F.lit(5).alias("col"), value(F.lit("Product Name"), F.concat(F.lit("Fund "), F.col("k").cast("string"))).alias("value")),
+        F.struct(F.lit(6).alias("col"), F.when(F.col("k") % 2 == 0, value(F.lit("Weekly Return"), F.lit("0.1"))).alias("value")),
+        F.struct(F.lit(7).alias("col"), F.when(F.col("k") % 4 == 0, value(F.lit("Index Return"), F.lit("0.2"))).alias("value")),
+        F.struct(F.lit(8).alias("col"), F.when(F.col("k") % 4 == 0, value(F.lit("Excess"), F.lit("0.3"))).alias("value")),
+    )
+    extra = per_row.select("sheet", "row", F.inline(more), "kind").where(F.col("value").isNotNull()).select("sheet", "row", "col", "value", "kind")
+    return c.unionByName(extra)
+
+
+def widened_sheets(spark, sf_dir):
+    c = widened(spark, sf_dir)
+    found = layout.detect_layout(c)
+    h = layout.cells_to_history(c, found)
+    return c, found, h, layout.find_total_row(c, h)
+
+
+@query(
+    "k8_infer_adoption",
+    """+ g AS (SELECT k, date_diff('day', lag(d) OVER (PARTITION BY k ORDER BY d), d) AS gap FROM nnum), m AS (SELECT k, median(gap) AS m, avg(CASE WHEN gap IS NOT NULL THEN CAST(gap>=5 AND least(gap%7,(7-gap%7)%7)<=1 AS INTEGER) END) AS near, count(*) AS n FROM g GROUP BY 1)
+SELECT 'N'||nnum.k AS sheet, 'summary' AS mode, 'C'||nnum.k AS code, 'Fund '||nnum.k AS name, CASE WHEN any_value(m.n)<2 THEN 'daily' WHEN any_value(m.m)<=4 THEN 'daily' WHEN any_value(m.m)<=10 THEN 'weekly' WHEN any_value(near)>=0.7 THEN 'weekly' END AS frequency, CAST(max(d)+1 AS DATE) AS series_start, CASE WHEN nnum.k%2=0 THEN 'require' ELSE 'ambiguous' END AS cumulative_policy, nnum.k%4=0 AS benchmark_review FROM nnum JOIN m USING (k) GROUP BY nnum.k""",
+    "cells",
+)
 def k8_adoption(spark, sf_dir):
-    _, found, h, totals = nation_sheets(spark, sf_dir)
+    c, found, h, totals = widened_sheets(spark, sf_dir)
     cands = h.withColumn("cumulative", F.when(F.substring("sheet", 2, 9).cast("int") % 2 == 0, F.col("cumulative")))
-    return layout.infer_adoption(found, h, totals, cadence.infer_frequency(h), cands).drop("frequency")
+    return layout.infer_adoption(found, h, totals, cadence.infer_frequency(h), cands, c)
 
 
-@query("g11_table_manifest", "SELECT sheet, max(\"row\") AS max_row, max(col) AS max_col, count(*) AS n_cells FROM cells GROUP BY 1", "cells")
+@query("g11_table_manifest", "SELECT sheet, max(\"row\") AS max_row, max(col) AS max_col, count(*) AS n_cells, CAST(0 AS BIGINT) AS n_formulas, CAST(count(DISTINCT CASE WHEN \"row\"<=10 OR \"row\">m-30 THEN \"row\" END) AS INTEGER) AS n_sample FROM cells JOIN (SELECT sheet, max(\"row\") AS m FROM cells GROUP BY 1) USING (sheet) GROUP BY 1", "cells")
 def g11_manifest(spark, sf_dir):
-    return reports.table_manifest(A.cells_nation(spark, sf_dir)).select("sheet", "max_row", "max_col", "n_cells")
+    return reports.table_manifest(A.cells_nation(spark, sf_dir)).select("sheet", "max_row", "max_col", "n_cells", "n_formulas", F.size("sample").alias("n_sample"))
 
 
 def changed_cells(spark, sf_dir):
+    """Sheets removed, values changed, and a row added, by sheet."""
     c = A.cells_nation(spark, sf_dir)
     k = F.substring("sheet", 2, 9).cast("int")
-    return c.where(k % 7 != 0).withColumn("value", F.when((k % 5 == 0) & (F.col("row") == 2) & (F.col("col") == 3), "1.0000").otherwise(F.col("value")))
+    changed = c.where(k % 7 != 0).withColumn("value", F.when((k % 5 == 0) & (F.col("row") == 2) & (F.col("col") == 3), "1.0000").otherwise(F.col("value")))
+    more = c.where((k % 7 != 0) & (k % 6 == 1) & (F.col("value") == "TOTAL")).withColumn("row", F.col("row") + 1).withColumn("kind", F.lit("formula"))
+    return changed.unionByName(more)
+
+
+CHANGED = "+ s AS (SELECT sheet, CAST(substr(sheet,2) AS INTEGER) AS k, max(\"row\") AS m, max(col) AS c, count(*) AS n FROM cells GROUP BY 1) "
 
 
-@query("l4_manifest_diff", "+ s AS (SELECT sheet, CAST(substr(sheet,2) AS INTEGER) AS k FROM cells GROUP BY 1) SELECT sheet, CASE WHEN k%7=0 THEN 'removed' ELSE 'changed' END AS change FROM s WHERE k%7=0 OR k%5=0", "cells")
+@query(
+    "l4_manifest_diff",
+    CHANGED + "SELECT sheet, CASE WHEN k%7=0 THEN 'removed' ELSE 'changed' END AS change, CAST(CASE WHEN k%7=0 THEN -m WHEN k%6=1 THEN 1 ELSE 0 END AS INTEGER) AS d_max_row, CASE WHEN k%7=0 THEN -n WHEN k%6=1 THEN 1 ELSE 0 END AS d_n_cells, k%7=0 OR k%5=0 AS values_changed, k%7=0 OR k%6=1 AS formulas_changed, k%7=0 OR k%6=1 AS topology_changed, CASE WHEN k%7=0 THEN 20 WHEN k%6=1 AND m>=40 THEN CASE WHEN k%5=0 THEN 3 ELSE 2 END WHEN k%6=1 THEN CASE WHEN k%5=0 THEN 2 ELSE 1 END ELSE 1 END AS n_rows FROM s WHERE k%7=0 OR k%5=0 OR k%6=1",
+    "cells",
+)
 def l4_diff(spark, sf_dir):
-    return reports.manifest_diff(reports.table_manifest(A.cells_nation(spark, sf_dir)), reports.table_manifest(changed_cells(spark, sf_dir))).select("sheet", "change")
+    d = reports.manifest_diff(reports.table_manifest(A.cells_nation(spark, sf_dir)), reports.table_manifest(changed_cells(spark, sf_dir)))
+    return d.select("sheet", "change", "d_max_row", "d_n_cells", "values_changed", "formulas_changed", "topology_changed", F.size("rows").alias("n_rows"))
 
 
-@query("l5_concurrency_report", "+ s AS (SELECT sheet, CAST(substr(sheet,2) AS INTEGER) AS k FROM cells GROUP BY 1) SELECT count(*) AS changed_sheets, true AS blocked, false AS metadata_only FROM s WHERE k%7=0 OR k%5=0", "cells")
+@query("l5_concurrency_report", CHANGED + "SELECT 'changed' AS case, count(*) AS changed_sheets, true AS blocked, false AS metadata_only FROM s WHERE k%7=0 OR k%5=0 OR k%6=1 UNION ALL SELECT 'metadata', 0, true, true UNION ALL SELECT 'same', 0, false, false", "cells")
 def l5_concurrency(spark, sf_dir):
-    return reports.concurrency_report(reports.table_manifest(A.cells_nation(spark, sf_dir)), reports.table_manifest(changed_cells(spark, sf_dir)), False)
+    base, other = A.cells_nation(spark, sf_dir), changed_cells(spark, sf_dir)
+    named = base.withColumn("author", F.lit("someone"))  # a change outside the cells
+    before, fp = reports.table_manifest(base), snapshots.fingerprint_of
+    cases = (("changed", reports.concurrency_report(before, reports.table_manifest(other), fp(base), fp(other))), ("metadata", reports.concurrency_report(before, reports.table_manifest(named), fp(base), fp(named))), ("same", reports.concurrency_report(before, before, fp(base), fp(base))))
+    out = None
+    for name, rows in cases:
+        rows = rows.select(F.lit(name).alias("case"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(
@@ -400,10 +456,17 @@ def g13_coverage(spark, sf_dir):
     return reports.coverage_matrix(u.select(name), routes, u.where("user_id % 10 = 0").select(name, F.lit("excluded").alias("status")), u.where("user_id % 15 = 0").select(name)).select("sheet", "status")
 
 
-@query("g14_operations_summary", "SELECT count(*) AS configured, count(*) FILTER (NOT paused) AS active, count(*) FILTER (paused) AS paused, CAST(2 AS BIGINT) AS blocking FROM routes", "routes")
+@query(
+    "g14_operations_summary",
+    "SELECT count(*) AS configured, count(*) FILTER (NOT paused) AS active, count(*) FILTER (paused) AS paused, (SELECT count(DISTINCT user_id) FILTER (user_id%10 IN (0,5)) FROM events WHERE user_id%5=0) AS blocking, (SELECT max(ts) FROM events) AS last_finished, (SELECT max_by(event_type<>'error', ts) FROM events) AS last_ok, (SELECT max_by(event_id, ts) FROM events) AS last_rows, (SELECT max(ts) FROM events WHERE event_type<>'error') AS last_good FROM routes",
+    "routes",
+)
 def g14_summary(spark, sf_dir):
-    reviews = spark.createDataFrame([("a", "parser-required"), ("b", "business-review"), ("c", "excluded")], "sheet string, status string")
-    return reports.operations_summary(A.routes_events(spark, sf_dir), reviews)
+    """Reviews of the users without a route; each event stands for a run."""
+    e = A.table(spark, sf_dir, "events")
+    reviews = e.where("user_id % 5 = 0").select(F.col("user_id").cast("string").alias("sheet"), F.when(F.col("user_id") % 10 == 0, "parser-required").otherwise("business-review").alias("status")).distinct()
+    runs = e.select(F.col("ts").alias("finished"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("rows"))
+    return reports.operations_summary(A.routes_events(spark, sf_dir), reviews, runs)
 
 
 PLAN = """+ t AS (SELECT sheet, max(nav_date) AS tail FROM hist GROUP BY 1), n AS (SELECT c.*, tail, row_number() OVER (PARTITION BY c.sheet ORDER BY c.nav_date) AS p FROM cand c ANTI JOIN hist h ON h.sheet=c.sheet AND h.nav_date=c.nav_date LEFT JOIN t ON t.sheet=c.sheet),
@@ -515,12 +578,19 @@ def i4_keep(spark, sf_dir):
     return plan.prune_older(kept, "nav_date", day("1999-12-20")).select("sheet", "nav_date")
 
 
-@query("h5_pending_week", "+ c AS (SELECT sheet, max(nav_date) AS t FROM hist GROUP BY 1) SELECT sheet, true AS pending FROM c", "hist")
+@query("h5_pending_week", "SELECT DISTINCT sheet, number_of(sheet)%6=0 AS pending FROM hist", "hist")
 def h5_pending(spark, sf_dir):
+    """A candidate in the week after the last finished one. By sheet: pending; stale; another code; history without a
+    value; a candidate after as_of; none that is new."""
+    k = F.substring("sheet", 2, 9).cast("int") % 6
     h = cadence.period_ends(A.hist(spark, sf_dir), "weekly", day("2030-01-01"))
     tail = h.groupBy("sheet").agg(F.max("nav_date").alias("t"))
-    new = tail.select("sheet", F.date_add(S.iso_week("t"), 7).alias("nav_date"), F.col("sheet").alias("code"), F.lit(1.0).alias("unit"), F.lit(1.5).alias("cumulative"))
-    return cadence.pending_week_baseline(new, h, tail.select("sheet", F.date_add(S.iso_week("t"), 9).alias("as_of"))).select("sheet", "pending")
+    monday = F.date_add(S.iso_week("t"), 7)
+    new = tail.where(k != 5).select("sheet", F.when(k == 4, F.date_add(monday, 3)).otherwise(monday).alias("nav_date"), F.when(k == 2, "ELSE").otherwise(F.col("sheet")).alias("code"), F.lit(1.0).alias("unit"), F.lit(1.5).alias("cumulative"))
+    cand = new.unionByName(h.select(*new.columns))
+    gaps = h.withColumn("cumulative", F.when(~((k == 3) & (F.day("nav_date") == 3)), F.col("cumulative")))
+    at = tail.select("sheet", F.date_add(monday, 2).alias("as_of"), F.when(k == 1, 1).otherwise(14).alias("max_staleness_days"))
+    return cadence.pending_week_baseline(cand, gaps, at).select("sheet", "pending")
 
 
 @query("m1_uniqueness", "+ n AS (SELECT sheet, CAST(substr(code,2) AS INTEGER) AS k FROM routes), twice AS (SELECT * FROM (VALUES (1),(2)) t(x)) SELECT sheet, 'code-once-per-sender' AS rule FROM n, twice WHERE k%10=1 UNION ALL SELECT sheet, 'one-route-per-sheet' FROM n WHERE k%10=3 UNION ALL SELECT sheet, 'shared-sender-needs-code' FROM n WHERE k%10=4", "routes")

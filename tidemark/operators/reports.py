@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import reconcile
 from tidemark.operators.cadence import infer_frequency, pending_week_baseline, select_for_frequency, withheld_current_week
 from tidemark.operators.filters import exact_sender
+from tidemark.operators.routing import applicable
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -15,11 +16,17 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def propose_candidates(obs: DataFrame, sample: int = 100) -> DataFrame:
-    """Per sender: messages, distinct codes, first and last date, and the newest distinct observations."""
+def propose_candidates(obs: DataFrame, sample: int = 100, messages: DataFrame | None = None, arrivals: int = 20, subjects: int = 10) -> DataFrame:
+    """Per sender: messages, distinct codes, first and last date, and the newest distinct observations; with messages
+    (message_id, sender, subject, sent_at) also the newest arrival times and the first subjects in order."""
     per = obs.groupBy("sender").agg(F.count_distinct("message_id").alias("messages"), F.array_sort(F.collect_set("code")).alias("codes"), F.min("nav_date").alias("first_date"), F.max("nav_date").alias("last_date"))
     newest = first_n(obs.select("sender", "nav_date", "code", "unit").distinct(), ["sender"], [F.desc("nav_date"), F.col("code"), F.col("unit")], sample)
-    return per.join(newest.groupBy("sender").agg(F.array_sort(F.collect_list(F.struct("nav_date", "code", "unit"))).alias("sample")), "sender")
+    out = per.join(newest.groupBy("sender").agg(F.array_sort(F.collect_list(F.struct("nav_date", "code", "unit"))).alias("sample")), "sender")
+    if messages is None:
+        return out
+    times = first_n(messages.select("sender", "sent_at").distinct(), ["sender"], [F.desc("sent_at")], arrivals).groupBy("sender").agg(F.sort_array(F.collect_list("sent_at"), asc=False).alias("arrivals"))
+    said = first_n(messages.select("sender", "subject").distinct(), ["sender"], [F.col("subject")], subjects).groupBy("sender").agg(F.array_sort(F.collect_list("subject")).alias("subjects"))
+    return out.join(times, "sender", "left").join(said, "sender", "left")
 
 
 def propose_headers(headers: DataFrame, subjects: int = 20) -> DataFrame:
@@ -34,16 +41,35 @@ def ignored_headers(headers: DataFrame) -> DataFrame:
     return headers.where(exact_sender("from_raw").isNull()).agg(F.count("*").alias("ignored"))
 
 
-def route_report(routed: DataFrame) -> DataFrame:
-    """Per sheet: messages, candidate dates, rows before the managed range."""
-    return routed.where(F.col("sheet").isNotNull()).groupBy("sheet").agg(F.count_distinct("message_id").alias("messages"), F.count_distinct(F.when(F.col("outcome") == "routed", F.col("nav_date"))).alias("dates"), F.count_if(F.col("outcome") == "pre_managed").alias("pre_managed"))
+def route_report(routed: DataFrame, messages: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """Per sheet: messages, candidate dates, rows before the managed range; with messages (message_id, sender, subject) and
+    routes also scanned (messages of the route's sender), filtered (of these, kept off by its subject conditions) and
+    bindings (routes of the sheet)."""
+    per = routed.where(F.col("sheet").isNotNull()).groupBy("sheet").agg(F.count_distinct("message_id").alias("messages"), F.count_distinct(F.when(F.col("outcome") == "routed", F.col("nav_date"))).alias("dates"), F.count_if(F.col("outcome") == "pre_managed").alias("pre_managed"))
+    if messages is None or routes is None:
+        return per
+    kinds = messages.groupBy("sender", F.coalesce("subject", F.lit("")).alias("subject")).agg(F.count_distinct("message_id").alias("n"))
+    seen = kinds.join(routes.select("sender", "sheet"), "sender").groupBy("sheet").agg(F.sum("n").alias("scanned"))
+    kept = applicable(messages, routes).select("sender", "subject", "sheet").join(kinds, ["sender", "subject"]).groupBy("sheet").agg(F.sum("n").alias("_kept"))
+    bound = routes.groupBy("sheet").agg(F.count("*").alias("bindings"))
+    rows = bound.join(seen, "sheet", "left").join(kept, "sheet", "left").join(per, "sheet", "left").fillna(0)
+    return rows.select("sheet", "messages", "dates", "pre_managed", "scanned", (F.col("scanned") - F.col("_kept")).alias("filtered"), "bindings")
 
 
 def parse_gap_summary(messages: DataFrame, obs: DataFrame) -> DataFrame:
-    """Per sender: headers, messages without rows, rows; gap where nothing at all was parsed."""
+    """Per sender: headers, messages without rows, rows; gap where nothing at all was parsed; where messages have bodies
+    and attachments also how many have a text and an HTML body, and the number of attachments by type."""
     per = obs.groupBy("message_id").agg(F.count("*").alias("_rows"))
-    rows = messages.join(per, "message_id", "left").groupBy("sender").agg(F.count("*").alias("headers_matched"), F.count_if(F.col("_rows").isNull()).alias("without_rows"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("parsed_rows"))
-    return rows.withColumn("gap", F.col("parsed_rows") == 0)
+    joined = messages.join(per, "message_id", "left")
+    filled = lambda c: F.count_if(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0)
+    bodies = [filled(c).alias(f"with_{c}") for c in ("plain", "html") if c in messages.columns]
+    rows = joined.groupBy("sender").agg(F.count("*").alias("headers_matched"), F.count_if(F.col("_rows").isNull()).alias("without_rows"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("parsed_rows"), *bodies)
+    rows = rows.withColumn("gap", F.col("parsed_rows") == 0)
+    if "attachments" not in messages.columns:
+        return rows
+    files = messages.select("sender", F.explode("attachments").alias("a")).groupBy("sender", F.col("a.content_type").alias("type")).agg(F.count("*").alias("n"))
+    types = files.groupBy("sender").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("attachment_types"))  # an entry per type
+    return rows.join(types, "sender", "left")
 
 
 def warning_summary(warnings: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,9 +85,18 @@ def attachment_metadata(messages: DataFrame) -> DataFrame:
     return a.groupBy("message_id", F.col("a.suffix").alias("suffix"), F.col("a.content_type").alias("content_type")).agg(F.count("*").alias("n"), F.count_distinct("a.name").alias("n_names"))
 
 
-def exclusion_counts(messages: DataFrame) -> DataFrame:
-    """Messages by reason; a reason counts once a message."""
-    return messages.select("message_id", F.explode(F.array_distinct("reasons")).alias("reason")).groupBy("reason").agg(F.count("*").alias("messages"))
+def exclusion_counts(messages: DataFrame, routes: DataFrame | None = None, max_size: int | None = None) -> DataFrame:
+    """Messages by the reason for which they were rejected; a reason counts once a message. Reasons are a column, or with
+    routes are found: `subject` (the sender has routes, but no route's subject conditions hold), `too-large` (over
+    max_size), `paused` (only paused routes apply)."""
+    if routes is not None:
+        known = routes.select("sender").distinct().withColumn("_known", F.lit(True))
+        apply = applicable(messages, routes).groupBy("sender", "subject").agg(F.bool_or(~F.coalesce("paused", F.lit(False))).alias("_active"))
+        rows = messages.withColumn("subject", F.coalesce("subject", F.lit(""))).join(known, "sender").join(apply, ["sender", "subject"], "left")
+        large = F.col("size") > F.lit(max_size) if max_size is not None else F.lit(False)
+        found = F.array(F.when(F.col("_active").isNull(), F.lit("subject")), F.when(~F.col("_active"), F.lit("paused")), F.when(large, F.lit("too-large")))
+        messages = rows.withColumn("reasons", F.array_compact(found))
+    return messages.select("message_id", F.explode(F.array_distinct("reasons")).alias("reason")).groupBy("reason").agg(F.count_distinct("message_id").alias("messages"))
 
 
 def staleness_check(obs: DataFrame, routes: DataFrame, as_of: Column) -> DataFrame:

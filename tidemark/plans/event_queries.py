@@ -325,15 +325,58 @@ def g2_headers(spark, sf_dir):
     return reports.propose_headers(h).select("sender", "messages", F.size("subjects").cast("long").alias("n_subjects"))
 
 
-@query("g3_route_report", ROUTED + "SELECT sheet, count(DISTINCT message_id) AS messages, count(DISTINCT CASE WHEN outcome='routed' THEN nav_date END) AS dates, count(*) FILTER (outcome='pre_managed') AS pre_managed FROM rt WHERE sheet IS NOT NULL GROUP BY 1", "obs", "routes")
+def letters(spark, sf_dir):
+    """One message per group of events: subject, size, bodies and attachments."""
+    o = A.obs_events(spark, sf_dir)
+    file = F.struct(F.concat("code", F.col("event_id")).alias("name"), F.col("event_type").alias("content_type"))
+    per = o.groupBy("message_id", "sender", "uid").agg(F.max_by("event_type", "event_id").alias("event_type"), F.count("*").alias("size"), F.collect_list(file).alias("attachments"))
+    text = lambda keep: F.when(keep, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return per.withColumns({"subject": subject(), "sent_at": F.timestamp_seconds(F.col("uid") + 1_700_000_000), "plain": text(F.col("uid") % 2 == 0), "html": text(F.col("uid") % 3 == 0)})
+
+
+LETTERS = ", mm AS (SELECT sender, message_id, max(uid) AS uid, max_by(subject, event_id) AS subject, count(*) AS size FROM ls GROUP BY 1,2) "
+
+
+@query("g1_arrivals", LIMITED + LETTERS + "SELECT sender, least(count(DISTINCT uid),20) AS n_arrivals, to_timestamp(max(uid)+1700000000)::TIMESTAMP AS newest, list_sort(list(DISTINCT subject))[1:10] AS subjects FROM mm GROUP BY 1", "obs", "routes")
+def g1_arrivals(spark, sf_dir):
+    p = reports.propose_candidates(A.obs_events(spark, sf_dir), messages=letters(spark, sf_dir))
+    return p.select("sender", F.size("arrivals").cast("long").alias("n_arrivals"), F.get("arrivals", F.lit(0)).cast("timestamp_ntz").alias("newest"), "subjects")
+
+
+@query(
+    "g3_route_report",
+    ROUTED + LIMITED.replace("+ lr", ", lr") + LETTERS + """, per AS (SELECT sheet, count(DISTINCT message_id) AS messages, count(DISTINCT CASE WHEN outcome='routed' THEN nav_date END) AS dates, count(*) FILTER (outcome='pre_managed') AS pre_managed FROM rt WHERE sheet IS NOT NULL GROUP BY 1),
+sc AS (SELECT lr.sheet, count(mm.message_id) AS scanned FROM lr LEFT JOIN mm USING (sender) GROUP BY 1), kp AS (SELECT ap.sheet, count(*) AS kept FROM ap JOIN mm USING (sender, subject) GROUP BY 1)
+SELECT sheet, coalesce(messages,0) AS messages, coalesce(dates,0) AS dates, coalesce(pre_managed,0) AS pre_managed, scanned, scanned-coalesce(kept,0) AS filtered, CAST(1 AS BIGINT) AS bindings FROM sc LEFT JOIN per USING (sheet) LEFT JOIN kp USING (sheet)""",
+    "obs",
+    "routes",
+)
 def g3_report(spark, sf_dir):
-    return reports.route_report(routing.route_observations(A.obs_events(spark, sf_dir), A.routes_events(spark, sf_dir)))
+    routed = routing.route_observations(A.obs_events(spark, sf_dir), A.routes_events(spark, sf_dir))
+    return reports.route_report(routed, letters(spark, sf_dir), limited_routes(spark, sf_dir))
 
 
-@query("g4_parse_gaps", "+ m AS (SELECT DISTINCT message_id, sender FROM obs) SELECT m.sender, count(*) AS headers_matched, count(*) FILTER (p.n IS NULL) AS without_rows, CAST(coalesce(sum(p.n),0) AS BIGINT) AS parsed_rows, coalesce(sum(p.n),0)=0 AS gap FROM m LEFT JOIN (SELECT message_id, count(*) AS n FROM obs WHERE event_type='view' GROUP BY 1) p USING (message_id) GROUP BY 1", "obs")
+@query(
+    "g4_parse_gaps",
+    LIMITED + LETTERS + """, p AS (SELECT message_id, count(*) AS n FROM obs WHERE event_type='view' GROUP BY 1), t AS (SELECT sender, count(*) FILTER (event_type='view') AS views, count(DISTINCT event_type) AS types FROM obs GROUP BY 1)
+SELECT mm.sender, count(*) AS headers_matched, count(*) FILTER (p.n IS NULL) AS without_rows, CAST(coalesce(sum(p.n),0) AS BIGINT) AS parsed_rows, coalesce(sum(p.n),0)=0 AS gap, count(*) FILTER (uid%2=0) AS with_plain, count(*) FILTER (uid%3=0) AS with_html, any_value(views) AS n_views, CAST(any_value(types) AS INTEGER) AS n_types FROM mm LEFT JOIN p USING (message_id) JOIN t ON t.sender=mm.sender GROUP BY 1""",
+    "obs",
+    "routes",
+)
 def g4_gaps(spark, sf_dir):
-    o = A.obs_events(spark, sf_dir)
-    return reports.parse_gap_summary(o.select("message_id", "sender").distinct(), o.where("event_type = 'view'"))
+    found = reports.parse_gap_summary(letters(spark, sf_dir), A.obs_events(spark, sf_dir).where("event_type = 'view'"))
+    return found.withColumns({"n_views": F.coalesce(F.try_element_at("attachment_types", F.lit("view")), F.lit(0)), "n_types": F.size("attachment_types")}).drop("attachment_types")
+
+
+@query(
+    "g7_exclusions_by_routes",
+    LIMITED + LETTERS + """, a AS (SELECT sender, subject, bool_or(NOT paused) AS act FROM ap GROUP BY 1,2), x AS (SELECT message_id, act, size FROM mm LEFT JOIN a USING (sender, subject) WHERE sender IN (SELECT sender FROM lr))
+SELECT reason, count(*) AS messages FROM (SELECT 'subject' AS reason FROM x WHERE act IS NULL UNION ALL SELECT 'paused' FROM x WHERE NOT act UNION ALL SELECT 'too-large' FROM x WHERE size>1) GROUP BY 1""",
+    "obs",
+    "routes",
+)
+def g7_by_routes(spark, sf_dir):
+    return reports.exclusion_counts(letters(spark, sf_dir), limited_routes(spark, sf_dir), max_size=1)
 
 
 @query("g5_warning_summary", "SELECT code, 'lib' AS library, event_type AS category, CAST(2*count(*) AS BIGINT) AS n FROM obs GROUP BY 1,2,3", "obs")

@@ -404,3 +404,21 @@ def c9_c11(spark, sf_dir):
 @query("b12_sign_bucket", "+ r AS (SELECT code, nav_date, unit/lag(unit) OVER (PARTITION BY code ORDER BY nav_date)-1 AS r FROM series) SELECT CASE WHEN r IS NULL THEN NULL WHEN r>=5e-5 THEN 'positive' WHEN r<=-5e-5 THEN 'negative' ELSE 'zero' END AS bucket, count(*) AS n FROM r GROUP BY 1", "series")
 def b12_sign_bucket(spark, sf_dir):
     return returns.daily_return(keyed(spark, sf_dir)).groupBy(S.sign_bucket("daily_return").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "h1_frequency_settings",
+    """+ g AS (SELECT code, date_diff('day', lag(nav_date) OVER (PARTITION BY code ORDER BY nav_date), nav_date) AS gap FROM series WHERE number_of(code)%5<>0 OR nav_date=(SELECT min(nav_date) FROM series s2 WHERE s2.code=series.code)),
+m AS (SELECT code, count(*) AS n, median(gap) AS m, avg(CASE WHEN gap IS NOT NULL THEN CAST(gap>=5 AND least(gap%7,(7-gap%7)%7)<=1 AS INTEGER) END) AS near FROM g GROUP BY 1),
+k AS (SELECT code, n, CASE WHEN n<2 THEN CASE WHEN number_of(code)%2=0 THEN 'weekly' ELSE 'daily' END WHEN m<=4 THEN 'daily' WHEN m<=10 THEN 'weekly' WHEN near>=0.7 THEN 'weekly' END AS f FROM m)
+SELECT code AS sheet, f AS frequency, CASE WHEN n>=2 THEN 'history' WHEN number_of(code)%2=0 THEN 'header' ELSE 'email-source' END AS source, CASE WHEN f IS NULL THEN 'unprovable' WHEN number_of(code)%3=1 AND f<>'weekly' THEN 'disagrees' END AS issue FROM k""",
+    "series",
+)
+def h1_settings(spark, sf_dir):
+    """A fifth of the series cut to their first date; a return header names weekly for half of them; a third configured."""
+    s = A.series(spark, sf_dir)
+    number = F.substring("code", 2, 9).cast("int")
+    first = s.groupBy("code").agg(F.min("nav_date").alias("_first"))
+    cut = s.join(first, "code").where((number % 5 != 0) | (F.col("nav_date") == F.col("_first"))).select(F.col("code").alias("sheet"), "nav_date")
+    settings = first.select(F.col("code").alias("sheet"), F.when(number % 3 == 1, "weekly").otherwise("auto").alias("configured"), F.when(number % 2 == 0, "weekly").alias("hint"))
+    return cadence.infer_frequency(cut, settings).select("sheet", "frequency", "source", "issue")

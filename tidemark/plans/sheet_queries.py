@@ -448,6 +448,33 @@ def g10_baseline(spark, sf_dir):
     return reports.baseline_report(A.cand(spark, sf_dir), A.hist(spark, sf_dir))
 
 
+@query(
+    "g10_withheld_dates",
+    "SELECT c.sheet, list_sort(list(c.nav_date) FILTER (h.nav_date IS NULL AND c.nav_date>t AND date_trunc('week',c.nav_date)=DATE '1999-12-27' AND c.nav_date<=DATE '1999-12-30')) AS w FROM cand c JOIN (SELECT sheet, max(nav_date) AS t FROM hist WHERE nav_date<DATE '1999-12-27' GROUP BY 1) x USING (sheet) LEFT JOIN (SELECT * FROM hist WHERE nav_date<DATE '1999-12-27') h ON h.sheet=c.sheet AND h.nav_date=c.nav_date GROUP BY 1",
+    "hist",
+    "cand",
+)
+def g10_withheld(spark, sf_dir):
+    h = A.hist(spark, sf_dir).where(F.col("nav_date") < day("1999-12-27"))
+    return reports.baseline_report(A.cand(spark, sf_dir), h, day("1999-12-30")).select("sheet", F.when(F.size("withheld") > 0, F.col("withheld")).alias("w"))
+
+
+@query(
+    "g9_validation_facts",
+    """+ st AS (SELECT c.sheet, count(h.nav_date) AS m, count(*) FILTER (h.nav_date IS NOT NULL AND NOT (abs(c.unit-h.unit)<=1e-6 AND abs(c.cumulative-h.cumulative)<=1e-6)) AS conflicts, bool_and(h.nav_date IS NOT NULL OR c.nav_date>t) AS safe FROM cand c JOIN (SELECT sheet, max(nav_date) AS t FROM hist GROUP BY 1) x USING (sheet) LEFT JOIN hist h ON h.sheet=c.sheet AND h.nav_date=c.nav_date GROUP BY 1),
+mg AS (SELECT sheet, count(*) FILTER (number_of(sheet)%4<>0 OR nav_date>=DATE '1998-01-01') AS managed FROM hist GROUP BY 1), n AS (SELECT sheet, count(*) AS k FROM cand GROUP BY 1)
+SELECT sheet, m-conflicts AS matches, conflicts, managed, CASE WHEN number_of(sheet)%10=0 THEN k ELSE 0 END AS errors, false AS boundary, false AS pending_week, number_of(sheet)%9=0 AS reserved FROM st JOIN mg USING (sheet) JOIN n USING (sheet)""",
+    "hist",
+    "cand",
+)
+def g9_facts(spark, sf_dir):
+    c, h = A.cand(spark, sf_dir), A.hist(spark, sf_dir)
+    number = F.substring("sheet", 2, 9).cast("int")
+    routes = h.select("sheet").distinct().select("sheet", F.when(number % 10 == 0, "ELSE").otherwise(F.col("sheet")).alias("code"), F.lit("summary").alias("mode"), F.lit("x").alias("product_name"), F.when(number % 4 == 0, day("1998-01-01")).alias("series_start"), F.lit(None).cast("string").alias("baseline_overlap"), F.lit(14).alias("max_staleness_days"))
+    facts = reports.validation_facts(c, h, routes, c.limit(0), routes.where(number % 9 == 0), day("2003-01-01"))
+    return facts.select("sheet", "matches", "conflicts", "managed", "errors", "boundary", "pending_week", "reserved")
+
+
 @query("g13_coverage_matrix", "SELECT 'sheet_U'||user_id AS sheet, CASE WHEN user_id%5=0 THEN CASE WHEN user_id%15=0 THEN 'reference' WHEN user_id%10=0 THEN 'excluded' ELSE 'unclassified' END WHEN user_id%17=0 THEN 'paused' WHEN user_id%11=0 THEN 'review-required' ELSE 'active' END AS status FROM (SELECT DISTINCT user_id FROM events)")
 def g13_coverage(spark, sf_dir):
     u = A.table(spark, sf_dir, "events").select("user_id").distinct()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +43,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 _HELD: dict = {}
 
 
+def release() -> None:
+    """Let go of what this Python worker holds, and give freed memory back to the system."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_worker(key, make: Callable):
     """What make gives, kept in this Python worker for the tasks that follow. A worker keeps one such thing: tasks of
     another operator, or of another model, let the earlier one go."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 

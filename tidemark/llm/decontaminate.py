@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, staged
+from tidemark.llm.common import bounded_batches, release, staged
 
 CHUNK, RANK, BLOCK_WORDS = 16, 96, 300_000
 #: Terms in more than this share of chunks carry no weight, except the KEPT rarest of each passage.
@@ -69,6 +69,7 @@ def numbered(docs: DataFrame, block: Block) -> DataFrame:
     get, kind = block.vocabulary.get, block.type
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for f in frames:
             for i in range(0, len(f), 1000):
                 ids = [np.fromiter(map(get, TERM.findall(t.lower()), repeat(0)), kind) for t in f["text"].iloc[i : i + 1000]]

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, in_worker, shared_dir
+from tidemark.llm.common import bounded_batches, in_worker, release, shared_dir
 
 BLOCK_IDS, BLOCK_DOCS = 1 << 17, 512
 #: Keys of one index bucket on average, and keys that share a pilot on average.
@@ -43,7 +43,7 @@ SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters below this code point are letters to every version of the tables that the tokenizer may have been built with.
 OLD_SCRIPTS = "\u0530"
 #: Bytes of text that are encoded together, unless one text is longer.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 
 
 def latin(text: str) -> bool:
@@ -294,6 +294,7 @@ def packer(width: int):
     """Sorted rows (part, key, ids) to blocks. Rows of a batch are cut out of its buffer as they lie."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, block, start, last, copy = -1, 0, 0, None, 0
         doc: list = []
         copies: list = []
@@ -425,6 +426,7 @@ def checked(rows: DataFrame, width: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (unsigned, over the ids as 32-bit little-endian integers), copy."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             at, data = raw(batch.column("ids").cast(pa.binary()))
             ids = np.frombuffer(data[at[0] : at[-1]].tobytes(), f"<u{width}").astype("<u4").view(np.uint8)

@@ -25,14 +25,26 @@ def db():
     return con
 
 
+def spelt(rows, columns):
+    return sorted(repr([plain(r[c]) for c in columns]) for r in rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query(spark, db, name):
+def test_query(spark, db, name, tmp_path):
+    """The rows that are collected, and those of a written copy."""
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    got = sorted(repr([plain(v) for v in r]) for r in df.select(*columns).collect())
+    df.write.parquet(f"{tmp_path}/copy")
+    copy = spark.read.parquet(f"{tmp_path}/copy")
     result = db.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
-    place = [names.index(c) for c in columns]
-    assert got == sorted(repr([plain(r[i]) for i in place]) for r in result.fetchall())
+    want = spelt([dict(zip(names, r, strict=True)) for r in result.fetchall()], columns)
+    assert spelt(df.collect(), columns) == want
+    assert spelt(copy.collect(), columns) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)

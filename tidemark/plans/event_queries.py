@@ -161,12 +161,16 @@ def e2_resolve(spark, sf_dir):
 
 
 @query(
-    "e2_resolve_same_day_thinned",
-    "+ o2 AS (SELECT * FROM obs WHERE event_id%37=0), st AS (SELECT code AS sheet, nav_date, count(DISTINCT round_even(unit,10))>1 OR count(DISTINCT round_even(cumulative,10))>1 AS conflict FROM o2 GROUP BY 1,2), k AS (SELECT sheet FROM st GROUP BY 1 HAVING NOT bool_or(conflict)) SELECT code AS sheet, nav_date, max(unit) AS unit, max(cumulative) AS cumulative FROM o2 WHERE code IN (SELECT sheet FROM k) GROUP BY 1,2",
+    "e2_resolve_same_day_agreeing",
+    "+ o2 AS (SELECT code, nav_date, CASE WHEN user_id%3<>0 THEN day(nav_date)+1.0::DOUBLE ELSE unit END AS unit, CASE WHEN user_id%3<>0 THEN CASE WHEN event_id%2=0 THEN day(nav_date)+1.5::DOUBLE END ELSE cumulative END AS cumulative FROM obs), st AS (SELECT code AS sheet, nav_date, count(DISTINCT round_even(unit,10))>1 OR count(DISTINCT round_even(cumulative,10))>1 AS conflict FROM o2 GROUP BY 1,2), k AS (SELECT sheet FROM st GROUP BY 1 HAVING NOT bool_or(conflict)) SELECT code AS sheet, nav_date, max(unit) AS unit, max(cumulative) AS cumulative FROM o2 WHERE code IN (SELECT sheet FROM k) GROUP BY 1,2",
     "obs",
 )
-def e2_thinned(spark, sf_dir):
-    return resolve.resolve_same_day(sheeted(spark, sf_dir).where("event_id % 37 = 0"))
+def e2_agreeing(spark, sf_dir):
+    """Two thirds of the users repeat one value a day, half of the time with the cumulative value."""
+    repeats, value = F.col("user_id") % 3 != 0, F.day("nav_date") + F.lit(1.0)
+    o = sheeted(spark, sf_dir)
+    o = o.withColumn("cumulative", F.when(repeats, F.when(F.col("event_id") % 2 == 0, value + 0.5)).otherwise(F.col("cumulative"))).withColumn("unit", F.when(repeats, value).otherwise(F.col("unit")))
+    return resolve.resolve_same_day(o)
 
 
 @query("e3_date_conflicts", STATE + "SELECT code AS sheet, nav_date, count(*) AS candidates, count(DISTINCT (round_even(unit,10), coalesce(round_even(cumulative,10),-1))) AS n_values, count(DISTINCT message_id) AS n_sources, count(DISTINCT (round_even(unit,10), coalesce(round_even(cumulative,10),-1), message_id, event_type='view')) AS n_ids FROM obs JOIN st ON st.sheet=obs.code AND st.nav_date=obs.nav_date AND conflict GROUP BY 1,obs.nav_date".replace("nav_date, count(*) AS candidates", "obs.nav_date, count(*) AS candidates"), "obs")

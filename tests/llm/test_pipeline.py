@@ -1,7 +1,10 @@
 """Every stage on odd input, and the pipeline's decisions against its operators' brute force."""
 
 import collections
+import os
 
+import duckdb
+import pytest
 
 import corpus_pipeline
 from tidemark.llm.queries import ORACLES, QUERIES
@@ -9,6 +12,8 @@ from tidemark.llm.queries import ORACLES, QUERIES
 from .conftest import sentence
 from .test_operators import brute_components
 
+SF = "/root/testdata/sf0.001"
+
 
 def benchmark_dir(spark, tmp_path, docs):
     bench = spark.createDataFrame([(1, "Seven purple elephants quietly repaired the ancient lighthouse before midnight came.")], "item_id long, text string")
@@ -60,6 +65,18 @@ def test_stages_carry_columns_and_judge_rows(spark, tmp_path):
     assert collections.Counter(map(tuple, clean.collect())) == collections.Counter(base + more[:-1])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    key = lambda f: sorted(map(repr, f[columns].astype(object).itertuples(index=False, name=None)))
+    assert key(got.astype("int64")) == key(want.astype("int64"))
+
+
 def test_registered():
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES}
     assert set(ORACLES) <= set(QUERIES)

@@ -71,4 +71,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hypergeometric_mixing": op9_hypergeometric_mixing,
     "op10_consensus_html": op10_consensus_html,
 }
-ORACLES: dict[str, str] = {}
+#: Components by brute force: shingles as text, overlaps by a join on them, and the transitive closure of the links.
+OP3_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws)=0 THEN [] WHEN len(ws)<4 THEN [array_to_string(ws,' ')] ELSE list_transform(range(1,len(ws)-2), lambda i: array_to_string(ws[i:i+3],' ')) END) AS g FROM w),
+n AS (SELECT w.doc_id, count(g) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g=b.g AND a.doc_id<b.doc_id GROUP BY 1,2),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id=a JOIN n y ON y.doc_id=b WHERE 100*i>=85*(x.n+y.n-i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a=r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, component_id, CASE WHEN n.n=0 THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY n.h, n.n) END AS class_id FROM n JOIN c USING (doc_id)"""
+
+#: Base measures by windows of words, and lines by their text.
+OP7_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(text,'') AS text, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(len(ws)-6, 1))) AS i, ws FROM d),
+q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i+7],' ')) AS c FROM p),
+rep AS (SELECT doc_id, count(DISTINCT i+k) AS n FROM q, range(8) t(k) WHERE c>1 GROUP BY 1),
+raw AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+li AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw),
+good AS (SELECT *, length(norm)-length(replace(norm,' ',''))+1 AS n FROM li WHERE norm<>''),
+dup AS (SELECT doc_id, count(*)-count(DISTINCT line) AS n FROM good GROUP BY 1),
+host AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY 1),
+often AS (SELECT g.source, norm FROM good g JOIN host h ON h.source IS NOT DISTINCT FROM g.source GROUP BY g.source, norm, texts HAVING count(DISTINCT text)>5 AND count(DISTINCT text)>0.05::DOUBLE*texts),
+gone AS (SELECT g.doc_id, CAST(sum(n) AS BIGINT) AS n FROM good g JOIN often o ON o.source IS NOT DISTINCT FROM g.source AND o.norm=g.norm GROUP BY 1),
+m AS (SELECT d.doc_id, len(ws) AS n_words, CAST(list_sum(list_concat([0], list_transform(ws, lambda x: length(x)))) AS BIGINT) AS word_chars, length(text)-length(translate(text,'#*$%&|<>','')) AS n_symbols, coalesce(dup.n,0) AS n_dup_lines, coalesce(rep.n,0) AS n_repeat_words, coalesce(gone.n,0) AS n_removed_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+f AS (SELECT *, n_words<20 OR 100*n_repeat_words>30*n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (n_removed_words>0 AND (n_words-n_removed_words<20 OR n_words-n_removed_words<0.3::DOUBLE*n_words)) AS kept FROM f"""
+
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op7_line_frequency_quality": OP7_SQL}

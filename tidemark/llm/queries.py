@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html_text, langid, licenses, mixing, ngram_join, quality, sharding, token_index, toxicity
+from tidemark.llm import bpe, decontaminate, html_text, langid, licenses, merkle, mixing, ngram_join, quality, sharding, token_align, token_index, toxicity
 from tidemark.llm.common import table
 
 
@@ -59,6 +59,18 @@ def op10_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.measure(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_latent_decontamination": op2_latent_decontamination,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_patience_licenses": op8_patience_licenses,
     "op9_hypergeometric_mixing": op9_hypergeometric_mixing,
     "op10_consensus_html": op10_consensus_html,
+    "op11_segment_tree_bpe": op11_segment_tree_bpe,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 #: Components by brute force: shingles as text, overlaps by a join on them, and the transitive closure of the links.
 OP3_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -98,4 +113,21 @@ m AS (SELECT d.doc_id, len(ws) AS n_words, CAST(list_sum(list_concat([0], list_t
 f AS (SELECT *, n_words<20 OR 100*n_repeat_words>30*n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND NOT (n_removed_words>0 AND (n_words-n_removed_words<20 OR n_words-n_removed_words<0.3::DOUBLE*n_words)) AS kept FROM f"""
 
-ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op7_line_frequency_quality": OP7_SQL}
+#: Trees level by level; a leaf's siblings and the root that it folds to are followed up its own path.
+OP13_SQL = r"""WITH RECURSIVE f AS (SELECT *, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR)||':'||doc_id END||CASE WHEN source IS NULL THEN '-' ELSE strlen(source)||':'||source END||CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang)||':'||lang END AS a, CASE WHEN text IS NULL THEN '-' ELSE strlen(text)||':'||text END AS z FROM documents),
+d AS (SELECT doc_id, lang, sha256(a||CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR)||':'||n_chars END||z) AS leaf, sha256(a||CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars+1)::VARCHAR)||':'||(n_chars+1) END||z) AS altered FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)-1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+lv AS (SELECT lang, 0 AS l, i, n, leaf AS h FROM p UNION ALL SELECT lang, l+1, i//2, (n+1)//2, sha256(string_agg(h,'' ORDER BY i)) FROM lv WHERE n>1 GROUP BY lang, l, i//2, n),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST)-1 AS i, count(*) OVER () AS n FROM lv WHERE n=1),
+tv AS (SELECT 0 AS l, i, n, subroot AS h FROM s UNION ALL SELECT l+1, i//2, (n+1)//2, sha256(string_agg(h,'' ORDER BY i)) FROM tv WHERE n>1 GROUP BY l, i//2, n),
+crc AS (SELECT range::BIGINT AS b, range::BIGINT AS c, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN c&1=1 THEN xor(c>>1, 3988292384) ELSE c>>1 END, k+1 FROM crc WHERE k<8),
+tab AS (SELECT list(c ORDER BY b) AS t FROM crc WHERE k=8),
+c AS (SELECT p.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR,''), lambda x: ascii(x)::BIGINT)), lambda r, x: xor(r>>8, t[(xor(r,x)&255)+1])), 4294967295) AS crc FROM p, tab),
+up AS (SELECT doc_id, leaf, lang, i, 0 AS l, '' AS proof, CASE WHEN crc%7=0 THEN altered ELSE leaf END AS h, i AS own FROM c
+UNION ALL SELECT up.doc_id, leaf, up.lang, up.i, up.l+1, proof||coalesce(o.h,''), sha256(CASE WHEN own%2=1 THEN o.h||up.h ELSE up.h||coalesce(o.h,'') END), own//2 FROM up JOIN lv m ON m.lang IS NOT DISTINCT FROM up.lang AND m.l=up.l AND m.i=own AND m.n>1 LEFT JOIN lv o ON o.lang IS NOT DISTINCT FROM up.lang AND o.l=up.l AND o.i=xor(own,1)),
+mid AS (SELECT up.*, s.subroot, s.i AS top FROM up JOIN s ON s.lang IS NOT DISTINCT FROM up.lang JOIN lv ON lv.lang IS NOT DISTINCT FROM up.lang AND lv.l=up.l AND lv.n=1),
+upper AS (SELECT doc_id, leaf, lang, i, subroot, 0 AS l, proof, h, top AS own FROM mid
+UNION ALL SELECT u.doc_id, leaf, lang, u.i, subroot, u.l+1, proof||coalesce(o.h,''), sha256(CASE WHEN own%2=1 THEN o.h||u.h ELSE u.h||coalesce(o.h,'') END), own//2 FROM upper u JOIN tv m ON m.l=u.l AND m.i=own AND m.n>1 LEFT JOIN tv o ON o.l=u.l AND o.i=xor(own,1))
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, u.h AS folded_root, u.h=r.h AS verified FROM upper u JOIN tv r ON r.n=1 AND r.l=u.l"""
+
+ORACLES: dict[str, str] = {"op13_merkle_manifest": OP13_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op7_line_frequency_quality": OP7_SQL}

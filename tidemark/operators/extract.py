@@ -1,136 +1,179 @@
-"""Extraction of observations from notices: delimited text, labelled lines, HTML tables, fixed layouts."""
+"""Extraction of observations from notices: delimited text, labelled lines, HTML tables, fixed layouts.
+
+A notice is taken apart once, in one Arrow pass over the messages: Spark deals the rows, a task reads each message's
+tables, binds their headers and gives typed observations. Nothing is shuffled, and nothing is parsed twice.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+import datetime as dt
+import html
+import io
+import re
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from tidemark.functions.scalars import classify_header, normalize_code, parse_date, parse_number
+from tidemark.functions.scalars import HEADER_WORDS, parse_date, parse_number
 
-#: Delimiters of text tables, as Java patterns: bar, tab, comma, semicolon, two or more spaces.
-DELIMITERS = (r"\|", r"\t", ",", ";", r"\s{2,}")
 HEADER_ROWS = 50
 OBSERVATION = "message_id string, nav_date date, unit double, cumulative double, code string, source string"
-EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 #: Attachments that are read as delimited text.
 DELIMITED_SUFFIXES = ("csv", "txt")
+#: Most characters of a text, and rows, columns and cells of a table; beyond them a message is refused.
+MOST_CHARS, MOST_ROWS, MOST_COLUMNS, MOST_CELLS = 2_000_000, 20_000, 200, 2_000_000
 
 
-def unescape(c: Column) -> Column:
-    """The entities that text tables use, and the no-break space."""
-    out = c
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("\u00a0", " ")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
-
+class Row(NamedTuple):
+    nav_date: dt.date
+    unit: float
+    cumulative: float | None
+    code: str | None
+    source: str
 
-def one(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
 
+class Refused(ValueError):
+    """A part of a message that can't be read without guessing. reason is what a report says."""
 
-def text_tables(text: Column) -> Column:
-    """The tables of a text, one per delimiter that it holds: the lines that hold the delimiter, cut by it."""
-    lines = F.split(unescape(F.coalesce(text, F.lit(""))), r"\r?\n")
+    def __init__(self, what: str, reason: str = "invalid-or-unsupported-content"):
+        super().__init__(what)
+        self.reason = reason
 
-    def cut(d: str) -> Column:
-        rows = F.transform(lines, lambda line: F.transform(F.split(F.trim(line) if d == DELIMITERS[-1] else line, d), lambda x: F.trim(x)))
-        return F.filter(rows, lambda cells: F.size(cells) > 1)
 
-    return F.filter(F.array(*map(cut, DELIMITERS)), lambda t: F.size(t) > 1)
+def too_large(what: str) -> Refused:
+    return Refused(f"too large: {what}", "resource-limit")
 
 
-def header_of(table: Column) -> Column:
-    """struct(at, dates, d, u, c, k) of a table's header row: its place from 0, its date columns, and the places from 1 of
-    date, unit, cumulative and code (0: none). It is the first of the first rows with date and unit columns below which
-    a row has a date and a value; one with several date columns decides too, as the table then is ambiguous."""
-    place = lambda roles, r: F.array_position(roles, r).cast("int")
+# The rules of functions.scalars for single values; a test holds both against each other.
+NUMBER = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)", re.ASCII)
+SERIAL = re.compile(r"\d{5}(\.\d+)?", re.ASCII)
+DAY = re.compile(r"(?<!\d)(20\d{2})-?(\d{1,2})-?(\d{1,2})(?!\d)", re.ASCII)
+SEPARATORS = str.maketrans({"年": "-", "月": "-", "/": "-", ".": "-", "日": None})
+DROPPED = re.compile(r"[\s_:/：()（）\[\]-]", re.ASCII)
+FIRST_SERIAL_DAY = dt.date(1899, 12, 30)
 
-    def described(cells: Column, i: Column) -> Column:
-        roles = F.transform(cells, lambda x: classify_header(x))
-        return one(roles, lambda r: F.struct(i.alias("at"), F.size(F.filter(r, lambda x: x == "date")).alias("dates"), place(r, "date").alias("d"), place(r, "unit").alias("u"), place(r, "cumulative").alias("c"), place(r, "code").alias("k")))
 
-    heads = F.filter(F.transform(F.slice(table, 1, HEADER_ROWS), described), lambda h: (h["dates"] > 0) & (h["u"] > 0))
-    valid = lambda h: F.exists(below(table, h), lambda x: parse_date(F.get(x, h["d"] - 1)).isNotNull() & parse_number(F.get(x, h["u"] - 1)).isNotNull())
-    return F.get(F.filter(heads, lambda h: (h["dates"] > 1) | valid(h)), F.lit(0))
+def number(cell: str | None) -> float | None:
+    plain = (cell or "").translate({44: None, 0xFF0C: None}).strip()
+    value = float(plain) if NUMBER.fullmatch(plain) else 0.0
+    return value if 0 < value < 1_000_000 else None
 
 
-def below(table: Column, head: Column) -> Column:
-    return F.slice(table, head["at"] + 2, F.size(table))
+@lru_cache(20_000)
+def day(cell: str | None, pivot: int = 80) -> dt.date | None:
+    said = (cell or "").strip()
+    if SERIAL.fullmatch(said) and 20000.5 <= float(said) <= 99999.5:
+        return FIRST_SERIAL_DAY + dt.timedelta(days=int(float(said)))
+    if found := DAY.search(said.translate(SEPARATORS)):
+        parts = [*map(int, found.groups())]
+    else:
+        digits = "".join(c for c in said if "0" <= c <= "9")
+        if len(digits) != 6:
+            return None
+        parts = [int(digits[i : i + 2]) for i in (0, 2, 4)]
+        parts[0] += 1900 if parts[0] >= pivot else 2000
+    try:
+        return dt.date(*parts)
+    except ValueError:
+        return None
 
 
-def read_tables(df: DataFrame, tables: Column, name: str) -> DataFrame:
-    """Adds `name`: struct(failed, rows): whether a table is ambiguous, and the raw cells (d, u, c, k) below the headers.
-    All of it happens inside the row; nothing is shuffled."""
-    cell = lambda x, i: F.when(i > 0, F.get(x, i - 1))
-    taken = lambda t, h: F.transform(below(t, h), lambda x: F.struct(cell(x, h["d"]).alias("d"), cell(x, h["u"]).alias("u"), cell(x, h["c"]).alias("c"), cell(x, h["k"]).alias("k")))
-    df = df.withColumn("_tables", F.coalesce(tables, F.array().cast("array<array<array<string>>>")))
-    df = df.withColumn("_heads", F.transform("_tables", header_of))
-    rows = F.flatten(F.transform("_tables", lambda t, i: F.coalesce(taken(t, F.get("_heads", i)), F.array().cast(RAW))))
-    failed = F.exists("_heads", lambda h: F.coalesce(h["dates"] > 1, F.lit(False)))
-    return df.withColumn(name, F.struct(failed.alias("failed"), rows.alias("rows"))).drop("_tables", "_heads")
+def code(cell: str | None) -> str | None:
+    return re.sub("[^A-Za-z0-9]", "", cell or "").upper() or None
 
 
-RAW = "array<struct<d: string, u: string, c: string, k: string>>"
+@lru_cache(20_000)
+def role(cell: str | None) -> str | None:
+    """Role of a header cell, as classify_header() gives it."""
+    name = DROPPED.sub("", cell or "").lower()
+    return next((kind for kind, words in HEADER_WORDS.items() if any(w in name for w in words)), None)
 
 
-def labelled_row(text: Column, subject: Column) -> Column:
-    """struct(failed, rows) of `label: value` lines: one row at most, with the subject for a missing date; a role that
-    occurs twice fails."""
-    pattern = r"^\s*([^:：]{1,30})\s*[:：]\s*(.+?)\s*$"
-    lines = F.split(unescape(F.coalesce(text, F.lit(""))), r"\r?\n")
-    named = F.transform(lines, lambda x: F.struct(classify_header(F.regexp_extract(x, pattern, 1)).alias("role"), F.regexp_extract(x, pattern, 2).alias("value")))
+def bound(table: list[list[str]], source: str) -> list[Row]:
+    """Observations of a table. Its header is the first of the first rows with date and unit columns below which a row has
+    a date and a value; one with several date columns is refused, as the table then is ambiguous."""
+    if len(table) > MOST_ROWS or max(map(len, table), default=0) > MOST_COLUMNS or sum(map(len, table)) > MOST_CELLS:
+        raise too_large("table")
+    for at, cells in enumerate(table[:HEADER_ROWS]):
+        roles = [role(c) for c in cells]
+        if "date" not in roles or "unit" not in roles:
+            continue
+        if roles.count("date") > 1:
+            raise Refused("several date columns")
+        d, u, c, k = (roles.index(x) if x in roles else sys.maxsize for x in ("date", "unit", "cumulative", "code"))
+        rows = []
+        for line in table[at + 1 :]:
+            if max(d, u) < len(line) and (when := day(line[d])) and (value := number(line[u])) is not None:
+                rows.append(Row(when, value, number(line[c]) if c < len(line) else None, code(line[k]) if k < len(line) else None, source))
+        if rows:
+            return rows
+    return []
 
-    def made(pairs: Column) -> Column:
-        of = lambda r: F.get(F.filter(pairs, lambda x: x["role"] == r), F.lit(0))["value"]
-        row = F.struct(F.coalesce(of("date"), subject).alias("d"), of("unit").alias("u"), of("cumulative").alias("c"), of("code").alias("k"))
-        twice = F.size(pairs) > F.size(F.array_distinct(F.transform(pairs, lambda x: x["role"])))
-        return F.struct(twice.alias("failed"), F.when(of("unit").isNotNull() & ~twice, F.array(row)).otherwise(F.array().cast(RAW)).alias("rows"))
 
-    return one(F.filter(named, lambda x: x["role"].isNotNull()), made)
+def plain_lines(text: str) -> list[str]:
+    if len(text) > MOST_CHARS:
+        raise too_large("text")
+    return html.unescape(text).replace("\u00a0", " ").splitlines()
 
 
-def read_text(df: DataFrame, text: str, subject: str, name: str) -> DataFrame:
-    """Adds `name`: struct(failed, rows) of a text's tables, or of its labelled lines where no table gives a row."""
-    df = read_tables(df, text_tables(F.col(text)), "_read").withColumn("_said", labelled_row(F.col(text), F.col(subject)))
-    labelled = ~F.col("_read.failed") & (F.size("_read.rows") == 0)
-    return df.withColumn(name, F.when(labelled, F.col("_said")).otherwise(F.col("_read"))).drop("_read", "_said")
+def text_tables(lines: list[str]) -> Iterator[list[list[str]]]:
+    """The tables of a text, one per delimiter that it holds: the lines that hold the delimiter, cut by it."""
+    for d in "|\t,;":
+        yield [[*map(str.strip, line.split(d))] for line in lines if d in line]
+    wide = (re.split(r"\s{2,}", line.strip()) for line in lines)
+    yield [cells for cells in wide if len(cells) > 1]
 
 
-def observed(df: DataFrame, key: str, rows: Column, source: str | Column) -> DataFrame:
-    """Observations from raw cells: those with a date and a unit value."""
-    raw = df.select(key, (F.lit(source) if isinstance(source, str) else source).alias("source"), F.inline(rows))
-    out = raw.select(key, parse_date("d").alias("nav_date"), parse_number("u").alias("unit"), parse_number("c").alias("cumulative"), normalize_code("k").alias("code"), "source")
-    return out.where(F.col("nav_date").isNotNull() & F.col("unit").isNotNull())
+LABEL = re.compile(r"\s*([^:：]{1,30})\s*[:：]\s*(.*\S)\s*")
 
 
-def extract_delimited(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Observations of text tables; a text with an ambiguous table gives none."""
-    read = read_tables(df.select(key, text), text_tables(F.col(text)), "_t").where(~F.col("_t.failed"))
-    return observed(read, key, F.col("_t.rows"), "text").distinct()
+def labelled(lines: list[str], subject: str, source: str) -> list[Row]:
+    """One observation, at most, from `label: value` lines, with the subject for a missing date; a role that occurs twice
+    is refused."""
+    said: dict[str, str] = {}
+    for line in lines:
+        found = LABEL.fullmatch(line)
+        kind = role(found[1]) if found else None
+        if kind in said:
+            raise Refused(f"{kind} is named twice")
+        if kind:
+            said[kind] = found[2]
+    when, value = day(said.get("date") or subject), number(said.get("unit"))
+    return [Row(when, value, number(said.get("cumulative")), code(said.get("code")), source)] if when and value is not None else []
 
 
-def extract_labelled(df: DataFrame, key: str, text: str, subject: str) -> DataFrame:
-    """One observation per message from `label: value` lines. A role that occurs twice rejects the message; a missing date
-    is taken from the subject."""
-    return observed(df.select(key, labelled_row(F.col(text), F.col(subject)).alias("_t")), key, F.col("_t.rows"), "text")
+def of_text(text: str, subject: str, source: str) -> list[Row]:
+    """Observations of a text's tables, or of its labelled lines where no table gives one."""
+    lines = plain_lines(text)
+    return [row for table in text_tables(lines) for row in bound(table, source)] or labelled(lines, subject, source)
 
 
 class Tables(HTMLParser):
     """Rows of the tables of a page. A cell that spans rows is repeated below; one that spans columns gives empty cells,
-    so that a grouped heading isn't taken for a column's own. Bad or overlapping spans raise ValueError."""
+    so that a grouped heading isn't taken for a column's own. Bad or overlapping spans raise ValueError. said has the
+    page's text besides, with line breaks where blocks begin and without scripts and styles."""
+
+    BLOCKS, SILENT = ("br", "div", "li", "p", "td", "th", "tr"), ("script", "style")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tables: list[list[list[str]]] = []
         self.open: list[dict] = []
+        self.said: list[str] = []
+        self.silent = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.BLOCKS:
+            self.said.append("\n")
+        self.silent = tag in self.SILENT
         if tag == "table":
             self.open.append({"rows": [], "down": {}, "row": None, "cell": None})
         elif self.open and tag == "tr":
@@ -152,6 +195,7 @@ class Tables(HTMLParser):
         return n
 
     def handle_endtag(self, tag: str) -> None:
+        self.silent = False
         if not self.open:
             return
         if tag in ("td", "th"):
@@ -163,6 +207,8 @@ class Tables(HTMLParser):
             self.tables.append(self.open.pop()["rows"])
 
     def handle_data(self, data: str) -> None:
+        if not self.silent:
+            self.said.append(data)
         if self.open and self.open[-1]["cell"]:
             self.open[-1]["cell"]["text"].append(data)
 
@@ -193,108 +239,195 @@ class Tables(HTMLParser):
         t["row"] = None
 
 
-def page_tables(df: DataFrame, page: str) -> DataFrame:
-    """df with _bad (tables with bad spans) and _page_tables (their rows of cells)."""
-
-    @F.pandas_udf(StructType([StructField("bad", BooleanType()), StructField("tables", ArrayType(ArrayType(ArrayType(StringType()))))]))
-    def parsed(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for raw in pages:
-            t = Tables()
-            try:
-                t.feed(raw or "")
-                t.close()
-                while t.open:
-                    t.handle_endtag("table")
-                out.append((False, t.tables))
-            except ValueError:
-                out.append((True, []))
-        return pd.DataFrame(out, columns=["bad", "tables"])
-
-    return df.withColumn("_p", parsed(F.coalesce(page, F.lit("")))).select("*", F.col("_p.bad").alias("_bad"), F.col("_p.tables").alias("_page_tables")).drop("_p")
-
-
-def extract_html_tables(df: DataFrame, key: str, page: str) -> DataFrame:
-    """Observations of the pages' tables; pages with bad spans or an ambiguous table give none."""
-    read = read_tables(page_tables(df.select(key, page), page), F.col("_page_tables"), "_t").where(~F.col("_bad") & ~F.col("_t.failed"))
-    return observed(read, key, F.col("_t.rows"), "html").distinct()
-
-
-def html_to_text(c) -> Column:
-    """Tags that begin a block become line breaks, other tags go, common entities are decoded."""
-    c = F.col(c) if isinstance(c, str) else c
-    c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    c = F.regexp_replace(c, r"(?i)<(br|div|li|p|td|th|tr)\b[^>]*>", "\n")
-    return unescape(F.regexp_replace(c, r"<[^>]*>", ""))
-
+def parsed_page(page: str) -> tuple[list[list[list[str]]], str]:
+    """The tables of a page and its text."""
+    t = Tables()
+    try:
+        t.feed(page)
+        t.close()
+        while t.open:
+            t.handle_endtag("table")
+    except ValueError as e:
+        raise Refused(str(e)) from e
+    return t.tables, "".join(t.said)
+
+
+def of_page(page: str, subject: str) -> list[Row]:
+    """Observations of a page's tables and of its text."""
+    tables, said = parsed_page(page)
+    return [row for table in tables for row in bound(table, "html")] + of_text(said, subject, "html")
+
+
+def decoded(payload: bytes) -> str | None:
+    """UTF-8 with or without its mark, else GB18030, else UTF-16, else null."""
+    for codec in ("utf-8-sig", "gb18030", "utf-16"):
+        try:
+            return payload.decode(codec)
+        except UnicodeDecodeError:
+            continue
+    return None
+
+
+def delimited_table(text: str) -> list[list[str]]:
+    """Rows of cells of delimited text, its dialect guessed from its beginning (comma, if nothing is to be seen).
+    Delimiters and line breaks inside quotes part nothing. Rows without cells are left out."""
+    csv.field_size_limit(sys.maxsize)
+    try:
+        dialect = csv.Sniffer().sniff(text[:4096])
+    except csv.Error:
+        dialect = csv.excel
+    rows = ([*map(str.strip, line)] for line in csv.reader(io.StringIO(text, newline=""), dialect))
+    return [cells for cells in rows if any(cells)]
+
+
+def of_file(payload: bytes) -> list[Row]:
+    text = decoded(payload)
+    if text is None:
+        raise Refused("no encoding fits")
+    try:
+        return bound(delimited_table(text), "csv")
+    except csv.Error as e:
+        raise Refused(str(e)) from e
+
+
+def distinct(rows: Iterable[Row]) -> list[Row]:
+    """Rows by date, code and values of 12 decimals; of equal ones the last stays."""
+    exact = lambda x: None if x is None else round(x, 12)
+    return [*{(r.nav_date, r.code, exact(r.unit), exact(r.cumulative)): r for r in rows}.values()]
+
+
+class Read(NamedTuple):
+    """What reading a message gave: reason is null unless it failed; files tells of attachments (suffix, status, reason)."""
+
+    rows: list[Row]
+    reason: str | None = None
+    files: list[tuple[str, str, str]] = []  # noqa: RUF012
+
+
+def parts(body) -> list[str]:
+    return [] if body is None else [body] if isinstance(body, str) else [x for x in body if x is not None]
+
+
+def read_message(message: dict) -> Read:
+    """The built-in extractor: text, HTML tables and text, delimited attachments. One part that fails fails the message."""
+    rows: list[Row] = []
+    files: list[tuple[str, str, str]] = []
+    failed = None
+    try:
+        subject = message.get("subject") or ""
+        for text in parts(message.get("plain")):
+            rows += of_text(text, subject, "text")
+        for page in parts(message.get("html")):
+            rows += of_page(page, subject)
+    except Refused as e:
+        failed = e.reason
+    for file in message.get("attachments") or []:
+        suffix = (file["suffix"] or "").lower().removeprefix(".")
+        if suffix not in DELIMITED_SUFFIXES or not file["payload"]:
+            continue
+        try:
+            own = of_file(file["payload"])
+            rows += own
+            if not own:
+                files.append((suffix, "no-nav-records", "no-structured-nav-records"))
+        except Refused as e:
+            files.append((suffix, "failed", e.reason))
+            failed = failed or e.reason
+    return Read([] if failed else distinct(rows), failed, files)
+
+
+Extractor = Callable[[dict], Iterable]
+EXTRACTORS: dict[str, Extractor] = {}
+READ = "rows array<struct<nav_date: date, unit: double, cumulative: double, code: string, source: string>>, reason string, files array<struct<suffix: string, status: string, reason: string>>"
+ROW_TYPES = (("nav_date", pa.date32()), ("unit", pa.float64()), ("cumulative", pa.float64()), ("code", pa.string()), ("source", pa.string()))
+FILE_TYPES = (("suffix", pa.string()), ("status", pa.string()), ("reason", pa.string()))
+
+
+def nested(lists: list[list[tuple]], types: tuple) -> pa.Array:
+    """An array of lists of structs."""
+    flat = [x for some in lists for x in some]
+    columns = [pa.array([x[i] for x in flat], t) for i, (_, t) in enumerate(types)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in types]))
 
-@F.pandas_udf(ArrayType(StringType()))
-def other_encodings(payloads: pd.Series) -> pd.Series:
-    """Texts of payloads that aren't UTF-8: GB18030, else UTF-16, else null. Spark's own decode doesn't know GB18030."""
 
-    def decoded(raw: bytes | None) -> str | None:
-        for codec in ("gb18030", "utf-16"):
-            try:
-                return None if raw is None else bytes(raw).decode(codec)
-            except UnicodeDecodeError:
-                continue
-        return None
+def read_rows(df: DataFrame, key: str, columns: list[str], reader: Callable[[dict], Read]) -> DataFrame:
+    """key, rows, reason, files: what reader gives for each row of df, in one pass over the columns that it needs."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                got = [reader(m) for m in some.select(columns).to_pylist()]
+                told = [nested([r.rows for r in got], ROW_TYPES), pa.array([r.reason for r in got], pa.string()), nested([r.files for r in got], FILE_TYPES)]
+                yield pa.RecordBatch.from_arrays([some.column(key), *told], [key, "rows", "reason", "files"])
+
+    chosen = df.select(*dict.fromkeys([key, *columns]))
+    return chosen.mapInArrow(read, f"{key} {chosen.schema[key].dataType.simpleString()}, {READ}")
+
 
-    return payloads.map(lambda some: [decoded(x) for x in some])
+def observed(read: DataFrame, key: str) -> DataFrame:
+    return read.where("reason is null").select(key, F.inline("rows")).select(key, "nav_date", "unit", "cumulative", "code", "source")
+
+
+def attempted(read: Callable[[dict], list[Row]]) -> Callable[[dict], Read]:
+    def reader(message: dict) -> Read:
+        try:
+            return Read(distinct(read(message)))
+        except Refused as e:
+            return Read([], e.reason)
 
+    return reader
 
-def decoded(df: DataFrame, payloads: Column, name: str) -> DataFrame:
-    """Adds `name`: the texts of an array of payloads, null where no encoding fits. UTF-8 (with or without its mark) is
-    decoded by Spark; only other payloads are sent to Python."""
-    df = df.withColumn("_payloads", payloads)
-    df = df.withColumn("_utf8", F.transform("_payloads", lambda x: F.try_validate_utf8(x.cast("string"))))
-    rest = F.filter(F.transform("_payloads", lambda x, i: F.when(F.get("_utf8", i).isNull(), x)), lambda x: x.isNotNull())
-    df = df.withColumn("_rest", other_encodings(F.coalesce(rest, F.array().cast("array<binary>"))))
-    # the n-th payload that isn't UTF-8 has the n-th of the other texts
-    before = lambda i: F.size(F.filter(F.slice("_utf8", F.lit(1), i), lambda x: x.isNull()))
-    texts = F.transform("_utf8", lambda x, i: F.coalesce(F.regexp_replace(x, "^\ufeff", ""), F.get("_rest", before(i))))
-    return df.withColumn(name, texts).drop("_payloads", "_utf8", "_rest")
 
+def extract_delimited(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Observations of text tables; a text with an ambiguous table gives none."""
+    read = attempted(lambda m: [row for table in text_tables(plain_lines(m[text] or "")) for row in bound(table, "text")])
+    return observed(read_rows(df, key, [text], read), key)
 
-def delimiter_of(text: Column) -> Column:
-    """The delimiter of a text: of comma, semicolon, tab and bar the one that the most of the first ten lines hold as often
-    as the first line does; among equals the one that it holds most often, then the first of these; comma without any."""
-    lines = F.slice(F.filter(F.split(F.substring(text, 1, 4096), r"\r?\n"), lambda x: F.trim(x) != ""), 1, 10)
-    count = lambda x, d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))
 
-    def scored(i: int, d: str) -> Column:
-        head = count(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), d)
-        alike = F.size(F.filter(lines, lambda x: (count(x, d) == head) & (head > 0)))
-        return F.struct(alike.alias("alike"), head.alias("n"), F.lit(-i).alias("order"), F.lit(d).alias("d"))
+def extract_labelled(df: DataFrame, key: str, text: str, subject: str) -> DataFrame:
+    """One observation per message from `label: value` lines. A role that occurs twice rejects the message; a missing date
+    is taken from the subject."""
+    read = attempted(lambda m: labelled(plain_lines(m[text] or ""), m[subject] or "", "text"))
+    return observed(read_rows(df, key, [text, subject], read), key)
 
-    best = F.greatest(*[scored(i, d) for i, d in enumerate((",", ";", "\t", "|"))])
-    return F.when(best["alike"] > 0, best["d"]).otherwise(",")
 
+def extract_html_tables(df: DataFrame, key: str, page: str) -> DataFrame:
+    """Observations of the pages' tables; pages with bad spans or an ambiguous table give none."""
+    read = attempted(lambda m: [row for table in parsed_page(m[page] or "")[0] for row in bound(table, "html")])
+    return observed(read_rows(df, key, [page], read), key)
 
-def delimited_table(text: Column) -> Column:
-    """Rows of cells of delimited text. Delimiters inside double quotes part nothing; a doubled quote stands for one."""
-    patterns = {",": ",", ";": ";", "\t": r"\t", "|": r"\|"}
-    inside = r"(?=(?:[^\x22]*\x22[^\x22]*\x22)*[^\x22]*$)"
-    plain = lambda x: F.replace(F.regexp_replace(F.trim(x), r"^\x22(.*)\x22$", "$1"), F.lit('""'), F.lit('"'))
 
-    def rows(delimiter: Column) -> Column:
-        def cells(line: Column) -> Column:
-            cut = None
-            for d, p in patterns.items():
-                part = F.split(line, p + inside)
-                cut = F.when(delimiter == d, part) if cut is None else cut.when(delimiter == d, part)
-            return F.transform(cut, plain)
+def read_delimited_payloads(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, text, row (from 1), cells of attachments; a payload that no encoding fits, or without rows, has one row with
+    null cells."""
+
+    @F.udf("struct<text: string, rows: array<array<string>>>", useArrow=True)
+    def read(raw: bytes | None):
+        text = None if raw is None else decoded(bytes(raw))
+        try:
+            return {"text": text, "rows": None if text is None else delimited_table(text)}
+        except csv.Error:
+            return {"text": text, "rows": None}
+
+    rows = df.select(key, read(payload).alias("_t")).select(key, "_t.text", F.posexplode_outer("_t.rows").alias("row", "cells"))
+    return rows.withColumn("row", F.col("row") + 1)
 
-        return F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""), cells)
 
-    return one(delimiter_of(text), rows)
+def unescape(c: Column) -> Column:
+    """The entities that text tables use, and the no-break space."""
+    out = c
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("\u00a0", " ")):
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
 
 
-def read_delimited_payloads(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """key, text, row (from 1), cells of attachments; a payload that no encoding fits has one row with null text."""
-    texts = decoded(df.select(key, payload), F.array(payload), "_texts").select(key, F.get("_texts", F.lit(0)).alias("text"))
-    rows = texts.select(key, "text", F.posexplode_outer(delimited_table(F.col("text"))).alias("row", "cells"))
-    return rows.withColumn("row", F.col("row") + 1)
+def html_to_text(c) -> Column:
+    """Tags that begin a block become line breaks, other tags go, common entities are decoded."""
+    c = F.col(c) if isinstance(c, str) else c
+    c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
+    c = F.regexp_replace(c, r"(?i)<(br|div|li|p|td|th|tr)\b[^>]*>", "\n")
+    return unescape(F.regexp_replace(c, r"<[^>]*>", ""))
 
 
 def extract_fixed_labels(cells: DataFrame, labels: list[str], identities: dict[str, str], dates: tuple[str, str] | None = None, values: tuple[str, ...] = ()) -> DataFrame:
@@ -313,61 +446,94 @@ def extract_fixed_labels(cells: DataFrame, labels: list[str], identities: dict[s
     return per.select("key", reason.isNull().alias("ok"), reason.alias("reason"), *labels)
 
 
+PARTS = ["subject", "plain", "html", "attachments"]
+
+
 def read_messages_rows(messages: DataFrame) -> DataFrame:
-    """message_id, failed, diagnostics (suffix, status, reason of attachments) and the raw rows of each part of a message:
-    text, html tables, html text, attachments. Columns: message_id, subject, plain, html and, if there are any,
-    attachments (an array of structs with suffix and payload)."""
-    if "attachments" not in messages.columns:
-        messages = messages.withColumn("attachments", F.array().cast("array<struct<suffix: string, payload: binary>>"))
-    suffix = lambda a: F.lower(F.regexp_replace(a["suffix"], r"^\.", ""))
-    files = F.filter("attachments", lambda a: suffix(a).isin(*DELIMITED_SUFFIXES) & (F.length(a["payload"]) > 0))
-    df = messages.select("message_id", F.coalesce("subject", F.lit("")).alias("subject"), "plain", "html", F.transform(files, lambda a: F.struct(suffix(a).alias("suffix"), a["payload"].alias("payload"))).alias("_files"))
-    df = read_text(df, "plain", "subject", "text")
-    df = read_tables(page_tables(df, "html"), F.col("_page_tables"), "html_tables").withColumn("_said", html_to_text("html"))
-    df = read_text(df, "_said", "subject", "html_text")
-    df = decoded(df, F.coalesce(F.transform("_files", lambda f: f["payload"]), F.array().cast("array<binary>")), "_decoded")
-    # one table per attachment, each bound by itself, as its diagnosis needs its own rows
-    df = df.withColumn("_sheets", F.transform("_decoded", lambda t: F.coalesce(delimited_table(t), F.array().cast("array<array<string>>"))))
-    df = df.withColumn("_heads", F.transform("_sheets", header_of))
-    bad = lambda i: F.get("_decoded", i).isNull() | F.coalesce(F.get("_heads", i)["dates"] > 1, F.lit(False))
-    status = lambda i: F.when(bad(i), "failed").when(F.get("_heads", i).isNull(), "no-nav-records")
-    reason = lambda i: F.when(bad(i), "invalid-or-unsupported-content").when(F.get("_heads", i).isNull(), "no-structured-nav-records")
-    told = F.transform("_files", lambda f, i: F.struct(f["suffix"].alias("suffix"), status(i).alias("status"), reason(i).alias("reason")))
-    df = df.withColumn("diagnostics", F.filter(F.coalesce(told, F.array().cast("array<struct<suffix: string, status: string, reason: string>>")), lambda x: x["status"].isNotNull()))
-    df = read_tables(df, F.col("_sheets"), "files")
-    failed = F.col("text.failed") | F.col("_bad") | F.col("html_tables.failed") | F.col("html_text.failed") | F.exists("diagnostics", lambda x: x["status"] == "failed")
-    return df.select("message_id", failed.alias("failed"), "diagnostics", *[F.col(f"{p}.rows").alias(p) for p in ("text", "html_tables", "html_text", "files")])
+    """message_id, rows, reason (null unless the message failed), files (attachments without records or that failed).
+    Columns: message_id, subject, plain, html (each a text or an array of texts) and, if there are any, attachments (an
+    array of structs with suffix and payload)."""
+    return read_rows(messages, "message_id", [c for c in PARTS if c in messages.columns], read_message)
 
 
 def extract_observations(messages: DataFrame) -> DataFrame:
     """Observations of the text, the HTML tables, the HTML text and the delimited attachments of messages; equal rows of a
     message once. A message gives none if one of its parts fails: an ambiguous table, bad spans, a label twice, an
-    attachment that can't be read."""
-    read = read_messages_rows(messages).where(~F.col("failed"))
-    parts = F.array(*[F.struct(F.lit(s).alias("source"), F.col(p).alias("rows")) for p, s in (("text", "text"), ("html_tables", "html"), ("html_text", "html"), ("files", "csv"))])
-    each = read.select("message_id", F.inline(parts))
-    return observed(each, "message_id", F.col("rows"), F.col("source")).dropDuplicates(["message_id", "nav_date", "unit", "cumulative", "code"])
+    attachment that can't be read, or more than the limits on a part."""
+    return observed(read_messages_rows(messages), "message_id")
 
 
 def extraction_report(messages: DataFrame) -> DataFrame:
     """message_id, failed, suffix, status, reason: one row per attachment without records or that failed, and one with
     nulls for other messages that failed."""
-    read = read_messages_rows(messages).select("message_id", "failed", F.explode_outer("diagnostics").alias("d"))
+    read = read_messages_rows(messages).select("message_id", F.col("reason").isNotNull().alias("failed"), F.explode_outer("files").alias("d"))
     return read.select("message_id", "failed", "d.suffix", "d.status", "d.reason").where(F.col("failed") | F.col("status").isNotNull())
 
 
-def register_extractor(name: str, extractor: Callable[[DataFrame], DataFrame]) -> None:
-    """A user's function from messages to observations, under a name that routes can ask for."""
+def valid_row(row, source: str) -> Row:
+    """An extractor's row, as (nav_date, unit, cumulative, code) or a mapping of these, checked as to types and ranges."""
+    try:
+        d, u, c, k = [row.get(x) for x in ("nav_date", "unit", "cumulative", "code")] if isinstance(row, dict) else row
+    except (TypeError, ValueError):
+        raise Refused("not a row", "invalid-row") from None
+    numeric = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and 0 < x < 1_000_000
+    if isinstance(d, dt.datetime) or not isinstance(d, dt.date):
+        raise Refused("date", "invalid-date")
+    if not numeric(u):
+        raise Refused("unit", "invalid-unit")
+    if c is not None and not numeric(c):
+        raise Refused("cumulative", "invalid-cumulative")
+    if k is not None and not isinstance(k, str):
+        raise Refused("code", "invalid-code")
+    return Row(d, float(u), None if c is None else float(c), code(k), source)
+
+
+def register_extractor(name: str, extractor: Extractor) -> None:
+    """A user's function from a message (a dict of subject, plain, html, attachments) to rows, under a name that routes can
+    ask for. Names are of small letters, digits, _ and -, and begin with a letter; `auto` is the built-in one."""
+    if not re.fullmatch(r"[a-z][a-z0-9_-]{0,63}", name) or name == "auto":
+        raise ValueError(f"not a name for an extractor: {name}")
     EXTRACTORS[name] = extractor
 
 
+def run_all(names: list[str], known: dict[str, Extractor]) -> Callable[[dict], Read]:
+    """All extractors on a message: each must give rows, and only valid ones."""
+
+    def reader(message: dict) -> Read:
+        rows: list[Row] = []
+        for name in names:
+            if name == "auto":
+                read = read_message(message)
+                own, reason = read.rows, read.reason
+            else:
+                try:
+                    own, reason = [valid_row(r, name) for r in known[name](message)], None
+                except Refused as e:
+                    own, reason = [], e.reason
+                except Exception as e:  # noqa: BLE001 - a user's code may fail in any way; the message is refused and reported
+                    own, reason = [], f"failed: {type(e).__name__}"
+            if reason or not own:
+                return Read([], f"{name}: {reason or 'no-rows'}")
+            rows += own
+        return Read(distinct(rows))
+
+    return reader
+
+
+def extractor_read(messages: DataFrame, names: list[str]) -> DataFrame:
+    """message_id, rows, reason of all named extractors, in one pass over the messages."""
+    if unknown := [n for n in names if n != "auto" and n not in EXTRACTORS]:
+        raise ValueError(f"unknown extractors: {unknown}")
+    known = {n: EXTRACTORS[n] for n in names if n != "auto"}
+    return read_rows(messages, "message_id", [c for c in PARTS if c in messages.columns], run_all(names, known))
+
+
 def run_extractors(messages: DataFrame, names: list[str]) -> DataFrame:
-    """Union of the named extractors' observations, in the fixed schema, for messages on which all of them give rows."""
-    parts = [EXTRACTORS[n](messages).selectExpr("message_id", "cast(nav_date as date) nav_date", "cast(unit as double) unit", "cast(cumulative as double) cumulative", "code", f"'{n}' source") for n in names]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    full = every.groupBy("message_id").agg(F.count_distinct("source").alias("n")).where(F.col("n") == len(names)).select("message_id")
-    return every.join(full, "message_id", "left_semi").dropDuplicates(["message_id", "nav_date", "unit", "cumulative", "code"])
+    """Observations of messages on which all of the named extractors give rows, equal rows of a message once (the last
+    extractor's stays)."""
+    return observed(extractor_read(messages, names), "message_id")
 
 
+def extractor_failures(messages: DataFrame, names: list[str]) -> DataFrame:
+    """message_id, reason: the first extractor that gave no rows or a row of wrong types, and why."""
+    return extractor_read(messages, names).where("reason is not null").select("message_id", "reason")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -264,8 +267,35 @@ def d7_fixed(spark, sf_dir):
 
 @query("d8_register_extractor", "SELECT code, count(*) AS n FROM series WHERE unit<1000000 GROUP BY 1", "series")
 def d8_extractor(spark, sf_dir):
-    extract.register_extractor("delimited", lambda m: extract.extract_delimited(m, "message_id", "plain"))
-    return extract.run_extractors(notices(spark, sf_dir), ["delimited"]).groupBy("code").agg(F.count("*").alias("n"))
+    """A user's extractor beside the built-in one: both must give rows."""
+    extract.register_extractor("last-columns", last_columns)
+    return extract.run_extractors(notices(spark, sf_dir), ["auto", "last-columns"]).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def last_columns(message: dict):
+    """Code, date and value of each line of a notice after the first."""
+    for line in message["plain"].splitlines()[1:]:
+        code, day, unit = map(str.strip, re.split("[|\t,;]", line))
+        if float(unit) < 1_000_000:
+            yield {"nav_date": dt.date.fromisoformat(day), "unit": float(unit), "code": code}
+
+
+@query(
+    "d8_extractor_failures",
+    "+ n AS (SELECT code, code||'-'||CAST(date_trunc('month',nav_date) AS DATE) AS message_id, count(*) FILTER (unit<1000000) AS n FROM series GROUP BY code, date_trunc('month',nav_date)) SELECT message_id, CASE WHEN n=0 THEN 'auto: no-rows' WHEN number_of(code)%3=0 THEN 'odd: invalid-unit' ELSE 'odd: failed: KeyError' END AS reason FROM n WHERE n=0 OR number_of(code)%3<2",
+    "series",
+)
+def d8_failures(spark, sf_dir):
+    """Rows of wrong types and errors of a user's extractor, by code."""
+    extract.register_extractor("odd", odd_rows)
+    return extract.extractor_failures(notices(spark, sf_dir), ["auto", "odd"])
+
+
+def odd_rows(message: dict):
+    kind = int(message["plain"].splitlines()[1][1:5]) % 3
+    if kind == 1:
+        raise KeyError(kind)
+    yield (dt.date(2026, 1, 9), "1.0" if kind == 0 else 1.0, None, None)
 
 
 @query(

@@ -125,6 +125,8 @@ def built(leaves: DataFrame, levels: int = BLOCK) -> list[DataFrame]:
             out = {"tree": [key[0].as_py()], "chunk": [key[1].as_py()], "size": [len(nodes)], "height": [height], "nodes": [b"".join(append_log(nodes, height))]}
             return pa.table(out, pa.schema([("tree", pa.string()), ("chunk", pa.int64()), ("size", pa.int64()), ("height", pa.int32()), ("nodes", pa.binary())]))
 
+        # dealt by block: by tree alone, as joined above, a large group would be one task
+        blocks = blocks.repartition("tree", "chunk")
         log = staged(blocks.groupBy("tree", "chunk").applyInArrow(build, LOG), "merkle-log")
         tiers.append(log)
         sizes = log.groupBy("tree").agg(F.count("*").alias("total")).where("total > 1")
@@ -188,8 +190,8 @@ def proven(rows: DataFrame, tiers: list[DataFrame], above: DataFrame, levels: in
         asked = rows if i == 0 else tiers[i - 1].join(log.select("tree").distinct(), "tree", "left_semi").select("tree", F.col("chunk").alias("rank"))
         kept = [f for f in asked.schema.fields if f.name not in ("tree", "rank")]
         schema = ", ".join(["tree string, rank long", f"proof {PROOF}", *[f"{f.name} {f.dataType.simpleString()}" for f in kept], carried]).rstrip(", ")
-        dealt = asked.withColumn("chunk", F.shiftright("rank", levels)).groupBy("tree", "chunk")
-        upper = dealt.cogroup(own.groupBy("tree", "chunk")).applyInArrow(cutter([f.name for f in kept], [f.name for f in extra], levels), schema)
+        dealt = asked.withColumn("chunk", F.shiftright("rank", levels)).repartition("tree", "chunk").groupBy("tree", "chunk")
+        upper = dealt.cogroup(own.repartition("tree", "chunk").groupBy("tree", "chunk")).applyInArrow(cutter([f.name for f in kept], [f.name for f in extra], levels), schema)
     return upper
 
 

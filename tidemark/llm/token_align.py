@@ -26,6 +26,8 @@ from tidemark.llm.token_index import gathered, slices
 
 #: A segment: a run of white space that begins with a space or a line feed, and what follows up to the next such run.
 SEGMENT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
+#: Bytes of text that are aligned together, unless one text is longer.
+TOGETHER = 1 << 20
 KINDS = ("overlap", "end", "group")
 
 
@@ -67,7 +69,7 @@ class Rows:
 class Aligner:
     """Two tokenizers' tables, and the segments that a worker remembers."""
 
-    LIMIT = 150_000
+    LIMIT = 80_000
 
     def __init__(self, a_path: str, b_path: str, kind: str):
         from sentencepiece import SentencePieceProcessor
@@ -202,7 +204,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, kind: str = "end") -> DataF
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = in_worker(("align", a_path, b_path, kind), lambda: Aligner(a_path, b_path, kind))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOGETHER):
                 na, nb, groups, said, links = tables.align(part.column("text").to_pylist())
                 ends = pa.array(np.concatenate([[0], np.cumsum([*map(len, links)])]), pa.int32())
                 codes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *links]), pa.int64()))

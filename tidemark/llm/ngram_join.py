@@ -9,11 +9,14 @@ blocks (one shingle's column after another, dealt by Spark), and only where the
 - Overlaps are accumulated over these columns. Pairs whose sizes differ by more than the factor t, or whose count is
   below what the two sizes ask for, are dropped; the rest is verified on whole sets.
 
-Long columns (large groups of near copies) would give pairs in the square of their length. There each row is first
-compared with one pivot, the most central row. Rows linked with the pivot need no links among each other, as they are
-one component already. A pair with an unlinked row is compared if sizes, distances to the pivot (Jaccard distance is
-a metric) and the parity bitmaps of the two sets (each differing bit needs a differing shingle) leave it a chance. So
-no link between two components is lost.
+Long columns (large groups of near copies) would give pairs in the square of their length. There, round by round, each
+row is compared with a pivot. Rows linked with the pivot need no links among each other, as they are one component
+already, and leave the column; of the others, those that may be within the threshold of such a row (Jaccard distance is
+a metric, and the parity bitmaps of two sets bound it from below: each differing bit needs a differing shingle) are
+compared with them. What is left of a column goes on with another pivot, until it is short enough to be compared
+outright. Columns that stay long through all rounds hold sets that have little in common but that shingle: they are
+divided by a second shared shingle, which linked sets must have in prefixes that are longer by one. So no link between
+two components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, in_worker, staged
@@ -35,6 +38,8 @@ COMMON = 1e-6
 LOOK, LOCAL = 1 << 20, 3
 #: Columns of up to so many rows are multiplied outright.
 LONG = 48
+#: Pivots that a long column is compared with, one after the other.
+ROUNDS = 5
 #: Bits of the parity bitmaps: the power of two next above the set's size, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 8192
 
@@ -124,6 +129,11 @@ def prefix_size(n: int, pct: int) -> int:
     return n - -(-pct * n // 100) + 1
 
 
+def prefix_length(n: Column, pct: int) -> Column:
+    """prefix_size of a column."""
+    return (n - F.ceil(n * pct / 100) + 1).cast("int")
+
+
 def signatures(docs: DataFrame, common: np.ndarray, pct: int) -> DataFrame:
     """doc_id, n, cls (a hash of the shingle set), spread (share of shingles that aren't common, in 1/1000), prefix and
     bits (parity bitmap)."""
@@ -141,7 +151,7 @@ def signatures(docs: DataFrame, common: np.ndarray, pct: int) -> DataFrame:
                     at = np.searchsorted(ids, s)
                     often = ids[np.minimum(at, len(ids) - 1)] == s if len(ids) else np.zeros(len(s), bool)
                     rare = s[~often]
-                    p = prefix_size(len(s), pct)
+                    p = prefix_size(len(s), pct) + 1  # one more, for by_two_shingles
                     first = rare[:p] if len(rare) >= p else np.concatenate([rare, s[often][: p - len(rare)]])
                     size = min(MOST_BITS, max(LEAST_BITS, 1 << len(s).bit_length()))
                     bits = np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).view(np.int64)
@@ -167,15 +177,20 @@ def folded(bits: Column, other: Column) -> Column:
     return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(bits)
 
 
-def may_link(n1: str, n2: str, bits1: str, bits2: str, pct: int) -> Column:
-    """Whether sizes and bitmaps leave two sets a chance to link. Linked sets differ in size by less than a factor of two,
-    so one bitmap is at most twice as long as the other."""
-    x, y = F.col(bits1), F.col(bits2)
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two bitmaps differ: the least that the symmetric difference of the sets can be. A bitmap that is more
+    than twice as long as the other is told apart by its size alone, so it counts as nothing here."""
     apart = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     for words in (8, 4):  # the usual lengths, without making arrays
         each = [F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(words)]
         apart = F.when((F.size(x) == words) & (F.size(y) == words), sum(each[1:], each[0])).otherwise(apart)
-    return fits(n1, n2, pct) & (apart <= may_differ(F.col(n1) + F.col(n2), pct))
+    return F.when((F.size(x) <= 2 * F.size(y)) & (F.size(y) <= 2 * F.size(x)), apart).otherwise(0)
+
+
+def may_link(n1: str, n2: str, bits1: str, bits2: str, pct: int) -> Column:
+    """Whether sizes and bitmaps leave two sets a chance to link. Linked sets differ in size by less than a factor of two,
+    so one bitmap is at most twice as long as the other."""
+    return fits(n1, n2, pct) & (differing(F.col(bits1), F.col(bits2)) <= may_differ(F.col(n1) + F.col(n2), pct))
 
 
 def least_shared(na: str, nb: str, pct: int) -> Column:
@@ -218,10 +233,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     """Verified links (a, b) among representatives. bodies: rep, n, spread, prefix, bits. Columns are dealt once by
     shingle; those with one row, nearly all, end there."""
-    columns = bodies.select("rep", "n", "spread", F.explode("prefix").alias("h"))
-    column = Window.partitionBy("h")
-    shared = columns.withColumns({"m": F.count("*").over(column), "p": F.min(F.struct("spread", "rep", "n")).over(column)}).where("m > 1")
-    shared = staged(shared.select("h", "rep", "n", "m", F.col("p.rep").alias("pivot")), "columns")
+    columns = bodies.select("rep", "n", F.explode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), pct))).alias("h"))
+    sizes = columns.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    shared = staged(columns.join(sizes, "h").select("h", "rep", "n", "m"), "columns")
     rows = shared.groupBy("rep").agg(F.count_if(F.col("m") > LONG).alias("long"))
     short = shared.where(F.col("m") <= LONG)
     x, y = short.select("h", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"))
@@ -230,32 +244,90 @@ def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     met = met.join(rows.select(F.col("rep").alias("a"), F.col("long").alias("la")), "a").join(rows.select(F.col("rep").alias("b"), F.col("long").alias("lb")), "b")
     outright = met.where(F.col("shared") + F.least("la", "lb") >= least_shared("na", "nb", pct)).select("a", "b")
 
-    long = shared.where(F.col("m") > LONG).select("h", "rep", "n", "pivot")
-    long = staged(long.join(bodies.select("rep", "bits").dropDuplicates(["rep"]), "rep"), "long-columns")
-    centre = long.where(F.col("rep") == F.col("pivot")).select("h", F.col("n").alias("pn"), F.col("bits").alias("pbits"))
-    starred = long.join(centre.dropDuplicates(["h"]), "h").where((F.col("rep") != F.col("pivot")) & may_link("n", "pn", "bits", "pbits", pct))
-    starred = starred.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-    first = staged(outright.union(starred).distinct(), "pairs")
-    sets = sets_of(first.select(F.col("a").alias("rep")).union(first.select("b")).distinct())
-    told = staged(verified(first, sets, pct), "overlaps")
-    links = told.where("near").select("a", "b")
-
-    # second pass over long columns: pairs with at least one row that isn't linked with the pivot
-    keyed = long.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(told, ["a", "b"], "left")
-    keyed = keyed.select("h", "rep", "n", "bits", F.when(F.col("rep") == F.col("pivot"), True).otherwise(F.coalesce("near", F.lit(False))).alias("near"), F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far"))
-    keyed = staged(keyed, "long-rows")
-    out = keyed.where("not near").select("h", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits", "far")])
-    any_ = keyed.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits", "near", "far")])
-    chance = (
-        (F.col("rep1") != F.col("rep2"))
-        & (F.col("near2") | (F.col("rep1") < F.col("rep2")))
-        & F.coalesce(F.abs(F.col("far1") - F.col("far2")) <= (100 - pct) / 100 + 1e-9, F.lit(True))
-        & may_link("n1", "n2", "bits1", "bits2", pct)
-    )
-    second = out.join(any_, "h").where(chance).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-    second = staged(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    sets = sets_of(second.select(F.col("a").alias("rep")).union(second.select("b")).distinct())
-    return links.union(verified(second, sets, pct).where("near").select("a", "b"))
+    long = shared.where(F.col("m") > LONG).select("h", "rep")
+    facts = bodies.select("rep", "n", "spread", "bits").dropDuplicates(["rep"])
+    left = staged(long.join(facts, "rep"), "long-columns")
+    links, second, seen = [], [], []
+    outright = staged(outright.distinct(), "pairs")
+    for number in range(ROUNDS):
+        if left.isEmpty():
+            break
+        rows, told = compared_with_pivots(left, number, outright if number == 0 else None, sets_of, pct)
+        links.append(told.where("near").select("a", "b"))
+        seen.append(told.select("a", "b"))
+        # a row within the threshold of a linked row is within twice the threshold of the pivot
+        apart = (100 - pct) / 100 + 1e-9
+        linked = rows.where("near").select("h", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits", "far")])
+        others = rows.where(~F.col("near") & (F.col("far") <= 2 * apart)).select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits", "far")])
+        second.append(linked.join(others, "h").where((F.col("far2") - F.col("far1") <= apart) & may_link("n1", "n2", "bits1", "bits2", pct)))
+        rest = rows.where(~F.col("near")).select("h", "rep", "n", "spread", "bits")
+        sizes = rest.groupBy("h").agg(F.count("*").alias("m"))
+        rest = staged(rest.join(sizes, "h"), "rest-of-columns")
+        second.append(met_within(rest.where(F.col("m") <= LONG), ["h"], pct))
+        left = rest.where(F.col("m") > LONG).drop("m")
+    else:
+        # what no pivot gathers: linked sets share two shingles of prefixes that are longer by one
+        second.append(met_within(by_two_shingles(left, bodies), ["h", "g"], pct))
+    if not second:  # no long columns
+        return staged(verified(outright, sets_of(both_sides(outright)), pct), "overlaps").where("near").select("a", "b")
+    pairs = None
+    for some in second:
+        some = some.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
+        pairs = some if pairs is None else pairs.union(some)
+    pairs = pairs.distinct()
+    for some in seen:
+        pairs = pairs.join(some, ["a", "b"], "left_anti")
+    pairs = staged(pairs, "pairs")
+    links.append(verified(pairs, sets_of(both_sides(pairs)), pct).where("near").select("a", "b"))
+    every = links[0]
+    for some in links[1:]:
+        every = every.union(some)
+    return every
+
+
+def both_sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+
+
+def compared_with_pivots(left: DataFrame, number: int, more: DataFrame | None, sets_of, pct: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of long columns (h, rep, n, spread, bits) with near (whether they link with their column's pivot; the pivot
+    itself does) and far, their distance from it: measured where sizes and bitmaps leave a chance of a link, else the
+    least that these allow. And the verified pairs (a, b, near, far), those of `more` among them. The first pivot is the
+    row with the fewest rare shingles, later ones are drawn, so that a large group is soon met."""
+    order = F.struct("spread", "rep", "n", "bits") if number == 0 else F.struct(F.xxhash64("rep", F.lit(number)).alias("spread"), "rep", "n", "bits")
+    centre = left.groupBy("h").agg(F.min(order).alias("p"))
+    centre = centre.select("h", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.bits").alias("pbits"))
+    rows = left.join(centre, "h").withColumn("differ", differing(F.col("bits"), F.col("pbits")))
+    sizes = F.abs(F.col("n") - F.col("pn"))
+    least = F.greatest("differ", sizes)
+    rows = rows.withColumns({
+        "a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot"),
+        "may": (F.col("rep") != F.col("pivot")) & fits("n", "pn", pct) & (F.col("differ") <= may_differ(F.col("n") + F.col("pn"), pct)),
+        "least": 2 * least / (F.col("n") + F.col("pn") + least),
+    }).drop("pbits")
+    rows = staged(rows, "beside-pivots")
+    pairs = rows.where("may").select("a", "b")
+    pairs = staged((pairs.union(more) if more is not None else pairs).distinct(), "pairs")
+    told = staged(verified(pairs, sets_of(both_sides(pairs)), pct), "overlaps")
+    rows = rows.join(told, ["a", "b"], "left")
+    own = F.col("rep") == F.col("pivot")
+    rows = rows.select("h", "rep", "n", "spread", "bits", (own | F.coalesce("near", F.lit(False))).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("far", "least")).alias("far"))
+    return staged(rows, "long-rows"), told
+
+
+def met_within(rows: DataFrame, keys: list[str], pct: int) -> DataFrame:
+    """Pairs of rows under one key that sizes and bitmaps leave a chance."""
+    one = rows.select(*keys, *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits")])
+    two = rows.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits")])
+    pairs = one.join(two, keys).where((F.col("rep1") < F.col("rep2")) & may_link("n1", "n2", "bits1", "bits2", pct))
+    return pairs.select("rep1", "rep2")
+
+
+def by_two_shingles(left: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows under each pair of their column's shingle and another one of their longer prefix."""
+    more = bodies.select("rep", "prefix").dropDuplicates(["rep"])
+    each = left.join(more, "rep").select("h", "rep", "n", "bits", F.explode("prefix").alias("g")).where("g <> h")
+    return each.withColumns({"h": F.least("h", "g"), "g": F.greatest("h", "g")}).dropDuplicates(["h", "g", "rep"])
 
 
 def join(docs: DataFrame, pct: int = 85) -> DataFrame:

@@ -29,6 +29,9 @@ SALTS = 16
 #: A container is a candidate of its host when it wins this share of the host's votes, and is used on a page when it
 #: holds this share of what the page's own best container scores.
 WIN_SHARE, COVERS = 0.02, 0.75
+#: A container's surroundings belong to it if this share of their text are paragraphs of at least so many characters
+#: outside links, and they add at least this share to it.
+RUNNING, PARAGRAPH, LEAST_PART = 0.8, 80, 0.05
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +51,11 @@ DROPPED_WORD = frozenset(
     " popup promo promotion related reply replies respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " subscription tags teaser toolbar widget widgets".split()
 )
+#: Words of the list that are taken for boilerplate as parts of a name inside an article, and words that say nothing.
+ARTICLE_WORD = DROPPED_WORD - {"header", "footer", "tags"}
+NEUTRAL_WORD = frozenset("area bar block body box btn button buttons col column container content entry group holder inner item items left link links list main outer panel post posts right row section slot thread title top bottom unit wrap wrapper".split())
+#: A form that holds this share of a page's text is the page itself.
+WHOLE_FORM = 0.5
 
 
 def host_of(url) -> object:
@@ -61,8 +69,8 @@ def step(tag: str, classes: list[str]) -> str:
 
 
 def boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    """Whether an element is no part of the main text. A word of the list counts as a part of a container's class or id;
-    for other elements, and for headers and footers of an article, only as a whole class or id."""
+    """Whether an element is no part of the main text. A word of the list counts as a part of a container's class or id
+    (inside an article: if the other parts only name a box or a list), for other elements only as a whole class or id."""
     if tag == "header" and inside_article:
         return False
     if tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLE or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
@@ -74,8 +82,10 @@ def boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return True
     if tag not in HOLDERS:
         return False
-    parts = {w for n in names for w in re.split(r"[^a-z]+", n)} & DROPPED_WORD
-    return bool(parts - {"header", "footer", "tags"} if inside_article else parts)
+    words = [{w for w in re.split(r"[^a-z]+", n) if w} for n in names]
+    if inside_article:  # an article may have a part called share-price-report: all of a name must speak of boilerplate
+        return any(w & ARTICLE_WORD and w <= ARTICLE_WORD | NEUTRAL_WORD for w in words)
+    return any(w & DROPPED_WORD for w in words)
 
 
 def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
@@ -146,11 +156,29 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "text", "<", {}
 
 
+def page_forms(page: list[tuple[str, str, dict[str, str]]]) -> set[int]:
+    """Tokens that open a form which holds most of the page's text, as pages of some servers do."""
+    upto, every, inside, found = 0, sum(len(said) for kind, said, _ in page if kind == "text"), [], set()
+    for i, (kind, tag, _) in enumerate(page):
+        if kind == "text":
+            upto += len(tag)
+        elif tag == "form" and kind == "open":
+            inside.append((i, upto))
+        elif tag == "form" and inside:
+            opened, before = inside.pop()
+            if upto - before >= WHOLE_FORM * every:
+                found.add(opened)
+    return found | {i for i, before in inside if upto - before >= WHOLE_FORM * every}
+
+
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, linked) of each block of the page's kept part, in page order; path: steps from the root to
     the container above the block; linked: characters inside links."""
     found: list = []
     stack: list[tuple[str, str, bool]] = []  # tag, step, dropped
+    places: dict[str, list[int]] = {}  # of the open elements of each tag, in the stack
+    blocks: list[int] = []  # places of open blocks and of open containers
+    containers: list[int] = []
     drops = articles = 0
     text: list[str] = []
     linked, links = 0, 0
@@ -170,12 +198,18 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             tag, _, dropped = stack[-1]
             if tag in BLOCK:
                 flush()
+                blocks.pop()
+            if tag in CONTAINER:
+                containers.pop()
             stack.pop()
+            places[tag].pop()
             drops -= dropped
             articles -= tag in ("article", "main")
             links -= tag == "a"
 
-    for kind, tag, attrs in tokens(page):
+    every = [*tokens(page)]
+    forms = page_forms(every)
+    for i, (kind, tag, attrs) in enumerate(every):
         if kind == "text":
             if not drops:
                 said = html.unescape(tag)
@@ -186,12 +220,9 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text.append(" ")
             continue
         if kind == "close":
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][0] in CONTAINER and tag not in BLOCK:
-                    break
+            # the innermost open element of that name, unless it is no block and stands outside the innermost container
+            if (open_ := places.get(tag)) and (tag in BLOCK or not containers or open_[-1] > containers[-1]):
+                pop_to(open_[-1])
             continue
         if tag in VOID:
             if tag == "hr":
@@ -200,15 +231,15 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 text.append(" ")
             continue
         if tag in BLOCK:
-            for depth in range(len(stack) - 1, -1, -1):
-                above = stack[depth][0]
-                if above == "p" or above == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    pop_to(depth)
-                    break
-                if above in BLOCK:
-                    break
+            above = stack[blocks[-1]][0] if blocks else None
+            if above == "p" or above == tag and tag in ("li", "dt", "dd", "tr", "td", "th"):
+                pop_to(blocks[-1])
             flush()
-        dropped = boilerplate(tag, attrs, articles > 0)
+        dropped = i not in forms and boilerplate(tag, attrs, articles > 0)
+        for kind_, own in ((BLOCK, blocks), (CONTAINER, containers)):
+            if tag in kind_:
+                own.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, step(tag, attrs.get("class", "").split()), dropped))
         drops += dropped
         articles += tag in ("article", "main")
@@ -235,8 +266,39 @@ def best(score: dict) -> tuple[str, ...] | None:
     return max(score, key=lambda p: (score[p], -len(p), p)) if score else None
 
 
+def whole(blocks: list, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """The containers that a page's text is taken from, if `path` won: the article (or else the main part) around it, so
+    that titles, leads and sibling parts stay. Without one, the container and its siblings that are running text (of
+    paragraphs, not of links or lines), and so on upwards as long as there are such siblings; a blank step at the end
+    stands for a container's own blocks."""
+    for tag in ("article", "main"):
+        inside = [i for i, s in enumerate(path) if s.split(".")[0] == tag]
+        if inside:
+            return [path[: inside[-1] + 1]]
+    taken = [path]
+    while path:
+        above, size = path[:-1], len(path) - 1
+        own = sum(len(said) for p, said, _ in blocks if p[: size + 1] == path)
+        siblings: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+        for p, said, linked in blocks:
+            if p[:size] == above and p[: size + 1] != path:
+                siblings.setdefault(p[: size + 1] if len(p) > size else (*above, ""), []).append((said, linked))
+        for p, parts in siblings.items():
+            added = sum(len(said) for said, _ in parts)
+            running = sum(len(said) - linked for said, linked in parts if len(said) >= PARAGRAPH)
+            if running >= RUNNING * added and added >= LEAST_PART * own:
+                taken.append(p)
+        if len(taken) > 1 and (*above, "") in siblings and above and above[-1].split(".")[0] not in ("html", "body"):
+            taken.append((*above, ""))
+        path = above
+    return taken
+
+
 def joined(blocks: list, path: tuple[str, ...]) -> str:
-    return "\n".join(said for own, said, _ in blocks if own[: len(path)] == path)
+    taken = {}
+    for p in whole(blocks, path):
+        taken.setdefault(len(p), set()).add(p)
+    return "\n".join(said for own, said, _ in blocks if any((own[:n] if len(own) >= n else (*own, "")) in some for n, some in taken.items() if len(own) >= n - 1))
 
 
 def chosen(blocks: list, paths: list[tuple[str, ...]]) -> tuple[tuple[str, ...] | None, bool]:

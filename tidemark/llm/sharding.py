@@ -23,9 +23,14 @@ class Leaf:
     weight: float = 1.0
 
 
-def even_tree(shards: int, per_rack: int = 4, racks_per_region: int = 3) -> list[Leaf]:
-    """Shards of equal weight, four to a rack and three racks to a region."""
-    return [Leaf(s // (per_rack * racks_per_region), s // per_rack, s) for s in range(shards)]
+def even_tree(shards: int, per_rack: int = 4, racks_per_region: int = 3, regions: int = 2) -> list[Leaf]:
+    """Shards of equal weight, four to a rack and three racks to a region; beyond the given regions (24 shards), each
+    shard has a region of its own, so that a tree of one more shard is the tree grown by one."""
+    each = per_rack * racks_per_region
+    base = [Leaf(s // each, s // per_rack, s) for s in range(min(shards, regions * each))]
+    for _ in range(shards - len(base)):
+        base = grown(base)
+    return base
 
 
 def grown(tree: list[Leaf], weight: float = 1.0) -> list[Leaf]:
@@ -33,53 +38,40 @@ def grown(tree: list[Leaf], weight: float = 1.0) -> list[Leaf]:
     return [*tree, Leaf(max((x.region for x in tree), default=-1) + 1, max((x.rack for x in tree), default=-1) + 1, max((x.shard for x in tree), default=-1) + 1, weight)]
 
 
-def descend(df: DataFrame, key: str, tree: list[Leaf], names: tuple[str, str, str] = ("region", "rack", "shard"), seed: int = 17) -> DataFrame:
-    """df with the region, rack and shard of a key column. Leaves of weight 0 or less take nothing; a null key is hashed
-    as null."""
-    leaves = [x for x in tree if x.weight > 0]
-    if not leaves:
-        raise ValueError("the tree has no leaf of positive weight")
+def draw(level: str, child: Column, weight: Column, key: str, seed: int) -> Column:
+    """An exponential variate of a child: the least wins in proportion to its weight."""
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), child, F.col(key)), 11).cast("double")
+    return -F.log((h + 0.5) / F.lit(float(1 << 53))) / weight
 
-    def nearest(level: str, weights: dict[int, float]) -> Column:
-        """The child with the least draw."""
 
-        def draw(child: int, weight: float) -> Column:
-            h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), F.lit(child), F.col(key)), 11).cast("double")
-            return F.struct((-F.log((h + 0.5) / F.lit(float(1 << 53))) / F.lit(float(weight))).alias("draw"), F.lit(child).alias("child"))
+def least_draw(children: Column, level: str, key: str, seed: int) -> Column:
+    """struct(draw, child, node) of the child that wins."""
+    return F.array_min(F.transform(children, lambda c: F.struct(draw(level, c["child"], c["weight"], key, seed).alias("draw"), c["child"].alias("child"), c["node"].alias("node"))))
 
-        draws = [draw(c, w) for c, w in sorted(weights.items())]
-        return (draws[0] if len(draws) == 1 else F.least(*draws))["child"]
 
-    def summed(label, below) -> dict:
-        """Weights of the children of each node."""
-        out: dict = {}
+def descend(df: DataFrame, key: str, tree: list[Leaf], names: tuple[str, str, str] = ("region", "rack", "shard"), seed: int = 17, root: str | None = None) -> DataFrame:
+    """df with the region, rack and shard of a key column, and, if `root` is given, the draw that won at the root under
+    that name. Leaves of weight 0 or less take nothing; a null key is hashed as null. The tree is a table per level: the
+    children of each node, with the node of the level below that a child leads to."""
+    leaves = [x for x in tree if x.weight > 0]
+    if not leaves:
+        raise ValueError("the tree has no leaf of positive weight")
+    # a rack is named by its region too
+    paths = {x: [(), (x.region,), (x.region, x.rack), (x.region, x.rack, x.shard)] for x in leaves}
+    node, chosen = F.lit(0), []
+    for depth, level in enumerate(("region", "rack", "shard")):
+        at, below = ({p: i for i, p in enumerate(sorted({paths[x][d] for x in leaves}))} for d in (depth, depth + 1))
+        weights: list[dict] = [{} for _ in at]
         for x in leaves:
-            own = out.setdefault(label(x), {})
-            own[below(x)] = own.get(below(x), 0.0) + x.weight
-        return out
-
-    def level(name: str, above: str, nodes: dict) -> Column:
-        choice = F.lit(None).cast("int")
-        for node, weights in nodes.items():
-            choice = F.when(F.col(above) == node, nearest(name, weights)).otherwise(choice)
-        return choice
-
-    region, rack, shard = names
-    # a rack is named by its region too, and a shard is unique
-    racks = {k: i for i, k in enumerate(sorted({(x.region, x.rack) for x in leaves}))}
-    df = df.withColumn(region, nearest("region", summed(lambda x: 0, lambda x: x.region)[0]))
-    df = df.withColumn("_rack", level("rack", region, summed(lambda x: x.region, lambda x: x.rack)))
-    df = df.withColumn("_node", level_node(region, racks))
-    df = df.withColumn(shard, level("shard", "_node", summed(lambda x: racks[x.region, x.rack], lambda x: x.shard)))
-    return df.withColumn(rack, F.col("_rack")).drop("_rack", "_node")
-
-
-def level_node(region: str, racks: dict[tuple[int, int], int]) -> Column:
-    """The number of the rack that was reached."""
-    out = F.lit(None).cast("int")
-    for (r, k), i in racks.items():
-        out = F.when((F.col(region) == r) & (F.col("_rack") == k), F.lit(i)).otherwise(out)
-    return out
+            own = weights[at[paths[x][depth]]]
+            own[paths[x][depth + 1]] = own.get(paths[x][depth + 1], 0.0) + x.weight
+        child = lambda p, w, below=below: F.struct(F.lit(p[-1]).alias("child"), F.lit(float(w)).alias("weight"), F.lit(below[p]).alias("node"))
+        children = F.element_at(F.array(*[F.array(*[child(p, w) for p, w in sorted(own.items())]) for own in weights]), node + 1)
+        df = df.withColumn(f"_{level}", least_draw(children, level, key, seed))
+        node = F.col(f"_{level}.node")
+        chosen.append(F.col(f"_{level}.child"))
+    df = df.withColumns(dict(zip(names, chosen, strict=True)) | ({root: F.col("_region.draw")} if root else {}))
+    return df.drop("_region", "_rack", "_shard")
 
 
 def slots(df: DataFrame, shard: str, order: list[str], fine: int = 1024) -> DataFrame:
@@ -109,7 +101,11 @@ def assign(docs: DataFrame, shards: int = 24, tree: list[Leaf] | None = None) ->
     tree = tree or even_tree(shards)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
-    placed = descend(descend(sized, "doc_id", tree), "doc_id", grown(tree), ("_region", "_grown_rack", "grown_shard")).drop("_region", "_grown_rack")
+    placed = descend(sized, "doc_id", tree, root="_won")
+    # the shard that a grown tree has more is a region of its own, so it takes the keys that it wins at the root
+    added = grown(tree)[-1]
+    taken = draw("region", F.lit(added.region), F.lit(added.weight), "doc_id", 17) < F.col("_won")
+    placed = placed.withColumn("grown_shard", F.when(taken, F.lit(added.shard)).otherwise(F.col("shard"))).drop("_won")
     return slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack"
     )

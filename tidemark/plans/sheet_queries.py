@@ -11,6 +11,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import audit, cadence, extract, layout, plan, quality, reconcile, reports, update
 from tidemark.registry import query
 from tidemark.sources import adapters as A
+from tidemark.sources import mailbox as boxes
 from tidemark.sources import messages, snapshots
 from tidemark.streaming import jobs
 
@@ -795,3 +796,38 @@ def n4_stream(spark, sf_dir):
 @query("n5_stream_append", "SELECT event_id, 'U'||user_id AS code, value AS unit, CAST(ts AS DATE) AS nav_date FROM events")
 def n5_append(spark, sf_dir):
     return jobs.appended(spark, sf_dir)
+
+
+def stored_mailboxes(spark, sf_dir):
+    """The mailbox of events as a store with a mailbox per desk."""
+    path = snapshots.fresh_path(spark, "mailboxes")
+    box = mailbox(spark, sf_dir).withColumn("mailbox", F.concat(F.lit("box"), F.col("uid") % 4))
+    box.withColumn("sent_at", F.col("sent_at").cast("timestamp_ntz")).repartition("mailbox").sortWithinPartitions("uid").write.partitionBy("mailbox").parquet(f"{path}/by-field")
+    return f"{path}/by-field"
+
+
+@query(
+    "a1_mailbox_source",
+    "+ m AS (SELECT message_id, uid, sender FROM obs GROUP BY 1,2,3) SELECT 'mailbox=box'||(uid%4) AS mailbox, message_id, uid, sender FROM m WHERE uid%5<>0 AND uid>2000 AND sender IN ('desk1@example.com','desk2@example.com','desk7@example.com')",
+    "obs",
+)
+def a1_mailbox(spark, sf_dir):
+    """Conditions on header fields go to the source."""
+    boxes.register(spark)
+    read = spark.read.format("mailbox").load(stored_mailboxes(spark, sf_dir))
+    return read.where((F.col("uid") > 2000) & F.col("sender").isin("desk1@example.com", "desk2@example.com", "desk7@example.com")).select("mailbox", "message_id", "uid", "sender")
+
+
+@query("n1_mailbox_stream", "+ m AS (SELECT message_id, uid FROM obs GROUP BY 1,2) SELECT 'mailbox=box'||(uid%4) AS mailbox, uid, message_id FROM m", "obs")
+def n1_mailbox(spark, sf_dir):
+    """Batches bounded by bytes, one a run, each going on where the one before ended, until nothing is left."""
+    boxes.register(spark)
+    path, base = stored_mailboxes(spark, sf_dir), snapshots.fresh_path(spark, "mailbox-stream")
+    size = spark.read.parquet(path).groupBy("mailbox").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 1
+    while True:
+        stream = spark.readStream.format("mailbox").options(progress=f"{base}/progress", max_bytes=str(size // 3), max_messages="1000000000").load(path)
+        job = stream.select("mailbox", "uid", "message_id").writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+        job = job.format("parquet").option("path", f"{base}/rows").start()
+        job.awaitTermination()
+        if not job.lastProgress or not job.lastProgress["numInputRows"]:
+            return spark.read.schema("mailbox string, uid long, message_id string").parquet(f"{base}/rows")

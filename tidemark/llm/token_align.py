@@ -6,14 +6,15 @@ name) has an entry for each pair of tokens that overlap, with the number of byte
 of both end cut a text into groups; the product of the token by group matrices links the tokens of one group.
 
 Matrices are held in compressed rows (where each row begins, and the columns of its entries), and products are made for
-many segments at once: both tokenizers cut a text before white space that follows other signs, so a text is a sequence
-of segments, each of which is encoded and aligned once while a worker remembers it.
+many segments at once: both tokenizers cut a text before white space that follows other signs, and between a word of
+ASCII letters and the signs that end it (which is checked in the vocabulary), so a text is a sequence of segments, each of which is encoded and aligned once while a worker remembers it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ from tidemark.llm.token_index import gathered, slices
 
 #: A segment: a run of white space that begins with a space or a line feed, and what follows up to the next such run.
 SEGMENT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
+#: The same, with signs that end a word of ASCII letters as segments of their own.
+SIGNS = ".,;:!?"
+FINER = re.compile(r"[ \n][A-Za-z]+(?=[.,;:!?]*(?:[ \n]|$))|(?<=[A-Za-z])[.,;:!?]+(?=[ \n]|$)|[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 #: Bytes of text that are aligned together, unless one text is longer.
 TOGETHER = 1 << 20
 KINDS = ("overlap", "end", "group")
@@ -69,7 +73,7 @@ class Rows:
 class Aligner:
     """Two tokenizers' tables, and the segments that a worker remembers."""
 
-    LIMIT = 80_000
+    LIMIT = 120_000
 
     def __init__(self, a_path: str, b_path: str, kind: str):
         from sentencepiece import SentencePieceProcessor
@@ -81,10 +85,12 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=b_path)
         a_bytes, b_bytes = vocabularies(a_path, b_path)
         self.a_bytes, self.b_bytes = a_bytes, b_bytes
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(x), np.uint8) for x in (a_bytes, b_bytes))
         self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (a_bytes, b_bytes))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         # texts may be cut before a space or a line feed if no piece has one behind another sign
         self.cuts = not any(re.search(r"[^▁]▁|.[ \n]|[ \n].", p, re.S) for p in pieces)
+        self.finer = not any(re.search(rf"[A-Za-z][{SIGNS}]", p) for p in pieces)
         self.space = self.b.piece_to_id("▁")
         # decimal ids with what may follow them: a comma, a bar; a comma, a semicolon
         na, nb = len(a_bytes), len(b_bytes)
@@ -100,21 +106,39 @@ class Aligner:
 
     def segments(self, text: str) -> list[str]:
         """Segments of a text with a space before it."""
-        return SEGMENT.findall(text) if self.cuts else [text]
+        return (FINER if self.finer else SEGMENT).findall(text) if self.cuts else [text]
+
+    @staticmethod
+    def same(ids: np.ndarray, counts: np.ndarray, flat: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each segment have the segment's bytes."""
+        segment = np.repeat(np.arange(len(counts)), counts)
+        want = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = np.bincount(segment, sizes[ids], len(counts)).astype(np.int64) == want
+        some = ids[good[segment]]
+        made = gathered(flat, (np.cumsum(sizes) - sizes)[some], sizes[some])
+        meant = np.frombuffer(b"".join(compress(raw, good.tolist())), np.uint8)
+        good[np.repeat(np.flatnonzero(good), want[good])[made != meant]] = False
+        return good
+
+    def b_ids(self, segment: str, ids: list[int]) -> list[int]:
+        """B puts a space before a text itself. Where a segment has none, that piece is taken off."""
+        if segment[0] == " ":
+            return [self.space] if segment == " " else ids
+        return ids[1:] if ids[:1] == [self.space] else []
 
     def learn(self, new: list[str]) -> None:
         """Encode and align segments that aren't known."""
         a = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        # B puts a space before a text itself; where a segment has none, that piece is taken off
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in new], num_threads=1)
-        b = [[self.space] if s == " " else x if s[0] == " " else x[1:] if x[:1] == [self.space] else [] for x, s in zip(b, new, strict=True)]
+        # a tail of signs is encoded behind a letter, whose piece is taken off
+        texts = [s[1:] if s[0] == " " else f"a{s}" if s[0] in SIGNS else s for s in new]
+        b = self.b.encode(texts, num_threads=1)
+        b = [x[1:] if s[0] in SIGNS else self.b_ids(s, x) for x, s in zip(b, new, strict=True)]
         raw = [s.encode() for s in new]
-        join = lambda ids, table: b"".join(map(table.__getitem__, ids))
-        good = np.array([join(x, self.a_bytes) == r == join(y, self.b_bytes) for x, y, r in zip(a, b, raw, strict=True)], bool)
-        a = [x if g else [] for x, g in zip(a, good, strict=True)]
-        b = [x if g else [] for x, g in zip(b, good, strict=True)]
         na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.array([i for y in x for i in y], np.int64) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, na), (b, nb)))
+        good = self.same(ids_a, na, self.a_flat, self.a_size, raw) & self.same(ids_b, nb, self.b_flat, self.b_size, raw)
+        ids_a, ids_b = ids_a[np.repeat(good, na)], ids_b[np.repeat(good, nb)]
+        na, nb = na * good, nb * good
         size_a, size_b = self.a_size[ids_a], self.b_size[ids_b]
         end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
@@ -147,26 +171,27 @@ class Aligner:
         ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         return ["".join(words[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
 
-    def align(self, texts: list[str | None]) -> list[list]:
-        """Columns n_a, n_b, n_groups, groups (text) and links (codes) of texts."""
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Columns n_a, n_b, n_groups, groups (text), and all links (codes) with each text's first and last place."""
         if len(self.at) > self.LIMIT:
             self.forget()
         cut = [self.segments(f" {t}") if t else [] for t in texts]
-        if new := list(dict.fromkeys(s for x in cut for s in x if s not in self.at)):
+        if new := list(set().union(*cut) - self.at.keys()):
             self.learn(new)
-        upto = np.concatenate([[0], np.cumsum(self.facts[:, 3])])
-        out: list[list] = [[], [], [], [], []]
-        for x in cut:
-            at = np.fromiter(map(self.at.__getitem__, x), np.int64, len(x))
-            if not len(at) or not self.good[at].all():
-                row = [0, 0, 0, "", np.zeros(0, np.int64)]
-            else:
-                na, nb, groups, _ = self.facts[at].sum(0).tolist()
-                said = "".join(map(self.told.__getitem__, at.tolist()))[:-1]
-                row = [na, nb, groups, said, gathered(self.links, upto[at], self.facts[at, 3])]
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-        return out
+        # one behind the other: the segments of all texts whose bytes come back
+        at = [[*map(self.at.__getitem__, x)] for x in cut]
+        flat = np.fromiter(chain.from_iterable(at), np.int64)
+        ends = np.cumsum([0, *map(len, at)])
+        wrong = np.concatenate([[0], np.cumsum(~self.good[flat])])
+        fine = wrong[ends[1:]] == wrong[ends[:-1]]
+        kept = flat[np.repeat(fine, np.diff(ends))]
+        ends = np.concatenate([[0], np.cumsum(np.diff(ends) * fine)])
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.facts[kept], 0)])[ends]
+        links = gathered(self.links, (np.cumsum(self.facts[:, 3]) - self.facts[:, 3])[kept], self.facts[kept, 3])
+        told = self.told.__getitem__
+        said = ["".join(map(told, x))[:-1] if f else "" for x, f in zip(at, fine.tolist(), strict=True)]
+        n = np.diff(sums, axis=0)
+        return n[:, 0], n[:, 1], n[:, 2], said, links, sums[:, 3]
 
 
 def vocabularies(a_path: str, b_path: str) -> tuple[list[bytes], list[bytes]]:
@@ -205,9 +230,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, kind: str = "end") -> DataF
         tables = in_worker(("align", a_path, b_path, kind), lambda: Aligner(a_path, b_path, kind))
         for batch in batches:
             for part in slices(batch, "text", TOGETHER):
-                na, nb, groups, said, links = tables.align(part.column("text").to_pylist())
-                ends = pa.array(np.concatenate([[0], np.cumsum([*map(len, links)])]), pa.int32())
-                codes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *links]), pa.int64()))
+                na, nb, groups, said, links, ends = tables.align(part.column("text").to_pylist())
+                codes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(links, pa.int64()))
                 columns = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (na, nb, groups)), pa.array(said, pa.string()), codes]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, in_worker, staged
+from tidemark.llm.common import bounded_batches, discard, in_worker, staged
 
 WIDTH = 4
 #: A shingle is common if it makes up this share of all shingles, so at most 1 / COMMON of them can be.
@@ -122,6 +122,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     counted = staged(counted, "shingle-counts")
     total = counted.where("id = -1").agg(F.sum("n")).first()[0] or 0
     ids = counted.where((F.col("id") != -1) & (F.col("n") >= max(20.0, COMMON * total))).select("id").toPandas()["id"]  # at most 1 / COMMON rows
+    discard(counted)
     return np.sort(ids.to_numpy(np.int64).view(np.uint64))
 
 
@@ -221,11 +222,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("seen"))
         merged = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
         merged = staged(merged, "labels")
+        discard(labels)
         up = merged.select(F.col("node").alias("at"), F.col("label").alias("higher"))
         jumped = merged.join(up, merged["label"] == up["at"], "left").select("node", F.least("label", F.coalesce("higher", "label")).alias("label"), "was")
         jumped = staged(jumped, "labels")
+        discard(merged)
         labels = jumped.select("node", "label")
+        labels._stored_at = jumped._stored_at
         if not jumped.where("label <> was").limit(1).count():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")
 
@@ -245,88 +250,105 @@ def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     outright = met.where(F.col("shared") + F.least("la", "lb") >= least_shared("na", "nb", pct)).select("a", "b")
 
     long = shared.where(F.col("m") > LONG).select("h", "rep")
-    facts = bodies.select("rep", "n", "spread", "bits").dropDuplicates(["rep"])
-    left = staged(long.join(facts, "rep"), "long-columns")
-    links, second, seen = [], [], []
+    facts = staged(bodies.select("rep", "n", "spread", "bits").dropDuplicates(["rep"]).join(long.select("rep").distinct(), "rep"), "facts")
+    left = staged(long, "long-columns")
     outright = staged(outright.distinct(), "pairs")
+    discard(shared)
+    links, second, seen, stored = [], [], [], [facts, left]
     for number in range(ROUNDS):
         if left.isEmpty():
             break
-        rows, told = compared_with_pivots(left, number, outright if number == 0 else None, sets_of, pct)
+        rows, told = compared_with_pivots(left, number, outright if number == 0 else None, facts, sets_of, pct)
+        stored += [rows, told]
         links.append(told.where("near").select("a", "b"))
         seen.append(told.select("a", "b"))
         # a row within the threshold of a linked row is within twice the threshold of the pivot
         apart = (100 - pct) / 100 + 1e-9
-        linked = rows.where("near").select("h", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits", "far")])
-        others = rows.where(~F.col("near") & (F.col("far") <= 2 * apart)).select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits", "far")])
-        second.append(linked.join(others, "h").where((F.col("far2") - F.col("far1") <= apart) & may_link("n1", "n2", "bits1", "bits2", pct)))
-        rest = rows.where(~F.col("near")).select("h", "rep", "n", "spread", "bits")
-        sizes = rest.groupBy("h").agg(F.count("*").alias("m"))
-        rest = staged(rest.join(sizes, "h"), "rest-of-columns")
-        second.append(met_within(rest.where(F.col("m") <= LONG), ["h"], pct))
+        others = rows.where(~F.col("near") & (F.col("far") <= 2 * apart)).select("h", F.col("rep").alias("rep2"), F.col("far").alias("far2"))
+        linked = rows.where("near").join(others.select("h").distinct(), "h", "left_semi").select("h", F.col("rep").alias("rep1"), F.col("far").alias("far1"))
+        second.append(linked.join(others, "h").where(F.col("far2") - F.col("far1") <= apart).select("rep1", "rep2").distinct())
+        rest = rows.where(~F.col("near")).select("h", "rep")
+        rest = staged(rest.join(rest.groupBy("h").agg(F.count("*").alias("m")), "h"), "rest-of-columns")
+        stored.append(rest)
+        second.append(met_within(rest.where(F.col("m") <= LONG), ["h"]))
         left = rest.where(F.col("m") > LONG).drop("m")
     else:
         # what no pivot gathers: linked sets share two shingles of prefixes that are longer by one
-        second.append(met_within(by_two_shingles(left, bodies), ["h", "g"], pct))
+        second.append(met_within(by_two_shingles(left, bodies), ["h", "g"]))
     if not second:  # no long columns
-        return staged(verified(outright, sets_of(both_sides(outright)), pct), "overlaps").where("near").select("a", "b")
-    pairs = None
-    for some in second:
-        some = some.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
-        pairs = some if pairs is None else pairs.union(some)
-    pairs = pairs.distinct()
+        found = told_of(outright, sets_of, pct)
+        discard(*stored, outright)
+        return found.where("near").select("a", "b")
+    pairs = second[0]
+    for some in second[1:]:
+        pairs = pairs.union(some)
+    pairs = pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(facts.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+    pairs = pairs.where(may_link("na", "nb", "bitsa", "bitsb", pct)).select("a", "b")
     for some in seen:
         pairs = pairs.join(some, ["a", "b"], "left_anti")
     pairs = staged(pairs, "pairs")
-    links.append(verified(pairs, sets_of(both_sides(pairs)), pct).where("near").select("a", "b"))
+    last = told_of(pairs, sets_of, pct)
+    links.append(last.where("near").select("a", "b"))
     every = links[0]
     for some in links[1:]:
         every = every.union(some)
-    return every
+    found = staged(every, "links")
+    discard(*stored, outright, pairs, last)
+    return found
+
+
+def told_of(pairs: DataFrame, sets_of, pct: int) -> DataFrame:
+    """The verified pairs, stored; their sets are stored no longer than that takes."""
+    sets = sets_of(both_sides(pairs))
+    told = staged(verified(pairs, sets, pct), "overlaps")
+    discard(sets)
+    return told
 
 
 def both_sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
 
-def compared_with_pivots(left: DataFrame, number: int, more: DataFrame | None, sets_of, pct: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of long columns (h, rep, n, spread, bits) with near (whether they link with their column's pivot; the pivot
-    itself does) and far, their distance from it: measured where sizes and bitmaps leave a chance of a link, else the
-    least that these allow. And the verified pairs (a, b, near, far), those of `more` among them. The first pivot is the
-    row with the fewest rare shingles, later ones are drawn, so that a large group is soon met."""
-    order = F.struct("spread", "rep", "n", "bits") if number == 0 else F.struct(F.xxhash64("rep", F.lit(number)).alias("spread"), "rep", "n", "bits")
-    centre = left.groupBy("h").agg(F.min(order).alias("p"))
-    centre = centre.select("h", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.bits").alias("pbits"))
-    rows = left.join(centre, "h").withColumn("differ", differing(F.col("bits"), F.col("pbits")))
-    sizes = F.abs(F.col("n") - F.col("pn"))
-    least = F.greatest("differ", sizes)
-    rows = rows.withColumns({
-        "a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot"),
-        "may": (F.col("rep") != F.col("pivot")) & fits("n", "pn", pct) & (F.col("differ") <= may_differ(F.col("n") + F.col("pn"), pct)),
-        "least": 2 * least / (F.col("n") + F.col("pn") + least),
-    }).drop("pbits")
+def compared_with_pivots(left: DataFrame, number: int, more: DataFrame | None, facts: DataFrame, sets_of, pct: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of long columns (h, rep) with near (whether they link with their column's pivot; the pivot itself does) and
+    far, their distance from it: measured where sizes and bitmaps leave a chance of a link, else the least that these
+    allow. And the verified pairs (a, b, near, far), those of `more` among them. The first pivot is the row with the
+    fewest rare shingles, later ones are drawn, so that a large group is soon met."""
+    order = F.struct("spread", "rep") if number == 0 else F.struct(F.xxhash64("rep", F.lit(number)).alias("spread"), "rep")
+    known = left.join(facts, "rep")
+    centre = known.groupBy("h").agg(F.min(order).alias("p")).select("h", F.col("p.rep").alias("pivot"))
+    centre = centre.join(facts.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits")), "pivot")
+    # in many columns the same rows meet the same pivot
+    met = known.join(centre, "h").select("h", "rep", "pivot", "n", "pn", differing(F.col("bits"), F.col("pbits")).alias("differ"))
+    least = F.greatest("differ", F.abs(F.col("n") - F.col("pn")))
+    rows = met.select(
+        "h", "rep", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"),
+        ((F.col("rep") != F.col("pivot")) & fits("n", "pn", pct) & (F.col("differ") <= may_differ(F.col("n") + F.col("pn"), pct))).alias("may"),
+        (2 * least / (F.col("n") + F.col("pn") + least)).alias("least"),
+    )
     rows = staged(rows, "beside-pivots")
     pairs = rows.where("may").select("a", "b")
     pairs = staged((pairs.union(more) if more is not None else pairs).distinct(), "pairs")
-    told = staged(verified(pairs, sets_of(both_sides(pairs)), pct), "overlaps")
-    rows = rows.join(told, ["a", "b"], "left")
+    told = told_of(pairs, sets_of, pct)
     own = F.col("rep") == F.col("pivot")
-    rows = rows.select("h", "rep", "n", "spread", "bits", (own | F.coalesce("near", F.lit(False))).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("far", "least")).alias("far"))
-    return staged(rows, "long-rows"), told
+    found = rows.join(told, ["a", "b"], "left").select("h", "rep", (own | F.coalesce("near", F.lit(False))).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("far", "least")).alias("far"))
+    found = staged(found, "long-rows")
+    discard(rows, pairs)
+    return found, told
 
 
-def met_within(rows: DataFrame, keys: list[str], pct: int) -> DataFrame:
-    """Pairs of rows under one key that sizes and bitmaps leave a chance."""
-    one = rows.select(*keys, *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits")])
-    two = rows.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits")])
-    pairs = one.join(two, keys).where((F.col("rep1") < F.col("rep2")) & may_link("n1", "n2", "bits1", "bits2", pct))
-    return pairs.select("rep1", "rep2")
+def met_within(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of rows under one key."""
+    one, two = (rows.select(*keys, F.col("rep").alias(f"rep{k}")) for k in (1, 2))
+    return one.join(two, keys).where(F.col("rep1") < F.col("rep2")).select("rep1", "rep2").distinct()
 
 
 def by_two_shingles(left: DataFrame, bodies: DataFrame) -> DataFrame:
     """Rows under each pair of their column's shingle and another one of their longer prefix."""
     more = bodies.select("rep", "prefix").dropDuplicates(["rep"])
-    each = left.join(more, "rep").select("h", "rep", "n", "bits", F.explode("prefix").alias("g")).where("g <> h")
+    each = left.join(more, "rep").select("h", "rep", F.explode("prefix").alias("g")).where("g <> h")
     return each.withColumns({"h": F.least("h", "g"), "g": F.greatest("h", "g")}).dropDuplicates(["h", "g", "rep"])
 
 
@@ -358,8 +380,7 @@ def join(docs: DataFrame, pct: int = 85) -> DataFrame:
         rows = texts.join(classes.select("doc_id", "cls", "rep").join(wanted, "rep"), "doc_id").select("rep", "cls", "text")
         return staged(rows.mapInPandas(collect, "rep long, s array<long>").dropDuplicates(["rep"]), "sets")
 
-    links = staged(link_candidates(bodies, sets_of, pct), "links")
-    found = components(links)
+    found = components(link_candidates(bodies, sets_of, pct))
     least = found.join(classes.select("rep", "doc_id"), found["node"] == F.col("rep")).groupBy("component").agg(F.min("doc_id").alias("least"))
     merged = found.join(least, "component").select("node", "least")
     of_class = classes.join(merged, classes["rep"] == merged["node"], "left").select("cls", F.col("doc_id").alias("class_id"), F.coalesce("least", "doc_id").alias("component_id"))

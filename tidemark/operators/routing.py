@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.filters import active_routes, subject_in_scope
+from tidemark.functions.scalars import normalize_code, row_signature
+from tidemark.operators.filters import active_routes
 
 
 def accepted_codes(routes: DataFrame) -> DataFrame:
@@ -14,26 +18,124 @@ def accepted_codes(routes: DataFrame) -> DataFrame:
     return routes.withColumn("accepted", F.explode(F.filter(codes, lambda c: c.isNotNull())))
 
 
+#: Terms of subject conditions up to which they are sent to all tasks as one automaton per sender; beyond, they are joined.
+MOST_TERMS = 200_000
+
+
+def subject_terms(routes: DataFrame) -> DataFrame:
+    """sender, term: what the routes' subject conditions ask for or ban, in lower case."""
+    held = F.concat(F.array("_contains"), F.coalesce("_excludes", F.array().cast("array<string>")))
+    terms = routes.select("sender", F.explode(F.transform(held, lambda t: F.lower(t))).alias("term"))
+    return terms.where("term <> ''").distinct()
+
+
+def with_terms(kinds: DataFrame, terms: DataFrame) -> DataFrame:
+    """kinds (sender, subject) with terms: those of the sender's that the subject holds. Each subject is read once, by an
+    automaton of all terms of its sender, whatever the number of routes."""
+    low = F.lower("subject").alias("low")
+    some = terms.limit(MOST_TERMS + 1).collect()
+    if len(some) > MOST_TERMS:  # the other way: pairs of a sender's subjects and terms
+        held = kinds.join(terms, "sender").where(F.lower("subject").contains(F.col("term"))).groupBy("sender", "subject").agg(F.collect_set("term").alias("terms"))
+        return kinds.join(held, ["sender", "subject"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    of: dict[str, list[str]] = {}
+    for r in some:
+        of.setdefault(r["sender"], []).append(r["term"])
+    if not of:
+        return kinds.withColumn("terms", F.array().cast("array<string>"))
+    shared = kinds.sparkSession.sparkContext.broadcast(of)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        made: dict[str, ahocorasick.Automaton] = {}
+        for batch in batches:
+            found = []
+            for sender, subject in zip(batch.column("sender").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                own = made.get(sender)
+                if own is None:
+                    own = made[sender] = ahocorasick.Automaton()
+                    for t in shared.value.get(sender, ()):
+                        own.add_word(t, t)
+                    own.make_automaton()
+                found.append(sorted({t for _, t in own.iter(subject)}) if len(own) else [])
+            yield pa.RecordBatch.from_arrays([batch.column("sender"), batch.column("subject"), pa.array(found, pa.list_(pa.string()))], ["sender", "subject", "terms"])
+
+    return kinds.select("sender", "subject", low).mapInArrow(read, "sender string, subject string, terms array<string>")
+
+
 def applicable(messages: DataFrame, routes: DataFrame) -> DataFrame:
     """sender, subject and the routes that apply to such messages: those of the sender whose subject conditions hold
     (subject_contains, subject_excludes, where routes have them). One row per distinct sender and subject and route, so
-    the work doesn't grow with the messages of one kind."""
+    the work doesn't grow with the messages of one kind; routes that ask for a term are met by that term."""
     subject = F.coalesce(F.col("subject"), F.lit("")) if "subject" in messages.columns else F.lit("")
     kinds = messages.select("sender", subject.alias("subject")).distinct()
     column = lambda c, kind: (F.col(c) if c in routes.columns else F.lit(None)).cast(kind)
     rules = routes.withColumns({"_contains": column("subject_contains", "string"), "_excludes": column("subject_excludes", "array<string>")})
-    both = kinds.join(rules, "sender")
-    return both.where(subject_in_scope(F.col("subject"), F.col("_contains"), F.col("_excludes"))).drop("_contains", "_excludes")
+    if not {"subject_contains", "subject_excludes"} & set(routes.columns):
+        return kinds.join(rules, "sender").drop("_contains", "_excludes")
+    read = with_terms(kinds, subject_terms(rules))
+    asked = F.coalesce(F.lower("_contains"), F.lit(""))
+    open_ = read.join(rules.where(asked == ""), "sender")
+    told = read.withColumn("_term", F.explode("terms")).join(rules.where(asked != "").withColumn("_term", asked), ["sender", "_term"]).drop("_term")
+    both = open_.unionByName(told)
+    banned = F.transform(F.coalesce("_excludes", F.array().cast("array<string>")), lambda t: F.lower(t))
+    return both.where(~F.coalesce(F.arrays_overlap("terms", F.filter(banned, lambda t: t.isNotNull())), F.lit(False))).drop("_contains", "_excludes", "terms")
+
+
+def subject_bindings(obs: DataFrame, active: DataFrame) -> DataFrame:
+    """sender, subject, message_id, bound, bind_error of messages with rows that have no code, where a route that applies
+    names its subject_product_code. bound: the code of that route, if it alone applies at the dates of those rows, no
+    row of the message has a code, and each date has one value; else bind_error. Rows before every route's series_start
+    ask for nothing."""
+    first_day = F.lit("0001-01-01").cast("date")
+    facts = active.groupBy("sender", "subject").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("series_start", first_day).alias("start"), "sheet", normalize_code("subject_product_code").alias("code")))), 1, 2).alias("first"),
+        F.count("subject_product_code").alias("_naming"),
+    )
+    facts = facts.where("_naming > 0").select("sender", "subject", F.get("first", F.lit(0))["start"].alias("_start"), F.get("first", F.lit(0))["code"].alias("_names"), F.get("first", F.lit(1))["start"].alias("_second"))
+    blank = F.col("code").isNull()
+    rows = obs.join(facts, ["sender", "subject"])
+    value = row_signature("unit", "cumulative" if "cumulative" in obs.columns else F.lit(None).cast("double"))
+    per_day = rows.groupBy("sender", "subject", "message_id", "nav_date").agg(
+        F.bool_or(blank).alias("blank"), F.bool_or(~blank).alias("coded"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+        F.first("_start").alias("_start"), F.first("_names").alias("_names"), F.first("_second").alias("_second"),
+    )
+    asked = F.col("blank") & (F.col("nav_date") >= F.col("_start"))
+    per = per_day.groupBy("sender", "subject", "message_id").agg(
+        F.max(F.when(asked, F.col("nav_date"))).alias("last"), F.bool_or("coded").alias("coded"), F.bool_or(F.col("lo") != F.col("hi")).alias("several"),
+        F.first("_names").alias("_names"), F.first("_second").alias("_second"),
+    ).where("last is not null")
+    ok = F.col("_names").isNotNull() & F.coalesce(F.col("last") < F.col("_second"), F.lit(True)) & ~F.col("coded") & ~F.col("several")
+    return per.select("sender", "subject", "message_id", F.when(ok, F.col("_names")).alias("bound"), (~ok).alias("bind_error"))
 
 
 def route_observations(obs: DataFrame, routes: DataFrame) -> DataFrame:
     """Every observation with outcome and reason: routed, pre_managed (before series_start), unconfigured (a code that no
     applicable route accepts), or error (`no-code`, `no-route`, `several-routes`). Routed rows carry sheet and the
     route's primary code. Where one route alone applies to a message, a row without code goes to it if it allows that,
-    and any row if the route has no code."""
+    and any row if the route has no code. Where routes name a subject_product_code, messages without codes take it
+    (subject_bindings); a message that can't is an error as a whole (`subject-binding`)."""
     if "subject" not in obs.columns:
         return route_observations(obs.withColumn("subject", F.lit("")), routes).drop("subject")
     active = applicable(obs, active_routes(routes))
+    if "subject_product_code" in routes.columns:
+        return route_bound(obs, routes, active)
+    return route_by_code(obs, routes, active)
+
+
+def route_bound(obs: DataFrame, routes: DataFrame, active: DataFrame) -> DataFrame:
+    keyed = obs.withColumn("_said", F.col("subject")).withColumn("subject", F.coalesce("subject", F.lit("")))
+    rows = keyed.join(subject_bindings(keyed, active), ["sender", "subject", "message_id"], "left").withColumn("subject", F.col("_said")).drop("_said")
+    rows = rows.withColumn("code", F.coalesce("bound", "code"))
+    if "source" in obs.columns:
+        rows = rows.withColumn("source", F.when(F.col("bound").isNotNull(), F.concat("source", F.lit(":subject-code"))).otherwise(F.col("source")))
+    out = route_by_code(rows, routes, active)
+    bad = F.coalesce("bind_error", F.lit(False))
+    out = out.withColumns({"sheet": F.when(~bad, F.col("sheet")), "outcome": F.when(bad, "error").otherwise(F.col("outcome")), "reason": F.when(bad, "subject-binding").otherwise(F.col("reason"))})
+    return out.drop("bound", "bind_error")
+
+
+def route_by_code(obs: DataFrame, routes: DataFrame, active: DataFrame) -> DataFrame:
     coded = F.col("code").isNotNull() | (F.size(F.coalesce("code_aliases", F.array().cast("array<string>"))) > 0)
     single = active.groupBy("sender", "subject").agg(F.count("*").alias("_routes"), F.first("sheet").alias("_only"), F.bool_and(F.coalesce("allow_sender_only", F.lit(False))).alias("_open"), F.bool_or(coded).alias("_coded"))
     match = accepted_codes(active).select("sender", "subject", F.col("accepted").alias("code"), F.col("sheet").alias("_sheet"))
@@ -82,6 +184,25 @@ def route_overlaps(messages: DataFrame, routes: DataFrame, ids: int = 5, salts:
     return pairs.groupBy("route_a", "route_b", reason.alias("reason")).agg(F.sum("n").alias("messages"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, ids).alias("first_ids"))
 
 
+def row_overlaps(obs: DataFrame, routes: DataFrame, ids: int = 5) -> DataFrame:
+    """Pairs of routes that both accept a row's code at its date: route_a, route_b, rows, messages, first_ids."""
+    if "subject" not in obs.columns:
+        obs = obs.withColumn("subject", F.lit(""))
+    match = accepted_codes(applicable(obs, active_routes(routes))).select("sender", "subject", F.col("accepted").alias("code"), "sheet", "series_start")
+    sets = match.groupBy("sender", "subject", "code").agg(F.collect_set(F.struct("sheet", "series_start")).alias("by")).where(F.size("by") > 1)
+    rows = obs.select("sender", F.coalesce("subject", F.lit("")).alias("subject"), "code", "nav_date", "message_id").join(sets, ["sender", "subject", "code"])
+    holds = F.filter("by", lambda r: F.coalesce(r["series_start"] <= F.col("nav_date"), F.lit(True)))
+    rows = rows.select("message_id", F.array_sort(F.transform(holds, lambda r: r["sheet"])).alias("sheets")).where(F.size("sheets") > 1)
+    # rows are counted per set of routes and message, messages per set; pairs are made of the distinct sets
+    per = rows.groupBy("sheets", "message_id").agg(F.count("*").alias("n"))
+    first = Window.partitionBy("sheets", F.pmod(F.xxhash64("message_id"), F.lit(64))).orderBy("message_id")
+    some = F.collect_list(F.when(F.col("_i") <= ids, F.col("message_id")))
+    per = per.withColumn("_i", F.row_number().over(first)).groupBy("sheets").agg(F.sum("n").alias("rows"), F.count("*").alias("messages"), F.slice(F.array_sort(some), 1, ids).alias("ids"))
+    a = per.select("*", F.posexplode("sheets").alias("_at", "route_a"))
+    pairs = a.select("route_a", "rows", "messages", "ids", F.explode(F.slice("sheets", F.col("_at") + 2, F.size("sheets"))).alias("route_b"))
+    return pairs.groupBy("route_a", "route_b").agg(F.sum("rows").alias("rows"), F.sum("messages").alias("messages"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, ids).alias("first_ids"))
+
+
 def match_candidates(cands: DataFrame, routes: DataFrame) -> DataFrame:
     """status of every (sender, code): matched, new (no route accepts it) or not-seen (a route without candidate)."""
     accepted = accepted_codes(routes).select("sender", F.col("accepted").alias("code"), "sheet")
@@ -93,14 +214,28 @@ def match_candidates(cands: DataFrame, routes: DataFrame) -> DataFrame:
     return matched.union(new).union(unseen)
 
 
+#: Letters that a share class adds to a code, at most.
+SUFFIX = 12
+
+
 def alias_pending(cands: DataFrame, routes: DataFrame) -> DataFrame:
     """Candidates whose code begins with a route's code of the same sender, or the other way round, with 1 to 12 letters,
-    digits, _ or - more, if there is exactly one such route. A suggestion; nothing is routed by it."""
+    digits, _ or - more, if there is exactly one such route. A suggestion; nothing is routed by it.
+
+    The longer code's prefixes, at most SUFFIX of them, are looked up among the other side's codes, so codes meet only
+    where one begins with the other."""
     c = cands.select("sender", "code").distinct().join(accepted_codes(routes).select("sender", F.col("accepted").alias("code")), ["sender", "code"], "left_anti")
-    r = routes.select("sender", F.col("code").alias("route_code"), "sheet")
-    long, short = F.greatest(F.length("code"), F.length("route_code")), F.least(F.length("code"), F.length("route_code"))
-    extra = F.when(F.col("code").startswith(F.col("route_code")), F.substr("code", F.length("route_code") + 1)).when(F.col("route_code").startswith(F.col("code")), F.substr("route_code", F.length("code") + 1))
-    near = c.join(r, "sender").where((long > short) & extra.rlike("^[A-Z0-9_-]{1,12}$"))
+    r = routes.where(F.col("code").isNotNull()).select("sender", F.col("code").alias("route_code"), "sheet")
+
+    def prefixes(code: str):
+        """The code without its last 1 to SUFFIX characters, where these are such characters."""
+        size = F.length(code)
+        cut = F.transform(F.sequence(F.lit(1), F.lit(SUFFIX)), lambda n: F.when((n < size) & F.substr(code, size - n + 1).rlike("^[A-Z0-9_-]+$"), F.substr(code, F.lit(1), size - n)))
+        return F.explode(F.filter(cut, lambda x: x.isNotNull()))
+
+    longer = c.withColumn("route_code", prefixes("code")).join(r, ["sender", "route_code"])
+    shorter = r.withColumn("code", prefixes("route_code")).join(c, ["sender", "code"])
+    near = longer.select("sender", "code", "route_code", "sheet").union(shorter.select("sender", "code", "route_code", "sheet"))
     w = Window.partitionBy("sender", "code")
     return near.withColumn("_n", F.count("*").over(w)).where("_n = 1").select("sender", "code", "route_code", "sheet")
 

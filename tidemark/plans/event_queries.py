@@ -298,6 +298,52 @@ def f1_conditions(spark, sf_dir):
     return routing.route_observations(o, limited_routes(spark, sf_dir)).select("event_id", "sheet", "outcome", "reason")
 
 
+#: A subject names the product; each route asks for its own. Even ones name their code; some have a second route from a day on.
+NAMED = """+ o AS (SELECT *, CASE WHEN uid%3=0 OR event_id%4=0 THEN NULL ELSE code END AS c FROM obs), k AS (SELECT sheet, sender, code, alias, series_start, CAST(substr(code,2) AS INTEGER) AS k FROM routes WHERE NOT paused),
+ms AS (SELECT message_id, any_value(code) AS u, max(nav_date) AS d, bool_or(c IS NULL) AS blank, bool_or(c IS NOT NULL) AS coded, count(DISTINCT unit::VARCHAR||'/'||coalesce(cumulative::VARCHAR,'-')) AS v FROM o GROUP BY 1),
+b AS (SELECT message_id, blank AND k%2=0 AND d>=coalesce(series_start, DATE '0001-01-01') AND NOT (k%7=0 AND coalesce(series_start, DATE '0001-01-01')>DATE '2024-01-20') AS asks, NOT coded AND v=1 AND NOT (k%7=0 AND d>=DATE '2024-01-20') AS fine FROM ms JOIN k ON k.code=ms.u),
+x AS (SELECT o.event_id, o.message_id, o.nav_date, coalesce(CASE WHEN asks AND fine THEN o.code END, c) AS c, asks AND NOT fine AS bad, k.sheet, k.series_start, k.k FROM o LEFT JOIN b USING (message_id) LEFT JOIN k ON k.code=o.code)
+"""
+
+
+def named_subjects(spark, sf_dir):
+    o = A.obs_events(spark, sf_dir)
+    said = F.concat(F.lit("Daily values of "), "code", F.lit(" (final)"))
+    return o.withColumn("subject", said).withColumn("code", F.when((F.col("uid") % 3 != 0) & (F.col("event_id") % 4 != 0), F.col("code")))
+
+
+def naming_routes(spark, sf_dir):
+    number = F.substring("code", 2, 9).cast("int")
+    r = A.routes_events(spark, sf_dir).withColumn("subject_contains", F.concat(F.col("code"), F.lit(" ")))
+    r = r.withColumn("subject_product_code", F.when(number % 2 == 0, F.concat(F.lit("u-"), number)))
+    more = r.where(number % 7 == 0).withColumns({"sheet": F.concat(F.lit("extra_"), "code"), "code": F.concat(F.lit("X"), number), "code_aliases": F.array().cast("array<string>"), "series_start": F.lit("2024-01-20").cast("date"), "subject_product_code": F.lit(None).cast("string")})
+    return r.unionByName(more)
+
+
+@query(
+    "f1_subject_product_code",
+    NAMED + "SELECT event_id, CASE WHEN NOT coalesce(bad,false) AND c IS NOT NULL THEN sheet END AS sheet, CASE WHEN coalesce(bad,false) OR c IS NULL THEN 'error' WHEN sheet IS NULL THEN 'unconfigured' WHEN nav_date<series_start THEN 'pre_managed' ELSE 'routed' END AS outcome, CASE WHEN coalesce(bad,false) THEN 'subject-binding' WHEN c IS NULL THEN CASE WHEN sheet IS NULL THEN 'no-route' WHEN k%7=0 THEN 'several-routes' ELSE 'no-code' END END AS reason FROM x",
+    "obs",
+    "routes",
+)
+def f1_subject_code(spark, sf_dir):
+    """Messages without codes, whose subject's product a route names."""
+    return routing.route_observations(named_subjects(spark, sf_dir), naming_routes(spark, sf_dir)).select("event_id", "sheet", "outcome", "reason")
+
+
+@query(
+    "f3_row_overlaps",
+    "+ p AS (SELECT code, message_id, count(*) AS n FROM obs WHERE CAST(substr(code,2) AS INTEGER)%5<>0 AND CAST(substr(code,2) AS INTEGER)%17<>0 AND CAST(substr(code,2) AS INTEGER)%4=0 AND nav_date>=DATE '2024-01-15' AND nav_date>=CASE WHEN CAST(substr(code,2) AS INTEGER)%3=0 THEN DATE '2024-01-10' ELSE DATE '0001-01-01' END GROUP BY 1,2) SELECT 'second_'||code AS route_a, 'sheet_'||code AS route_b, CAST(sum(n) AS BIGINT) AS \"rows\", count(*) AS messages, list_sort(list(message_id))[1:5] AS first_ids FROM p GROUP BY code",
+    "obs",
+)
+def f3_rows(spark, sf_dir):
+    """A second route, from a day on, takes the code of every fourth one as an alias."""
+    r = A.routes_events(spark, sf_dir)
+    number = F.substring("code", 2, 9).cast("int")
+    more = r.where(number % 4 == 0).withColumns({"sheet": F.concat(F.lit("second_"), "code"), "code": F.concat(F.lit("Y"), number), "code_aliases": F.array(F.concat(F.lit("U"), number)), "series_start": F.lit("2024-01-15").cast("date")})
+    return routing.row_overlaps(A.obs_events(spark, sf_dir), r.unionByName(more))
+
+
 @query("f10_match_candidates", "+ c AS (SELECT DISTINCT sender, code, user_id FROM obs) SELECT sender, code, CASE WHEN user_id%5=0 THEN 'new' ELSE 'matched' END AS status FROM c WHERE user_id%7<>0 UNION ALL SELECT sender, code||'Z', 'new' FROM c WHERE user_id%7=0 UNION ALL SELECT sender, code, 'not-seen' FROM routes WHERE CAST(substr(code,2) AS INTEGER)%7=0", "obs", "routes")
 def f10_match(spark, sf_dir):
     seen = A.obs_events(spark, sf_dir).withColumn("code", F.when(F.col("user_id") % 7 == 0, F.concat("code", F.lit("Z"))).otherwise(F.col("code")))

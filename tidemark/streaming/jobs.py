@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.sources.snapshots import fresh_path
 
@@ -53,42 +53,88 @@ def deduplicated(spark: SparkSession, sf_dir: str, delay: str = "60 days") -> Da
     return run_to_end(rows.select("event_id", "user_id", "event_type", "day"), "append", "dedup")
 
 
-def settler(delay_ms: int):
-    def settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """State of a code and day: order and value of what holds now, and whether plain values disagree. A correction
-        that is later than everything so far replaces it; a plain value that differs is a conflict. The state goes when
-        the watermark has passed the day by the delay."""
-        if state.hasTimedOut:
-            state.remove()
-            return
-        uid, unit, conflict, n = state.get if state.exists else (-1, None, False, 0)
-        for f in frames:
-            for r in f.sort_values("event_id").itertuples():
-                n += 1
-                if unit is None:
-                    uid, unit = r.event_id, r.value
-                elif r.event_type == "error" and r.event_id > uid:
-                    uid, unit, conflict = r.event_id, r.value, False
-                elif r.value != unit:
-                    uid, conflict = max(uid, r.event_id), True
-        state.update((int(uid), float(unit), bool(conflict), int(n)))
-        over = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 86_400_000 + delay_ms
-        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"code": [key[0]], "day": [key[1]], "unit": [unit], "conflict": [conflict], "n": [n]})
-
-    return settle
-
-
-def corrected(spark: SparkSession, sf_dir: str, delay_days: int = 60) -> DataFrame:
-    """code, day, unit, conflict, n: the latest state of each code and day. Events that are later than the watermark by
-    more than delay_days find no state any more."""
-    rows = stream(spark, sf_dir).withWatermark("ts", f"{delay_days} days").withColumn("code", F.concat(F.lit("U"), F.col("user_id"))).withColumn("day", F.col("ts").cast("date").cast("string"))
-    shape = "code string, day string, unit double, conflict boolean, n long"
-    states = rows.groupBy("code", "day").applyInPandasWithState(settler(delay_days * 86_400_000), shape, "uid long, unit double, conflict boolean, n long", "update", GroupStateTimeout.EventTimeTimeout)
-    path = fresh_path(spark, "corrections")
-    run_to_end(states, "update", "corrections", lambda batch, epoch: batch.write.mode("append").parquet(f"{path}/rows"))
-    every = spark.read.schema(states.schema).parquet(f"{path}/rows")
-    return every.groupBy("code", "day").agg(F.max_by(F.struct("unit", "conflict"), "n").alias("s"), F.max("n").alias("n")).select("code", "day", "s.unit", "s.conflict", "n")
+HELD = "uid long, unit double, conflict boolean, n long"
+SETTLED = "code string, day string, unit double, conflict boolean, n long, late long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def settled(held: tuple | None, rows: pd.DataFrame) -> tuple[int, float, bool, int]:
+    """What holds of a code and day after more rows (event_id, value, event_type), in order of event_id: order and value,
+    whether plain values disagree, number of rows. A correction that is later than everything so far replaces the value;
+    a plain value that differs is a conflict."""
+    rows = rows.sort_values("event_id")
+    ids, values = rows["event_id"].to_numpy(), rows["value"].to_numpy()
+    uid, unit, conflict, n = held if held else (int(ids[0]), float(values[0]), False, 0)
+    n += len(rows)
+    resets = ((rows["event_type"] == "error").to_numpy() & (ids > uid)).nonzero()[0]
+    if len(resets):
+        last = resets[-1]
+        uid, unit, conflict = int(ids[last]), float(values[last]), False
+        ids, values = ids[last + 1 :], values[last + 1 :]
+    other = ids[values != unit]
+    return (max(uid, int(other.max())) if len(other) else uid), unit, conflict or len(other) > 0, n
+
+
+class Corrections(StatefulProcessor):
+    """State of a code and day, held until the watermark has passed the day's end; a timer then lets it go. Rows behind
+    the watermark are dropped and counted here, as Spark itself compares with the watermark of the batch before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", HELD)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(rows)
+        fresh = every[every["at"] >= timerValues.getCurrentWatermarkInMs()]
+        late, now = len(every) - len(fresh), self.held.get() if self.held.exists() else None
+        if len(fresh):
+            if now is None:
+                end = pd.Timestamp(key[1], tz="UTC") + pd.Timedelta(days=1)
+                self.handle.registerTimer(int(end.timestamp() * 1000))
+            now = settled(now, fresh)
+            self.held.update(now)
+        _, unit, conflict, n = now or (0, None, None, 0)
+        yield pd.DataFrame({"code": [key[0]], "day": [key[1]], "unit": [unit], "conflict": [conflict], "n": [n], "late": [late]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield from ()
+
+
+def corrections(rows: DataFrame, delay: str) -> DataFrame:
+    """Updates (code, day, unit, conflict, n, late) of a stream of code, ts, event_id, value, event_type. Rows that are
+    later than the watermark, which is `delay` behind the latest event, are dropped and counted, so that no value changes
+    once its day is closed. Needs the RocksDB state store."""
+    rows = rows.withWatermark("ts", delay).withColumn("day", F.date_format("ts", "yyyy-MM-dd")).select("code", "day", "ts", F.unix_millis("ts").alias("at"), "event_id", "value", "event_type")
+    return rows.groupBy("code", "day").transformWithStateInPandas(Corrections(), SETTLED, "Update", "EventTime")
+
+
+def late_rows(job) -> int:
+    """Rows that Spark itself dropped in a finished query because they came after the watermark."""
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in job.recentProgress for s in p["stateOperators"])
+
+
+def latest_settled(rows: DataFrame, delay: str) -> tuple[DataFrame, int]:
+    """The last update of each code and day of a stream that is run to its end, and the number of late rows."""
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession, "corrections")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        states = corrections(rows, delay)
+        # a batch that is run again writes its own folder again
+        sink = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={epoch}")
+        job = states.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+        job.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    every = spark.read.schema(f"{SETTLED}, batch long").parquet(f"{path}/rows")
+    last = every.where("n > 0").groupBy("code", "day").agg(F.max_by(F.struct("unit", "conflict", "n"), "batch").alias("s")).select("code", "day", "s.unit", "s.conflict", "s.n")
+    return last, late_rows(job) + (every.agg(F.sum("late")).first()[0] or 0)
+
+
+def corrected(spark: SparkSession, sf_dir: str, delay: str = "60 days") -> DataFrame:
+    """code, day, unit, conflict, n: the latest state of each code and day of the events."""
+    return latest_settled(stream(spark, sf_dir).withColumn("code", F.concat(F.lit("U"), F.col("user_id"))), delay)[0]
 
 
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:

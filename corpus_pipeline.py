@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, mixing, ngram_join, token_index
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import staged, table, text_key
 from tidemark.llm.queries import tokenizer_path
 
 #: Least share of a document's words that its language must have, and n-gram similarity (in per cent) of duplicates.
@@ -28,9 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component stays: the one with the least doc_id (null last; one of equal rows). Texts are joined
-    under a hash of the text, so rows with one doc_id are told apart. Texts without words are no duplicates of anything,
-    so all their rows stay."""
-    key = F.xxhash64("text")
+    under a number of the text, so rows with one doc_id are told apart. Texts without words are no duplicates of
+    anything, so all their rows stay."""
+    key = F.coalesce(text_key("text"), F.lit(b""))
     joined = ngram_join.join(docs.select(key.alias("doc_id"), "text"), SIMILAR)
     texts = joined.groupBy("doc_id").agg(F.first("component_id").alias("component"), F.max("n_shingles").alias("size")).withColumnRenamed("doc_id", "_t")
     rows = docs.select(key.alias("_k"), "doc_id").groupBy("_k", "doc_id").agg(F.count("*").alias("n"))

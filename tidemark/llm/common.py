@@ -71,6 +71,11 @@ def in_worker(key, make: Callable):
     return _HELD[key]
 
 
+def text_key(text: str) -> Column:
+    """Identity of a text: 128 bits of its SHA-256; null stays null."""
+    return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

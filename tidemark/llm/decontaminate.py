@@ -5,7 +5,10 @@
 2. A distributed randomised SVD: two passes of Z = A'(A X) over all chunks (A: chunks by terms, X: terms by RANK),
    each summed in Spark; the benchmark's own passages are rows of A too, with as much weight as the corpus, so that
    the latent space doesn't lose their terms. The Rayleigh-Ritz step on the second pass gives the singular vectors.
-3. Every window of two chunks is compared with every benchmark passage by cosine in the latent space.
+3. Every window of two chunks that holds a weighted term is compared with every benchmark passage by cosine in the latent
+   space (windows with one such term by that term, once). Besides, as an exact way for items that are told again
+   without their rarest words: a text that has VERBATIM of an item's words can't do without all of its rarest ones, as
+   many as may be missing and one more, so places of any of these are candidates too.
 4. Candidates are checked on their words: the longest common subsequence with the item, and for paraphrases also with
    the item's answer (its last sentence).
 
@@ -24,7 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, release, staged
+from tidemark.llm.common import bounded_batches, release, staged, text_key
+from tidemark.llm.token_index import gathered
 
 CHUNK, RANK, BLOCK_WORDS = 16, 96, 300_000
 #: Terms in more than this share of chunks carry no weight, except the KEPT rarest of each passage.
@@ -77,7 +81,7 @@ def numbered(docs: DataFrame, block: Block) -> DataFrame:
                 yield pd.DataFrame({"doc_id": f["doc_id"].iloc[i : i + 1000], "ids": [x.tobytes() for x in ids]})[keep]
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return staged(rows.mapInPandas(number, "doc_id long, ids binary"), "terms")
+    return staged(rows.mapInPandas(number, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary"), "terms")
 
 
 def chunked(ids: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -226,40 +230,87 @@ def enough(ids: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray
     return out
 
 
-def search(terms: DataFrame, block: Block, weights: np.ndarray, vectors: np.ndarray) -> DataFrame:
+def needed_terms(block: Block, df: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The items that each term is needed by (compressed rows), and the different words that a text with VERBATIM of an
+    item's words has of it at least. Of the item's words so many may be missing; of its rarest ones, that many and one
+    more, one is there."""
+    pairs, least = [], []
+    for i, item in enumerate(block.items):
+        missing = len(item.words) - int(np.ceil(VERBATIM * len(item.words) - 1e-9))
+        rare = sorted(set(item.words), key=lambda t: (df[t], t))
+        least.append(len(rare) - missing)
+        pairs += [(t, i) for t in rare[: missing + 1]]
+    pairs.sort()
+    counts = np.bincount([t for t, _ in pairs], minlength=len(df) + 1)
+    return (np.concatenate([[0], np.cumsum(counts)]), np.array([i for _, i in pairs], np.int64)), np.array(least, float)
+
+
+class SingleTerms:
+    """The passages near a window that holds one weighted term: they depend on the term alone, so they are worked out once."""
+
+    def __init__(self, space: np.ndarray, wanted: np.ndarray):
+        self.space, self.wanted = space, wanted
+        self.known = np.full(len(space), -1, np.int64)
+        self.first, self.passages, self.cosines = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+
+    def near(self, windows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window, passage and cosine of each hit."""
+        new = np.unique(terms[self.known[terms] < 0])
+        for i in range(0, len(new), 256):
+            some = new[i : i + 256]
+            v = self.space[some]
+            cosine = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)) @ self.wanted
+            a, b = np.nonzero(cosine >= COSINE)
+            self.known[some] = np.arange(len(some)) + len(self.first) - 1
+            self.first += (self.first[-1] + np.cumsum(np.bincount(a, minlength=len(some)))).tolist()
+            self.passages.append(b)
+            self.cosines.append(cosine[a, b])
+        if len(new):
+            self.passages, self.cosines = [np.concatenate(self.passages)], [np.concatenate(self.cosines)]
+        first = np.array(self.first)
+        at = self.known[terms]
+        size = first[at + 1] - first[at]
+        return np.repeat(windows, size), gathered(self.passages[0], first[at], size), gathered(self.cosines[0], first[at], size)
+
+
+def search(terms: DataFrame, block: Block, df: np.ndarray, weights: np.ndarray, vectors: np.ndarray) -> DataFrame:
     """Checked leaks: doc_id, item_id, cosine, shared, answered, kind, first_word, words."""
     sc, kind = terms.sparkSession.sparkContext, block.type
     flat, starts, owner = benchmark_rows(block)
     spaces = weights[:, None] * vectors
     items = np.add.reduceat(spaces[flat], starts, axis=0)
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
-    counts = np.add.reduceat((weights[flat] > 0).astype(int), starts)
-    least = max(1, int(counts.min() * 2 // 5))
     held = np.zeros((len(block.items), len(weights) // 8 + 1), np.uint8)
     for i, x in enumerate(block.items):
         for t in set(x.words):
             held[i, t >> 3] |= 1 << (t & 7)
     spreads = np.array([-(-len(x.words) // CHUNK) + 1 for x in block.items])
     fewest = np.array([PARAPHRASE * len(set(x.words)) for x in block.items])
-    sent = sc.broadcast((spaces.astype(np.float32), items.T.astype(np.float32).copy(), weights > 0, owner, [(x.item_id, x.words, x.answer) for x in block.items], held, spreads, fewest))  # bounded by the block
+    postings, strict = needed_terms(block, df)
+    sent = sc.broadcast((postings, strict, spaces.astype(np.float32), items.T.astype(np.float32).copy(), weights > 0, owner, [(x.item_id, x.words, x.answer) for x in block.items], held, spreads, fewest))  # bounded by the block
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, wanted, heavy, whose, known, members, spread, least_words = sent.value
+        (first_of, item_of), least_same, space, wanted, heavy, whose, known, members, spread, least_words = sent.value
+        alone = SingleTerms(space, wanted)
         step = max(64, 4_000_000 // max(1, wanted.shape[1]))
         for part, ids, first in batches(frames, kind):
             used = heavy[ids]
             at = np.flatnonzero(used)
-            if not len(at):
-                continue
-            edge = np.concatenate([[True], np.diff(at // CHUNK) > 0])
+            edge = np.concatenate([[True], np.diff(at // CHUNK) > 0])[: len(at)]
             rows = np.zeros((first[-1] + 1, space.shape[1]), np.float32)
-            rows[at[edge] // CHUNK] = np.add.reduceat(space[ids[at]], np.flatnonzero(edge), axis=0)
+            if len(at):
+                rows[at[edge] // CHUNK] = np.add.reduceat(space[ids[at]], np.flatnonzero(edge), axis=0)
             terms_in = np.concatenate([used.reshape(-1, CHUNK).sum(1), [0]])
             document = np.repeat(np.arange(len(part)), np.diff(first))
             follows = np.concatenate([document[1:] == document[:-1], [False]])
             n = terms_in[:-1] + np.where(follows, terms_in[1:], 0)
-            windows = np.flatnonzero(n >= least)
+            windows = np.flatnonzero(n > 1)
             hits = []
+            single = np.flatnonzero(n == 1)
+            if len(single):
+                own = np.concatenate([np.where(used, ids, 0).reshape(-1, CHUNK).sum(1, dtype=np.int64), [0]])
+                w, b, cosine = alone.near(single, own[single] + np.where(follows[single], own[single + 1], 0))
+                hits.append((w, whose[b], cosine))
             for i in range(0, len(windows), step):
                 w = windows[i : i + step]
                 v = rows[w] + np.where(follows[w, None], rows[w + 1], 0)
@@ -268,12 +319,16 @@ def search(terms: DataFrame, block: Block, weights: np.ndarray, vectors: np.ndar
                 near = np.flatnonzero(cosine.ravel() >= COSINE)  # far faster than over two dimensions
                 a, b = np.divmod(near, cosine.shape[1])
                 hits.append((w[a], whose[b], cosine.ravel()[near]))
-            if not hits:
+            exact = np.flatnonzero(first_of[ids.astype(np.int64) + 1] > first_of[ids])
+            size = (first_of[ids[exact].astype(np.int64) + 1] - first_of[ids[exact]]).astype(np.int64)
+            pairs = np.unique(np.repeat(exact // CHUNK, size).astype(np.int64) * len(known) + gathered(item_of, first_of[ids[exact]], size))
+            if not hits and not len(pairs):
                 continue
-            w, item, cosine = (np.concatenate(x) for x in zip(*hits, strict=True))
+            w, item, cosine = (np.concatenate(x) for x in zip(*hits, (pairs // len(known), pairs % len(known), np.zeros(len(pairs))), strict=True))
+            asked = np.concatenate([least_words[item[: len(item) - len(pairs)]], least_same[pairs % len(known)]])
             start = np.maximum(first[document[w]], w - spread[item]) * CHUNK
             end = np.minimum(first[document[w] + 1], w + 2 + spread[item]) * CHUNK
-            held = enough(ids, start, end, item, members, least_words[item])
+            held = enough(ids, start, end, item, members, asked)
             found: dict[tuple[int, int], list] = {}
             for place in zip(document[w[held]].tolist(), item[held].tolist(), cosine[held].tolist(), start[held].tolist(), end[held].tolist(), strict=True):
                 found.setdefault(place[:2], []).append(place[2:])
@@ -297,7 +352,7 @@ def search(terms: DataFrame, block: Block, weights: np.ndarray, vectors: np.ndar
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "shared", "answered", "kind", "first_word", "words"])
 
-    return terms.mapInPandas(find, "doc_id long, item_id long, cosine double, shared double, answered double, kind string, first_word long, words long")
+    return terms.mapInPandas(find, f"doc_id {terms.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, shared double, answered double, kind string, first_word long, words long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -305,7 +360,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     answer's), kind (verbatim or paraphrase), first_word and words (the region of the document).
 
     Documents without a leak have no row. Null or empty texts, of either table, leak nothing; null ids are passed
-    over; documents with one doc_id are searched each and their leaks of one item are merged; ties go to the greater
+    over; a very long text is searched whole; documents with one doc_id (of any type) are searched each and their leaks of one item are merged; ties go to the greater
     cosine. An empty table gives no rows; further columns aren't read.
     """
     bounded_batches(docs.sparkSession)
@@ -322,10 +377,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not chunks:
             continue
         weights = weigh(block, df, chunks)
-        found = search(terms, block, weights, latent(terms, block, df, weights))
+        found = search(terms, block, df, weights, latent(terms, block, df, weights))
         out = found if out is None else out.union(found)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, shared double, answered double, kind string, first_word long, words long")
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, shared double, answered double, kind string, first_word long, words long")
     best = F.max(F.struct("shared", "cosine", "answered", "kind", "first_word", "words")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.shared", "b.answered", "b.kind", "b.first_word", "b.words")
 
@@ -333,6 +388,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that leak a benchmark item. Texts are searched under a hash of the text, so a row goes
     whatever its doc_id is, and rows with one doc_id are judged by their own texts. A null text stays."""
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_key"))
-    found = staged(leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select("doc_id").distinct(), "leaks")
-    return whole.join(found, F.col("_key") == F.col("doc_id"), "left_anti").select("_row.*")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), text_key("text").alias("_key"))
+    found = staged(leaks(docs.select(text_key("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return whole.join(found, "_key", "left_anti").select("_row.*")

@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, common: np.ndarray, pct: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "n", "cls", "spread", "prefix", "bits"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, n long, cls binary, spread int, prefix array<long>, bits array<long>")
+    return rows.mapInPandas(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, cls binary, spread int, prefix array<long>, bits array<long>")
 
 
 def fits(a: str, b: str, pct: int) -> Column:

@@ -327,7 +327,7 @@ def test_quality_share_decides_on_small_hosts(spark):
 
 
 def test_licenses(odd_docs, no_docs, spark):
-    mit = licenses.TEMPLATES[2][1]
+    mit = licenses.TEMPLATES[2].text
     docs = [(1, f"{sentence(1, 30)}\nLicensed under CC BY-NC 4.0.\n{sentence(2, 30)}"), (2, mit.replace("merge, ", "").replace("free of charge", "free of any charge")), (3, "the license of life"), (4, "Released under the MIT License. Licensed under the Apache License, Version 2.0."), (5, None)]
     got = [(r["doc_id"], r["license"]) for r in rows(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")))]
     assert sorted(got) == [(1, "CC-BY-NC-4.0"), (2, "MIT"), (4, "Apache-2.0"), (4, "MIT")]
@@ -337,7 +337,7 @@ def test_licenses(odd_docs, no_docs, spark):
 def test_repeated_licenses(spark):
     """A row per notice for copies one behind the other, whatever stands around them, and for templates of any words."""
     known = licenses.Templates(licenses.TEMPLATES)
-    for text in ("Licensed under the MIT License. ", licenses.TEMPLATES[2][1] + " ", licenses.TEMPLATES[4][1] + " "):
+    for text in ("Licensed under the MIT License. ", licenses.TEMPLATES[2].text + " ", licenses.TEMPLATES[5].text + " "):
         size = len(licenses.words_of(text))
         for n in (1, 2, 3, 4, 7):
             for before in ("", "some words of the text "):

@@ -180,19 +180,23 @@ class Templates:
         return not rule.never or not any(w in rule.never for w in stretch)
 
     def aligned(self, words: list[str], start: int, end: int, k: int) -> list[tuple[int, int]] | None:
-        """The notice in a stretch, or none. The whole stretch is aligned once, and its ends are trimmed; shorter
-        stretches are tried only where that isn't enough (another notice behind may hide the anchors of the first)."""
+        """The notice in a stretch, or none: in its first words, where another notice behind can't hide anchors, else in
+        the whole stretch. What is found is aligned once more with just the words that it may lack at its ends."""
         template = self.all[k][1]
-        pairs = align(words[start:end], template)
-        if pairs:
+        for size in (len(template) * 5 // 4 + 1, end - start):
+            pairs = align(words[start : min(start + size, end)], template)
+            if not pairs or len(pairs) < COVERAGE * len(template):
+                continue
             for some in (trimmed(pairs, COVERAGE * len(template)), pairs):
                 if self.holds(words, start, some, k):
+                    first, last = some[0][0], some[-1][0] + 1
+                    head, tail = some[0][1], len(template) - 1 - some[-1][1]
+                    if head or tail:
+                        at = max(0, first - head)
+                        more = [(at + i, j) for i, j in align(words[start + at : min(start + last + tail, len(words))], template)]
+                        if len(more) > len(some) and self.holds(words, start, more, k):
+                            return more
                     return some
-        for size in (len(template), len(template) * 5 // 4 + 1):
-            if start + size < end:
-                pairs = align(words[start : start + size], template)
-                if pairs and self.holds(words, start, pairs, k):
-                    return pairs
         return None
 
     def notices(self, positions: list[int], words: list[str], k: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
@@ -239,7 +243,7 @@ class Templates:
         return sorted(out, key=lambda x: x[2])
 
 
-def scan(docs: DataFrame, templates: list[Notice] | None = None) -> DataFrame:
+def scan(docs: DataFrame, templates: list[Notice | tuple[str, str]] | None = None) -> DataFrame:
     """One row per notice: doc_id, license, coverage, first_word, words.
 
     A name is given only if the words that tell it from its kin (versions, `lesser`, the clause on names) are aligned.
@@ -247,7 +251,7 @@ def scan(docs: DataFrame, templates: list[Notice] | None = None) -> DataFrame:
     covers more template words wins, then the first; an empty table gives no rows; further columns aren't read.
     """
     bounded_batches(docs.sparkSession)
-    given = templates or TEMPLATES
+    given = [t if isinstance(t, Notice) else Notice(*t) for t in templates or TEMPLATES]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Templates(given)

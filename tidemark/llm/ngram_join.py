@@ -9,12 +9,13 @@ blocks (one shingle's column after another, dealt by Spark), and only where the
 - Overlaps are accumulated over these columns. Pairs whose sizes differ by more than the factor t, or whose count is
   below what the two sizes ask for, are dropped; the rest is verified on whole sets.
 
-Long columns (large groups of near copies) would give pairs in the square of their length. There, round by round, each
-row is compared with a pivot. Rows linked with the pivot need no links among each other, as they are one component
-already, and leave the column; of the others, those that may be within the threshold of such a row (Jaccard distance is
-a metric, and the parity bitmaps of two sets bound it from below: each differing bit needs a differing shingle) are
-compared with them. What is left of a column goes on with another pivot, until it is short enough to be compared
-outright. Columns that stay long through all rounds hold sets that have little in common but that shingle: they are
+Long columns (large groups of near copies) would give pairs in the square of their length. There each row is compared
+with a pivot. Rows linked with it are a group, one component already, and need no links among each other; rows near the
+group are compared with some of its members, and join it if one links. What isn't gathered so is compared with those
+members that may be within the threshold: Jaccard distance is a metric, so distances to the pivot tell, and parity
+bitmaps of two sets bound it from below (each differing bit needs a differing shingle). What is left of a column goes on
+with another pivot, until it is short enough to be compared outright. Columns that stay long hold sets that have little
+in common but that shingle: they are
 divided by a second shared shingle, which linked sets must have in prefixes that are longer by one. So no link between
 two components is lost.
 """
@@ -38,8 +39,9 @@ COMMON = 1e-6
 LOOK, LOCAL = 1 << 20, 3
 #: Columns of up to so many rows are multiplied outright.
 LONG = 48
-#: Pivots that a long column is compared with, one after the other.
-ROUNDS = 5
+#: Pivots that a long column is compared with, one after the other; how often a pivot's group then grows, and by how many
+#: of its members at a time.
+LEVELS, GROWTH, DRAWN = 3, 2, 6
 #: Bits of the parity bitmaps: the power of two next above the set's size, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 8192
 
@@ -255,23 +257,15 @@ def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     outright = staged(outright.distinct(), "pairs")
     discard(shared)
     links, second, seen, stored = [], [], [], [facts, left]
-    for number in range(ROUNDS):
+    for level in range(LEVELS):
         if left.isEmpty():
             break
-        rows, told = compared_with_pivots(left, number, outright if number == 0 else None, facts, sets_of, pct)
-        stored += [rows, told]
-        links.append(told.where("near").select("a", "b"))
-        seen.append(told.select("a", "b"))
-        # a row within the threshold of a linked row is within twice the threshold of the pivot
-        apart = (100 - pct) / 100 + 1e-9
-        others = rows.where(~F.col("near") & (F.col("far") <= 2 * apart)).select("h", F.col("rep").alias("rep2"), F.col("far").alias("far2"))
-        linked = rows.where("near").join(others.select("h").distinct(), "h", "left_semi").select("h", F.col("rep").alias("rep1"), F.col("far").alias("far1"))
-        second.append(linked.join(others, "h").where(F.col("far2") - F.col("far1") <= apart).select("rep1", "rep2").distinct())
-        rest = rows.where(~F.col("near")).select("h", "rep")
-        rest = staged(rest.join(rest.groupBy("h").agg(F.count("*").alias("m")), "h"), "rest-of-columns")
+        rows, group = gathered_by_pivots(left, level, outright if level == 0 else None, facts, sets_of, pct, links, seen, stored)
+        second.append(group)
+        rest = staged(rows.join(rows.groupBy("h").agg(F.count("*").alias("m")), "h"), "rest-of-columns")
         stored.append(rest)
         second.append(met_within(rest.where(F.col("m") <= LONG), ["h"]))
-        left = rest.where(F.col("m") > LONG).drop("m")
+        left = rest.where(F.col("m") > LONG).select("h", "rep")
     else:
         # what no pivot gathers: linked sets share two shingles of prefixes that are longer by one
         second.append(met_within(by_two_shingles(left, bodies), ["h", "g"]))
@@ -283,9 +277,7 @@ def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     for some in second[1:]:
         pairs = pairs.union(some)
     pairs = pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-    for side in "ab":
-        pairs = pairs.join(facts.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
-    pairs = pairs.where(may_link("na", "nb", "bitsa", "bitsb", pct)).select("a", "b")
+    pairs = differing_facts(pairs, facts).where(fits("na", "nb", pct) & (F.col("differ") <= may_differ(F.col("na") + F.col("nb"), pct))).select("a", "b")
     for some in seen:
         pairs = pairs.join(some, ["a", "b"], "left_anti")
     pairs = staged(pairs, "pairs")
@@ -311,32 +303,67 @@ def both_sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
 
-def compared_with_pivots(left: DataFrame, number: int, more: DataFrame | None, facts: DataFrame, sets_of, pct: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of long columns (h, rep) with near (whether they link with their column's pivot; the pivot itself does) and
-    far, their distance from it: measured where sizes and bitmaps leave a chance of a link, else the least that these
-    allow. And the verified pairs (a, b, near, far), those of `more` among them. The first pivot is the row with the
-    fewest rare shingles, later ones are drawn, so that a large group is soon met."""
-    order = F.struct("spread", "rep") if number == 0 else F.struct(F.xxhash64("rep", F.lit(number)).alias("spread"), "rep")
-    known = left.join(facts, "rep")
-    centre = known.groupBy("h").agg(F.min(order).alias("p")).select("h", F.col("p.rep").alias("pivot"))
-    centre = centre.join(facts.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits")), "pivot")
-    # in many columns the same rows meet the same pivot
-    met = known.join(centre, "h").select("h", "rep", "pivot", "n", "pn", differing(F.col("bits"), F.col("pbits")).alias("differ"))
-    least = F.greatest("differ", F.abs(F.col("n") - F.col("pn")))
-    rows = met.select(
-        "h", "rep", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"),
-        ((F.col("rep") != F.col("pivot")) & fits("n", "pn", pct) & (F.col("differ") <= may_differ(F.col("n") + F.col("pn"), pct))).alias("may"),
-        (2 * least / (F.col("n") + F.col("pn") + least)).alias("least"),
-    )
-    rows = staged(rows, "beside-pivots")
-    pairs = rows.where("may").select("a", "b")
+def differing_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs (a, b) with the sizes na, nb and differ, the least difference that the bitmaps allow."""
+    for side in "ab":
+        pairs = pairs.join(facts.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+    return pairs.withColumn("differ", differing(F.col("bitsa"), F.col("bitsb"))).drop("bitsa", "bitsb")
+
+
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def gathered_by_pivots(left: DataFrame, level: int, more: DataFrame | None, facts: DataFrame, sets_of, pct: int, links: list, seen: list, stored: list) -> tuple[DataFrame, DataFrame]:
+    """The rows (h, rep) of long columns that no pivot gathers, and the pairs (rep1, rep2) of such rows with gathered ones
+    that are still to be compared. Verified pairs are added to links and seen, and `more` are verified with the first.
+
+    Each column has a pivot: first the row with the fewest rare shingles, on later levels one that is drawn, so that a
+    large group is soon met. Columns of one group share it, so all goes on by pivot. Rows that link with it are its
+    group; rows that don't, but are near, are compared with DRAWN members of the group, and join it if one links: each
+    row is compared with few, and all of a group of near copies are soon gathered. Distances to the pivot that may
+    matter are measured; others are the least that the bitmaps allow."""
+    apart = (100 - pct) / 100 + 1e-9
+    order = F.struct("spread", "rep") if level == 0 else F.struct(F.xxhash64("rep", F.lit(level)).alias("spread"), "rep")
+    centre = left.join(facts.select("rep", "spread"), "rep").groupBy("h").agg(F.min(order).alias("p")).select("h", F.col("p.rep").alias("pivot"))
+    met = left.join(centre, "h")
+    star = differing_facts(met.select("pivot", "rep").distinct().select("pivot", "rep", *ordered("pivot", "rep")), facts)
+    least = F.greatest("differ", F.abs(F.col("na") - F.col("nb")))
+    star = staged(star.select("pivot", "rep", "a", "b", (2 * least / (F.col("na") + F.col("nb") + least)).alias("least")), "beside-pivots")
+    pairs = star.where((F.col("a") != F.col("b")) & (F.col("least") <= (1 + GROWTH) * apart)).select("a", "b")
     pairs = staged((pairs.union(more) if more is not None else pairs).distinct(), "pairs")
     told = told_of(pairs, sets_of, pct)
-    own = F.col("rep") == F.col("pivot")
-    found = rows.join(told, ["a", "b"], "left").select("h", "rep", (own | F.coalesce("near", F.lit(False))).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("far", "least")).alias("far"))
-    found = staged(found, "long-rows")
-    discard(rows, pairs)
-    return found, told
+    links.append(told.where("near").select("a", "b"))
+    seen.append(told.select("a", "b"))
+    own = F.col("a") == F.col("b")
+    group = star.join(told, ["a", "b"], "left").select("pivot", "rep", (own | F.coalesce("near", F.lit(False))).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("far", "least")).alias("far"), (own | F.col("far").isNotNull()).alias("exact"))
+    group = staged(group, "groups")
+    discard(star, pairs)
+    stored += [told, group]
+    for step in range(1, GROWTH + 1):
+        near = group.where(~F.col("near") & (F.col("far") <= (1 + step) * apart))
+        drawn = group.where("near").groupBy("pivot").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("rep", F.lit(100 * level + 10 * step + i)).alias("x"), "rep"))["rep"] for i in range(DRAWN)])).alias("drawn"))
+        asked = near.join(drawn, "pivot").select("pivot", "rep", F.explode("drawn").alias("q"))
+        pairs = differing_facts(asked.where("q <> pivot").select(*ordered("rep", "q")).distinct(), facts)
+        pairs = staged(pairs.where(fits("na", "nb", pct) & (F.col("differ") <= may_differ(F.col("na") + F.col("nb"), pct))).select("a", "b"), "pairs")
+        stored.append(pairs)
+        if pairs.isEmpty():
+            break
+        told = told_of(pairs, sets_of, pct)
+        links.append(told.where("near").select("a", "b"))
+        seen.append(told.select("a", "b"))
+        joined = asked.select("pivot", "rep", *ordered("rep", "q")).join(told.where("near"), ["a", "b"]).select("pivot", "rep", F.lit(True).alias("_joined")).distinct()
+        group = staged(group.join(joined, ["pivot", "rep"], "left").withColumn("near", F.col("near") | F.coalesce("_joined", F.lit(False))).drop("_joined"), "groups")
+        stored += [told, group]
+    # by the triangle, rows link only if their distances to the pivot differ by no more than the threshold
+    ring = F.floor(F.col("far") / apart).cast("int")
+    members = group.where("near").select("pivot", ring.alias("ring"), F.col("rep").alias("rep1"), F.col("far").alias("far1"))
+    outer = F.when(F.col("exact"), ring + 1).otherwise(F.lit(int(1 / apart) + 1))
+    others = group.where(~F.col("near")).select("pivot", F.col("rep").alias("rep2"), F.col("far").alias("far2"), "exact", F.explode(F.sequence(F.greatest(ring - 1, F.lit(0)), outer)).alias("ring"))
+    close = (F.col("far2") - F.col("far1") <= apart) & (~F.col("exact") | (F.col("far1") - F.col("far2") <= apart))
+    open_pairs = members.join(others, ["pivot", "ring"]).where(close).select("rep1", "rep2")
+    rows = met.join(group.where(~F.col("near")).select("pivot", "rep"), ["pivot", "rep"]).select("h", "rep")
+    return rows, open_pairs
 
 
 def met_within(rows: DataFrame, keys: list[str]) -> DataFrame:

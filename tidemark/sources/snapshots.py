@@ -6,9 +6,11 @@ folder is used. Every write is a Parquet or JSON dataset that Spark commits whol
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +71,57 @@ def load_snapshot(spark: SparkSession, path: str, config: str, scope: str) -> Da
     return spark.read.parquet(f"{path}/rows")
 
 
+def files_at(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, unless there is one of that name: of several writers exactly one gets true. On a local
+    disk by a hard link; on HDFS by a rename that refuses to overwrite; on object stores by their conditional put."""
+    files, where = files_at(spark, path)
+    files.mkdirs(where.getParent())
+    if files.getScheme() in ("s3a", "abfs", "abfss", "gs"):
+        builder = files.createFile(where).overwrite(False)
+        if files.getScheme() == "s3a":
+            builder = builder.must("fs.option.create.conditional.overwrite", True)
+        try:
+            out = builder.build()
+            out.write(bytearray(text.encode()))
+            out.close()
+            return True
+        except Py4JJavaError:
+            if files.exists(where):
+                return False
+            raise
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = files.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if files.getScheme() == "file":
+            local = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+            spark._jvm.java.nio.file.Files.createLink(local(where), local(aside))
+        else:
+            context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+            context.rename(aside, where, spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        return True
+    except Py4JJavaError:
+        if files.exists(where):
+            return False
+        raise
+    finally:
+        files.delete(aside, False)
+
+
+LOG = "fingerprint string, rows long, location string, version long"
+
+
 def pointers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("fingerprint string, rows long, location string, version long").parquet(f"{path}/pointers")
+    """The commit log: an entry per version that is kept."""
+    files, where = files_at(spark, f"{path}/log")
+    return spark.read.schema(LOG).json(f"{path}/log/*.json") if files.exists(where) else spark.createDataFrame([], LOG)
 
 
 def current_fingerprint(spark: SparkSession, path: str) -> str | None:
@@ -79,34 +130,61 @@ def current_fingerprint(spark: SparkSession, path: str) -> str | None:
 
 
 def publish_version(df: DataFrame, path: str, expected: str | None, keep: int) -> int:
-    """Stage df as the next version, read it back and compare, check that the base is still the expected one, then point
-    at it and let all but the newest `keep` versions go. Until the pointer is written, readers see the version before.
-    A version's pointer is a folder of its own that can be written once, so of two writers one fails. Returns the
-    version."""
+    """Stage df as the next version, read it back and compare, check that the base is still the expected one, then enter
+    it in the commit log and let all but the newest `keep` versions go. Until the entry is there, readers see the version
+    before. Entries are numbered and put only where there is none, so of writers at one base exactly one wins; the
+    others get an error, and their staged rows go. Returns the version."""
     spark = df.sparkSession
     staged = f"{path}/data/{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    made, found = fingerprint_of(df).first(), fingerprint_of(spark.read.parquet(staged)).first()
-    if made != found:
-        raise ValueError("the staged rows aren't those that were to be written")
-    last = 0
-    if expected is not None:
-        if current_fingerprint(spark, path) != expected:
+    try:
+        made, found = fingerprint_of(df).first(), fingerprint_of(spark.read.parquet(staged)).first()
+        if made != found:
+            raise ValueError("the staged rows aren't those that were to be written")
+        base = pointers(spark, path).agg(F.max_by("fingerprint", "version").alias("fingerprint"), F.max("version").alias("version")).first()
+        if base["fingerprint"] != expected:
             raise ValueError("the base has changed since the plan was made")
-        last = pointers(spark, path).agg(F.max("version")).first()[0]
-    version = last + 1
-    pointer = spark.createDataFrame([(found["fingerprint"], found["n"], staged)], "fingerprint string, rows long, location string")
-    pointer.write.mode("errorifexists").parquet(f"{path}/pointers/version={version}")
+        version = (base["version"] or 0) + 1
+        entry = json.dumps({"fingerprint": found["fingerprint"], "rows": found["n"], "location": staged, "version": version})
+        if not put_if_absent(spark, f"{path}/log/{version:012d}.json", entry):
+            raise ValueError("another writer has published this version")
+    except ValueError:
+        files, where = files_at(spark, staged)
+        files.delete(where, True)
+        raise
     prune(spark, path, keep)
     return version
 
 
 def prune(spark: SparkSession, path: str, keep: int) -> None:
-    """Delete all but the newest `keep` versions: first the pointer, then the rows."""
+    """Delete all but the newest `keep` versions: first the entry, then the rows."""
     for old in pointers(spark, path).orderBy(F.desc("version")).offset(keep).collect():  # as many as were published since
-        for gone in (f"{path}/pointers/version={old['version']}", old["location"]):
-            where = spark._jvm.org.apache.hadoop.fs.Path(gone)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for gone in (f"{path}/log/{old['version']:012d}.json", old["location"]):
+            files, where = files_at(spark, gone)
+            files.delete(where, True)
+
+
+def append_batch(batch: DataFrame, path: str, stream: str, number: int, fresh) -> bool:
+    """Append fresh(batch) to the table at path once, whatever is replayed: its rows go to a folder of their own, which is
+    entered in a ledger of batches. A batch that the ledger knows does nothing, and reads nothing of the table. Returns
+    whether rows were appended."""
+    spark = batch.sparkSession
+    entry = f"{path}/ledger/{stream}/{number:012d}.json"
+    files, where = files_at(spark, entry)
+    if files.exists(where):
+        return False
+    own = f"{path}/batches/{stream}-{number:012d}"
+    fresh(batch).write.mode("overwrite").parquet(own)
+    return put_if_absent(spark, entry, json.dumps({"stream": stream, "batch": number, "location": own}))
+
+
+def appended_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the batches that the ledger knows."""
+    files, where = files_at(spark, f"{path}/ledger")
+    if not files.exists(where):
+        return spark.createDataFrame([], schema)
+    known = [r["location"] for r in spark.read.schema("location string").json(f"{path}/ledger/*/*.json").collect()]  # a line per batch
+    return spark.read.schema(schema).parquet(*known) if known else spark.createDataFrame([], schema)
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.sources import snapshots
 from tidemark.sources.snapshots import fresh_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -137,20 +138,21 @@ def corrected(spark: SparkSession, sf_dir: str, delay: str = "60 days") -> DataF
     return latest_settled(stream(spark, sf_dir).withColumn("code", F.concat(F.lit("U"), F.col("user_id"))), delay)[0]
 
 
+APPENDED = "event_id long, code string, unit double, nav_date date"
+
+
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A history, parted by date, that grows by what is new in each batch; a batch that is run again adds nothing. Only the
-    dates of the batch are read from it."""
+    """A history that grows by what is new in each batch. A batch that is run again is known by its number and reads
+    nothing; events that come again in another stream are met among the history of the batch's dates."""
     path = fresh_path(spark, "history")
-    schema = "event_id long, code string, unit double, nav_date date"
-    spark.createDataFrame([], schema).write.partitionBy("nav_date").parquet(f"{path}/rows")
     rows = stream(spark, sf_dir).select("event_id", F.concat(F.lit("U"), F.col("user_id")).alias("code"), F.col("value").alias("unit"), F.col("ts").cast("date").alias("nav_date"))
 
-    def add(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        dates = [r["nav_date"] for r in batch.select("nav_date").distinct().collect()]  # one per day of a batch
-        known = session.read.schema(schema).parquet(f"{path}/rows").where(F.col("nav_date").isin(dates)).select("event_id")
-        batch.join(known, "event_id", "left_anti").write.partitionBy("nav_date").mode("append").parquet(f"{path}/rows")
+    def fresh(batch: DataFrame) -> DataFrame:
+        dates = batch.agg(F.min("nav_date").alias("least"), F.max("nav_date").alias("most")).first()
+        known = snapshots.appended_rows(batch.sparkSession, path, APPENDED).where(F.col("nav_date").between(dates["least"], dates["most"])).select("event_id")
+        return batch.join(known, "event_id", "left_anti").sortWithinPartitions("nav_date")  # so that footers tell dates apart
 
-    run_to_end(rows, "append", "append", add)
-    run_to_end(rows, "append", "append-again", add)  # the same events once more
-    return spark.read.schema(schema).parquet(f"{path}/rows")
+    for name in ("first", "again"):  # the same events once more
+        sink = lambda batch, number, name=name: snapshots.append_batch(batch, path, name, number, fresh)
+        run_to_end(rows, "append", f"append-{name}", sink)
+    return snapshots.appended_rows(spark, path, APPENDED)

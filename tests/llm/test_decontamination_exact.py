@@ -36,15 +36,3 @@ def test_items_without_their_rare_words_are_found(spark):
             assert d < 1000 or decontaminate.common_subsequence(items[i], number(texts[d])) >= 0.8 * 30
         assert len([d for d, _ in found if d >= 1000]) == 0
 
-
-def test_single_terms_equal_the_product():
-    np = decontaminate.np
-    r = np.random.default_rng(2)
-    space, wanted = r.standard_normal((50, 4)).astype(np.float32), r.standard_normal((4, 30)).astype(np.float32)
-    wanted /= np.linalg.norm(wanted, axis=0)
-    single = decontaminate.SingleTerms(space, wanted)
-    for some in ([3, 3, 7], [7, 9, 49, 3], list(range(50))):
-        terms = np.array(some)
-        got = set(zip(*(x.tolist() for x in single.near(np.arange(len(terms)) + 100, terms)[:2]), strict=True))
-        cosine = (space[terms] / np.linalg.norm(space[terms], axis=1, keepdims=True)) @ wanted
-        assert got == {(a + 100, b) for a, b in zip(*(x.tolist() for x in np.nonzero(cosine >= decontaminate.COSINE)), strict=True)}

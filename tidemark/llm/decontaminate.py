@@ -5,10 +5,9 @@
 2. A distributed randomised SVD: two passes of Z = A'(A X) over all chunks (A: chunks by terms, X: terms by RANK),
    each summed in Spark; the benchmark's own passages are rows of A too, with as much weight as the corpus, so that
    the latent space doesn't lose their terms. The Rayleigh-Ritz step on the second pass gives the singular vectors.
-3. Every window of two chunks that holds a weighted term is compared with every benchmark passage by cosine in the latent
-   space (windows with one such term by that term, once). Besides, as an exact way for items that are told again
-   without their rarest words: a text that has VERBATIM of an item's words can't do without all of its rarest ones, as
-   many as may be missing and one more, so places of any of these are candidates too.
+3. Every window of two chunks that holds two weighted terms is compared with every benchmark passage by cosine in the
+   latent space. Besides, as an exact way for items that are told again without their rarest words: a text that has VERBATIM of an item's words can't do without all of its rarest ones, as
+   many as may be missing and TOGETHER more, so places of that many of these are candidates too.
 4. Candidates are checked on their words: the longest common subsequence with the item, and for paraphrases also with
    the item's answer (its last sentence).
 
@@ -35,6 +34,8 @@ CHUNK, RANK, BLOCK_WORDS = 16, 96, 300_000
 COMMON_SHARE, KEPT = 0.004, 6
 #: Least cosine of a candidate; least share of the item in common for a leak, and with the answer check for a paraphrase.
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.7
+#: Needed words of an item that must stand together.
+TOGETHER = 3
 TERM = re.compile(r"\w+")
 
 
@@ -231,46 +232,19 @@ def enough(ids: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray
 
 
 def needed_terms(block: Block, df: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The items that each term is needed by (compressed rows), and the different words that a text with VERBATIM of an
-    item's words has of it at least. Of the item's words so many may be missing; of its rarest ones, that many and one
-    more, one is there."""
+    """The items that each term is needed by (compressed rows), and, for each item, how many of its different words, and of
+    these needed ones, a text with VERBATIM of its words has at least. Of the item's words so many may be missing; of its
+    rarest ones, that many and TOGETHER more, TOGETHER are there."""
     pairs, least = [], []
     for i, item in enumerate(block.items):
         missing = len(item.words) - int(np.ceil(VERBATIM * len(item.words) - 1e-9))
         rare = sorted(set(item.words), key=lambda t: (df[t], t))
-        least.append(len(rare) - missing)
-        pairs += [(t, i) for t in rare[: missing + 1]]
+        some = rare[: missing + TOGETHER]
+        least.append((len(rare) - missing, len(some) - missing))
+        pairs += [(t, i) for t in some]
     pairs.sort()
     counts = np.bincount([t for t, _ in pairs], minlength=len(df) + 1)
-    return (np.concatenate([[0], np.cumsum(counts)]), np.array([i for _, i in pairs], np.int64)), np.array(least, float)
-
-
-class SingleTerms:
-    """The passages near a window that holds one weighted term: they depend on the term alone, so they are worked out once."""
-
-    def __init__(self, space: np.ndarray, wanted: np.ndarray):
-        self.space, self.wanted = space, wanted
-        self.known = np.full(len(space), -1, np.int64)
-        self.first, self.passages, self.cosines = [0], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-
-    def near(self, windows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window, passage and cosine of each hit."""
-        new = np.unique(terms[self.known[terms] < 0])
-        for i in range(0, len(new), 256):
-            some = new[i : i + 256]
-            v = self.space[some]
-            cosine = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)) @ self.wanted
-            a, b = np.nonzero(cosine >= COSINE)
-            self.known[some] = np.arange(len(some)) + len(self.first) - 1
-            self.first += (self.first[-1] + np.cumsum(np.bincount(a, minlength=len(some)))).tolist()
-            self.passages.append(b)
-            self.cosines.append(cosine[a, b])
-        if len(new):
-            self.passages, self.cosines = [np.concatenate(self.passages)], [np.concatenate(self.cosines)]
-        first = np.array(self.first)
-        at = self.known[terms]
-        size = first[at + 1] - first[at]
-        return np.repeat(windows, size), gathered(self.passages[0], first[at], size), gathered(self.cosines[0], first[at], size)
+    return (np.concatenate([[0], np.cumsum(counts)]), np.array([i for _, i in pairs], np.int64)), np.array(least, np.int64).reshape(-1, 2)
 
 
 def search(terms: DataFrame, block: Block, df: np.ndarray, weights: np.ndarray, vectors: np.ndarray) -> DataFrame:
@@ -291,7 +265,6 @@ def search(terms: DataFrame, block: Block, df: np.ndarray, weights: np.ndarray,
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (first_of, item_of), least_same, space, wanted, heavy, whose, known, members, spread, least_words = sent.value
-        alone = SingleTerms(space, wanted)
         step = max(64, 4_000_000 // max(1, wanted.shape[1]))
         for part, ids, first in batches(frames, kind):
             used = heavy[ids]
@@ -306,11 +279,6 @@ def search(terms: DataFrame, block: Block, df: np.ndarray, weights: np.ndarray,
             n = terms_in[:-1] + np.where(follows, terms_in[1:], 0)
             windows = np.flatnonzero(n > 1)
             hits = []
-            single = np.flatnonzero(n == 1)
-            if len(single):
-                own = np.concatenate([np.where(used, ids, 0).reshape(-1, CHUNK).sum(1, dtype=np.int64), [0]])
-                w, b, cosine = alone.near(single, own[single] + np.where(follows[single], own[single + 1], 0))
-                hits.append((w, whose[b], cosine))
             for i in range(0, len(windows), step):
                 w = windows[i : i + step]
                 v = rows[w] + np.where(follows[w, None], rows[w + 1], 0)
@@ -321,11 +289,18 @@ def search(terms: DataFrame, block: Block, df: np.ndarray, weights: np.ndarray,
                 hits.append((w[a], whose[b], cosine.ravel()[near]))
             exact = np.flatnonzero(first_of[ids.astype(np.int64) + 1] > first_of[ids])
             size = (first_of[ids[exact].astype(np.int64) + 1] - first_of[ids[exact]]).astype(np.int64)
-            pairs = np.unique(np.repeat(exact // CHUNK, size).astype(np.int64) * len(known) + gathered(item_of, first_of[ids[exact]], size))
-            if not hits and not len(pairs):
+            # needed terms per item and chunk, and in the chunks around
+            chunks = len(rows)
+            pairs, counts = np.unique(gathered(item_of, first_of[ids[exact]], size) * chunks + np.repeat(exact // CHUNK, size), return_counts=True)
+            own, at = pairs // chunks, pairs % chunks
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            reach = [np.searchsorted(pairs, own * chunks + edge) for edge in (np.maximum(first[document[at]], at - spread[own]), np.minimum(first[document[at] + 1], at + 2 + spread[own]))]
+            some = upto[reach[1]] - upto[reach[0]] >= least_same[own, 1]
+            own, at = own[some], at[some]
+            if not hits and not len(own):
                 continue
-            w, item, cosine = (np.concatenate(x) for x in zip(*hits, (pairs // len(known), pairs % len(known), np.zeros(len(pairs))), strict=True))
-            asked = np.concatenate([least_words[item[: len(item) - len(pairs)]], least_same[pairs % len(known)]])
+            w, item, cosine = (np.concatenate(x) for x in zip(*hits, (at, own, np.zeros(len(own))), strict=True))
+            asked = np.concatenate([least_words[item[: len(item) - len(own)]], least_same[own, 0]])
             start = np.maximum(first[document[w]], w - spread[item]) * CHUNK
             end = np.minimum(first[document[w] + 1], w + 2 + spread[item]) * CHUNK
             held = enough(ids, start, end, item, members, asked)

@@ -38,6 +38,43 @@ def infer_frequency(hist: DataFrame, settings: DataFrame | None = None) -> DataF
     return rows.select("sheet", "dates", "median_gap", kind.alias("frequency"), source.alias("source"), issue.alias("issue"))
 
 
+def gap_histogram(dates: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """sheet, gap, n: how often each gap of days between neighbouring dates occurs, and a row with a null gap that holds
+    the first and last date and their number (first, last, n). With `after` (an earlier histogram) only dates behind its
+    last ones count, and the gaps go on from these."""
+    days = dates.select("sheet", "nav_date").distinct()
+    if after is not None:
+        ends = after.where("gap is null").select("sheet", F.col("last").alias("_last"))
+        days = days.join(ends, "sheet", "left").where(F.col("_last").isNull() | (F.col("nav_date") > F.col("_last")))
+    else:
+        days = days.withColumn("_last", F.lit(None).cast("date"))
+    gaps = days.withColumn("gap", F.date_diff("nav_date", F.coalesce(F.lag("nav_date").over(by_date()), "_last")).cast("long"))
+    counted = gaps.where("gap is not null").groupBy("sheet", "gap").agg(F.count("*").alias("n"), F.lit(None).cast("date").alias("first"), F.lit(None).cast("date").alias("last"))
+    spans = gaps.groupBy("sheet").agg(F.lit(None).cast("long").alias("gap"), F.count("*").alias("n"), F.min("nav_date").alias("first"), F.max("nav_date").alias("last"))
+    return counted.unionByName(spans)
+
+
+def merged_histograms(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two histograms of stretches that follow one another (b was made after a) as one. Nothing of the history is read."""
+    return a.unionByName(b).groupBy("sheet", "gap").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def frequency_of(histogram: DataFrame) -> DataFrame:
+    """What infer_frequency gives for the history, from its histogram: the median is exact."""
+    gaps = histogram.where("gap is not null")
+    upto = F.sum("n").over(Window.partitionBy("sheet").orderBy("gap").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = gaps.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy("sheet"))})
+    middle = lambda k: F.min(F.when(F.col("upto") >= k, F.col("gap")))
+    near_week = (F.col("gap") >= 5) & (F.least(F.col("gap") % 7, (7 - F.col("gap") % 7) % 7) <= 1)
+    per = ranked.groupBy("sheet").agg(
+        ((middle(F.floor((F.col("total") + 1) / 2)) + middle(F.floor(F.col("total") / 2) + 1)) / 2).alias("median_gap"),
+        (F.sum(F.when(near_week, F.col("n")).otherwise(0)) / F.sum("n")).alias("near"),
+    )
+    rows = histogram.where("gap is null").select("sheet", F.col("n").alias("dates")).join(per, "sheet", "left")
+    kind = F.when(F.col("dates") < 2, "daily").when(F.col("median_gap") <= 4, "daily").when(F.col("median_gap") <= 10, "weekly").when(F.col("near") >= 0.7, "weekly")
+    return rows.select("sheet", "dates", "median_gap", kind.alias("frequency"), F.when(F.col("dates") < 2, "email-source").otherwise("history").alias("source"))
+
+
 def preferred_weekday(hist: DataFrame) -> DataFrame:
     """sheet, weekday (Monday is 0): the most frequent one, among equals the one seen last."""
     per = hist.groupBy("sheet", F.weekday("nav_date").alias("weekday")).agg(F.countDistinct("nav_date").alias("n"), F.max("nav_date").alias("last"))

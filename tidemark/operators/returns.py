@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import iso_week
+from tidemark.operators import scans
 from tidemark.operators.cadence import by_date, period_ends
 
 
@@ -78,6 +79,17 @@ def max_drawdown(series: DataFrame, value: str = "unit") -> DataFrame:
     return rows.groupBy("sheet").agg(F.min("fall").alias("max_drawdown"), F.min_by("nav_date", F.struct("fall", "nav_date")).alias("trough_date"))
 
 
+def long_daily_return(series: DataFrame, value: str = "unit", days: int = 366) -> DataFrame:
+    """daily_return for series that are too long for one task: value over the one before, less 1."""
+    return scans.previous(series, value, "_last", days).withColumn("daily_return", F.col(value) / F.col("_last") - 1).drop("_last")
+
+
+def long_max_drawdown(series: DataFrame, value: str = "unit", days: int = 366) -> DataFrame:
+    """max_drawdown for series that are too long for one task."""
+    rows = scans.running_max(series, value, "_peak", days).withColumn("fall", F.col(value) / F.col("_peak") - 1)
+    return rows.groupBy("sheet").agg(F.min("fall").alias("max_drawdown"), F.min_by("nav_date", F.struct("fall", "nav_date")).alias("trough_date"))
+
+
 def calmar(series: DataFrame, returns: DataFrame, value: str, factor: float) -> DataFrame:
     fall = max_drawdown(series)
     return risk(returns, value, factor, 0.0).join(fall, "sheet").select("sheet", F.when(F.col("max_drawdown") < 0, F.col("annualised_return") / -F.col("max_drawdown")).alias("calmar"))

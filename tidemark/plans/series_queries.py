@@ -8,6 +8,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import cadence, reconcile, returns
 from tidemark.registry import query
 from tidemark.sources import adapters as A
+from tidemark.sources import snapshots
 
 
 
@@ -63,6 +64,24 @@ def h1_infer_frequency(spark, sf_dir):
     return cadence.infer_frequency(keyed(spark, sf_dir))
 
 
+@query(
+    "h1_frequency_kept_up",
+    """+ g AS (SELECT code, nav_date - lag(nav_date) OVER (PARTITION BY code ORDER BY nav_date) AS gap FROM series),
+a AS (SELECT code, count(*) AS dates, median(gap) AS m, avg(CASE WHEN gap IS NULL THEN NULL WHEN gap>=5 AND least(gap%7,(7-gap%7)%7)<=1 THEN 1 ELSE 0 END) AS near FROM g GROUP BY 1)
+SELECT code AS sheet, dates, m AS median_gap, CASE WHEN dates<2 THEN 'daily' WHEN m<=4 THEN 'daily' WHEN m<=10 THEN 'weekly' WHEN near>=0.7 THEN 'weekly' END AS frequency, CASE WHEN dates<2 THEN 'email-source' ELSE 'history' END AS source FROM a""",
+    "series",
+)
+def h1_kept_up(spark, sf_dir):
+    """Histograms of three stretches of time, each made from its own dates only; repeated dates change nothing."""
+    rows = keyed(spark, sf_dir).select("sheet", "nav_date")
+    state = None
+    for least, most in (("0001-01-01", "1996-03-31"), ("1996-03-15", "1999-06-30"), ("1999-06-30", "9999-01-01")):
+        new = rows.where(F.col("nav_date").between(F.lit(least).cast("date"), F.lit(most).cast("date")))
+        more = cadence.gap_histogram(new, state)
+        state = snapshots.stored(more if state is None else cadence.merged_histograms(state, more), "gap-histogram")
+    return cadence.frequency_of(state)
+
+
 @query(
     "h1_infer_frequency_sparse",
     """WITH g AS (SELECT DISTINCT 'K'||o_custkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), l AS (SELECT k, d, d-lag(d) OVER (PARTITION BY k ORDER BY d) AS gap FROM g),
@@ -325,6 +344,20 @@ def x2_max_drawdown(spark, sf_dir):
     return returns.max_drawdown(keyed(spark, sf_dir)).select("sheet", A.rounded("max_drawdown", 8).alias("max_drawdown"), "trough_date")
 
 
+@query(
+    "x2_long_max_drawdown",
+    "+ p AS (SELECT code AS sheet, nav_date, unit/max(unit) OVER (PARTITION BY code ORDER BY nav_date)-1 AS f FROM series) SELECT sheet, rnd(min(f),8) AS max_drawdown, min_by(nav_date, struct_pack(f:=f, d:=nav_date)) AS trough_date FROM p GROUP BY 1",
+    "series",
+)
+def x2_long_drawdown(spark, sf_dir):
+    return returns.long_max_drawdown(keyed(spark, sf_dir)).select("sheet", A.rounded("max_drawdown", 8).alias("max_drawdown"), "trough_date")
+
+
+@query("h7_long_daily_return", "SELECT code AS sheet, nav_date, rnd(unit/lag(unit) OVER (PARTITION BY code ORDER BY nav_date)-1,8) AS daily_return FROM series", "series")
+def h7_long_return(spark, sf_dir):
+    return returns.long_daily_return(keyed(spark, sf_dir), days=100).select("sheet", "nav_date", A.rounded("daily_return", 8).alias("daily_return"))
+
+
 @query(
     "x2_calmar",
     """+ p AS (SELECT code AS sheet, unit/max(unit) OVER (PARTITION BY code ORDER BY nav_date)-1 AS f, unit/lag(unit) OVER (PARTITION BY code ORDER BY nav_date)-1 AS r FROM series)

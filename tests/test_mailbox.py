@@ -44,6 +44,7 @@ def test_read_with_conditions(source, tmp_path):
     got = df.where((F.col("sender") == "desk1@example.com") & (F.col("sent_at") >= F.lit("2026-02-20").cast("timestamp")) & (F.col("mailbox") == "b")).select("message_id", "plain", "html").collect()
     assert sorted(r.message_id for r in got) == sorted(f"b{u}" for u in range(1, 61) if u % 3 == 1 and u % 7 and u >= 50)
     assert all(r.plain and r.html is None for r in got)
+    assert df.where("uid > 1000").count() == 0
     assert df.where("sender is null").count() == 2 * len([u for u in range(1, 61) if u % 7 == 0])
 
 

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import audit, cadence, extract, layout, plan, quality, reconcile, reports, update
+from tidemark.operators import audit, cadence, extract, layout, plan, quality, reconcile, reports, update, versions
 from tidemark.registry import query
 from tidemark.sources import adapters as A
 from tidemark.sources import mailbox as boxes
@@ -831,3 +831,17 @@ def n1_mailbox(spark, sf_dir):
         job.awaitTermination()
         if not job.lastProgress or not job.lastProgress["numInputRows"]:
             return spark.read.schema("mailbox string, uid long, message_id string").parquet(f"{base}/rows")
+
+
+@query(
+    "l4_changed_ranges",
+    """WITH old AS (SELECT 'L'||(o_custkey%10) AS sheet, CAST(o_orderkey AS INTEGER) AS r FROM orders), d AS (SELECT DISTINCT sheet, r FROM old WHERE r%97<3 OR (sheet='L3' AND r%8=7)),
+g AS (SELECT *, r-row_number() OVER (PARTITION BY sheet ORDER BY r) AS k FROM d) SELECT sheet, min(r) AS first_row, max(r) AS last_row, count(*) AS cells FROM g GROUP BY sheet, k""",
+)
+def l4_ranges(spark, sf_dir):
+    """Orders as cells of ten sheets; in the second version some rows' values are others, and rows of one sheet are gone."""
+    rows = A.table(spark, sf_dir, "orders").select(F.concat(F.lit("L"), F.col("o_custkey") % 10).alias("sheet"), F.col("o_orderkey").cast("int").alias("row"), F.lit(1).alias("col"), F.lit("value").alias("kind"), F.col("o_totalprice").cast("string").alias("value"))
+    new = rows.where((F.col("sheet") != "L3") | (F.col("row") % 8 != 7)).withColumn("value", F.when(F.col("row") % 97 < 3, F.concat("value", F.lit("0"))).otherwise(F.col("value")))
+    old, new = snapshots.stored(rows, "cells"), snapshots.stored(new, "cells")
+    trees = [snapshots.stored(versions.digest_tree(x), "digests") for x in (old, new)]  # kept with a version
+    return versions.changed_ranges(old, new, versions.differing_blocks(*trees))

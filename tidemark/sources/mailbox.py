@@ -114,8 +114,11 @@ def kept(table: pa.Table, group: Group, conditions: list[tuple[str, str, object]
     return table.filter(pc.fill_null(keep, False))
 
 
-def taken(store: Store, group: Group, columns: list[str], conditions: list) -> Iterator[pa.RecordBatch]:
-    """The messages of a group that pass, with the columns of the schema; bodies only if one passes."""
+def taken(store: Store, group: Group | None, columns: list[str], conditions: list) -> Iterator[pa.RecordBatch]:
+    """The messages of a group that pass, with the columns of the schema; bodies only if one passes. Spark asks for no
+    group (None) where there is none."""
+    if group is None:
+        return
     heads = kept(store.read(group, HEADERS), group, conditions)
     if not heads.num_rows:
         return

@@ -1,12 +1,13 @@
 """Reading of benchmarks, and reports, snapshots and versions written to shared storage.
 
-Writes go below spark.checkpoint.dir, which driver and executors share; only where it is unset (tests) a temporary
-folder is used. Every write is a Parquet or JSON dataset that Spark commits whole.
+Writes go below spark.checkpoint.dir, which driver and executors share; only where it is unset in local
+mode (tests) a temporary folder is used. Every write is a Parquet or JSON dataset that Spark commits whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ from tidemark.functions.scalars import parse_date
 def fresh_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,15 +9,11 @@ blocks (one shingle's column after another, dealt by Spark), and only where the
 - Overlaps are accumulated over these columns. Pairs whose sizes differ by more than the factor t, or whose count is
   below what the two sizes ask for, are dropped; the rest is verified on whole sets.
 
-Long columns (large groups of near copies) would give pairs in the square of their length. There each row is compared
-with a pivot. Rows linked with it are a group, one component already, and need no links among each other; rows near the
-group are compared with some of its members, and join it if one links. What isn't gathered so is compared with those
-members that may be within the threshold: Jaccard distance is a metric, so distances to the pivot tell, and parity
-bitmaps of two sets bound it from below (each differing bit needs a differing shingle). What is left of a column goes on
-with another pivot, until it is short enough to be compared outright. Columns that stay long hold sets that have little
-in common but that shingle: they are
-divided by a second shared shingle, which linked sets must have in prefixes that are longer by one. So no link between
-two components is lost.
+Long columns (large groups of near copies) would give pairs in the square of their length. There each row is first
+compared with one pivot, the most central row. Rows linked with the pivot need no links among each other, as they are
+one component already. A pair with an unlinked row is compared if sizes, distances to the pivot (Jaccard distance is
+a metric; where a distance isn't measured, the bitmaps give a bound) and the parity bitmaps of the two sets (each differing bit needs a differing shingle) leave it a chance. So
+no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -27,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, discard, in_worker, staged
+from tidemark.llm.common import bounded_batches, in_worker, staged
 
 WIDTH = 4
 #: A shingle is common if it makes up this share of all shingles, so at most 1 / COMMON of them can be.
@@ -39,9 +35,6 @@ COMMON = 1e-6
 LOOK, LOCAL = 1 << 20, 3
 #: Columns of up to so many rows are multiplied outright.
 LONG = 48
-#: Pivots that a long column is compared with, one after the other; how often a pivot's group then grows, and by how many
-#: of its members at a time.
-LEVELS, GROWTH, DRAWN = 3, 2, 6
 #: Bits of the parity bitmaps: the power of two next above the set's size, within these bounds.
 LEAST_BITS, MOST_BITS = 256, 8192
 
@@ -124,7 +117,6 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     counted = staged(counted, "shingle-counts")
     total = counted.where("id = -1").agg(F.sum("n")).first()[0] or 0
     ids = counted.where((F.col("id") != -1) & (F.col("n") >= max(20.0, COMMON * total))).select("id").toPandas()["id"]  # at most 1 / COMMON rows
-    discard(counted)
     return np.sort(ids.to_numpy(np.int64).view(np.uint64))
 
 
@@ -132,11 +124,6 @@ def prefix_size(n: int, pct: int) -> int:
     return n - -(-pct * n // 100) + 1
 
 
-def prefix_length(n: Column, pct: int) -> Column:
-    """prefix_size of a column."""
-    return (n - F.ceil(n * pct / 100) + 1).cast("int")
-
-
 def signatures(docs: DataFrame, common: np.ndarray, pct: int) -> DataFrame:
     """doc_id, n, cls (a hash of the shingle set), spread (share of shingles that aren't common, in 1/1000), prefix and
     bits (parity bitmap)."""
@@ -154,7 +141,7 @@ def signatures(docs: DataFrame, common: np.ndarray, pct: int) -> DataFrame:
                     at = np.searchsorted(ids, s)
                     often = ids[np.minimum(at, len(ids) - 1)] == s if len(ids) else np.zeros(len(s), bool)
                     rare = s[~often]
-                    p = prefix_size(len(s), pct) + 1  # one more, for by_two_shingles
+                    p = prefix_size(len(s), pct)
                     first = rare[:p] if len(rare) >= p else np.concatenate([rare, s[often][: p - len(rare)]])
                     size = min(MOST_BITS, max(LEAST_BITS, 1 << len(s).bit_length()))
                     bits = np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).view(np.int64)
@@ -180,9 +167,10 @@ def folded(bits: Column, other: Column) -> Column:
     return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(bits)
 
 
-def differing(x: Column, y: Column) -> Column:
-    """Bits in which two bitmaps differ: the least that the symmetric difference of the sets can be. A bitmap that is more
-    than twice as long as the other is told apart by its size alone, so it counts as nothing here."""
+def differing(bits1: str, bits2: str) -> Column:
+    """Bits in which two bitmaps differ: the least that the symmetric difference of the sets can be. Of sets whose
+    bitmaps differ in length by more than a factor of two nothing is said."""
+    x, y = F.col(bits1), F.col(bits2)
     apart = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     for words in (8, 4):  # the usual lengths, without making arrays
         each = [F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(words)]
@@ -193,7 +181,13 @@ def differing(x: Column, y: Column) -> Column:
 def may_link(n1: str, n2: str, bits1: str, bits2: str, pct: int) -> Column:
     """Whether sizes and bitmaps leave two sets a chance to link. Linked sets differ in size by less than a factor of two,
     so one bitmap is at most twice as long as the other."""
-    return fits(n1, n2, pct) & (differing(F.col(bits1), F.col(bits2)) <= may_differ(F.col(n1) + F.col(n2), pct))
+    return fits(n1, n2, pct) & (differing(bits1, bits2) <= may_differ(F.col(n1) + F.col(n2), pct))
+
+
+def least_distance(n1: str, n2: str, bits1: str, bits2: str) -> Column:
+    """The least Jaccard distance that sizes and bitmaps allow."""
+    least = F.greatest(differing(bits1, bits2), F.abs(F.col(n1) - F.col(n2)))
+    return 2 * least / (F.col(n1) + F.col(n2) + least)
 
 
 def least_shared(na: str, nb: str, pct: int) -> Column:
@@ -224,15 +218,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("seen"))
         merged = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
         merged = staged(merged, "labels")
-        discard(labels)
         up = merged.select(F.col("node").alias("at"), F.col("label").alias("higher"))
         jumped = merged.join(up, merged["label"] == up["at"], "left").select("node", F.least("label", F.coalesce("higher", "label")).alias("label"), "was")
         jumped = staged(jumped, "labels")
-        discard(merged)
         labels = jumped.select("node", "label")
-        labels._stored_at = jumped._stored_at
         if not jumped.where("label <> was").limit(1).count():
-            discard(both)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")
 
@@ -240,9 +230,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     """Verified links (a, b) among representatives. bodies: rep, n, spread, prefix, bits. Columns are dealt once by
     shingle; those with one row, nearly all, end there."""
-    columns = bodies.select("rep", "n", F.explode(F.slice("prefix", F.lit(1), prefix_length(F.col("n"), pct))).alias("h"))
-    sizes = columns.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    shared = staged(columns.join(sizes, "h").select("h", "rep", "n", "m"), "columns")
+    columns = bodies.select("rep", "n", "spread", F.explode("prefix").alias("h"))
+    column = Window.partitionBy("h")
+    shared = columns.withColumns({"m": F.count("*").over(column), "p": F.min(F.struct("spread", "rep", "n")).over(column)}).where("m > 1")
+    shared = staged(shared.select("h", "rep", "n", "m", F.col("p.rep").alias("pivot")), "columns")
     rows = shared.groupBy("rep").agg(F.count_if(F.col("m") > LONG).alias("long"))
     short = shared.where(F.col("m") <= LONG)
     x, y = short.select("h", F.col("rep").alias("a"), F.col("n").alias("na")), short.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"))
@@ -251,132 +242,34 @@ def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     met = met.join(rows.select(F.col("rep").alias("a"), F.col("long").alias("la")), "a").join(rows.select(F.col("rep").alias("b"), F.col("long").alias("lb")), "b")
     outright = met.where(F.col("shared") + F.least("la", "lb") >= least_shared("na", "nb", pct)).select("a", "b")
 
-    long = shared.where(F.col("m") > LONG).select("h", "rep")
-    facts = staged(bodies.select("rep", "n", "spread", "bits").dropDuplicates(["rep"]).join(long.select("rep").distinct(), "rep"), "facts")
-    left = staged(long, "long-columns")
-    outright = staged(outright.distinct(), "pairs")
-    discard(shared)
-    links, second, seen, stored = [], [], [], [facts, left]
-    for level in range(LEVELS):
-        if left.isEmpty():
-            break
-        rows, group = gathered_by_pivots(left, level, outright if level == 0 else None, facts, sets_of, pct, links, seen, stored)
-        second.append(group)
-        rest = staged(rows.join(rows.groupBy("h").agg(F.count("*").alias("m")), "h"), "rest-of-columns")
-        stored.append(rest)
-        second.append(met_within(rest.where(F.col("m") <= LONG), ["h"]))
-        left = rest.where(F.col("m") > LONG).select("h", "rep")
-    else:
-        # what no pivot gathers: linked sets share two shingles of prefixes that are longer by one
-        second.append(met_within(by_two_shingles(left, bodies), ["h", "g"]))
-    if not second:  # no long columns
-        found = told_of(outright, sets_of, pct)
-        discard(*stored, outright)
-        return found.where("near").select("a", "b")
-    pairs = second[0]
-    for some in second[1:]:
-        pairs = pairs.union(some)
-    pairs = pairs.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-    pairs = differing_facts(pairs, facts).where(fits("na", "nb", pct) & (F.col("differ") <= may_differ(F.col("na") + F.col("nb"), pct))).select("a", "b")
-    for some in seen:
-        pairs = pairs.join(some, ["a", "b"], "left_anti")
-    pairs = staged(pairs, "pairs")
-    last = told_of(pairs, sets_of, pct)
-    links.append(last.where("near").select("a", "b"))
-    every = links[0]
-    for some in links[1:]:
-        every = every.union(some)
-    found = staged(every, "links")
-    discard(*stored, outright, pairs, last)
-    return found
-
-
-def told_of(pairs: DataFrame, sets_of, pct: int) -> DataFrame:
-    """The verified pairs, stored; their sets are stored no longer than that takes."""
-    sets = sets_of(both_sides(pairs))
-    told = staged(verified(pairs, sets, pct), "overlaps")
-    discard(sets)
-    return told
-
-
-def both_sides(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-
-
-def differing_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """pairs (a, b) with the sizes na, nb and differ, the least difference that the bitmaps allow."""
-    for side in "ab":
-        pairs = pairs.join(facts.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
-    return pairs.withColumn("differ", differing(F.col("bitsa"), F.col("bitsb"))).drop("bitsa", "bitsb")
-
-
-def ordered(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def gathered_by_pivots(left: DataFrame, level: int, more: DataFrame | None, facts: DataFrame, sets_of, pct: int, links: list, seen: list, stored: list) -> tuple[DataFrame, DataFrame]:
-    """The rows (h, rep) of long columns that no pivot gathers, and the pairs (rep1, rep2) of such rows with gathered ones
-    that are still to be compared. Verified pairs are added to links and seen, and `more` are verified with the first.
-
-    Each column has a pivot: first the row with the fewest rare shingles, on later levels one that is drawn, so that a
-    large group is soon met. Columns of one group share it, so all goes on by pivot. Rows that link with it are its
-    group; rows that don't, but are near, are compared with DRAWN members of the group, and join it if one links: each
-    row is compared with few, and all of a group of near copies are soon gathered. Distances to the pivot that may
-    matter are measured; others are the least that the bitmaps allow."""
-    apart = (100 - pct) / 100 + 1e-9
-    order = F.struct("spread", "rep") if level == 0 else F.struct(F.xxhash64("rep", F.lit(level)).alias("spread"), "rep")
-    centre = left.join(facts.select("rep", "spread"), "rep").groupBy("h").agg(F.min(order).alias("p")).select("h", F.col("p.rep").alias("pivot"))
-    met = left.join(centre, "h")
-    star = differing_facts(met.select("pivot", "rep").distinct().select("pivot", "rep", *ordered("pivot", "rep")), facts)
-    least = F.greatest("differ", F.abs(F.col("na") - F.col("nb")))
-    star = staged(star.select("pivot", "rep", "a", "b", (2 * least / (F.col("na") + F.col("nb") + least)).alias("least")), "beside-pivots")
-    pairs = star.where((F.col("a") != F.col("b")) & (F.col("least") <= (1 + GROWTH) * apart)).select("a", "b")
-    pairs = staged((pairs.union(more) if more is not None else pairs).distinct(), "pairs")
-    told = told_of(pairs, sets_of, pct)
-    links.append(told.where("near").select("a", "b"))
-    seen.append(told.select("a", "b"))
-    own = F.col("a") == F.col("b")
-    group = star.join(told, ["a", "b"], "left").select("pivot", "rep", (own | F.coalesce("near", F.lit(False))).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("far", "least")).alias("far"), (own | F.col("far").isNotNull()).alias("exact"))
-    group = staged(group, "groups")
-    discard(star, pairs)
-    stored += [told, group]
-    for step in range(1, GROWTH + 1):
-        near = group.where(~F.col("near") & (F.col("far") <= (1 + step) * apart))
-        drawn = group.where("near").groupBy("pivot").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("rep", F.lit(100 * level + 10 * step + i)).alias("x"), "rep"))["rep"] for i in range(DRAWN)])).alias("drawn"))
-        asked = near.join(drawn, "pivot").select("pivot", "rep", F.explode("drawn").alias("q"))
-        pairs = differing_facts(asked.where("q <> pivot").select(*ordered("rep", "q")).distinct(), facts)
-        pairs = staged(pairs.where(fits("na", "nb", pct) & (F.col("differ") <= may_differ(F.col("na") + F.col("nb"), pct))).select("a", "b"), "pairs")
-        stored.append(pairs)
-        if pairs.isEmpty():
-            break
-        told = told_of(pairs, sets_of, pct)
-        links.append(told.where("near").select("a", "b"))
-        seen.append(told.select("a", "b"))
-        joined = asked.select("pivot", "rep", *ordered("rep", "q")).join(told.where("near"), ["a", "b"]).select("pivot", "rep", F.lit(True).alias("_joined")).distinct()
-        group = staged(group.join(joined, ["pivot", "rep"], "left").withColumn("near", F.col("near") | F.coalesce("_joined", F.lit(False))).drop("_joined"), "groups")
-        stored += [told, group]
-    # by the triangle, rows link only if their distances to the pivot differ by no more than the threshold
-    ring = F.floor(F.col("far") / apart).cast("int")
-    members = group.where("near").select("pivot", ring.alias("ring"), F.col("rep").alias("rep1"), F.col("far").alias("far1"))
-    outer = F.when(F.col("exact"), ring + 1).otherwise(F.lit(int(1 / apart) + 1))
-    others = group.where(~F.col("near")).select("pivot", F.col("rep").alias("rep2"), F.col("far").alias("far2"), "exact", F.explode(F.sequence(F.greatest(ring - 1, F.lit(0)), outer)).alias("ring"))
-    close = (F.col("far2") - F.col("far1") <= apart) & (~F.col("exact") | (F.col("far1") - F.col("far2") <= apart))
-    open_pairs = members.join(others, ["pivot", "ring"]).where(close).select("rep1", "rep2")
-    rows = met.join(group.where(~F.col("near")).select("pivot", "rep"), ["pivot", "rep"]).select("h", "rep")
-    return rows, open_pairs
-
-
-def met_within(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of rows under one key."""
-    one, two = (rows.select(*keys, F.col("rep").alias(f"rep{k}")) for k in (1, 2))
-    return one.join(two, keys).where(F.col("rep1") < F.col("rep2")).select("rep1", "rep2").distinct()
-
-
-def by_two_shingles(left: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Rows under each pair of their column's shingle and another one of their longer prefix."""
-    more = bodies.select("rep", "prefix").dropDuplicates(["rep"])
-    each = left.join(more, "rep").select("h", "rep", F.explode("prefix").alias("g")).where("g <> h")
-    return each.withColumns({"h": F.least("h", "g"), "g": F.greatest("h", "g")}).dropDuplicates(["h", "g", "rep"])
+    long = shared.where(F.col("m") > LONG).select("h", "rep", "n", "pivot")
+    long = staged(long.join(bodies.select("rep", "bits").dropDuplicates(["rep"]), "rep"), "long-columns")
+    centre = long.where(F.col("rep") == F.col("pivot")).select("h", F.col("n").alias("pn"), F.col("bits").alias("pbits"))
+    starred = long.join(centre.dropDuplicates(["h"]), "h").where((F.col("rep") != F.col("pivot")) & may_link("n", "pn", "bits", "pbits", pct))
+    starred = starred.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    first = staged(outright.union(starred).distinct(), "pairs")
+    sets = sets_of(first.select(F.col("a").alias("rep")).union(first.select("b")).distinct())
+    told = staged(verified(first, sets, pct), "overlaps")
+    links = told.where("near").select("a", "b")
+
+    # second pass over long columns: pairs with at least one row that isn't linked with the pivot
+    bound = long.join(centre.dropDuplicates(["h"]), "h").withColumn("low", least_distance("n", "pn", "bits", "pbits")).drop("pn", "pbits")
+    keyed = bound.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(told, ["a", "b"], "left")
+    keyed = keyed.select("h", "rep", "n", "bits", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.coalesce("far", "low")).alias("low"), F.when(F.col("rep") == F.col("pivot"), True).otherwise(F.coalesce("near", F.lit(False))).alias("near"), F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far"))
+    keyed = staged(keyed, "long-rows")
+    out = keyed.where("not near").select("h", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits", "far", "low")])
+    any_ = keyed.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits", "near", "far", "low")])
+    chance = (
+        (F.col("rep1") != F.col("rep2"))
+        & (F.col("near2") | (F.col("rep1") < F.col("rep2")))
+        & F.coalesce(F.col("low1") - F.col("far2") <= (100 - pct) / 100 + 1e-9, F.lit(True))
+        & F.coalesce(F.col("low2") - F.col("far1") <= (100 - pct) / 100 + 1e-9, F.lit(True))
+        & may_link("n1", "n2", "bits1", "bits2", pct)
+    )
+    second = out.join(any_, "h").where(chance).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+    second = staged(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    sets = sets_of(second.select(F.col("a").alias("rep")).union(second.select("b")).distinct())
+    return links.union(verified(second, sets, pct).where("near").select("a", "b"))
 
 
 def join(docs: DataFrame, pct: int = 85) -> DataFrame:
@@ -407,7 +300,8 @@ def join(docs: DataFrame, pct: int = 85) -> DataFrame:
         rows = texts.join(classes.select("doc_id", "cls", "rep").join(wanted, "rep"), "doc_id").select("rep", "cls", "text")
         return staged(rows.mapInPandas(collect, "rep long, s array<long>").dropDuplicates(["rep"]), "sets")
 
-    found = components(link_candidates(bodies, sets_of, pct))
+    links = staged(link_candidates(bodies, sets_of, pct), "links")
+    found = components(links)
     least = found.join(classes.select("rep", "doc_id"), found["node"] == F.col("rep")).groupBy("component").agg(F.min("doc_id").alias("least"))
     merged = found.join(least, "component").select("node", "least")
     of_class = classes.join(merged, classes["rep"] == merged["node"], "left").select("cls", F.col("doc_id").alias("class_id"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -266,7 +266,7 @@ def search(terms: DataFrame, block: Block, df: np.ndarray, weights: np.ndarray,
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (first_of, item_of), least_same, space, wanted, heavy, whose, known, members, spread, least_words = sent.value
         step = max(64, 4_000_000 // max(1, wanted.shape[1]))
-        for part, ids, first in batches(frames, kind):
+        for part, ids, first in batches(frames, kind, 100):  # what is held grows with the candidates of so many documents
             used = heavy[ids]
             at = np.flatnonzero(used)
             edge = np.concatenate([[True], np.diff(at // CHUNK) > 0])[: len(at)]

@@ -2,6 +2,8 @@
 
 import pandas as pd
 
+from tidemark.catalog import QUERIES
+from tidemark.operators import filters
 from tidemark.streaming import jobs
 
 
@@ -43,3 +45,12 @@ def test_a_buckets_codes_are_written_together():
     told = pd.concat(job.handleInputRows(("2026-01-01", 7), iter([again]), Timers())).set_index("code")
     assert told.loc["B", "conflict"] and told.loc["B", "n"] == 2
     assert handle.state.writes == 2 and len(handle.timers) == 1 and sorted(r[0] for r in handle.state.rows) == ["A", "B"]
+
+
+def test_texts_beyond_the_limit_are_not_made(spark, tmp_path):
+    rows = [(1, "x" * 100_000), (4, "ab"), (6, "x\n" * 40_000), (2, "y"), (3, "y"), (5, "a\nb"), (14, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.reject for r in QUERIES["b13_resource_guard"](spark, str(tmp_path)).collect()}
+    assert got == {1: "too many characters", 4: "too many characters", 6: "too many rows", 2: "too many columns", 3: "too many tables", 5: None, 14: None}
+    declared = spark.createDataFrame([(None, 2_000_001), ("a", 1)], "t string, n long")
+    assert [r.reject for r in filters.resource_guard(declared, "t", "n").collect()] == ["too many characters", None]

@@ -113,17 +113,19 @@ def batch_cursor(batch: DataFrame, key: str) -> DataFrame:
     return batch.groupBy(key).agg(F.min(F.when(F.col("taken"), F.col("uid"))).alias("next_before"), F.bool_and(F.col("taken") | F.col("oversize")).alias("complete"), F.count_if("taken").alias("taken"))
 
 
-def resource_guard(df: DataFrame, text_col: str) -> DataFrame:
+def resource_guard(df: DataFrame, text_col: str, size_col: str | None = None) -> DataFrame:
     """Adds reject: the limit that a text breaks, or null. Lines are measured in one pass; tables are counted by their
-    opening tags."""
+    opening tags. Only texts within the limit of characters are looked into. size_col: their characters where these are
+    known beforehand, as of a source that declares its size; a larger text then needs not be there."""
     c = F.coalesce(text_col, F.lit(""))
+    size = F.greatest(F.length(c), F.coalesce(size_col, F.lit(0))) if size_col else F.length(c)
     widths = F.transform(F.split(c, "\n"), lambda x: F.length(x) - F.length(F.translate(x, "|\t,;", "")) + 1)
-    rows = df.withColumn("_widths", widths)
+    rows = df.withColumn("_widths", F.when(size <= MAX_CHARS, widths))
     lines, width = F.size("_widths"), F.array_max("_widths")
     cells = F.aggregate("_widths", F.lit(0).cast("long"), lambda total, x: total + x)
     tables = F.regexp_count(c, F.lit(r"(?i)<table\b"))
     reject = (
-        F.when(F.length(c) > MAX_CHARS, "too many characters")
+        F.when(size > MAX_CHARS, "too many characters")
         .when(tables > MAX_TABLES, "too many tables")
         .when(lines > MAX_ROWS, "too many rows")
         .when(width > MAX_COLUMNS, "too many columns")

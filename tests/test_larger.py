@@ -3,7 +3,7 @@
 import pandas as pd
 
 from tidemark.catalog import QUERIES
-from tidemark.operators import filters
+from tidemark.operators import filters, routing
 from tidemark.streaming import jobs
 
 
@@ -54,3 +54,14 @@ def test_texts_beyond_the_limit_are_not_made(spark, tmp_path):
     assert got == {1: "too many characters", 4: "too many characters", 6: "too many rows", 2: "too many columns", 3: "too many tables", 5: None, 14: None}
     declared = spark.createDataFrame([(None, 2_000_001), ("a", 1)], "t string, n long")
     assert [r.reject for r in filters.resource_guard(declared, "t", "n").collect()] == ["too many characters", None]
+
+
+def test_pairs_of_routes_are_not_shuffled(spark):
+    m = spark.createDataFrame([("m1", "a", "nav x"), ("m2", "a", "report"), ("m3", "a", "nav x"), ("m4", "b", "nav")], "message_id string, sender string, subject string")
+    r = spark.createDataFrame([("s1", "a", None), ("s2", "a", "nav"), ("s3", "a", None), ("s1", "b", None), ("s3", "b", "nav")], "sheet string, sender string, subject_contains string")
+    pairs = routing.route_overlaps(m, r, spread=4)
+    assert sorted(map(tuple, pairs.collect())) == [
+        ("s1", "s2", "subject", 2, ["m1", "m3"]), ("s1", "s3", "sender", 3, ["m1", "m2", "m3"]), ("s1", "s3", "subject", 1, ["m4"]), ("s2", "s3", "subject", 2, ["m1", "m3"]),
+    ]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any(word in line for line in plan[: next(i for i, x in enumerate(plan) if "Join" in x)] for word in ("Aggregate", "Repartition"))

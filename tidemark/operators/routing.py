@@ -160,28 +160,36 @@ def unconfigured_rows(obs: DataFrame, routes: DataFrame) -> DataFrame:
     return obs.where(F.col("code").isNotNull()).join(match, ["sender", "code"], "left_anti").groupBy("sender").agg(F.count("*").alias("n_rows"), F.count_distinct("message_id").alias("n_messages"))
 
 
-def route_overlaps(messages: DataFrame, routes: DataFrame, ids: int = 5, salts: int = 64) -> DataFrame:
+def route_overlaps(messages: DataFrame, routes: DataFrame, ids: int = 5, salts: int = 64, spread: int = 240) -> DataFrame:
     """Pairs of routes that apply to one message: route_a, route_b, reason (`subject` where one of them has a subject
     condition, else `sender`), messages, first_ids.
 
-    Messages are counted per kind (sender and subject) first, then per set of routes, and pairs are made of the distinct
-    sets; the first ids are found per salt before they meet."""
+    Messages are counted per kind (sender and subject) first, with their first ids per salt before these meet. Sheets that
+    apply to the same kinds are one class; numbers are found per pair of classes. There are as many rows as pairs of
+    sheets, so these are made last, `spread` tasks at a time, and are not shuffled."""
     subject = F.coalesce(F.col("subject"), F.lit("")) if "subject" in messages.columns else F.lit("")
     condition = F.lit(False)
     for c in ("subject_contains", "subject_excludes"):
         if c in routes.columns:
             condition = condition | F.col(c).isNotNull()
-    sets = applicable(messages, routes).groupBy("sender", "subject").agg(F.array_sort(F.collect_set("sheet")).alias("sheets"), F.collect_set(F.when(condition, F.col("sheet"))).alias("_limited")).where(F.size("sheets") > 1)
-    rows = messages.select("message_id", "sender", subject.alias("subject")).distinct().join(sets, ["sender", "subject"])
-    salt = F.pmod(F.xxhash64("message_id"), F.lit(salts))
-    first = Window.partitionBy("sheets", "_limited", "_salt").orderBy("message_id")
-    rows = rows.withColumn("_salt", salt).withColumn("_n", F.row_number().over(first))
+    said = messages.select("message_id", "sender", subject.alias("subject"), F.pmod(F.xxhash64("message_id"), F.lit(salts)).alias("_salt")).distinct()
+    first = Window.partitionBy("sender", "subject", "_salt").orderBy("message_id")
     some = F.collect_list(F.when(F.col("_n") <= ids, F.col("message_id")))
-    per = rows.groupBy("sheets", "_limited", "_salt").agg(F.count("*").alias("n"), some.alias("ids")).groupBy("sheets", "_limited").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, ids).alias("ids"))
-    a = per.select("*", F.posexplode("sheets").alias("_i", "route_a"))
-    pairs = a.select("route_a", "n", "ids", "_limited", F.explode(F.slice("sheets", F.col("_i") + 2, F.size("sheets"))).alias("route_b"))
-    reason = F.when(F.array_contains("_limited", F.col("route_a")) | F.array_contains("_limited", F.col("route_b")), "subject").otherwise("sender")
-    return pairs.groupBy("route_a", "route_b", reason.alias("reason")).agg(F.sum("n").alias("messages"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, ids).alias("first_ids"))
+    least = lambda lists: F.slice(F.array_sort(F.flatten(F.collect_list(lists))), 1, ids)
+    kinds = said.withColumn("_n", F.row_number().over(first)).groupBy("sender", "subject", "_salt").agg(F.count("*").alias("n"), some.alias("ids"))
+    kinds = kinds.groupBy("sender", "subject").agg(F.sum("n").alias("n"), least("ids").alias("ids"))
+    apply = applicable(messages, routes).groupBy("sheet", "sender", "subject").agg(F.bool_or(condition).alias("limited"))
+    kind = F.struct("sender", "subject", "limited")
+    classed = apply.groupBy("sheet").agg(F.array_sort(F.collect_list(kind)).alias("kinds")).withColumn("class", F.sha2(F.to_json("kinds"), 256))
+    sheets = classed.select("sheet", "class")
+    held = classed.groupBy("class").agg(F.first("kinds").alias("kinds")).select("class", F.inline("kinds"))
+    side = lambda x: held.select("sender", "subject", F.col("class").alias(f"class_{x}"), F.col("limited").alias(f"limited_{x}"))
+    reason = F.when(F.col("limited_a") | F.col("limited_b"), "subject").otherwise("sender")
+    per = side("a").join(side("b"), ["sender", "subject"]).join(kinds, ["sender", "subject"]).groupBy("class_a", "class_b", reason.alias("reason")).agg(F.sum("n").alias("messages"), least("ids").alias("first_ids"))
+    a = sheets.select(F.col("class").alias("class_a"), F.col("sheet").alias("route_a")).join(per, "class_a")
+    a = a.withColumn("_part", F.pmod(F.xxhash64("route_a"), F.lit(salts))).repartition(spread, "class_b", "_part")
+    b = sheets.select(F.col("class").alias("class_b"), F.col("sheet").alias("route_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("_part")).repartition(spread, "class_b", "_part")
+    return a.join(b, ["class_b", "_part"]).where("route_a < route_b").select("route_a", "route_b", "reason", "messages", "first_ids")
 
 
 def row_overlaps(obs: DataFrame, routes: DataFrame, ids: int = 5) -> DataFrame:

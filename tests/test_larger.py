@@ -1,10 +1,24 @@
 """Queries over tables with greater keys, sparser dates and longer texts than the smallest tables have."""
 
+import datetime as dt
+
+import duckdb
 import pandas as pd
 
-from tidemark.catalog import QUERIES
+from tidemark.catalog import ORACLES, QUERIES
 from tidemark.operators import filters, routing
 from tidemark.streaming import jobs
+from tests.test_oracle import spelt
+
+
+def both(spark, name, folder, *tables):
+    """The rows of a query and of its SQL over tables of a folder."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    df, result = QUERIES[name](spark, str(folder)), con.execute(ORACLES[name])
+    names = [d[0] for d in result.description]
+    return spelt(df.collect(), sorted(names)), spelt([dict(zip(names, r, strict=True)) for r in result.fetchall()], sorted(names))
 
 
 class FakeState:
@@ -65,3 +79,11 @@ def test_pairs_of_routes_are_not_shuffled(spark):
     ]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not any(word in line for line in plan[: next(i for i, x in enumerate(plan) if "Join" in x)] for word in ("Aggregate", "Repartition"))
+
+
+def test_a_history_without_third_days(spark, tmp_path):
+    days = [dt.datetime(1999, 3, d) for d in (8, 16, 25)]
+    rows = [(1, k, 100.0 + i, 2.0, d) for k in range(6) for i, d in enumerate(days)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, want = both(spark, "h5_pending_week", tmp_path, "lineitem")
+    assert len(got) == 6 and got == want

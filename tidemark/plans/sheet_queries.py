@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -638,15 +639,16 @@ def i4_keep(spark, sf_dir):
 
 @query("h5_pending_week", "SELECT DISTINCT sheet, number_of(sheet)%6=0 AS pending FROM hist", "hist")
 def h5_pending(spark, sf_dir):
-    """A candidate in the week after the last finished one. By sheet: pending; stale; another code; history without a
-    value; a candidate after as_of; none that is new."""
+    """A candidate in the week after the last finished one. By sheet: pending; stale; another code; history whose first
+    date has no value; a candidate after as_of; none that is new."""
     k = F.substring("sheet", 2, 9).cast("int") % 6
     h = cadence.period_ends(A.hist(spark, sf_dir), "weekly", day("2030-01-01"))
     tail = h.groupBy("sheet").agg(F.max("nav_date").alias("t"))
     monday = F.date_add(S.iso_week("t"), 7)
     new = tail.where(k != 5).select("sheet", F.when(k == 4, F.date_add(monday, 3)).otherwise(monday).alias("nav_date"), F.when(k == 2, "ELSE").otherwise(F.col("sheet")).alias("code"), F.lit(1.0).alias("unit"), F.lit(1.5).alias("cumulative"))
     cand = new.unionByName(h.select(*new.columns))
-    gaps = h.withColumn("cumulative", F.when(~((k == 3) & (F.day("nav_date") == 3)), F.col("cumulative")))
+    first = F.min("nav_date").over(Window.partitionBy("sheet"))
+    gaps = h.withColumn("cumulative", F.when(~((k == 3) & (F.col("nav_date") == first)), F.col("cumulative")))
     at = tail.select("sheet", F.date_add(monday, 2).alias("as_of"), F.when(k == 1, 1).otherwise(14).alias("max_staleness_days"))
     return cadence.pending_week_baseline(cand, gaps, at).select("sheet", "pending")
 

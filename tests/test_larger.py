@@ -4,10 +4,11 @@ import datetime as dt
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidemark.catalog import ORACLES, QUERIES
-from tidemark.operators import filters, routing
+from tidemark.operators import extract, filters, routing
 from tidemark.streaming import jobs
 from tests.test_oracle import spelt
 
@@ -98,3 +99,11 @@ def test_codes_of_five_digits(spark, tmp_path, name):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got, want = both(spark, name, tmp_path, "events")
     assert got and got == want
+
+
+def test_payloads_are_read_by_bytes(spark):
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4], "b": [b"x" * 60, b"y" * 60, None, b"z" * 30]})
+    assert [s.column(0).to_pylist() for s in extract.by_bytes(batch, 1, 100)] == [[1], [2, 3, 4]]
+    rows = spark.createDataFrame([(1, b"a,b\n1,2"), (2, None), (3, b"\xff\x81\xff")], "k long, b binary")
+    got = sorted((r.k, r.row, r.cells) for r in extract.read_delimited_payloads(rows, "k", "b").collect())
+    assert got == [(1, 1, ["a", "b"]), (1, 2, ["1", "2"]), (2, None, None), (3, None, None)]

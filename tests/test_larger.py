@@ -5,10 +5,12 @@ import datetime as dt
 import duckdb
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.catalog import ORACLES, QUERIES
 from tidemark.operators import extract, filters, routing
+from tidemark.sources import mailbox
 from tidemark.streaming import jobs
 from tests.test_oracle import spelt
 
@@ -107,3 +109,18 @@ def test_payloads_are_read_by_bytes(spark):
     rows = spark.createDataFrame([(1, b"a,b\n1,2"), (2, None), (3, b"\xff\x81\xff")], "k long, b binary")
     got = sorted((r.k, r.row, r.cells) for r in extract.read_delimited_payloads(rows, "k", "b").collect())
     assert got == [(1, 1, ["a", "b"]), (1, 2, ["1", "2"]), (2, None, None), (3, None, None)]
+
+
+def test_a_row_group_is_read_in_parts(tmp_path, monkeypatch):
+    monkeypatch.setattr(mailbox, "AT_A_TIME", 10)
+    (tmp_path / "a").mkdir()
+    n = 95
+    table = pa.table({"message_id": [f"m{i}" for i in range(n)], "uid": list(range(n)), "from_raw": ["A <a@example.com>"] * n, "sent_at": [dt.datetime(2026, 1, 1)] * n, "size": [1] * n})
+    pq.write_table(table, tmp_path / "a" / "x.parquet")
+    store = mailbox.Store(str(tmp_path))
+    group = store.groups("a")[0]
+    group.after, group.upto = 4, 89
+    parts = list(mailbox.taken(store, group, ["mailbox", "uid", "sender"], [("size", "not above", 5)]))
+    assert max(p.num_rows for p in parts) <= 10
+    assert [u for p in parts for u in p.column("uid").to_pylist()] == list(range(5, 90))
+    assert {s for p in parts for s in p.column("sender").to_pylist()} == {"a@example.com"}

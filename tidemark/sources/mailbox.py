@@ -30,6 +30,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemark.sources.messages import MESSAGE
 
 SCHEMA = StructType([StructField("mailbox", StringType()), *MESSAGE.fields, StructField("sender", StringType())])
+#: Messages that a task holds at once.
+AT_A_TIME = 500
 HEADERS = ["uid", "from_raw", "sent_at", "size"]
 ADDRESS = re.compile(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}")
 
@@ -90,6 +92,14 @@ class Store:
             file = pq.ParquetFile(f)
             return file.read_row_group(group.number, [c for c in columns if c in file.schema_arrow.names])
 
+    def batches(self, group: Group, columns: list[str]) -> Iterator[pa.Table]:
+        """A group's rows, AT_A_TIME at once, so that a task's memory doesn't grow with the group."""
+        files, _ = self.opened
+        with files.open_input_file(group.file) as f:
+            file = pq.ParquetFile(f, buffer_size=1 << 20, pre_buffer=False)
+            for batch in file.iter_batches(AT_A_TIME, [group.number], [c for c in columns if c in file.schema_arrow.names], use_threads=False):
+                yield pa.Table.from_batches([batch])
+
 
 def kept(table: pa.Table, group: Group, conditions: list[tuple[str, str, object]]) -> pa.Table:
     """Headers with sender, of the uids and conditions asked for."""
@@ -119,22 +129,24 @@ def taken(store: Store, group: Group | None, columns: list[str], conditions: lis
     group (None) where there is none."""
     if group is None:
         return
-    heads = kept(store.read(group, HEADERS), group, conditions)
-    if not heads.num_rows:
+    if not any(kept(heads, group, conditions).num_rows for heads in store.batches(group, HEADERS)):
         return
-    names = [f.name for f in MESSAGE.fields if f.name in columns]
-    whole = store.read(group, list(dict.fromkeys(["uid", *names])))
-    whole = whole.filter(pc.is_in(whole.column("uid"), value_set=heads.column("uid").combine_chunks()))
-    whole = whole.take(pc.sort_indices(whole.column("uid")))
-    heads = heads.take(pc.sort_indices(heads.column("uid")))
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    schema = to_arrow_schema(StructType([x for x in SCHEMA.fields if x.name in columns]))
+    names = [f.name for f in MESSAGE.fields if f.name in columns]
+    for some in store.batches(group, list(dict.fromkeys([*HEADERS, *names]))):
+        whole = kept(some, group, conditions)
+        if whole.num_rows:
+            yield from shaped(whole.take(pc.sort_indices(whole.column("uid"))), group, schema).to_batches()
+
+
+def shaped(whole: pa.Table, group: Group, schema: pa.Schema) -> pa.Table:
+    """Messages with their sender, with the columns of a schema."""
     out = []
-    for f in to_arrow_schema(StructType([x for x in SCHEMA.fields if x.name in columns])):
+    for f in schema:
         if f.name == "mailbox":
             out.append(pa.array([group.mailbox] * whole.num_rows, f.type))
-        elif f.name == "sender":
-            out.append(heads.column("sender").combine_chunks())
         elif f.name in whole.column_names:
             own = whole.column(f.name).combine_chunks()
             if pa.types.is_timestamp(f.type) and own.type.tz is None:
@@ -142,8 +154,7 @@ def taken(store: Store, group: Group | None, columns: list[str], conditions: lis
             out.append(own.cast(f.type))
         else:
             out.append(pa.nulls(whole.num_rows, f.type))
-    names = [x.name for x in SCHEMA.fields if x.name in columns]
-    yield from pa.table(out, names).to_batches(max_chunksize=1000)
+    return pa.table(out, schema.names)
 
 
 class Mailbox(DataSource):

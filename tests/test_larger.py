@@ -7,8 +7,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.catalog import ORACLES, QUERIES
+from tidemark.functions import scalars
 from tidemark.operators import extract, filters, routing
 from tidemark.sources import mailbox
 from tidemark.streaming import jobs
@@ -124,3 +126,8 @@ def test_a_row_group_is_read_in_parts(tmp_path, monkeypatch):
     assert max(p.num_rows for p in parts) <= 10
     assert [u for p in parts for u in p.column("uid").to_pylist()] == list(range(5, 90))
     assert {s for p in parts for s in p.column("sender").to_pylist()} == {"a@example.com"}
+
+
+def test_a_date_takes_few_patterns(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("s")).select(scalars.parse_date("s"))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("regexp") + plan.count("rlike") <= 20  # twice each: with the name of the column

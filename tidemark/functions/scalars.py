@@ -61,14 +61,15 @@ def parse_date(c, pivot: int = 80) -> Column:
     t = F.trim(text(c))
     serial = t.rlike(r"^\d{5}(\.\d+)?$") & t.try_cast("double").between(20000.5, 99999.5)
     by_serial = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(t.try_cast("double")).cast("int"))
-    even = F.regexp_replace(F.regexp_replace(t, "[年月/.]", "-"), "日", "")
-    whole, six = r"(?<!\d)(20\d{2})-?(\d{1,2})-?(\d{1,2})(?!\d)", r"^(\d{2})(\d{2})(\d{2})$"
+    even = F.translate(t, "年月/.日", "----")  # without the last one
+    ymd = r"(20\d{2})-?(\d{1,2})-?(\d{1,2})"
+    whole = F.regexp_extract(even, rf"(?<!\d){ymd}(?!\d)", 0)
     digits = F.regexp_replace(t, r"\D", "")
-    part = lambda source, pattern, i: F.regexp_extract(source, pattern, i)
-    dated = lambda source, pattern, year: F.try_to_date(F.concat_ws("-", year, part(source, pattern, 2), part(source, pattern, 3)), "yyyy-M-d")
-    two = part(digits, six, 1)
-    century = F.concat(F.when(two >= F.lit(f"{pivot:02d}"), "19").otherwise("20"), two)
-    return F.when(serial, by_serial).when(even.rlike(whole), dated(even, whole, part(even, whole, 1))).when(digits.rlike(six), dated(digits, six, century))
+    two = F.substring(digits, 1, 2)
+    century = F.when(two >= F.lit(f"{pivot:02d}"), "19").otherwise("20")
+    six = F.concat(century, two, F.lit("-"), F.substring(digits, 3, 2), F.lit("-"), F.substring(digits, 5, 2))
+    dated = lambda said: F.try_to_date(said, "yyyy-M-d")
+    return F.when(serial, by_serial).when(whole != "", dated(F.regexp_replace(whole, f"^{ymd}$", "$1-$2-$3"))).when(F.length(digits) == 6, dated(six))
 
 
 def normalize_header(c) -> Column:

@@ -1,6 +1,8 @@
 """Queries over tables with greater keys, sparser dates and longer texts than the smallest tables have."""
 
+import csv
 import datetime as dt
+import random
 
 import duckdb
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import ORACLES, QUERIES
 from tidemark.functions import scalars
 from tidemark.operators import extract, filters, routing
+from tidemark.plans import sheet_queries
 from tidemark.sources import mailbox
 from tidemark.streaming import jobs
 from tests.test_oracle import spelt
@@ -131,3 +134,44 @@ def test_a_row_group_is_read_in_parts(tmp_path, monkeypatch):
 def test_a_date_takes_few_patterns(spark):
     plan = spark.range(1).select(F.col("id").cast("string").alias("s")).select(scalars.parse_date("s"))._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("regexp") + plan.count("rlike") <= 20  # twice each: with the name of the column
+
+
+def test_a_dialect_without_the_sniffer(monkeypatch):
+    rng, texts = random.Random(3), ["", "a", "a,b\n1,2", "Code | NAV Date\nS1 | 2020-01-01\nS2 | 2020-01-02", "a;b\r\n1;2\r\n", "x\x7fy\nz\x7fw", "é b\né c"]
+    for _ in range(400):
+        d = rng.choice([",", ", ", ";", "\t", " | ", ":", "x"])
+        lines = [d.join(rng.choice(["a", "12", "b c", "", "2020-01-01"]) for _ in range(3 if rng.random() < 0.95 else 2)) for _ in range(rng.randint(1, 40))]
+        texts += ["\n".join(lines), "".join(rng.choice("ab,; \n\n") for _ in range(rng.randint(1, 60)))]
+
+    def library(text):
+        try:
+            d = csv.Sniffer().sniff(text)
+        except csv.Error:
+            return None
+        return {"delimiter": d.delimiter, "doublequote": d.doublequote, "skipinitialspace": d.skipinitialspace}
+
+    want = [library(t) for t in texts]
+    calls = []
+    monkeypatch.setattr(csv.Sniffer, "sniff", lambda self, text: calls.append(text) or csv.excel)
+    assert [extract.even_dialect(t) for t in texts] == want
+    assert extract.delimited_table("a;b\n1;2\n") == [["a", "b"], ["1", "2"]] and not calls
+    assert extract.delimited_table("'a','b'") and calls == ["'a','b'"]
+
+
+def test_rows_of_other_dates_are_not_rounded(monkeypatch):
+    rows = [extract.Row(dt.date(2020, 1, i), 1.0 + i, None, "A", "csv") for i in (1, 2)]
+    again = extract.Row(dt.date(2020, 1, 1), 2.0 + 1e-14, None, "A", "html")
+    assert extract.distinct([*rows, again]) == [again, rows[1]]
+    monkeypatch.setattr(extract, "round", None, raising=False)
+    assert extract.distinct(rows) == rows
+
+
+def test_notices_are_read_in_many_tasks(spark):
+    """A union's small partitions are joined to few tasks unless they are dealt by a number; events need no join."""
+    sf = "/root/testdata/sf0.001"
+    plan = sheet_queries.labelled_pages(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" in plan
+    for made in (sheet_queries.notices, sheet_queries.pages):
+        assert "RepartitionByExpression" in made(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    df = QUERIES["d6_extract_observations"](spark, sf)
+    assert df.rdd.getNumPartitions() >= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

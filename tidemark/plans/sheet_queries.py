@@ -152,6 +152,12 @@ def c16_date(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("k"), S.unique_date_in_text(said).alias("found"))
 
 
+def dealt(rows, *keys: str):
+    """Rows dealt by keys to as many tasks as the session has shuffle partitions. Without a number small partitions are
+    joined, by bytes and, in a union, to few tasks in all; reading notices takes long for their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def notices(spark, sf_dir):
     """One notice per code and month, as a text table whose delimiter goes by the code."""
     s = A.series(spark, sf_dir)
@@ -160,7 +166,7 @@ def notices(spark, sf_dir):
     line = F.concat("code", d, A.later("nav_date").cast("string"), d, F.format_string("%.6f", "unit"))
     head = F.concat(F.lit("Product Code"), d, F.lit("NAV Date"), d, F.lit("Unit NAV"))
     rows = s.select("code", F.trunc("nav_date", "MM").alias("m"), line.alias("line"), head.alias("head"))
-    body = rows.groupBy("code", "m", "head").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("t"))
+    body = dealt(rows, "code", "m", "head").groupBy("code", "m", "head").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("t"))
     return body.select(F.concat("code", F.lit("-"), F.col("m").cast("string")).alias("message_id"), F.lit("NAV notice").alias("subject"), F.concat("head", F.lit("\n"), "t").alias("plain"), F.lit(None).cast("string").alias("html"))
 
 
@@ -179,7 +185,7 @@ def d3_labelled(spark, sf_dir):
 
 def pages(spark, sf_dir):
     rows = A.cand(spark, sf_dir).select("code", F.trunc("nav_date", "MM").alias("m"), F.concat(F.lit("<tr><td>"), "code", F.lit("</td><td>"), A.later("nav_date").cast("string"), F.lit("</td><td>"), F.format_string("%.6f", "unit"), F.lit("</td><td>"), F.format_string("%.6f", "cumulative"), F.lit("</td></tr>")).alias("r"))
-    body = rows.groupBy("code", "m").agg(F.array_join(F.array_sort(F.collect_list("r")), "").alias("t"))
+    body = dealt(rows, "code", "m").groupBy("code", "m").agg(F.array_join(F.array_sort(F.collect_list("r")), "").alias("t"))
     head = "<p>Dear all,<br>see below</p><table><tr><th rowspan=2>Product Code</th><th rowspan=2>NAV Date</th><th colspan=2>NAV</th></tr><tr><th>Unit NAV</th><th>Cumulative NAV</th></tr>"
     return body.select(F.concat("code", F.lit("-"), F.col("m").cast("string")).alias("message_id"), F.lit("NAV notice").alias("subject"), F.lit(None).cast("string").alias("plain"), F.concat(F.lit(head), "t", F.lit("</table>")).alias("html"))
 
@@ -197,7 +203,7 @@ def d5_text(spark, sf_dir):
 
 def labelled_pages(spark, sf_dir):
     """HTML without tables, whose labelled lines are the only source; every third names its unit value twice."""
-    o = A.obs_events(spark, sf_dir)
+    o = dealt(A.event_rows(spark, sf_dir).select("event_id", "code", "nav_date", "unit"), "event_id")
     said = F.concat(F.lit("<div>Product Code: "), "code", F.lit("</div><p>Unit NAV: "), F.format_string("%.2f", "unit"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("<p>NAV: "), F.format_string("%.2f", "unit"))).otherwise(""))
     return o.select(F.concat(F.lit("h"), "event_id").alias("message_id"), F.concat(F.lit("notice "), F.col("nav_date").cast("string")).alias("subject"), F.lit(None).cast("string").alias("plain"), said.alias("html"))
 

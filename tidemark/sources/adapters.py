@@ -50,9 +50,9 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("code").alias("sheet"), "code", "nav_date", unit.alias("unit"), (F.col("unit") + 0.5).alias("cumulative"))
 
 
-def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation per event; a user's events of six hours are one message."""
-    e = table(spark, sf_dir, "events").select(
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observation per event, without what its message's other events say."""
+    return table(spark, sf_dir, "events").select(
         "event_id",
         "user_id",
         "event_type",
@@ -63,6 +63,11 @@ def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("desk"), F.col("user_id") % 10, F.lit("@example.com")).alias("sender"),
         F.concat(F.lit("U"), F.col("user_id"), F.lit("-"), F.col("ts").cast("date").cast("string"), F.lit("-"), F.floor(F.hour("ts") / 6).cast("string")).alias("message_id"),
     )
+
+
+def obs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observation per event; a user's events of six hours are one message."""
+    e = event_rows(spark, sf_dir)
     per = e.groupBy("message_id").agg(F.max("event_id").alias("uid"), F.max((F.col("event_type") == "error").cast("int")).alias("c"))
     return e.join(per.withColumnRenamed("message_id", "m"), F.col("message_id") == F.col("m")).select(
         "event_id", "user_id", "code", "nav_date", "unit", "cumulative", "sender", "message_id", "uid", (F.col("c") == 1).alias("correction"), "event_type"

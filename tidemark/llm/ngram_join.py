@@ -10,8 +10,8 @@ blocks (one shingle's column after another, dealt by Spark), and only where the
   below what the two sizes ask for, are dropped; the rest is verified on whole sets.
 
 Long columns (large groups of near copies) would give pairs in the square of their length. There each row is first
-compared with one pivot, the most central row. Rows linked with the pivot need no links among each other, as they are
-one component already. A pair with an unlinked row is compared if sizes, distances to the pivot (Jaccard distance is
+compared with one pivot, the most central row. The links found so far, of all columns, make components, and rows of
+one component need no further links among each other. A pair of two components is compared if sizes, distances to the pivot (Jaccard distance is
 a metric; where a distance isn't measured, the bitmaps give a bound) and the parity bitmaps of the two sets (each differing bit needs a differing shingle) leave it a chance. So
 no link between two components is lost.
 """
@@ -228,7 +228,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
-    """Verified links (a, b) among representatives. bodies: rep, n, spread, prefix, bits. Columns are dealt once by
+    """Links (a, b) that make the components of representatives: a tie of each row of a first pass's components to its
+    least one, and verified links between these components. bodies: rep, n, spread, prefix, bits. Columns are dealt once by
     shingle; those with one row, nearly all, end there."""
     columns = bodies.select("rep", "n", "spread", F.explode("prefix").alias("h"))
     column = Window.partitionBy("h")
@@ -250,17 +251,22 @@ def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     first = staged(outright.union(starred).distinct(), "pairs")
     sets = sets_of(first.select(F.col("a").alias("rep")).union(first.select("b")).distinct())
     told = staged(verified(first, sets, pct), "overlaps")
-    links = told.where("near").select("a", "b")
-
-    # second pass over long columns: pairs with at least one row that isn't linked with the pivot
-    bound = long.join(centre.dropDuplicates(["h"]), "h").withColumn("low", least_distance("n", "pn", "bits", "pbits")).drop("pn", "pbits")
-    keyed = bound.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(told, ["a", "b"], "left")
-    keyed = keyed.select("h", "rep", "n", "bits", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.coalesce("far", "low")).alias("low"), F.when(F.col("rep") == F.col("pivot"), True).otherwise(F.coalesce("near", F.lit(False))).alias("near"), F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far"))
+    parts = components(told.where("near"))
+
+    # second pass over long columns: pairs of different components, of which one at least isn't the pivot's
+    component_of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    centre = long.where(F.col("rep") == F.col("pivot")).select("h", "pivot", F.col("n").alias("pn"), F.col("bits").alias("pbits")).dropDuplicates(["h"])
+    centre = centre.join(component_of("pivot"), "pivot", "left").select("h", "pn", "pbits", F.coalesce("pivot_part", "pivot").alias("pivot_part"))
+    bound = long.join(centre, "h").withColumn("low", least_distance("n", "pn", "bits", "pbits")).drop("pn", "pbits")
+    keyed = bound.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(told.select("a", "b", "far"), ["a", "b"], "left").join(component_of("rep"), "rep", "left")
+    at_pivot = lambda c: F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(c)
+    part = F.coalesce("rep_part", "rep")
+    keyed = keyed.select("h", "rep", "n", "bits", part.alias("part"), (part == F.col("pivot_part")).alias("near"), at_pivot(F.coalesce("far", "low")).alias("low"), at_pivot(F.col("far")).alias("far"))
     keyed = staged(keyed, "long-rows")
-    out = keyed.where("not near").select("h", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits", "far", "low")])
-    any_ = keyed.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits", "near", "far", "low")])
+    out = keyed.where("not near").select("h", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "bits", "part", "far", "low")])
+    any_ = keyed.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "bits", "part", "near", "far", "low")])
     chance = (
-        (F.col("rep1") != F.col("rep2"))
+        (F.col("part1") != F.col("part2"))
         & (F.col("near2") | (F.col("rep1") < F.col("rep2")))
         & F.coalesce(F.col("low1") - F.col("far2") <= (100 - pct) / 100 + 1e-9, F.lit(True))
         & F.coalesce(F.col("low2") - F.col("far1") <= (100 - pct) / 100 + 1e-9, F.lit(True))
@@ -269,7 +275,8 @@ def link_candidates(bodies: DataFrame, sets_of, pct: int) -> DataFrame:
     second = out.join(any_, "h").where(chance).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
     second = staged(second.join(first, ["a", "b"], "left_anti"), "pairs")
     sets = sets_of(second.select(F.col("a").alias("rep")).union(second.select("b")).distinct())
-    return links.union(verified(second, sets, pct).where("near").select("a", "b"))
+    held = parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return held.union(verified(second, sets, pct).where("near").select("a", "b"))
 
 
 def join(docs: DataFrame, pct: int = 85) -> DataFrame:
@@ -285,7 +292,8 @@ def join(docs: DataFrame, pct: int = 85) -> DataFrame:
     signed = staged(signatures(docs, common, pct), "signatures")
     named = signed.where("n > 0 and doc_id is not null")
     classes = staged(named.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id()), "classes")
-    bodies = named.join(classes, ["cls", "doc_id"]).select("rep", "n", "spread", "prefix", "bits")
+    # copies of a text may have one doc_id (the pipeline's are keys of texts); only one of them goes on
+    bodies = named.join(classes, ["cls", "doc_id"]).dropDuplicates(["cls", "doc_id"]).select("rep", "n", "spread", "prefix", "bits")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -28,12 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB instead of Spark's 64, unless the session sets a size of its own: what a Python worker holds
-    then doesn't grow with the length of the texts."""
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of 8 MB (or most) instead of Spark's 64, unless the session sets a size of its own: what a Python
+    worker and its executor hold then doesn't grow with the length of the texts."""
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(size) in ("67108864b", "64m", "64MB"):
-        spark.conf.set(size, "8m")
+    if spark.conf.get(size) in ("67108864b", "64m", "64MB", "8m", "4m"):
+        spark.conf.set(size, most)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -44,6 +44,11 @@ SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 OLD_SCRIPTS = "\u0530"
 #: Bytes of text that are encoded together, unless one text is longer.
 TOGETHER = 1 << 22
+#: Words whose ids are put in a row together.
+GATHERED = 1 << 16
+#: A row of payload or index is long, so a page's size is looked at after each row, not after every 100: Parquet's codecs
+#: keep buffers of the largest page that a process has met, out of the heap.
+PAGES = {"parquet.page.size.row.check.min": "1"}
 
 
 def latin(text: str) -> bool:
@@ -79,8 +84,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # lower-case Latin-1 letters need neither normalising nor the general splitting pattern
-        self.plain = Tokenizer.from_file(path)
+        # lower-case Latin-1 letters need neither normalising nor the general splitting pattern; the model is shared
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
@@ -187,7 +192,9 @@ class WordEncoder:
         inside[lasts] = False
         at[inside] = coded.indices.to_numpy(zero_copy_only=False)
         at[inside] += 1
-        ids, upto = gathered(flat, first[at], size[at]), np.cumsum(size[at])
+        upto = np.cumsum(size[at])
+        runs = (at[i : i + GATHERED] for i in range(0, len(at), GATHERED))
+        ids = np.concatenate([flat[:0], *(gathered(flat, first[x], size[x]) for x in runs)])
         offsets = np.concatenate([[0], upto[lasts] * self.width])
         if offsets[-1] < 1 << 31:
             return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
@@ -339,8 +346,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: in
     Documents are range-parted by doc_id at quantiles read from the doc_id column alone, encoded where they lie, and
     only their ids are shuffled.
     """
-    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
+    bounded_batches(spark, "4m")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = bounds(docs, parts)
     edges = np.array(cuts, np.int64)
@@ -356,7 +363,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: in
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.mapInArrow(encode, "part int, key long, ids binary").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "key", "ids")
     blocks = rows.mapInArrow(packer(width(tokenizer)), "part int, block int, ids binary, doc array<long>, copy array<int>, n array<long>, offset array<long>, start array<long>")
-    blocks.write.parquet(f"{path}/payload")
+    blocks.write.options(**PAGES).parquet(f"{path}/payload")
 
     entries = spark.read.parquet(f"{path}/payload").select("part", "block", F.explode(F.arrays_zip("doc", "copy", "n", "offset", "start")).alias("e")).select("part", "block", "e.*")
     sizes = spark.read.parquet(f"{path}/payload").select("part", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.size("doc").alias("d")).groupBy("part").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
@@ -383,7 +390,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts: in
     entries = entries.join(F.broadcast(base.select("part", "base")), "part")  # one row per part
     entries = entries.select("doc", "copy", "part", "block", "n", "offset", (F.col("start") + F.col("base")).alias("start"))
     entries = entries.mapInPandas(deal, "bucket long, doc long, copy int, part int, block int, n long, offset long, start long")
-    entries.groupBy("bucket").applyInPandas(build, "bucket long, buckets long, n long, pilots binary, slots binary").write.parquet(f"{path}/index")
+    entries.groupBy("bucket").applyInPandas(build, "bucket long, buckets long, n long, pilots binary, slots binary").write.options(**PAGES).parquet(f"{path}/index")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:

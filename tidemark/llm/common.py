@@ -29,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
-    """Arrow batches of 8 MB (or most) instead of Spark's 64, unless the session sets a size of its own: what a Python
-    worker and its executor hold then doesn't grow with the length of the texts."""
+    """Arrow batches of 8 MB (or most) instead of Spark's 64, unless the session sets a size of its own (but for 8m and
+    4m, which another operator may have set): what a Python worker and its executor hold then doesn't grow with the length
+    of the texts."""
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(size) in ("67108864b", "64m", "64MB", "8m", "4m"):
         spark.conf.set(size, most)

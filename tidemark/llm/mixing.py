@@ -110,7 +110,8 @@ def drawn(docs: DataFrame, shards: int, seed: int, weights: tuple, share: float,
         raise ValueError("shards must be a power of two")
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
     rows = sized(whole, seed).drop("text")
-    facts = staged(rows.select("source", "doc_id", "_h", "_size", "_cell"), "mix-sizes")
+    facts = rows.select("source", "doc_id", "_h", "_size", "_cell").hint("rebalance")  # files by bytes, not one per split of the texts
+    facts = staged(facts, "mix-sizes")
     cells = facts.groupBy("source", "_cell").agg(F.sum("_size").alias("_words"), F.count("*").alias("_docs"))
     per_source = staged(plan(cells, targets(cells, weights, share, ceiling)), "mix-plan")
     picks = staged(border_picks(facts, per_source), "mix-border")
